@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import first_of_runs, pack, pack_sorted, shared_dir, unpack, unpack_sorted
+from .shared import first_of_runs, pack, pack_sorted, shared_dir, slices_of_runs, unpack, unpack_sorted
 from .words import ALNUM, LOWER, WordHash, cuts, hashed_words, utf8
 
 WINDOW = 13
@@ -198,8 +198,7 @@ def _search(batches, shared):
             spans: dict[int, np.ndarray] = {}
             items: dict[int, set] = {}
             by = np.argsort(doc, kind="stable")
-            edges = first_of_runs(doc[by])
-            for a, b in zip(edges, np.append(edges[1:], len(by)), strict=True):
+            for a, b in slices_of_runs(doc[by]):
                 some, d = by[a:b], int(doc[by[a]])
                 spans[d] = merged(start[some] - p.first[d], lengths[phrase[some]])
                 items[d] = {names[of[k]] for g in set(phrase[some].tolist()) for k in by_group[bound[g] : bound[g + 1]]} - {None}

@@ -81,3 +81,9 @@ def first_of_runs(*keys: np.ndarray) -> np.ndarray:
     new = np.ones(n, bool)
     new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     return np.flatnonzero(new)
+
+
+def slices_of_runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal rows in arrays that are sorted together."""
+    at = first_of_runs(*keys).tolist()
+    return list(zip(at, [*at[1:], len(keys[0])], strict=False))

@@ -31,10 +31,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import first_of_runs, member, pack, pack_sorted, unpack, unpack_sorted
+from .shared import first_of_runs, member, pack, pack_sorted, slices_of_runs, stored, unpack, unpack_sorted
 from .words import NOT_SPACE, WordHash, cuts, hashed_words, scan, utf8, window_hash, window_starts
 
 WINDOW = 13
@@ -117,9 +118,8 @@ def _sketch(batches, size: int, p: dict):
             last = np.append(run[1:], len(col)) - 1
             cols, two = col[run], doc[run] != doc[last]
             shard = cols >> np.uint64(p["range"])
-            edges = first_of_runs(shard)
             rows = []
-            for a, b in zip(edges, np.append(edges[1:], len(cols)), strict=True):
+            for a, b in slices_of_runs(shard):
                 rows.append((c, row, int(shard[a]), pack_sorted(cols[a:b]), pack(np.packbits(two[a:b]))))
             yield _batch(rows)
 
@@ -173,8 +173,7 @@ def _exact(key, docs: pa.Table, replies: pa.Table, size: int, p: dict) -> pa.Tab
         _, (x, y, _, rank), run, distinct = _candidates(docs, replies, size, p)
         x, y, least = x[run], y[run], distinct[rank[run]]
         shard = x >> np.uint64(64 - p["exact"])
-        edges = first_of_runs(shard)
-        for a, b in zip(edges, np.append(edges[1:], len(x)), strict=True):
+        for a, b in slices_of_runs(shard):
             blob = pack(y[a:b]), pack(least[a:b])
             out.append((key[0].as_py(), len(blob[0]), int(shard[a]), pack_sorted(x[a:b]), blob[0] + blob[1]))
     return pa.Table.from_batches([_batch(out)])
@@ -199,18 +198,16 @@ def _smallest(key, table: pa.Table) -> pa.Table:
 
 def _remove(key, docs: pa.Table, replies: pa.Table, size: int, p: dict, text: bool) -> pa.Table:
     """The result of each document of a chunk."""
-    import pyarrow.compute as pc
-
     if not docs.num_rows:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string()), "kept": pa.array([], pa.string())})
+        empty = docs.drop_columns(["doc_id", "text", "chunk"])
+        return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string()), "kept": pa.array([], pa.string())} | {c: empty[c] for c in empty.column_names})
     sketch = replies.filter(pc.greater_equal(replies["row"], 0))
     (data, offs, first, _), (x, y, at, rank), run, _ = _candidates(docs, sketch, size, p)
     ux = x[run]
     shard = (ux >> np.uint64(64 - p["exact"])).astype(np.int64)
     answers = {r["shard"]: r["more"] for r in replies.to_pylist() if r["row"] == -1}
-    edges = first_of_runs(shard)
     smaller = np.zeros(len(ux), bool)
-    for a, b in zip(edges, np.append(edges[1:], len(ux)), strict=True):
+    for a, b in slices_of_runs(shard):
         smaller[a:b] = np.unpackbits(np.frombuffer(answers[int(shard[a])], np.uint8), count=b - a)
     of = np.repeat(np.arange(len(run)), np.diff(np.append(run, len(x))))
     gone = at[smaller[of] | (rank > rank[run][of])]
@@ -227,7 +224,8 @@ def _remove(key, docs: pa.Table, replies: pa.Table, size: int, p: dict, text: bo
             digests.append(hashlib.sha256(words).hexdigest())
             kept.append(words.decode() if text and n_removed[lo + k] else None)
     ids = _arrays(docs)[1]
-    return pa.table({"doc_id": ids, "n_words": pa.array(np.diff(first)), "n_removed": pa.array(n_removed), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept, pa.string())})
+    more = docs.drop_columns(["doc_id", "text", "chunk"])
+    return pa.table({"doc_id": ids, "n_words": pa.array(np.diff(first)), "n_removed": pa.array(n_removed), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept, pa.string())} | {c: more[c] for c in more.column_names})
 
 
 def kept_words(data: np.ndarray, offs: np.ndarray, removed: np.ndarray):
@@ -248,18 +246,19 @@ def kept_words(data: np.ndarray, offs: np.ndarray, removed: np.ndarray):
         yield out[a:b].strip(b" ")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, text: bool = True, rest: bool = False) -> DataFrame:
     """Of each document: n_words, n_removed, kept_sha256 (of the kept words joined by one space), and kept,
-    the kept words themselves where some were removed and `text` is set, else null."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    the kept words themselves where some were removed and `text` is set, else null.
+    rest: adds a column `rest`, a struct of the whole input row."""
+    more = [F.struct(*[docs[c] for c in docs.columns]).alias("rest")] if rest else []
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    result = RESULT + (f", rest {docs.schema['rest'].dataType.simpleString()}" if rest else "")
     p = plan(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(p["chunks"]))).repartition(p["chunks"], "chunk")
     sent = chunked.mapInArrow(partial(_sketch, size=size, p=p), PART)
     repeated = sent.groupBy("row", "shard").applyInArrow(lambda key, t: _merge(key, t, p), PART)
-    from .shared import stored
-
     repeated = stored(repeated, "repeated")
     windows = chunked.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(lambda k, a, b: _exact(k, a, b, size, p), PART)
     answers = windows.groupBy("shard").applyInArrow(lambda key, t: _smallest(key, t), PART)
     replies = repeated.unionByName(answers)
-    return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(lambda k, a, b: _remove(k, a, b, size, p, text), RESULT)
+    return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(lambda k, a, b: _remove(k, a, b, size, p, text), result)
