@@ -43,15 +43,43 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read, write
+
+    return read(write(_table(spark, sf_dir, "pages")), payload=False).drop("payload")
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
+    "op3_warc": op3_warc,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_html_text": op6_html_text,
     "op7_decontaminate": op7_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_warc": r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), t AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS latest,
+         array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, (k // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INTEGER) + 1, 1) FOR k IN range(32)], '') AS digest
+  FROM p
+)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = latest THEN NULL ELSE latest END AS refers_to,
+       '<urn:page:' || CAST(page_id AS VARCHAR) || ':' || digest || '>' AS record_id, url AS target_uri
+FROM t
+""",
     "op4_substring_dedup": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
