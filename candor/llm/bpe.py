@@ -120,18 +120,28 @@ def plain(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return ok
 
 
-def encoded(enc: UnitEncoder, data: np.ndarray, offs: np.ndarray):
-    """Ids of all rows, one after the other, and each row's first id."""
+def _known(enc: UnitEncoder, data: np.ndarray, offs: np.ndarray):
+    """Starts of units, each row's first, and the place of each unit in the encoder."""
     starts, ends, first = units(data, offs)
     h = _HASH(data, starts, ends)
-    raw = data.tobytes()
     u, at, back = np.unique(h, return_index=True, return_inverse=True)
     regular = np.zeros(0, bool)
     if len(u):
         fine = plain(data, offs)
         regular = ~NOT_SPACE[data[starts[at]]] & NOT_SPACE[data[ends[at] - 1]] & fine[np.searchsorted(first, at, "right") - 1]
     enc.learn(u, (data, starts[at], ends[at]), regular)
-    place = enc.places(u)[back]
+    return starts, first, enc.places(u)[back]
+
+
+def unit_sizes(enc: UnitEncoder, data: np.ndarray, offs: np.ndarray):
+    """Starts of units, each row's first, and the tokens of each unit; right for rows that are plain()."""
+    starts, first, place = _known(enc, data, offs)
+    return starts, first, enc.size[place]
+
+
+def encoded(enc: UnitEncoder, data: np.ndarray, offs: np.ndarray):
+    """Ids of all rows, one after the other, and each row's first id."""
+    _, first, place = _known(enc, data, offs)
     size, begin = enc.size[place], enc.start[place]
     total = np.concatenate([[0], np.cumsum(size)])
     ids = enc.flat[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)]
@@ -140,7 +150,7 @@ def encoded(enc: UnitEncoder, data: np.ndarray, offs: np.ndarray):
     if len(odd):
         parts = [ids[row[k] : row[k + 1]] for k in range(len(row) - 1)]
         for k in odd:
-            parts[k] = np.array(enc.encode(raw[offs[k] : offs[k + 1]].decode("utf-8", "replace")), np.uint32)
+            parts[k] = np.array(enc.encode(data[offs[k] : offs[k + 1]].tobytes().decode("utf-8", "replace")), np.uint32)
         ids = np.concatenate(parts)
         row = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     return ids, row

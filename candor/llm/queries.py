@@ -12,6 +12,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document takes an insertion, a replacement and a deletion at places that its id and length give."""
+    from .tokens import count_tokens
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
+    place = lambda k: F.pmod(F.crc32(F.concat_ws(":", F.col("doc_id"), F.lit(k)).cast("binary")), size + 1)
+    edit = lambda k, remove, insert: F.struct(place(k).alias("at"), F.lit(remove).cast("long").alias("remove"), F.lit(insert).alias("insert"))
+    edits = F.array(edit(1, 0, " a new sentence, put in here."), edit(2, 12, "changed"), edit(3, 40, ""))
+    return count_tokens(docs.withColumn("edits", edits))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import remove_repeats
 
@@ -55,12 +67,21 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judged
+
+    kept = judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_near_dedup": op2_near_dedup,
     "op3_warc": op3_warc,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_html_text": op6_html_text,
     "op7_decontaminate": op7_decontaminate,
+    "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
