@@ -154,16 +154,16 @@ def _matches(h: np.ndarray, grams: np.ndarray, ix: Index, least: float) -> list[
     for a, b in _candidates(template, diagonal):
         t = int(template[a])
         words = ix.words[t]
-        hits, diagonals = at[a:b], diagonal[a:b]
+        hits, diagonals, floor = at[a:b], diagonal[a:b], 0
         while len(hits):  # a template can stand there more than once
             lo, hi = int(diagonals.min()) - BAND, int(diagonals.max()) + BAND
-            begin, end = max(0, int(hits.min()) - len(words)), min(len(h), int(hits.max()) + len(words) + GRAM)
+            begin, end = max(floor, int(hits.min()) - len(words)), min(len(h), int(hits.max()) + len(words) + GRAM)
             m, s, e = _aligned(words, h[begin:end], lo - begin, hi - begin)
             if m < least * len(words):
                 break
             found.append((t, m, begin + s, begin + e))
-            rest = (hits > begin + e) | (hits + GRAM <= begin + s)
-            hits, diagonals = hits[rest], diagonals[rest]
+            floor = begin + e + 1
+            hits, diagonals = hits[hits >= floor], diagonals[hits >= floor]
     # of matches that overlap, the one with more words
     out: list[tuple[int, int, int, int]] = []
     for f in sorted(found, key=lambda f: (-f[1], f[2], f[0])):
