@@ -1,0 +1 @@
+"""Truth discovery works on whole tables; there is no streaming operator."""
