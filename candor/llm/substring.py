@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import first_of_runs, member, pack, pack_sorted, slices_of_runs, stored, unpack, unpack_sorted
+from .shared import first_of_runs, member, pack, pack_sorted, slices_of_runs, unpack, unpack_sorted
 from .words import NOT_SPACE, WordHash, cuts, hashed_words, scan, utf8, window_hash, window_starts
 
 WINDOW = 13
@@ -257,7 +257,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(p["chunks"]))).repartition(p["chunks"], "chunk")
     sent = chunked.mapInArrow(partial(_sketch, size=size, p=p), PART)
     repeated = sent.groupBy("row", "shard").applyInArrow(lambda key, t: _merge(key, t, p), PART)
-    repeated = stored(repeated, "repeated")
+    repeated = repeated.repartition(p["chunks"], "chunk")  # one exchange, and one of the texts, serve both readers
     windows = chunked.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(lambda k, a, b: _exact(k, a, b, size, p), PART)
     answers = windows.groupBy("shard").applyInArrow(lambda key, t: _smallest(key, t), PART)
     replies = repeated.unionByName(answers)
