@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import first_of_runs, pack, pack_sorted, shared_dir, slices_of_runs, unpack, unpack_sorted
+from .shared import first_of_runs, pack, pack_sorted, shared_dir, slices_of_runs, small_batches, unpack, unpack_sorted
 from .words import ALNUM, LOWER, WordHash, cuts, hashed_words, utf8
 
 WINDOW = 13
@@ -67,6 +67,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """The positional index of all documents, stored in the shared folder; one row for each segment."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     built = docs.mapInArrow(_build, INDEX)
     path = f"{shared_dir(spark)}/postings"
     built.write.parquet(path)

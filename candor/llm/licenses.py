@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import first_of_runs
+from .shared import first_of_runs, small_batches
 from .words import ALNUM, LOWER, WordHash, cuts, scan, utf8, window_hash
 
 GRAM, SPAN, BAND = 3, 2, 8
@@ -222,6 +222,7 @@ def _scan(batches, shared, least: float):
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each match: document, license, coverage of the template, and the span in words and bytes (ends excluded)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index(TEMPLATES if templates is None else templates))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(lambda b: _scan(b, shared, least), RESULT)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import first_of_runs, pack, pack_sorted, stored, unpack, unpack_sorted
+from .shared import first_of_runs, pack, pack_sorted, small_batches, stored, unpack, unpack_sorted
 from .words import NOT_SPACE, WordHash, cuts, hashed_words, utf8, window_hash, window_starts
 
 SHINGLE = 5
@@ -288,6 +288,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     """One row for each document: doc_id, class_id (the smallest doc_id of its class), class_size."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     factors = spark.sparkContext.broadcast(shingle_weights(docs))
     signed = stored(docs.mapInArrow(partial(_sign, factors=factors), SIGNED), "signed")
     nodes = stored(signed.where("text_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import DEFAULT, UnitEncoder, encoded, slices
-from .shared import pack, stored, unpack
+from .shared import pack, small_batches, stored, unpack
 from .words import utf8
 
 SIZE = 2048
@@ -80,6 +80,7 @@ def _cut(batches, size: int, with_ids: bool):
 def pack_documents(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end: int = END, ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each piece: doc_id, start and length in its document, ids_crc32, doc_tokens, sequence_id, offset there,
     crosses (its document is cut), and with `ids` the ids as little-endian unsigned 32-bit numbers."""
+    small_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path(DEFAULT)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = stored(docs.mapInArrow(partial(_encode, path=str(path), end=end), ENCODED), "encoded")

@@ -10,6 +10,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
@@ -24,6 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/candor-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark send Python at most BATCH_BYTES of rows at once, so that a worker's memory doesn't
+    follow the length of texts. A lower limit that the session has stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table into the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession

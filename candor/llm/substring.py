@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import first_of_runs, member, pack, pack_sorted, slices_of_runs, unpack, unpack_sorted
+from .shared import first_of_runs, member, pack, pack_sorted, slices_of_runs, small_batches, unpack, unpack_sorted
 from .words import NOT_SPACE, WordHash, cuts, hashed_words, scan, utf8, window_hash, window_starts
 
 WINDOW = 13
@@ -253,6 +253,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = [F.struct(*[docs[c] for c in docs.columns]).alias("rest")] if rest else []
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
     result = RESULT + (f", rest {docs.schema['rest'].dataType.simpleString()}" if rest else "")
+    small_batches(docs.sparkSession)
     p = plan(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(p["chunks"]))).repartition(p["chunks"], "chunk")
     sent = chunked.mapInArrow(partial(_sketch, size=size, p=p), PART)

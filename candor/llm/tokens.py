@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import DEFAULT, UnitEncoder, encoder, plain, slices, unit_sizes
+from .shared import small_batches
 from .words import utf8
 
 LEAF = 64
@@ -169,6 +170,7 @@ def count_tokens(docs: DataFrame, edits: str = "edits", tokenizer: str | None =
     """Of each document: its tokens, the tokens after its edits, the leaves, and the code points that edits encoded.
 
     edits: name of a column of arrays of struct(at, remove, insert), applied in order."""
+    small_batches(docs.sparkSession)
     path = str(tokenizer or public_tokenizers.path(DEFAULT))
     kind = "array<struct<at: bigint, remove: bigint, insert: string>>"
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(edits).cast(kind).alias("edits"))

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, stored
+from .shared import shared_dir, small_batches, stored
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20  # compressed
@@ -173,6 +173,7 @@ def _write(batches, root: str) -> Iterator[pa.RecordBatch]:
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", root: str | None = None) -> DataFrame:
     """Writes one record for each row into bundles below root (default: the shared folder); returns the stored index."""
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    small_batches(pages.sparkSession)
     sha = F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     counts = pages.select("page_id", sha.alias("sha")).groupBy("sha").agg(F.max("page_id").alias("latest"), F.count("*").alias("n"))
     again = stored(counts.where("n > 1").select("sha", "latest"), "again")
