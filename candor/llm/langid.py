@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pack, unpack
+from .shared import pack, small_batches, unpack
 from .words import LOWER, cuts, utf8
 
 BUCKETS = 1 << 14
@@ -193,10 +193,22 @@ def identified(model, text: Column) -> Column:
     return apply(text)
 
 
-def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs with a column `language`, struct(lang_pred, score, rejected), learned from its own labels."""
+def identify(docs: DataFrame, sample: int = SAMPLE, into: str = "language") -> DataFrame:
+    """docs with a column `into`, struct(lang_pred, score, rejected), learned from its own labels.
+    A docs that has such a column keeps it, and the new one gets underscores."""
+    small_batches(docs.sparkSession)
+    taken = {c.lower() for c in docs.columns}
+    while into.lower() in taken:
+        into += "_"
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
-    return docs.withColumn("language", identified(model, F.col("text")))
+    return docs.withColumn(into, identified(model, F.col("text")))
+
+
+def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs whose text is not rejected, with their own columns."""
+    small_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
+    return docs.where(~identified(model, F.col("text"))["rejected"])
 
 
 def held_out(doc_id: Column) -> Column:
