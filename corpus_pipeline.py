@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candor.llm.decontam import contamination
-from candor.llm.langid import identify
+from candor.llm.langid import accepted
 from candor.llm.neardup import near_duplicates
 from candor.llm.packing import pack_documents
 from candor.llm.shared import stored
@@ -20,7 +20,7 @@ from candor.llm.substring import remove_repeats
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language identification rejects."""
-    return identify(docs).where("NOT language.rejected").drop("language")
+    return accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +32,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes words of repeated passages out of the texts; the words left are joined by one space."""
     found = remove_repeats(docs, rest=True)
-    text = F.coalesce("kept", "rest.text")
-    changed = {"text": text, "n_chars": F.when(F.col("kept").isNotNull(), F.char_length(text).cast("long")).otherwise(F.col("rest.n_chars"))}
-    return found.select(*[changed.get(c, F.col(f"rest.{c}")).alias(c) for c in docs.columns])
+    rest = F.col("rest")
+    changed = {"text": F.coalesce("kept", rest["text"]), "n_chars": F.when(F.col("kept").isNotNull(), F.char_length("kept").cast("long")).otherwise(rest["n_chars"])}
+    return found.select(*[changed.get(c, rest[c]).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
