@@ -62,14 +62,16 @@ def drawn(likelihood: DataFrame, seed: str, sweep: int) -> DataFrame:
     return likelihood.select("question_id", "factor", F.when(u < e0 / (e0 + e1), 0).otherwise(1).alias("indicator"))
 
 
-def synchronous(observations: DataFrame, sweeps: int, config: Config = Config(), draw: bool = False, truth: DataFrame | None = None, cut: int = 5) -> DataFrame:
-    """question_id, factor, indicator after sweeps of all factors at once; every `cut` of them the lineage is checkpointed."""
+def synchronous(observations: DataFrame, sweeps: int, config: Config = Config(), draw: bool = False, truth: DataFrame | None = None) -> DataFrame:
+    """question_id, factor, indicator after sweeps of all factors at once.
+
+    A sweep reads the observations and the last truth twice, so both are checkpointed: without
+    that the plan would double with each sweep."""
+    observations = checkpoints.cut(observations)
     truth = initial_truth(observations, config.seed) if truth is None else truth
     for k in range(sweeps):
         likelihood = log_likelihood(observations, truth, prior_counts(observations, truth), config)
-        truth = drawn(likelihood, config.seed, k) if draw else most_likely(likelihood)
-        if (k + 1) % cut == 0:
-            truth = checkpoints.cut(truth)
+        truth = checkpoints.cut(drawn(likelihood, config.seed, k) if draw else most_likely(likelihood))
     return truth
 
 

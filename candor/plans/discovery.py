@@ -43,7 +43,7 @@ def discover(
         words = keywords.filtered(words, stopwords, word_model)
         words = keywords.without_dummies(keywords.shuffled(words).drop("place"))
     elif mode == "plain":
-        words = keywords.keywords(answers, stopwords, word_model)
+        words = keywords.keywords(answers, stopwords)  # the join with vectors drops the others
     else:
         raise ValueError(f"unknown mode {mode!r}")
     words = clustered(answers, words, word_model, config, centroids)

@@ -147,14 +147,15 @@ def _keywords(spark, d):
 
 
 def _assigned(spark, d):
-    """Distinct words of each question with count, vector and cluster."""
+    """Distinct words of each question with count, vector and cluster; the join drops words without a vector."""
     model = C.assigned(_model(spark, d), _centroids(spark, d)).withColumnRenamed("word", "content")
-    return K.distinct_words(_keywords(spark, d)).join(model.select("content", "vec", "cluster"), "content")
+    words = K.keywords(chat_answers(spark, d), corpus.stopwords(spark))
+    return K.distinct_words(words).join(model.select("content", "vec", "cluster"), "content")
 
 
 def _clustered(spark, d):
     model = C.assigned(_model(spark, d), _centroids(spark, d)).select(F.col("word").alias("content"), "cluster")
-    return _keywords(spark, d).join(model, "content")
+    return K.keywords(chat_answers(spark, d), corpus.stopwords(spark)).join(model, "content")
 
 
 def _observations(spark, d):
