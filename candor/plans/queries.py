@@ -114,6 +114,13 @@ STEPS |= {
     "exq": "SELECT exam_id, question_id, n_questions FROM qs JOIN ex ON place >= first_question AND place < first_question + n_questions",
     "lab": "SELECT doc_id % 100 AS question_id, doc_id // 100 AS owner_id, quality * 5.0::DOUBLE AS score FROM labels",
 }
+for _old, _new in (("", "2"), ("2", "3")):
+    _est = f"est{_old}"
+    STEPS[f"sums{_new}"] = f"SELECT question_id, cluster AS k, dim, sum(n * x) AS value FROM (SELECT question_id, cluster, n, unnest(vec) AS x, unnest(range(len(vec))) AS dim FROM {_est}) GROUP BY ALL"
+    STEPS[f"lens{_new}"] = f"SELECT question_id, k, sqrt(sum(value * value)) AS length FROM sums{_new} GROUP BY ALL"
+    STEPS[f"newc{_new}"] = f"SELECT question_id, k, list(CASE WHEN length < 1e-8 THEN value ELSE value / length END ORDER BY dim) AS mu FROM sums{_new} JOIN lens{_new} USING (question_id, k) GROUP BY question_id, k"
+    STEPS[f"cen{_new}"] = f"SELECT g.question_id, g.k, coalesce(c.mu, list_transform(g.mu, lambda x: 0.0::DOUBLE)) AS mu FROM (SELECT question_id, cen.* FROM (SELECT DISTINCT question_id FROM est), cen) g LEFT JOIN newc{_new} c USING (question_id, k)"
+    STEPS[f"est{_new}"] = f"SELECT question_id, content, n, vec, arg_max(k, (list_dot_product(vec, c.mu), -k)) AS cluster FROM est JOIN cen{_new} c USING (question_id) GROUP BY question_id, content, n, vec"
 
 
 def chain(sql: str) -> str:
@@ -490,7 +497,7 @@ def sphere_kmeans(spark, d):
     return C.kmeans_grouped(words, Config(clusters=FACTORS))
 
 
-@query()
+@query("SELECT question_id, content, n, cluster FROM est3")
 def sphere_kmeans_steps(spark, d):
     """Two steps of the distributed loop from the fixed centroids."""
     words = K.with_vectors(K.distinct_words(_keywords(spark, d)), _model(spark, d))
