@@ -14,8 +14,8 @@ it a shingle shared by a large group would hardly weigh against a changed one.
 3. Exact copies (equal MD5 of the text) are one node from here on, their smallest doc_id.
 4. Buckets with two nodes or more, without those whose set of nodes is another bucket's.
 5. verify: the weighted sets of a bucket's nodes meet in one task, which compares them
-   exactly, skips pairs that are connected already, and returns a forest of at most one
-   row for each node. Buckets of over BLOCK shingles are split into blocks; each pair of
+   exactly, skips pairs that are connected already, and returns at most one row for
+   each node, its smallest connected one. Buckets of over BLOCK shingles are split into blocks; each pair of
    blocks is a task of its own, so memory is bounded and no pair is left out. Work on a
    bucket grows with the square of its distinct texts that aren't connected; exact
    copies and connected ones cost nothing.
@@ -48,7 +48,7 @@ BANDS, ROWS = 16, 4
 DAMPING, RARE = 0.25, 256
 SKETCH_DEPTH, SKETCH_BITS, PIECES = 2, 19, 16
 BLOCK = 1_500_000
-SLICE = 1 << 19
+SLICE = 1 << 18
 _HASH = WordHash(2)
 _ODD = np.random.default_rng(22).integers(0, 2**63, (SKETCH_DEPTH + 2 * BANDS * ROWS,), np.uint64) * np.uint64(2) + np.uint64(1)
 _TABLE = 4096
@@ -216,7 +216,8 @@ def _sets(batches, factors):
 
 
 def links_of(nodes: np.ndarray, x: list[np.ndarray], w: list[np.ndarray], side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
-    """A forest of the pairs with weighted Jaccard similarity of at least `similarity`, edges between connected nodes left out.
+    """Pairs (smallest node, other node) of the components that a weighted Jaccard similarity of at least `similarity` connects.
+    Nodes that are connected already aren't compared.
 
     side: 0 or 1 for each node; then only pairs of different sides are compared."""
     order = np.argsort(nodes, kind="stable")
@@ -230,7 +231,6 @@ def links_of(nodes: np.ndarray, x: list[np.ndarray], w: list[np.ndarray], side:
     total = np.add.reduceat(flat, begin)
     group = np.arange(len(nodes))
     vector = np.zeros(int(code.max()) + 1)
-    out = []
     for k in range(len(nodes) - 1):
         ask = np.arange(k + 1, len(nodes))
         ask = ask[(group[ask] != group[k]) & (np.minimum(total[ask], total[k]) >= similarity * np.maximum(total[ask], total[k]) * (1 - 1e-6))]
@@ -247,9 +247,9 @@ def links_of(nodes: np.ndarray, x: list[np.ndarray], w: list[np.ndarray], side:
         similar = ask[both >= similarity * (total[ask] + total[k] - both) - 1e-6]
         for other in similar:
             if group[other] != group[k]:
-                out.append((int(nodes[k]), int(nodes[other])))
-                group[group == group[other]] = group[k]
-    return out
+                low, high = sorted((group[k], group[other]))
+                group[group == high] = low  # nodes ascend, so the smallest index is the smallest node
+    return [(int(nodes[g]), int(v)) for v, g in zip(nodes, group, strict=True) if nodes[g] != v]
 
 
 def _verify(table: pa.Table, similarity: float) -> pa.Table:
@@ -263,29 +263,31 @@ def _verify(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every a has one b, and no b is an a."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("low")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("low")))
+    found = ends.groupBy("v").agg(F.sum("low").alias("n"), F.min("low").alias("least"))
+    return found.where("n > 1 OR (n = 1 AND least = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, class_id (the smallest node connected) for every node of the edges (a, b)."""
     both = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    while True:
+    while not _are_stars(both):
         # large star: larger neighbours move to the smallest one
         around = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: smaller neighbours and the node itself move to the smallest one
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a")
-        small = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(moved.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        new = stored(small, "edges")
-        mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark(new) == mark(both):
-            break
-        both = new
+        moved = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        small = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(moved.select("a", F.col("m").alias("b")))
+        both = stored(small.where("a <> b").distinct(), "edges")
     roots = both.select(F.col("b").alias("node"), F.col("b").alias("class_id")).distinct()
     return both.select(F.col("a").alias("node"), F.col("b").alias("class_id")).unionByName(roots)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, class_id (the smallest doc_id of its class), class_size."""
+    """One row for each document: doc_id and class_id, the smallest doc_id of its class."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     small_batches(docs.sparkSession)
@@ -314,6 +316,4 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         tied = twins.groupBy("doc_id").agg(F.min("b").alias("a")).join(twins, "doc_id").select("a", "b")
         merged = components(tied)
         of_text = of_text.join(merged.select(F.col("node").alias("class_id"), F.col("class_id").alias("root")), "class_id", "left").select("text_key", F.coalesce("root", "class_id").alias("class_id"))
-    result = signed.select("doc_id", "text_key").join(of_text, "text_key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
-    sizes = result.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return result.join(sizes, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    return signed.select("doc_id", "text_key").join(of_text, "text_key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))

@@ -82,7 +82,7 @@ class WordHash:
 
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 1 << 20)
+            n = max(n, 1 << 18)
             for name, base in (("up", self.base), ("down", self.inverse)):
                 a = np.full(n, base & (2**64 - 1), np.uint64)
                 a[0] = 1
@@ -101,7 +101,7 @@ class WordHash:
         return mix(h)
 
 
-def hashed_words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray, hasher: WordHash, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray, hasher: WordHash, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all rows' words, and each row's first word; works on about `most` bytes at once."""
     parts, counts = [], [np.zeros(1, np.int64)]
     for lo, hi in cuts(offs, most):

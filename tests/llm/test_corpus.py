@@ -56,7 +56,7 @@ def corpus():
 
 def test_near_duplicates(spark, corpus):
     docs = frame(spark, corpus)
-    got = [(r.doc_id, r.class_id, r.class_size) for r in neardup.near_duplicates(docs).collect()]
+    got = [(r.doc_id, r.class_id) for r in neardup.near_duplicates(docs).collect()]
     assert Counter(g[0] for g in got) == Counter(c[0] for c in corpus)
     texts = {t for i, t in corpus if t is not None and i is not None}
     rows = len(corpus)
@@ -80,10 +80,10 @@ def test_near_duplicates(spark, corpus):
     for i, t in corpus:
         if t is not None and i is not None:
             expected[root(t)].append(i)
-    classes = {i: (min(ids), len(ids)) for ids in expected.values() for i in ids}
-    wrong = [g for g in got if g[0] is not None and g[1:] != classes.get(g[0], (g[0], 1))]
+    classes = {i: min(ids) for ids in expected.values() for i in ids}
+    wrong = [g for g in got if g[0] is not None and g[1] != classes.get(g[0], g[0])]
     assert not wrong
-    assert (None, None, 1) in got
+    assert (None, None) in got
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
