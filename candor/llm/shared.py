@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 BATCH_BYTES = 4 << 20
+#: Folders that this driver made and hasn't deleted
+MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="candor-"))
             at = spark.sparkContext.getCheckpointDir()
         root = at
-    return f"{root.rstrip('/')}/candor-{uuid.uuid4().hex}"
+    MADE.append(f"{root.rstrip('/')}/candor-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def clean(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the shared folders made after the first `since`, but the last `keep`. What still reads them must be written first."""
+    context = spark.sparkContext
+    for path in MADE[since : len(MADE) - keep]:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        MADE.remove(path)
 
 
 def small_batches(spark: SparkSession) -> None:
