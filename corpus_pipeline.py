@@ -14,7 +14,7 @@ from candor.llm.decontam import contamination
 from candor.llm.langid import accepted
 from candor.llm.neardup import near_duplicates
 from candor.llm.packing import pack_documents
-from candor.llm.shared import stored
+from candor.llm.shared import MADE, clean, stored
 from candor.llm.substring import remove_repeats
 
 
@@ -61,8 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to documents. Of each stage only its result stays in the shared folder."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(MADE)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        clean(spark, since, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
