@@ -4,8 +4,8 @@ Subwords are the 2 to 4 bytes from each byte on, within lower-cased words and th
 borders, hashed to BUCKETS embeddings. Mean embedding, then a linear softmax; both are
 trained by stochastic gradient descent in numpy on a bounded sample of labelled rows:
 SAMPLE rows, in equal shares for each language, chosen by hash of doc_id. A fifth of
-the sample fits the temperature that calibrates scores, and the score below which a
-text is rejected. As the model is linear in the mean, embeddings and softmax weights are
+the sample fits the temperature that calibrates scores, and the bar: a text scoring below it, which
+is never far above a guess's score, is rejected. As the model is linear in the mean, embeddings and softmax weights are
 multiplied once into one number for each bucket and language.
 
 Only rows with a label whose crc32(doc_id) mod 4 is not 2 are learned from. The label,
@@ -32,6 +32,7 @@ BUCKETS = 1 << 14
 DIM = 16
 SAMPLE = 2000
 EPOCHS, BATCH, RATE, MOMENTUM, SCALE = 30, 32, 0.1, 0.9, 100.0
+NEAR = 1.25  # times the score of a guess: a bar above it would reject texts in two languages too
 FEW = 0.001  # share of right predictions that rejection may cost on the calibration rows
 UNKNOWN = "und"
 _ODD = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
@@ -141,7 +142,7 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str]) -> Model:
     temperature = float(steps[int(np.argmin(loss))])
     p = softmax(logits / temperature)
     right = p.argmax(1) == y[back]
-    least = min(0.5, float(np.quantile(p.max(1)[right], FEW)) * 0.9) if right.any() else 0.0
+    least = min(0.5, NEAR / len(langs), float(np.quantile(p.max(1)[right], FEW))) if right.any() else 0.0
     return Model(langs, table, bias, temperature, least)
 
 
