@@ -1,7 +1,8 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
-Shingles are `SHINGLE` consecutive words (a shorter text is one shingle). A shingle weighs
-its count in the text times 1 + DAMPING * ln(min(N / df, RARE)) / ln(RARE), where df
+Shingles are `SHINGLE` consecutive words (a shorter text is one shingle). A shingle that
+stands n times in the text weighs (1 + ln n) * (1 + DAMPING * ln(min(N / df, RARE)) / ln(RARE)),
+so that a line repeated often doesn't outweigh the rest of two texts. df
 comes from a count-min sketch of fixed size over all documents. The error of such a
 sketch is a fixed share of N, and weights level off at df = N / RARE, so the sketch
 serves at every corpus size. The damping keeps copies in large groups similar: without
@@ -139,11 +140,11 @@ def shingle_weights(docs: DataFrame) -> np.ndarray:
 
 
 def weights(x: np.ndarray, count: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """TF-IDF weights; the largest factor is that of the smallest, so least overestimated, count."""
+    """TF-IDF weights with sublinear counts; the largest factor is that of the smallest, so least overestimated, df."""
     f = factors[0][_cells(x, 0)]
     for d in range(1, SKETCH_DEPTH):
         f = np.maximum(f, factors[d][_cells(x, d)])
-    return (f * count).astype(np.float32)
+    return (f * (1 + np.log(count))).astype(np.float32)
 
 
 def samples(x: np.ndarray, w: np.ndarray, first: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:

@@ -50,6 +50,7 @@ def corpus():
     cloud = sentence(rng, 150)  # a large group of near copies, linked through each other
     rows += [edited(rng, cloud, rng.randint(1, 6)) for _ in range(60)]
     rows += ["", "", "one", "one", "two words"]
+    rows += [sentence(rng, 40) + " is one." * 60 for _ in range(4)]  # much repeated, but not alike
     rng.shuffle(rows)
     return [*enumerate(rows), (len(rows), None), (len(rows) + 1, None), (3, rows[3]), (None, rows[0])]
 
@@ -61,7 +62,7 @@ def test_near_duplicates(spark, corpus):
     texts = {t for i, t in corpus if t is not None and i is not None}
     rows = len(corpus)
     df = Counter(s for _, t in corpus if t is not None for s in shingles(t))
-    weight = {t: {s: n * (1 + neardup.DAMPING * np.log(min(max(rows / df[s], 1), neardup.RARE)) / np.log(neardup.RARE)) for s, n in shingles(t).items()} for t in texts}
+    weight = {t: {s: (1 + np.log(n)) * (1 + neardup.DAMPING * np.log(min(max(rows / df[s], 1), neardup.RARE)) / np.log(neardup.RARE)) for s, n in shingles(t).items()} for t in texts}
     parent = {t: t for t in texts}
 
     def root(t):
