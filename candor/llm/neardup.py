@@ -46,7 +46,7 @@ from .words import NOT_SPACE, WordHash, cuts, hashed_words, utf8, window_hash, w
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-DAMPING, RARE = 0.25, 256
+DAMPING, RARE = 0.1, 256
 SKETCH_DEPTH, SKETCH_BITS, PIECES = 2, 19, 16
 BLOCK = 1_500_000
 SLICE = 1 << 18
