@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candor import checkpoints
 from candor.config import Config
 from candor.operators import clustering, keywords, scoring, truth
 
@@ -46,7 +47,7 @@ def discover(
         words = keywords.keywords(answers, stopwords)  # the join with vectors drops the others
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    words = clustered(answers, words, word_model, config, centroids)
+    words = checkpoints.cut(clustered(answers, words, word_model, config, centroids))  # read by inference and by scoring
     observed = truth.observations(answers, words, config.clusters)
     if inference == "gibbs":
         inferred = truth.gibbs(observed, config)

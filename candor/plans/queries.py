@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from candor import checkpoints
 from candor.config import EXAM_SIZES, Config
 from candor.functions import vector as V
 from candor.functions.rng import uniform
@@ -174,7 +175,9 @@ def _truth(spark, d):
 
 
 def _counts_true(spark, d):
-    return S.true_words(chat_answers(spark, d), _clustered(spark, d), _truth(spark, d))
+    answers, words = chat_answers(spark, d), checkpoints.cut(_clustered(spark, d))
+    truth = T.synchronous(T.observations(answers, words, FACTORS), 3, CONFIG)
+    return S.true_words(answers, words, truth)
 
 
 def _scores(spark, d):
