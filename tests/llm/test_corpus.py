@@ -246,6 +246,7 @@ def test_main_text():
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<p>") == ""
     assert htmltext.main_text("plain &amp; text") == "plain & text"
     assert htmltext.main_text("<div>a</div>b<div>c <span>d</span>e</div>") == "a\n\nb\n\nc de"
+    assert htmltext.main_text("<article><figure><img><figcaption>Caption</figcaption></figure><p>x <math><mi>y</mi></math></article>") == "Caption\n\nx y"
     assert htmltext.main_text("<p>cut off <b") == "cut off <b"
     assert htmltext.main_text("<div>" * 5000 + "deep") == "deep"
 
