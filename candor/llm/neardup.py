@@ -35,7 +35,6 @@ import math
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -213,7 +212,8 @@ def _sets(batches, factors):
             w = weights(x, count, factors.value)
             x = x >> np.uint64(24)
             blobs = [(pack_sorted(x[a:b]), pack(w[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array([b[0] for b in blobs], pa.binary()), pa.array([b[1] for b in blobs], pa.binary())], ["node", "x", "w"])
+            own = [batch.column(c).slice(lo, hi - lo) for c in ("node", "text_key")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([b[0] for b in blobs], pa.binary()), pa.array([b[1] for b in blobs], pa.binary())], ["node", "text_key", "x", "w"])
 
 
 def links_of(nodes: np.ndarray, x: list[np.ndarray], w: list[np.ndarray], side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
@@ -302,7 +302,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     wanted = member.select("node").distinct()
     texts = nodes.select("text_key", "node").join(wanted, "node", "left_semi")
     own = docs.join(texts.select(F.col("node").alias("doc_id"), "node", "text_key"), "doc_id").where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("text_key"))
-    sets = stored(own.select("node", "text").mapInArrow(partial(_sets, factors=factors), "node long, x binary, w binary"), "sets").dropDuplicates(["node"])
+    sets = stored(own.select("node", "text_key", "text").mapInArrow(partial(_sets, factors=factors), "node long, text_key binary, x binary, w binary"), "sets")
+    sets = sets.dropDuplicates(["node", "text_key"]).drop("text_key")  # a doc_id with several texts is one node with several sets
     member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("one"), F.greatest(k, F.col("block")).alias("two")))
     tasks = member.select("node", "band", "block", F.explode(pairs).alias("p")).select("node", "band", "block", "p.one", "p.two")

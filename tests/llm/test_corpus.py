@@ -12,7 +12,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import zstandard
-from pyspark.sql import functions as F
 
 from candor.llm import decontam, htmltext, neardup, substring, warc
 
@@ -52,7 +51,7 @@ def corpus():
     rows += ["", "", "one", "one", "two words"]
     rows += [sentence(rng, 40) + " is one." * 60 for _ in range(4)]  # much repeated, but not alike
     rng.shuffle(rows)
-    return [*enumerate(rows), (len(rows), None), (len(rows) + 1, None), (3, rows[3]), (None, rows[0])]
+    return [*enumerate(rows), (len(rows), None), (len(rows) + 1, None), (3, rows[3]), (None, rows[0]), (5, rows[9]), (11, edited(rng, rows[30] + " " + rows[31], 1)), (12, rows[30] + " " + rows[31])]
 
 
 def test_near_duplicates(spark, corpus):
@@ -77,6 +76,10 @@ def test_near_duplicates(spark, corpus):
             either = sum(weight[a].values()) + sum(weight[b].values()) - both
             if both and both >= 0.8 * either - 1e-6:
                 parent[root(a)] = root(b)
+    one = {}
+    for i, t in corpus:
+        if t is not None and i is not None:
+            parent[root(one.setdefault(i, t))] = root(t)
     expected = defaultdict(list)
     for i, t in corpus:
         if t is not None and i is not None:
