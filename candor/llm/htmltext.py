@@ -5,11 +5,15 @@
    one sum for each host and subtree, so a large host isn't gathered anywhere.
 2. Subtrees on at least MIN_PAGES pages and SHARE of their host's pages are its template.
    A host has at most (elements of a page) / SHARE of them, so the list is short. It is
-   joined to the pages by host.
+   joined to the pages by host. Subtrees within an article or `main` are counted apart:
+   once for each different article of the host, and of its different articles they must
+   be in as many. Copies of an article are one, so they keep their text.
 3. Each page loses its host's template subtrees, elements that are never main text by
    their tag, role, class or id, and gives the blocks of its article, else of `main`,
-   else of its body. The page's article itself is never taken for template: pages that
-   copy an article keep their text.
+   else of its body. The article itself and what is around it is never template. Within it
+   items and cells go only with their list or table, and elements amid a line of text only
+   with the line. An article that would lose more than half of its blocks and of its text
+   is taken for a near copy and stays whole.
 
 Blocks are joined by two line feeds; white space in a block, <br> included, becomes one
 space. Character references are decoded once.
@@ -51,6 +55,8 @@ _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 _CLOSES_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
 _SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Parts that say nothing without the rest: they are template only with their list or table
+_PARTS = frozenset("li dt dd tr td th tbody thead tfoot caption legend".split())
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
 
@@ -162,21 +168,53 @@ def mains(root: Node) -> list[Node]:
     return [root]
 
 
-def hashes(root: Node) -> dict[bytes, int]:
-    """Hash of every element's subtree outside the main elements."""
-    protected = {id(n) for n in mains(root) if n.tag not in ("body", "#root")}
+_SKIP = frozenset(("#root", "body", "html", "br", "hr", "head", "meta"))
+
+
+def _hash(n: Node, salt: bytes) -> bytes:
+    h = blake2b(salt + f"{n.tag} {n.mark}".encode(), digest_size=8)
+    for c in n.children:
+        h.update(_SPACE.sub(" ", c).strip().encode("utf-8", "replace") if type(c) is str else b"\0" + c.hash)
+    return h.digest()
+
+
+def _content(n: Node) -> list:
+    return [c for c in n.children if (c.strip() if type(c) is str else c.children)]
+
+
+def _within(main: Node) -> tuple[bytes, set[bytes]]:
+    """Hash of a main element, and of the subtrees in it that may be template. Other nodes in it have no hash."""
+    order = _walk(main, set())
+    for n in order:
+        n.hash = _hash(n, b"within ")
+    own, main.hash = main.hash, None
+    for n in reversed(order):  # each before its descendants
+        content = _content(n)
+        line = [c for c in content if type(c) is str or c.tag not in BLOCK]
+        fixed = n is not main and n.hash is None
+        for c in n.children:
+            if type(c) is str:
+                continue
+            part, amid = c.tag in _PARTS, c.tag not in BLOCK and (len(line) > 1 or fixed and n.tag not in BLOCK)
+            if part or amid or fixed and len(content) == 1:
+                c.hash = None
+    return own, {n.hash for n in order if n.hash and n.tag not in _SKIP and n.children}
+
+
+def hashes(root: Node, main: list[Node]) -> tuple[set[bytes], dict[bytes, set[bytes]]]:
+    """Hashes of the subtrees outside the main elements, and of those within each different one."""
+    main = [n for n in main if n.tag not in ("body", "#root")]
+    protected = {id(n) for n in main}
     holds = set()
     order = _walk(root, protected)
     for n in order:
         n.hash = None
         if id(n) in protected or any(type(c) is not str and id(c) in holds for c in n.children):
             holds.add(id(n))  # a main element or one around it
-            continue
-        h = blake2b(f"{n.tag} {n.mark}".encode(), digest_size=8)
-        for c in n.children:
-            h.update(_SPACE.sub(" ", c).strip().encode("utf-8", "replace") if type(c) is str else b"\0" + c.hash)
-        n.hash = h.digest()
-    return {n.hash: 1 for n in order if n.hash and n.tag not in ("#root", "body", "html", "br", "hr", "head", "meta") and n.children}
+        else:
+            n.hash = _hash(n, b"")
+    out = {n.hash for n in order if n.hash and n.tag not in _SKIP and n.children}
+    return out, dict(_within(n) for n in main)
 
 
 def blocks(start: Node, template: frozenset = frozenset()) -> list[str]:
@@ -211,36 +249,60 @@ def blocks(start: Node, template: frozenset = frozenset()) -> list[str]:
     return out
 
 
+def _rest(n: Node, template: frozenset) -> list[str]:
+    """Blocks of a main element without template, or all if little would be left: near copies share most of theirs."""
+    rest = blocks(n, template)
+    if template and n.tag not in ("body", "#root"):
+        whole = blocks(n)
+        if 2 * len(rest) < len(whole) and 2 * sum(map(len, rest)) < sum(map(len, whole)):
+            return whole
+    return rest
+
+
 def main_text(page: str | None, template: frozenset = frozenset()) -> str:
     if not page:
         return ""
     root = parse(page)
+    main = mains(root)
     if template:
-        hashes(root)
-    return "\n\n".join(b for n in mains(root) for b in blocks(n, template))
+        hashes(root, main)
+    return "\n\n".join(b for n in main for b in _rest(n, template))
 
 
 def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def _signed(h: bytes) -> int:
+    return int.from_bytes(h, "little", signed=True) or 1
+
+
 def _count(batches):
     for batch in batches:
         found: dict[str, Counter] = defaultdict(Counter)
+        articles: dict[tuple[str, int], set[bytes]] = {}
         for where, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
             c = found[where]
             c[0] += 1
             if page.is_valid:
-                c.update(int.from_bytes(h, "little", signed=True) or 1 for h in hashes(parse(page.as_py())))
-        rows = [(where, h, n) for where, c in found.items() for h, n in c.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "subtree", "n"])
+                root = parse(page.as_py())
+                out, within = hashes(root, mains(root))
+                c.update(map(_signed, out))
+                articles.update(((where, _signed(h)), some) for h, some in within.items())
+        rows = [(where, None, h, n) for where, c in found.items() for h, n in c.items()]
+        rows += [(where, article, h, 1) for (where, article), some in articles.items() for h in (0, *map(_signed, some))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "article", "subtree", "n"])
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """host, subtrees: hashes of the subtrees that recur across many pages of the host. The row of subtree 0 counts pages."""
-    counts = stored(pages.select("host", "html").mapInArrow(_count, "host string, subtree long, n long").groupBy("host", "subtree").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages), "subtrees")
-    total = counts.where("subtree = 0").select("host", F.col("n").alias("pages"))
-    many = counts.where("subtree <> 0").join(total, "host").where(F.col("n") >= F.col("pages") * share)
+    """host, subtrees: hashes of the subtrees that recur across many pages, or many different articles, of the host.
+    The rows of subtree 0 count pages and articles."""
+    counts = pages.select("host", "html").mapInArrow(_count, "host string, article long, subtree long, n long").groupBy("host", "article", "subtree").agg(F.sum("n").alias("n"))
+    within = F.col("article").isNotNull()
+    counts = counts.groupBy("host", within.alias("within"), "subtree").agg(F.sum(F.when(within, 1).otherwise(F.col("n"))).alias("n"))
+    counts = stored(counts.where(F.col("n") >= min_pages), "subtrees")
+    total = counts.where("subtree = 0").select("host", "within", F.col("n").alias("pages"))
+    many = counts.where("subtree <> 0").join(total, ["host", "within"]).where(F.col("n") >= F.col("pages") * share)
     return many.groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
 
 

@@ -270,6 +270,25 @@ def test_site_templates(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_templates_within_articles(spark):
+    page = "<body><nav>Menu</nav><article><h1>Title {n}</h1><p>Own <b>very</b> text {n}</p><div class=box><p>Read our letter</p></div><ul><li>Salt</li><li>Item {n}</li></ul><table><tr><td>0</td><td>{n}</td></tr></table><p>Follow <i>us</i></p><a>More</a></article></body>"
+    text = "Title {n}\n\nOwn very text {n}\n\nSalt\n\nItem {n}\n\n0\n\n{n}"
+    near = "<article><h1>News</h1>" + "".join(f"<p>Paragraph {k} of a longer piece that sites copy</p>" for k in range(6)) + "<p>Seen {n} times</p></article>"
+    main = "<body><main><p>Text {n}</p><p>Share this</p></main></body>"
+    rows = [(k, f"http://site.example/{k}", page.replace("{n}", str(k))) for k in range(30)]
+    rows += [(100 + k, f"http://copies.example/{k}", page.replace("{n}", "1")) for k in range(20)]
+    rows += [(200 + k, f"http://near.example/{k}", near.replace("{n}", str(k))) for k in range(20)]
+    rows += [(300 + k, f"http://main.example/{k}", main.replace("{n}", str(k))) for k in range(20)]
+    rows += [(400 + k, f"http://both.example/{k}", page.replace("{n}", str(max(k, 10)))) for k in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+    assert [got[k] for k in range(30)] == [text.replace("{n}", str(k)) for k in range(30)]
+    assert all(got[100 + k] == htmltext.main_text(rows[30][2]) for k in range(20))  # one article, copied
+    assert all(got[200 + k].split("\n\n") == ["News", *[f"Paragraph {j} of a longer piece that sites copy" for j in range(6)], f"Seen {k} times"] for k in range(20))
+    assert all(got[300 + k] == f"Text {k}" for k in range(20))
+    assert all("Read our letter" not in got[400 + k] and "Own very text" in got[400 + k] for k in range(30))
+
+
 def test_references_are_decoded_once():
     for s in ("&amp;lt;", "&eacute;&#233;&#xE9;", "&am", "&nope;", "a&nbsp;&nbsp;b"):
         assert htmltext.main_text(f"<p>{s}</p>") == re.sub(r"\s+", " ", htmllib.unescape(s))
