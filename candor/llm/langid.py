@@ -4,8 +4,12 @@ Subwords are the 2 to 4 bytes from each byte on, within lower-cased words and th
 borders, hashed to BUCKETS embeddings. Mean embedding, then a linear softmax; both are
 trained by stochastic gradient descent in numpy on a bounded sample of labelled rows:
 SAMPLE rows, in equal shares for each language, chosen by hash of doc_id. A fifth of
-the sample fits the temperature that calibrates scores, and the bar: a text scoring below it, which
-is never far above a guess's score, is rejected. As the model is linear in the mean, embeddings and softmax weights are
+the sample fits the temperature that calibrates scores, and two bars. A text scoring below the
+first, which is never far above a guess's score, is rejected. Scores only tell the languages
+from each other, so a second one tells foreign texts: the mean logarithm of the shares that a text's
+subwords have in the learned languages together, as deviations from that of a text of its
+length. Below all but FEW of the calibration rows it is rejected, unless small letters or each
+word once make it usual; texts in two learned languages mostly aren't. Fewer than 20 labelled rows give no second bar. As the model is linear in the mean, embeddings and softmax weights are
 multiplied once into one number for each bucket and language.
 
 Only rows with a label whose crc32(doc_id) mod 4 is not 2 are learned from. The label,
@@ -33,6 +37,7 @@ DIM = 16
 SAMPLE = 2000
 EPOCHS, BATCH, RATE, MOMENTUM, SCALE = 30, 32, 0.1, 0.9, 100.0
 NEAR = 1.25  # times the score of a guess: a bar above it would reject texts in two languages too
+RARE = 1e-6  # share of a bucket that was never seen
 FEW = 0.001  # share of right predictions that rejection may cost on the calibration rows
 UNKNOWN = "und"
 _ODD = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
@@ -49,6 +54,9 @@ class Model(NamedTuple):
     bias: np.ndarray
     temperature: float
     least: float  # scores below it are rejected
+    known: np.ndarray  # logarithm of each bucket's share in the learned languages; 0 for subwords that don't count
+    spread: tuple[float, float, float]  # mean of the texts' mean logarithms, and variance of a subword and of a text
+    foreign: float  # texts below it are in none of the languages
 
 
 def subwords(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
@@ -102,14 +110,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     share = F.element_at(F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, each / count[k]))]), F.col("lang"))
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
     got = sorted((r.doc_id, r.lang, bytes(r.counts)) for r in chosen.mapInArrow(_features, "doc_id long, lang string, counts binary").collect())
-    x = np.zeros((len(got), BUCKETS), np.float32)
+    x, used = np.zeros((len(got), BUCKETS), np.float32), np.zeros(len(got), np.int64)
     for k, (_, _, blob) in enumerate(got):
         c = unpack(blob, np.uint32)
-        x[k] = c / max(1, int(c.sum()))
-    return train(x, np.array([langs.index(g[1]) for g in got], np.int64), langs)
+        used[k] = c.sum()
+        x[k] = c / max(1, used[k])
+    return train(x, np.array([langs.index(g[1]) for g in got], np.int64), langs, used)
 
 
-def train(x: np.ndarray, y: np.ndarray, langs: list[str]) -> Model:
+def train(x: np.ndarray, y: np.ndarray, langs: list[str], used: np.ndarray) -> Model:
     """Stochastic gradient descent with momentum on cross-entropy; a fifth of the rows only calibrates."""
     rng = np.random.default_rng(9)
     order = rng.permutation(len(x))
@@ -143,7 +152,23 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str]) -> Model:
     p = softmax(logits / temperature)
     right = p.argmax(1) == y[back]
     least = min(0.5, NEAR / len(langs), float(np.quantile(p.max(1)[right], FEW))) if right.any() else 0.0
-    return Model(langs, table, bias, temperature, least)
+    # how usual a text's subwords are in any of the languages, each with the same weight
+    shares = np.mean([x[keep[y[keep] == k]].mean(0, dtype=np.float64) for k in np.unique(y[keep])], 0)
+    known = np.append(np.log(shares + RARE), 0.0)
+    usual = x[back] @ known[:BUCKETS]
+    centre = float(np.median(usual))
+    some = np.maximum(used[back], 1)
+    # variance falls with the number of subwords to that between long texts
+    slope, flat = np.linalg.lstsq(np.stack([1 / some, np.ones(len(some))], 1), (usual - centre) ** 2, rcond=None)[0]
+    spread = (centre, max(float(slope), 1e-3), max(float(flat), 1e-3))
+    # few calibration rows have no such quantile: not above that of a normal distribution, and none without rows of their own
+    foreign = min(-3.1, float(np.quantile(usualness(usual, some, spread), FEW))) if len(x) >= 20 else -np.inf
+    return Model(langs, table, bias, temperature, least, known, spread, foreign)
+
+
+def usualness(mean: np.ndarray, used: np.ndarray, spread: tuple[float, float, float]) -> np.ndarray:
+    centre, slope, flat = spread
+    return (mean - centre) / np.sqrt(slope / np.maximum(used, 1) + flat)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -151,13 +176,26 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def _stays_foreign(text: str, model: Model) -> bool:
+    """Whether a text is as unusual in small letters, which bytes have for A to Z only, and with each word once."""
+    low = text.lower()
+    for t in (low, " ".join(dict.fromkeys(low.split()))):
+        data = np.frombuffer(t.encode(), np.uint8)
+        at = subwords(data, np.array([0, len(data)]))
+        used = sum(int((a < BUCKETS).sum()) for a in at)
+        mean = sum(float(model.known[a].sum()) for a in at) / max(1, used)
+        if not used or usualness(mean, used, model.spread) >= model.foreign:
+            return False
+    return True
+
+
 def predict(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and rejection of each text."""
     data, offs = utf8(texts)
     n = len(offs) - 1
     if model is None:
         return [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
-    lang, score = np.full(n, -1), np.zeros(n)
+    lang, score, foreign = np.full(n, -1), np.zeros(n), np.zeros(n, bool)
     for lo, hi in cuts(offs, 1 << 20):
         d, o = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         full = np.flatnonzero(np.diff(o))
@@ -170,17 +208,22 @@ def predict(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray
             letters[k] = bool(_LETTER.search(d[o[r] : o[r + 1]].tobytes().decode("utf-8", "replace")))
         at = subwords(d, o)
         used = sum(np.add.reduceat((a < BUCKETS).astype(np.int32), begin) for a in at)
-        z = np.empty((len(full), len(model.langs)))
-        for k, column in enumerate(model.table):
+        z = np.empty((len(full), len(model.langs) + 1))
+        for k, column in enumerate((*model.table, model.known)):
             v = column[at[0]]
             v += column[at[1]]
             v += column[at[2]]
             z[:, k] = np.add.reduceat(v, begin, dtype=np.float64)
-        p = softmax((z / np.maximum(used, 1)[:, None] + model.bias) / model.temperature)
+        z /= np.maximum(used, 1)[:, None]
+        p = softmax((z[:, :-1] + model.bias) / model.temperature)
         rows = lo + full
         lang[rows] = np.where(letters, p.argmax(1), -1)
         score[rows] = np.where(letters, p.max(1), 0)
-    return [UNKNOWN if k < 0 else model.langs[k] for k in lang], score, (lang < 0) | (score < model.least)
+        odd = (used > 0) & (usualness(z[:, -1], used, model.spread) < model.foreign)
+        for k in np.flatnonzero(odd):
+            odd[k] = _stays_foreign(d[o[full[k]] : o[full[k] + 1]].tobytes().decode("utf-8", "replace"), model)
+        foreign[rows] = odd
+    return [UNKNOWN if k < 0 else model.langs[k] for k in lang], score, (lang < 0) | (score < model.least) | foreign
 
 
 def identified(model, text: Column) -> Column:

@@ -201,3 +201,18 @@ def test_language(spark):
     none = langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).select("language_.lang_pred").distinct().collect()
     assert [r.lang_pred for r in none] == ["und"]
     assert langid.identify(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("learned", [["en", "de"], ["en"]])
+def test_foreign_texts_are_rejected(spark, learned):
+    rng = random.Random(6)
+    made = {"en": ["the", "and", "river", "with", "house"], "de": ["der", "und", "für", "haus", "müller"], "pl": ["jest", "nie", "że", "książka", "wczoraj"]}
+    some = lambda lang: " ".join(rng.choice(made[lang]) for _ in range(rng.randint(5, 60)))
+    texts, langs = zip(*[(some(k), k) for k in learned for _ in range(120)], strict=True)
+    both = [some(learned[0]) + " " + some(learned[-1]) for _ in range(20)]
+    both += [some(learned[-1]).upper() for _ in range(10)] + [" ".join([rng.choice(made[learned[-1]])] * 300) for _ in range(10)]
+    docs = frame(spark, [*texts, *both, *[some("pl") for _ in range(40)]], [*langs, *[None] * 80])
+    got = {r.doc_id: r.rejected for r in langid.identify(docs).select("doc_id", "language_.rejected").collect()}
+    n = len(texts)
+    assert sum(got[k] for k in range(n)) <= 1 and sum(got[n + k] for k in range(40)) <= 2
+    assert sum(got[n + 40 + k] for k in range(40)) >= 38
