@@ -7,7 +7,7 @@ weighted sampling nor the tokenizer; tests/llm compares the stages with brute fo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candor.llm.decontam import contamination
@@ -23,10 +23,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return accepted(docs)
 
 
+def _key() -> Column:
+    """What tells rows apart: rows of the same id and text are the same document, others are not, even if they share an id or have none."""
+    return F.xxhash64("doc_id", "text")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the smallest id stays; documents without an id stay."""
-    gone = stored(near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of near duplicates one row stays: that of the smallest id, before rows without an id.
+    Of rows with the same id and text one stays. Rows without a text all stay."""
+    keyed = docs.withColumn("row_key", _key())
+    found = near_duplicates(keyed.where("text IS NOT NULL"), id_col="row_key").where("doc_id <> class_id").select(F.col("doc_id").alias("row_key"), "class_id").distinct()
+    found = stored(found, "classes")
+    members = found.unionByName(found.select(F.col("class_id").alias("row_key"), "class_id").distinct())
+    ids = members.join(keyed.where("text IS NOT NULL").select("row_key", "doc_id"), "row_key")
+    stays = ids.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("least")).select("least.row_key")
+    gone = stored(members.join(stays, "row_key", "left_anti").select("row_key"), "gone")
+    kept = keyed.join(gone, "row_key", "left_anti")
+    repeated = stored(keyed.where("text IS NOT NULL").groupBy("row_key").count().where("count > 1").select("row_key"), "repeated")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    first = kept.join(repeated, "row_key", "left_semi").groupBy("row_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(repeated, "row_key", "left_anti").select(*docs.columns).unionByName(first)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +56,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that passages of the benchmark contaminate."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = stored(found.where("contaminated").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = contamination(docs.select(_key().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = stored(found.where("contaminated").select(F.col("doc_id").alias("row_key")).distinct(), "gone")
+    return docs.withColumn("row_key", _key()).join(gone, "row_key", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -294,6 +294,23 @@ def test_references_are_decoded_once():
         assert htmltext.main_text(f"<p>{s}</p>") == re.sub(r"\s+", " ", htmllib.unescape(s))
 
 
+def test_pipeline_rows_without_an_id_of_their_own(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    t = [sentence(rng, 120) for _ in range(8)]
+    item = sentence(rng, 20)
+    rows = [(1, t[0]), (1, t[0]), (2, t[1]), (2, t[2]), (3, t[1]), (None, t[3]), (None, t[3]), (None, t[4]), (9, t[4]), (4, t[5]), (None, t[6]), (5, None), (5, None)]
+    docs = spark.createDataFrame([(k, x, "en", "s", 1) for k, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(1, t[0]), (2, t[1]), (2, t[2]), (None, t[3]), (9, t[4]), (4, t[5]), (None, t[6]), (5, None), (5, None)], key=repr)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, t[0]), (1, item), (None, item), (None, t[1])]
+    docs = spark.createDataFrame([(k, x, "en", "s", 1) for k, x in rows], docs.schema)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(1, t[0]), (None, t[1])], key=repr)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
