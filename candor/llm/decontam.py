@@ -9,7 +9,8 @@ search() sends the phrases to all segments, in blocks of a stated size. A segmen
 phrases of which it lacks a term. For the others the shortest postings list, moved by
 the term's place in the phrase, gives the candidate starts; the lists of the other
 terms, from the rarest, are intersected with them. What is left are exact matches.
-Proximity search keeps starts for which every term occurs within a number of words.
+proximity() maps another search over the segments: it keeps the places of the rarest term
+around which every term occurs within a number of words. Decontamination doesn't use it.
 
 Terms are told apart by 64 bits of hash. Nulls: a null text has no words; a document
 with a null id is judged like any other; an item with a null id marks words as hit but
@@ -217,6 +218,26 @@ def _search(batches, shared):
             )
 
 
+def _near(batches, sets, within: int):
+    sets = [(name, term_hashes(*utf8(pa.array([text])))[0]) for name, text in sets]
+    for batch in batches:
+        for row in batch.to_pylist():
+            p = Postings(row)
+            rows = []
+            for name, words in sets:
+                at = p.near(words, within)
+                doc = np.searchsorted(p.first, at, "right") - 1
+                rows += [(p.ids[d], name, int(x)) for d, x in zip(doc.tolist(), at - p.first[doc], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))], ["doc_id", "terms", "position"])
+
+
+def proximity(index: DataFrame, terms: list[str], within: int) -> DataFrame:
+    """doc_id, terms, position (in words, from 0): for each text of `terms`, the places in a document around which each of
+    its words stands at most `within` words away. A place is one of the word that is rarest in the document's segment.
+    A text without words is nowhere."""
+    return index.mapInArrow(partial(_near, sets=[(t, t) for t in dict.fromkeys(terms)], within=within), "doc_id long, terms string, position long")
+
+
 def merged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The union of intervals as rows (start, end), in order and apart."""
     order = np.argsort(starts, kind="stable")

@@ -208,6 +208,24 @@ def test_proximity():
     assert len(p.near(decontam.term_hashes(*decontam.utf8(pa.array(["a zz"])))[0], 9)) == 0
 
 
+def test_proximity_over_the_index(spark, monkeypatch):
+    rng = random.Random(14)
+    monkeypatch.setattr(decontam, "SEGMENT_BYTES", 300)
+    docs = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 40)))) for k in range(60)] + [(None, "a b"), (61, None), (62, "H, G!")]
+    index = decontam.index(frame(spark, docs))
+    assert index.count() > 3
+    for within in (0, 1, 4):
+        got = defaultdict(set)
+        for r in decontam.proximity(index, ["a b", "G h c", "a", "a zz", "", "a b"], within).collect():
+            assert r.position not in got[r.terms, r.doc_id]
+            got[r.terms, r.doc_id].add(r.position)
+        for terms in ("a b", "G h c", "a", "a zz", ""):
+            for k, t in docs:
+                w, want = re.findall("[a-z]+", (t or "").lower()), terms.lower().split()
+                around = {x: {i for i in range(len(w)) if w[i] == x and all(y in w[max(0, i - within) : i + within + 1] for y in want)} for x in want}
+                assert got[terms, k] in (list(around.values()) or [set()]), (terms, k)
+
+
 def test_warc_round_trip(spark, tmp_path):
     rng = random.Random(10)
     pages = [(k, f"http://h.example/{k}?q=a b\r\nX: y", "<p>" + sentence(rng, 400)) for k in range(40)]
