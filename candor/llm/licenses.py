@@ -154,16 +154,20 @@ def _matches(h: np.ndarray, grams: np.ndarray, ix: Index, least: float) -> list[
     for a, b in _candidates(template, diagonal):
         t = int(template[a])
         words = ix.words[t]
-        hits, diagonals, floor = at[a:b], diagonal[a:b], 0
-        while len(hits):  # a template can stand there more than once
+        todo = [(0, len(h))]
+        while todo:  # a template can stand there more than once: before a match as well as after it
+            floor, ceiling = todo.pop()
+            some = (at[a:b] >= floor) & (at[a:b] < ceiling)
+            if not some.any():
+                continue
+            hits, diagonals = at[a:b][some], diagonal[a:b][some]
             lo, hi = int(diagonals.min()) - BAND, int(diagonals.max()) + BAND
-            begin, end = max(floor, int(hits.min()) - len(words)), min(len(h), int(hits.max()) + len(words) + GRAM)
+            begin, end = max(floor, int(hits.min()) - len(words)), min(ceiling, int(hits.max()) + len(words) + GRAM)
             m, s, e = _aligned(words, h[begin:end], lo - begin, hi - begin)
             if m < least * len(words):
-                break
+                continue
             found.append((t, m, begin + s, begin + e))
-            floor = begin + e + 1
-            hits, diagonals = hits[hits >= floor], diagonals[hits >= floor]
+            todo += [(floor, begin + s), (begin + e + 1, ceiling)]
     # of matches that overlap, the one with more words
     out: list[tuple[int, int, int, int]] = []
     for f in sorted(found, key=lambda f: (-f[1], f[2], f[0])):

@@ -175,6 +175,13 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_edited_copy_before_a_whole_one(spark):
+    line = "Licensed under the Apache License, Version 2.0."
+    texts = [f"{line[:-3]} {line}", f"{line} {line[:-3]} {line} {line[:-3]}", f"{line[:-3]} x {line[:-3]} {line} end"]
+    got = [(r.doc_id, r.start_word, r.matched) for r in licenses.scan_licenses(frame(spark, texts), {"line": line}).collect()]
+    assert sorted(got) == [(0, 0, 7), (0, 7, 8), (1, 0, 8), (1, 8, 7), (1, 15, 8), (1, 23, 7), (2, 0, 7), (2, 8, 7), (2, 15, 8)]
+
+
 def test_language(spark):
     rng = random.Random(5)
     made = {"en": ["the", "and", "river", "with", "house"], "de": ["der", "und", "für", "haus", "straße"], "fr": ["le", "été", "avec", "rivière", "où"]}
