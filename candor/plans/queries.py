@@ -439,6 +439,7 @@ def vmf_log_c(spark, d):
     round((length / m * d - (length / m) * (length / m) * (length / m)) / nullif(1 - (length / m) * (length / m), 0), 4) AS kappa
     FROM (SELECT *, (sum(m) OVER (PARTITION BY question_id))::DOUBLE AS total FROM (SELECT question_id, cluster AS k, sum(n)::DOUBLE AS m FROM est GROUP BY ALL)) JOIN lens USING (question_id, k) WHERE length / m < 0.999""")
 def movmf_params(spark, d):
+    """Leaves out the clusters with r >= 0.999, as its SQL does; mixture_parameters() returns them."""
     p = C.mixture_parameters(_assigned(spark, d)).where("r < 0.999")
     return p.select("question_id", "k", r6("alpha").alias("alpha"), r6("r").alias("r"), F.round("kappa", 4).alias("kappa"))
 
