@@ -1,15 +1,40 @@
-"""Reliable checkpoints in the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share: they cut lineage and survive lost executors."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Folders that this driver made and hasn't deleted
+MADE: list[str] = []
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder;
+    on a cluster that is an error, as executors don't see the driver's disk."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if root is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="candor-"))
+        root = context.getCheckpointDir()
+    MADE.append(f"{root.rstrip('/')}/candor-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in spark.checkpoint.dir; a temporary folder is set only where that is unset, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="candor-"))
-    return df.checkpoint()
+    """df written as a table and read again. Unlike a checkpoint the table has sizes, by which the next join is planned."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the folders; what still reads them must be written first."""
+    context = spark.sparkContext
+    while MADE:
+        at = context._jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)

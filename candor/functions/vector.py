@@ -31,6 +31,11 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(doubles(a), doubles(b), lambda x, y: x - y)
 
 
+def equal(a: Column, b: Column) -> Column:
+    """Whether all elements are equal."""
+    return doubles(a) == doubles(b)
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 

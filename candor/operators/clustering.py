@@ -1,8 +1,9 @@
 """Spherical k-means of a question's words.
 
-Steps are DataFrame operations over distinct words with counts. kmeans() loops over
-them and never gathers a question in one task; kmeans_grouped() runs a question in one
-pandas group, for questions of the size people write."""
+Steps are DataFrame operations over distinct words with counts; a word with count 0 (a
+dummy) is assigned to a cluster, but neither seeds nor moves one. kmeans() and movmf() loop
+over the steps and never gather a question in one task; kmeans_grouped() runs a question in
+one pandas group, for questions of the size people write."""
 
 from __future__ import annotations
 
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 from candor.checkpoints import cut
 from candor.config import Config
 from candor.functions.rng import uniform
-from candor.functions.vector import distance, dot, norm, scale, subtract
+from candor.functions.vector import distance, dot, norm, scale, subtract, vmf_log_constant
 
-CENTROIDS = "array<struct<k: int, mu: array<double>>>"
+#: Squared distances below it are rounding errors: the word is a center already
+SAME = 1e-6
+#: Concentration of a cluster whose words are all alike
+MOST_KAPPA = 1e10
 
 
 def as_list(centroids: DataFrame, by: list[str]) -> DataFrame:
@@ -70,6 +74,7 @@ def seeding_mass(words: DataFrame, centers: DataFrame) -> DataFrame:
     words: question_id, pos, vec, n; centers: question_id, k, mu. Words of weight 0 have no mass."""
     joined = words.join(as_list(centers, ["question_id"]), "question_id")
     least = F.array_min(F.transform("centroids", lambda c: distance(F.col("vec"), c["mu"])))
+    least = F.when(least < SAME, 0.0).otherwise(least)
     q = Window.partitionBy("question_id")
     out = joined.withColumn("mass", F.col("n") * least).drop("centroids").withColumn("total", F.sum("mass").over(q))
     running = F.sum("mass").over(q.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
@@ -83,12 +88,14 @@ def picked(mass: DataFrame, u: Column) -> DataFrame:
 
 
 def initial_centers(words: DataFrame, k: int, seed: str = "kmeans") -> DataFrame:
-    """k-means++ by k steps; the first center is uniform over the words' weights.
+    """question_id, k, mu by k steps of k-means++; the first center is uniform over the words' weights.
 
-    Each step is cut from the lineage by a reliable checkpoint."""
+    words: question_id, pos, vec, n; pos is any column that orders a question's words. Each step is written to the shared
+    folder. The distance to the nearest center so far is taken from all of them again, which costs less than to write
+    and read every word's vector in each step to carry it."""
     first = words.withColumn("mass", F.col("n").cast("double"))
     q = Window.partitionBy("question_id")
-    first = first.withColumn("cdf", F.sum("mass").over(q.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("mass").over(q))
+    first = first.withColumn("cdf", F.sum("mass").over(q.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) / F.nullif(F.sum("mass").over(q), F.lit(0.0)))
     centers = None
     for step in range(k):
         mass = first if centers is None else seeding_mass(words, centers)
@@ -158,6 +165,43 @@ def spherical(x: np.ndarray, w: np.ndarray, k: int, max_iter: int, tolerance: fl
     return np.argmax(x @ centers.T, axis=1).astype(np.int32)
 
 
+def movmf(words: DataFrame, centers: DataFrame, max_iter: int = 100, tolerance: float = 1e-12) -> tuple[DataFrame, DataFrame]:
+    """(words with cluster, parameters) of a mixture of von Mises-Fisher distributions with hard assignment.
+
+    words: question_id, content, n, vec; centers: question_id, k, mu. A word belongs to the cluster with the largest
+    ln(alpha) + ln(c(kappa)) + kappa * cosine, the lowest k of equal ones. Parameters start at alpha = 1 / words and kappa = 1;
+    then alpha is (members + 1e-6) / words, and kappa follows from the mean resultant length r by (r d - r^3) / (1 - r^2).
+    A cluster whose alpha is below 1e-6 keeps its kappa; a center shorter than 1e-8 stays at that."""
+    size = words.groupBy("question_id").agg(F.sum("n").alias("all"))
+    d = F.size("mu")
+    base = lambda alpha, kappa: F.ln(alpha) + vmf_log_constant(kappa, d)
+    now = centers.join(size, "question_id").select("question_id", "k", F.col("mu").cast("array<double>").alias("mu"), "all", (1 / F.col("all")).alias("alpha"), F.lit(1.0).alias("kappa"))
+    now = cut(now)
+
+    def members(now: DataFrame) -> DataFrame:
+        state = F.struct(F.col("k").cast("int").alias("k"), "mu", base(F.col("alpha"), F.col("kappa")).alias("base"), "kappa")
+        lists = now.groupBy("question_id").agg(F.sort_array(F.collect_list(state)).alias("clusters"))
+        best = F.array_max(F.transform("clusters", lambda c: F.struct((c["base"] + c["kappa"] * dot(F.col("vec"), c["mu"])).alias("log"), (-c["k"]).alias("k"))))
+        return words.join(lists, "question_id").withColumn("cluster", -best["k"]).drop("clusters")
+
+    for _ in range(max_iter):
+        found = members(now)
+        sums = vector_sums(found).groupBy("question_id", "k").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias("sum"))
+        sums = sums.join(found.groupBy("question_id", F.col("cluster").alias("k")).agg(F.sum("n").alias("members")), ["question_id", "k"])
+        both = now.join(sums, ["question_id", "k"], "left").withColumn("sum", F.coalesce("sum", F.transform("mu", lambda x: F.lit(0.0))))
+        alpha = (F.coalesce("members", F.lit(0)) + F.lit(1e-6)) / F.col("all")
+        r = norm(F.col("sum")) / (F.col("all") * alpha)
+        kappa = F.when(alpha < 1e-6, F.col("kappa")).when(F.abs(r - 1) < 1e-10, MOST_KAPPA).otherwise((r * d - r * r * r) / (1 - r * r))
+        length = norm(F.col("sum"))
+        mu = F.when(length < 1e-8, F.col("sum")).otherwise(scale(F.col("sum"), 1 / length))
+        new = cut(both.select("question_id", "k", F.col("mu").alias("old"), mu.alias("mu"), "all", alpha.alias("alpha"), kappa.alias("kappa")))
+        still = movement(new.select("question_id", "k", F.col("old").alias("mu")), new).where(F.col("moved") > tolerance).isEmpty()
+        now = new.drop("old")
+        if still:
+            break
+    return members(now), now.drop("all")
+
+
 def mixture_parameters(words: DataFrame) -> DataFrame:
     """Of each cluster of a question: share of words, mean resultant length and concentration."""
     sums = vector_sums(words).groupBy("question_id", "k").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"), F.max("dim").alias("last"))

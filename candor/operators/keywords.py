@@ -39,11 +39,14 @@ def distinct_words(words: DataFrame) -> DataFrame:
     return words.groupBy("question_id", "content").agg(F.count("*").alias("n"))
 
 
+def weighed_words(words: DataFrame) -> DataFrame:
+    """As distinct_words(), but dummies count nothing: a word that only dummies have is there with n = 0."""
+    return words.groupBy("question_id", "content").agg(F.count_if(F.col("owner_id") != -1).alias("n"))
+
+
 def vocabulary(words: DataFrame) -> DataFrame:
-    """Distinct words of each question: rows that differ from the row before in order of content."""
-    counted = distinct_words(words)  # combined before the shuffle, so that a frequent word is one row
-    before = F.lag("content").over(Window.partitionBy("question_id").orderBy("content"))
-    return counted.withColumn("before", before).where("before IS NULL OR before <> content").select("question_id", "content")
+    """Distinct words of each question; equal ones are combined before the shuffle, so that a frequent word is one row."""
+    return words.select("question_id", "content").distinct()
 
 
 def padded(words: DataFrame) -> DataFrame:

@@ -58,6 +58,13 @@ def exam_scores(top: DataFrame, grades: DataFrame, exam: DataFrame, k: int) -> D
     return graded.groupBy("exam_id").agg((F.sum("score") / (k * F.max("n_questions"))).alias("average"))
 
 
+def exam_report(ranked: DataFrame, grades: DataFrame, exam: DataFrame, most: int) -> DataFrame:
+    """exam_id, top_k, average for each K from 1 to `most`: the grades are joined once, and an answer counts for every K from its rank on."""
+    graded = ranked.where(F.col("rank") <= most).select("question_id", "owner_id", "rank").join(grades, ["question_id", "owner_id"]).join(exam, "question_id")
+    by_k = graded.withColumn("top_k", F.explode(F.sequence(F.col("rank"), F.lit(most))))
+    return by_k.groupBy("exam_id", "top_k").agg((F.sum("score") / (F.col("top_k") * F.max("n_questions"))).alias("average"))
+
+
 def overall_score(top: DataFrame, grades: DataFrame, k: int) -> DataFrame:
     return top.where(F.col("rank") <= k).join(grades, ["question_id", "owner_id"]).agg(F.avg("score").alias("average"))
 

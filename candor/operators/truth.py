@@ -2,7 +2,7 @@
 
 synchronous sweeps draw all factors from the same counts: joins and aggregations that
 distribute by factor. gibbs() is the sequential chain, whose counts every draw changes,
-so that it runs as one group; it is for inputs of that size."""
+so that it runs as one group; it refuses more than MOST_CELLS observations."""
 
 from __future__ import annotations
 
@@ -16,6 +16,9 @@ from candor.config import Config
 from candor.functions.rng import uniform
 
 
+MOST_CELLS = 20_000_000
+
+
 def observations(answers: DataFrame, words: DataFrame, factors: int) -> DataFrame:
     """question_id, owner_id, factor, obs: 1 where the owner's answer has a word of the cluster, for every factor."""
     grid = answers.select("question_id", "owner_id").distinct().withColumn("factor", F.explode(F.sequence(F.lit(0), F.lit(factors - 1))))
@@ -75,8 +78,11 @@ def synchronous(observations: DataFrame, sweeps: int, config: Config = Config(),
     return truth
 
 
-def gibbs(observations: DataFrame, config: Config = Config()) -> DataFrame:
-    """question_id, factor, indicator: the last sample of the sequential chain, in one group."""
+def gibbs(observations: DataFrame, config: Config = Config(), most: int = MOST_CELLS) -> DataFrame:
+    """question_id, factor, indicator: the last sample of the sequential chain, in one group of at most `most` cells."""
+    cells = observations.count()
+    if cells > most:
+        raise ValueError(f"{cells} observations are too many for one chain (at most {most}); use synchronous(draw=True)")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         cells = rows.sort_values(["question_id", "factor", "owner_id"], ignore_index=True)

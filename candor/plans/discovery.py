@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from candor import checkpoints
 from candor.config import Config
@@ -19,10 +20,19 @@ class Discovery(NamedTuple):
     top: DataFrame  # question_id, owner_id, score, rank
 
 
-def clustered(answers: DataFrame, words: DataFrame, word_model: DataFrame, config: Config, centroids: DataFrame | None) -> DataFrame:
-    """words with the cluster of each: by the centroids given, else by k-means of each question."""
-    distinct = keywords.with_vectors(keywords.distinct_words(keywords.without_dummies(words)), word_model)
-    found = clustering.kmeans_grouped(distinct, config) if centroids is None else clustering.assigned(distinct, centroids)
+def clustered(words: DataFrame, word_model: DataFrame, config: Config, centroids: DataFrame | None = None, grouped: bool = False) -> DataFrame:
+    """words with the cluster of each: by the centroids given, else by k-means of each question, in which dummies weigh nothing.
+
+    grouped: a question's k-means in one pandas group, instead of steps that distribute."""
+    distinct = keywords.with_vectors(keywords.weighed_words(words), word_model)
+    if centroids is not None:
+        found = clustering.assigned(distinct, centroids)
+    elif grouped:
+        found = clustering.kmeans_grouped(distinct, config)
+    else:
+        distinct = checkpoints.cut(distinct)  # every step reads it
+        start = clustering.initial_centers(distinct.withColumn("pos", F.col("content")), config.clusters, f"{config.seed}:kmeans")
+        found, _ = clustering.kmeans(distinct, start, config.max_iter, config.tolerance)
     return words.join(found.select("question_id", "content", "cluster"), ["question_id", "content"])
 
 
@@ -33,20 +43,23 @@ def discover(
     config: Config = Config(),
     mode: str = "plain",
     centroids: DataFrame | None = None,
-    inference: str = "gibbs",
+    inference: str = "draw",
     sweeps: int | None = None,
+    grouped: bool = False,
 ) -> Discovery:
-    """mode 'padded' adds dummy words first, filters late and drops the dummies again: the statistics stay the same.
-    inference: 'gibbs' (sequential chain), 'draw' or 'map' (synchronous sweeps)."""
+    """mode 'padded' adds dummy words first, filters late, takes the dummies through k-means without weight and drops
+    them after it: the statistics stay the same. inference: 'draw' or 'map' (synchronous sweeps), or 'gibbs' (the
+    sequential chain, one task). Uniform numbers come from hashes, so that the same input gives the same result."""
     if mode == "padded":
         words = keywords.with_dummies(keywords.unpadded(keywords.padded(keywords.tokenized(answers))), config)
         words = keywords.filtered(words, stopwords, word_model)
-        words = keywords.without_dummies(keywords.shuffled(words).drop("place"))
+        words = keywords.shuffled(words).drop("place")
     elif mode == "plain":
         words = keywords.keywords(answers, stopwords)  # the join with vectors drops the others
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    words = checkpoints.cut(clustered(answers, words, word_model, config, centroids))  # read by inference and by scoring
+    words = clustered(words, word_model, config, centroids, grouped)
+    words = checkpoints.cut(keywords.without_dummies(words))  # read by inference and by scoring
     observed = truth.observations(answers, words, config.clusters)
     if inference == "gibbs":
         inferred = truth.gibbs(observed, config)

@@ -28,7 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 FACTORS = 8
-CONFIG = Config(clusters=FACTORS, top_k=3, sweeps=3)
+CONFIG = Config(clusters=FACTORS, top_k=3, sweeps=3, max_iter=2)
 
 
 def r6(c: Column | str) -> Column:
@@ -72,29 +72,33 @@ STEPS: dict[str, str] = {
 }
 
 
-def _counts(z: str) -> str:
+def _u(key: str) -> str:
+    """The uniform number of a key, an SQL string."""
+    return f"('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def _counts(z: str, obs: str = "obs") -> str:
     cells = ", ".join(f"count_if(indicator = {i} AND obs = {o}) AS n{i}{o}" for i in (0, 1) for o in (0, 1))
-    return f"SELECT owner_id, {cells} FROM obs JOIN {z} USING (question_id, factor) GROUP BY owner_id"
+    return f"SELECT owner_id, {cells} FROM {obs} JOIN {z} USING (question_id, factor) GROUP BY owner_id"
 
 
-def _likelihood(z: str, c: str) -> str:
+def _likelihood(z: str, c: str, obs: str = "obs") -> str:
     a = Config().alpha
     term = lambda i: f"ln((CASE WHEN obs = 1 THEN n{i}1 + {a[2 * i + 1]}::DOUBLE ELSE n{i}0 + {a[2 * i]}::DOUBLE END - CASE WHEN indicator = {i} THEN 1 ELSE 0 END) / ({a[2 * i] + a[2 * i + 1]}::DOUBLE + n{i}0 + n{i}1))"
-    return f"SELECT question_id, factor, indicator, ln(10.0::DOUBLE) + sum({term(0)}) AS l0, ln(10.0::DOUBLE) + sum({term(1)}) AS l1 FROM obs JOIN {z} USING (question_id, factor) JOIN {c} USING (owner_id) GROUP BY question_id, factor, indicator"
+    return f"SELECT question_id, factor, indicator, ln(10.0::DOUBLE) + sum({term(0)}) AS l0, ln(10.0::DOUBLE) + sum({term(1)}) AS l1 FROM {obs} JOIN {z} USING (question_id, factor) JOIN {c} USING (owner_id) GROUP BY question_id, factor, indicator"
 
 
 for _k in range(3):
     STEPS[f"c{_k}"] = _counts(f"z{_k}")
     STEPS[f"l{_k}"] = _likelihood(f"z{_k}", f"c{_k}")
     STEPS[f"z{_k + 1}"] = f"SELECT question_id, factor, CASE WHEN l0 > l1 THEN 0 ELSE 1 END AS indicator FROM l{_k}"
-    _u = f"('0x' || substr(md5('truth:sweep|{_k}|' || question_id || '|' || factor), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-    STEPS[f"dl{_k}"] = _likelihood("z0" if _k == 0 else f"d{_k}", f"dc{_k}")
-    STEPS[f"dc{_k}"] = _counts("z0" if _k == 0 else f"d{_k}")
-    STEPS[f"d{_k + 1}"] = f"SELECT question_id, factor, CASE WHEN {_u} < exp(l0 - greatest(l0, l1)) / (exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) THEN 0 ELSE 1 END AS indicator FROM dl{_k}"
+    for _p, _obs in (("", "obs"), ("p", "pobs")):
+        _z = "z0" if _k == 0 else f"{_p}d{_k}"
+        STEPS[f"{_p}dl{_k}"] = _likelihood(_z, f"{_p}dc{_k}", _obs)
+        STEPS[f"{_p}dc{_k}"] = _counts(_z, _obs)
+        _draw = _u(f"'truth:sweep|{_k}|' || question_id || '|' || factor")
+        STEPS[f"{_p}d{_k + 1}"] = f"SELECT question_id, factor, CASE WHEN {_draw} < exp(l0 - greatest(l0, l1)) / (exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) THEN 0 ELSE 1 END AS indicator FROM {_p}dl{_k}"
 STEPS |= {
-    "cnt": """SELECT a.question_id, a.owner_id, count(z.factor) AS n_true FROM ans a LEFT JOIN kc ON a.question_id = kc.question_id AND a.owner_id = kc.owner_id
-        LEFT JOIN (SELECT * FROM z3 WHERE indicator = 1) z ON kc.question_id = z.question_id AND kc.cluster = z.factor GROUP BY ALL""",
-    "sco": "SELECT question_id, owner_id, CASE WHEN sum(n_true) OVER q > 0 THEN n_true / (sum(n_true) OVER q)::DOUBLE ELSE n_true::DOUBLE END AS score FROM cnt WINDOW q AS (PARTITION BY question_id)",
     "top": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, owner_id) AS rank FROM sco) WHERE rank <= 3",
     "voc": "SELECT DISTINCT question_id, content FROM tok",
     "vsz": "SELECT question_id, count(*) AS n_words FROM voc GROUP BY question_id",
@@ -109,7 +113,7 @@ STEPS |= {
     "newc": "SELECT question_id, k, list(CASE WHEN length < 1e-8 THEN value ELSE value / length END ORDER BY dim) AS mu FROM sums JOIN lens USING (question_id, k) GROUP BY question_id, k",
     "posw": "SELECT question_id, content, n, vec, row_number() OVER (PARTITION BY question_id ORDER BY content) - 1 AS pos FROM est",
     "mass0": "SELECT question_id, pos, n, min(abs(2 - 2 * list_dot_product(vec, mu))) AS least FROM posw, (SELECT * FROM cen WHERE k < 3) GROUP BY question_id, pos, n",
-    "mass": "SELECT question_id, pos, n * least AS mass, sum(n * least) OVER (PARTITION BY question_id ORDER BY pos ROWS UNBOUNDED PRECEDING) / sum(n * least) OVER (PARTITION BY question_id) AS cdf FROM mass0",
+    "mass": "SELECT question_id, pos, n * least AS mass, sum(n * least) OVER (PARTITION BY question_id ORDER BY pos ROWS UNBOUNDED PRECEDING) / nullif(sum(n * least) OVER (PARTITION BY question_id), 0) AS cdf FROM (SELECT question_id, pos, n, CASE WHEN least < 1e-6 THEN 0 ELSE least END AS least FROM mass0)",
     "qs": "SELECT question_id, row_number() OVER (ORDER BY question_id) - 1 AS place FROM (SELECT DISTINCT question_id FROM ans)",
     "ex": "SELECT * FROM (VALUES " + ", ".join(f"({k + 1}, {sum(EXAM_SIZES[:k])}, {n})" for k, n in enumerate(EXAM_SIZES)) + ") AS t(exam_id, first_question, n_questions)",
     "exq": "SELECT exam_id, question_id, n_questions FROM qs JOIN ex ON place >= first_question AND place < first_question + n_questions",
@@ -124,6 +128,50 @@ for _old, _new in (("", "2"), ("2", "3")):
     STEPS[f"est{_new}"] = f"SELECT question_id, content, n, vec, arg_max(k, (list_dot_product(vec, c.mu), -k)) AS cluster FROM est JOIN cen{_new} c USING (question_id) GROUP BY question_id, content, n, vec"
 
 
+for _p, _z in (("", "z3"), ("p", "pd3")):
+    STEPS[f"{_p}cnt"] = f"""SELECT a.question_id, a.owner_id, count(z.factor) AS n_true FROM ans a LEFT JOIN {_p}kc ON a.question_id = {_p}kc.question_id AND a.owner_id = {_p}kc.owner_id
+        LEFT JOIN (SELECT * FROM {_z} WHERE indicator = 1) z ON {_p}kc.question_id = z.question_id AND {_p}kc.cluster = z.factor GROUP BY ALL"""
+    STEPS[f"{_p}sco"] = f"SELECT question_id, owner_id, CASE WHEN sum(n_true) OVER q > 0 THEN n_true / (sum(n_true) OVER q)::DOUBLE ELSE n_true::DOUBLE END AS score FROM {_p}cnt WINDOW q AS (PARTITION BY question_id)"
+# k-means++ and two steps of k-means, over all words (p) and with odd owners as dummies (w)
+STEPS["pw"] = "SELECT question_id, content, n, vec FROM dw JOIN vecs ON content = word"
+STEPS["ww"] = "SELECT question_id, content, n, vec FROM (SELECT question_id, content, count_if(owner_id % 2 = 0) AS n FROM kw GROUP BY ALL) JOIN vecs ON content = word"
+for _p in "pw":
+    _w = f"{_p}w"
+    for _k in range(FACTORS):
+        if _k == 0:
+            STEPS[f"{_p}m0"] = f"SELECT question_id, content, n::DOUBLE AS mass FROM {_w}"
+        else:
+            STEPS[f"{_p}m{_k}"] = f"""SELECT question_id, content, n * CASE WHEN least < 1e-6 THEN 0 ELSE least END AS mass FROM
+                (SELECT question_id, content, n, min(abs(2 - 2 * list_dot_product(vec, mu))) AS least FROM {_w} JOIN {_p}c{_k - 1} USING (question_id) GROUP BY question_id, content, n)"""
+        STEPS[f"{_p}i{_k}"] = f"""SELECT question_id, coalesce(min(CASE WHEN cdf > u THEN content END), max(CASE WHEN mass > 0 THEN content END), max(content)) AS content FROM
+            (SELECT question_id, content, mass, {_u(f"'truth:kmeans|' || question_id || '|{_k}'")} AS u, sum(mass) OVER (PARTITION BY question_id ORDER BY content ROWS UNBOUNDED PRECEDING) / nullif(sum(mass) OVER (PARTITION BY question_id), 0) AS cdf FROM {_p}m{_k}) GROUP BY question_id"""
+        STEPS[f"{_p}c{_k}"] = (f"SELECT * FROM {_p}c{_k - 1} UNION ALL " if _k else "") + f"SELECT question_id, {_k} AS k, vec AS mu FROM {_w} JOIN {_p}i{_k} USING (question_id, content)"
+    for _k in range(3):
+        _c = f"{_p}c{FACTORS - 1}" if _k == 0 else f"{_p}cen{_k}"
+        STEPS[f"{_p}est{_k}"] = f"SELECT question_id, content, n, vec, arg_max(k, (list_dot_product(vec, c.mu), -k)) AS cluster FROM {_w} JOIN {_c} c USING (question_id) GROUP BY question_id, content, n, vec"
+        STEPS[f"{_p}sums{_k}"] = f"SELECT question_id, cluster AS k, dim, sum(n * x) AS value FROM (SELECT question_id, cluster, n, unnest(vec) AS x, unnest(range(len(vec))) AS dim FROM {_p}est{_k}) GROUP BY ALL"
+        STEPS[f"{_p}lens{_k}"] = f"SELECT question_id, k, sqrt(sum(value * value)) AS length FROM {_p}sums{_k} GROUP BY ALL"
+        STEPS[f"{_p}newc{_k}"] = f"SELECT question_id, k, list(CASE WHEN length < 1e-8 THEN value ELSE value / length END ORDER BY dim) AS mu FROM {_p}sums{_k} JOIN {_p}lens{_k} USING (question_id, k) GROUP BY question_id, k"
+        STEPS[f"{_p}cen{_k + 1}"] = f"SELECT g.question_id, g.k, coalesce(c.mu, list_transform(g.mu, lambda x: 0.0::DOUBLE)) AS mu FROM {_c} g LEFT JOIN {_p}newc{_k} c USING (question_id, k)"
+STEPS["pkc"] = "SELECT kw.*, cluster FROM kw JOIN pest2 USING (question_id, content)"
+STEPS["pobs"] = STEPS["obs"].replace("FROM kc", "FROM pkc")
+STEPS["ptop"] = STEPS["top"].replace("FROM sco", "FROM psco")
+# the mixture, from the fixed centroids
+_S = "(sqrt({k} * {k} + ({b}) * ({b})) - ({b}) - CASE WHEN ({a}) = 0 THEN 0 ELSE ({a}) * ln((({a}) + sqrt({k} * {k} + ({b}) * ({b}))) / (({a}) + ({b}))) END)"
+_VMF = " + ".join([_S.format(k="kappa", a="nu + 0.5", b="nu + 0.5"), _S.format(k="kl", a="nu", b="nu + 2")]) + " - " + _S.format(k="kl", a="nu + 0.5", b="nu + 0.5")
+STEPS["mv0"] = "SELECT question_id, k, mu, total, 1 / total::DOUBLE AS alpha, 1.0::DOUBLE AS kappa FROM (SELECT question_id, sum(n) AS total FROM est GROUP BY question_id) t, cen"
+for _k in range(3):
+    STEPS[f"mvb{_k}"] = f"SELECT *, ln(alpha) + {_VMF} AS base FROM (SELECT *, least(kappa, sqrt((3 * nu + 5.5::DOUBLE) * (nu + 1.5::DOUBLE))) AS kl FROM (SELECT *, len(mu) / 2.0::DOUBLE - 1 AS nu FROM mv{_k}))"
+    STEPS[f"mve{_k}"] = f"SELECT question_id, content, n, vec, arg_max(k, (base + kappa * list_dot_product(vec, mu), -k)) AS cluster FROM est JOIN mvb{_k} USING (question_id) GROUP BY question_id, content, n, vec"
+    STEPS[f"mvs{_k}"] = f"SELECT question_id, cluster AS k, dim, sum(n * x) AS value FROM (SELECT question_id, cluster, n, unnest(vec) AS x, unnest(range(len(vec))) AS dim FROM mve{_k}) GROUP BY ALL"
+    STEPS[f"mvl{_k}"] = f"SELECT question_id, k, sqrt(sum(value * value)) AS length, list(value ORDER BY dim) AS s FROM mvs{_k} GROUP BY question_id, k"
+    STEPS[f"mvn{_k}"] = f"SELECT question_id, cluster AS k, sum(n) AS members FROM mve{_k} GROUP BY ALL"
+    STEPS[f"mv{_k + 1}"] = f"""SELECT question_id, k, CASE WHEN length < 1e-8 THEN s ELSE list_transform(s, lambda x: x / length) END AS mu, total, alpha,
+        CASE WHEN alpha < 1e-6 THEN kappa WHEN abs(r - 1) < 1e-10 THEN 1e10 ELSE (r * len(s) - r * r * r) / nullif(1 - r * r, 0) END AS kappa FROM (SELECT *, length / (total * alpha) AS r FROM
+        (SELECT m.question_id, m.k, m.total, m.kappa, (coalesce(members, 0) + 1e-6) / m.total AS alpha, coalesce(length, 0) AS length, coalesce(s, list_transform(m.mu, lambda x: 0.0::DOUBLE)) AS s
+         FROM mv{_k} m LEFT JOIN mvl{_k} USING (question_id, k) LEFT JOIN mvn{_k} USING (question_id, k)))"""
+
+
 def chain(sql: str) -> str:
     """sql with the steps it needs, in order."""
     need: list[str] = []
@@ -136,7 +184,7 @@ def chain(sql: str) -> str:
                     need.append(name)
 
     visit(sql)
-    return ("WITH " + ",\n".join(f"{n} AS ({STEPS[n]})" for n in need) + "\n" if need else "") + sql
+    return ("WITH " + ",\n".join(f"{n} AS MATERIALIZED ({STEPS[n]})" for n in need) + "\n" if need else "") + sql
 
 
 # Spark: the same steps ---------------------------------------------------------
@@ -251,7 +299,7 @@ def vector_arith(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("a"))
     both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
     a, b = F.col("a"), F.col("b")
-    return both.select("vec_id", r6(V.total(V.add(a, b))).alias("total"), r6(V.norm(V.subtract(a, b))).alias("difference"), r6(V.total(V.scale(a, 2.5))).alias("scaled"), (a == b).alias("equal"))
+    return both.select("vec_id", r6(V.total(V.add(a, b))).alias("total"), r6(V.norm(V.subtract(a, b))).alias("difference"), r6(V.total(V.scale(a, 2.5))).alias("scaled"), V.equal(a, b).alias("equal"))
 
 
 @query("SELECT question_id, content, n, cluster FROM est")
@@ -422,26 +470,30 @@ def drop_dummies(spark, d):
     return K.without_dummies(K.with_dummies(K.tokenized(chat_answers(spark, d)), CONFIG)).withColumn("pos", F.col("pos").cast("long"))
 
 
-_S = "(sqrt({k} * {k} + ({b}) * ({b})) - ({b}) - CASE WHEN ({a}) = 0 THEN 0 ELSE ({a}) * ln((({a}) + sqrt({k} * {k} + ({b}) * ({b}))) / (({a}) + ({b}))) END)"
-_VMF = " + ".join([_S.format(k="k", a="nu + 0.5", b="nu + 0.5"), _S.format(k="kl", a="nu", b="nu + 2")]) + " - " + _S.format(k="kl", a="nu + 0.5", b="nu + 0.5")
-
-
 @query(f"""SELECT s_suppkey, round(c, 6) + 0.0::DOUBLE AS log_constant, round(ln(0.25::DOUBLE) + c + k * 0.5::DOUBLE, 6) + 0.0::DOUBLE AS log_density FROM (
-    SELECT s_suppkey, k, {_VMF} AS c FROM (SELECT *, least(k, sqrt((3 * nu + 5.5::DOUBLE) * (nu + 1.5::DOUBLE))) AS kl FROM
-    (SELECT s_suppkey, (s_suppkey % 50 + 1) * 2.0::DOUBLE AS k, (s_suppkey % 7 + 2) * 10 / 2.0::DOUBLE - 1 AS nu FROM supplier)))""")
+    SELECT s_suppkey, kappa AS k, {_VMF} AS c FROM (SELECT *, least(kappa, sqrt((3 * nu + 5.5::DOUBLE) * (nu + 1.5::DOUBLE))) AS kl FROM
+    (SELECT s_suppkey, (s_suppkey % 50 + 1) * 2.0::DOUBLE AS kappa, (s_suppkey % 7 + 2) * 10 / 2.0::DOUBLE - 1 AS nu FROM supplier)))""")
 def vmf_log_c(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", ((F.col("s_suppkey") % 50 + 1) * 2.0).alias("k"), ((F.col("s_suppkey") % 7 + 2) * 10).alias("dimension"))
     s = s.withColumn("c", V.vmf_log_constant(F.col("k"), F.col("dimension")))
     return s.select("s_suppkey", r6("c").alias("log_constant"), r6(V.vmf_log_density(F.lit(0.25), F.col("c"), F.col("k"), F.lit(0.5))).alias("log_density"))
 
 
-@query("""SELECT question_id, k, round(m / total, 6) AS alpha, round(length / m, 6) AS r,
-    round((length / m * d - (length / m) * (length / m) * (length / m)) / nullif(1 - (length / m) * (length / m), 0), 4) AS kappa
-    FROM (SELECT *, (sum(m) OVER (PARTITION BY question_id))::DOUBLE AS total FROM (SELECT question_id, cluster AS k, sum(n)::DOUBLE AS m FROM est GROUP BY ALL)) JOIN lens USING (question_id, k) WHERE length / m < 0.999""")
+@query("""SELECT question_id, k, round(m / total, 6) AS alpha, round(r, 6) AS r, CASE WHEN 1 - r * r >= 1e-3 THEN round((r * d - r * r * r) / (1 - r * r), 4) END AS kappa
+    FROM (SELECT *, length / m AS r FROM (SELECT *, (sum(m) OVER (PARTITION BY question_id))::DOUBLE AS total FROM (SELECT question_id, cluster AS k, sum(n)::DOUBLE AS m FROM est GROUP BY ALL)) JOIN lens USING (question_id, k))""")
 def movmf_params(spark, d):
-    """Leaves out the clusters with r >= 0.999, as its SQL does; mixture_parameters() returns them."""
-    p = C.mixture_parameters(_assigned(spark, d)).where("r < 0.999")
-    return p.select("question_id", "k", r6("alpha").alias("alpha"), r6("r").alias("r"), F.round("kappa", 4).alias("kappa"))
+    """kappa is null where 1 - r^2 is too small to be rounded alike by two engines; mixture_parameters() has it."""
+    p = C.mixture_parameters(_assigned(spark, d))
+    kappa = F.when(1 - F.col("r") * F.col("r") >= 1e-3, F.round("kappa", 4))
+    return p.select("question_id", "k", r6("alpha").alias("alpha"), r6("r").alias("r"), kappa.alias("kappa"))
+
+
+@query("SELECT question_id, content, n, cluster FROM mve2")
+def movmf_steps(spark, d):
+    """Two steps of the mixture from the fixed centroids."""
+    words = checkpoints.cut(_assigned(spark, d).drop("cluster"))
+    start = words.select("question_id").distinct().join(F.broadcast(C.as_list(_centroids(spark, d), []))).select("question_id", F.inline("centroids"))
+    return C.movmf(words, start, 2)[0].select("question_id", "content", "n", "cluster")
 
 
 @query("""SELECT id, exam, item, row_number() OVER (ORDER BY exam, item) - 1 AS place FROM
@@ -487,18 +539,144 @@ def select_masked(spark, d):
     )
 
 
-@query("""SELECT (p_partkey // 10 + 1)::INTEGER AS exam_id, (p_partkey % 10 + 1)::INTEGER AS top_k, p_retailprice AS plain, s_acctbal AS padded FROM part JOIN supplier ON p_partkey = s_suppkey""")
+_SERIES = "SELECT ({n} // 10 + 1)::INTEGER AS exam_id, ({n} % 10 + 1)::INTEGER AS top_k, {v} AS score FROM {t}"
+STEPS["ser1"] = _SERIES.format(n="p_partkey", v="p_retailprice", t="part")
+STEPS["ser2"] = _SERIES.format(n="s_suppkey", v="s_acctbal", t="supplier")
+
+
+def _series(spark, d):
+    lines = lambda t, n, v: table(spark, d, t).select(F.col(n).alias("line"), F.col(v).cast("string").alias("value"))
+    return corpus.series(lines("part", "p_partkey", "p_retailprice")), corpus.series(lines("supplier", "s_suppkey", "s_acctbal"))
+
+
+@query("SELECT exam_id, top_k, ser1.score AS plain, ser2.score AS padded FROM ser1 JOIN ser2 USING (exam_id, top_k)")
 def reshape_series(spark, d):
-    shape = lambda n: [F.expr(f"cast({n} div 10 + 1 AS int)").alias("exam_id"), (F.col(n) % 10 + 1).cast("int").alias("top_k")]
-    plain = table(spark, d, "part").select(*shape("p_partkey"), F.col("p_retailprice").alias("score"))
-    other = table(spark, d, "supplier").select(*shape("s_suppkey"), F.col("s_acctbal").alias("score"))
-    return corpus.paired(plain, other)
+    return corpus.paired(*_series(spark, d))
 
 
-@query()
+@query("SELECT exam_id, top_k, 'plain' AS variant, score FROM ser1 UNION ALL SELECT exam_id, top_k, 'padded' AS variant, score FROM ser2")
+def tidy_series(spark, d):
+    plain, padded = _series(spark, d)
+    return corpus.tidy(plain=plain, padded=padded)
+
+
+# corpus files: written from the driver's tables, read by the corpus readers
+
+_QUESTION = "CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER)"
+
+
+def _dataset(spark, d) -> dict[str, DataFrame]:
+    """Documents as answers, labels as grades, nations as questions, in files."""
+    root = checkpoints.folder(spark)
+    line = F.regexp_replace("text", "[\\r\\n]", " ")
+    corpus.save_lines(table(spark, d, "documents").select(F.expr(_QUESTION).alias("question_id"), "doc_id", line.alias("value")), f"{root}/answers", order="doc_id")
+    corpus.save_lines(table(spark, d, "labels").select(F.pmod("doc_id", F.lit(100)).alias("question_id"), "doc_id", (F.col("quality") * 5.0).alias("value")), f"{root}/scores", order="doc_id")
+    corpus.save_lines(table(spark, d, "nation").select(F.lit(0).alias("question_id"), "n_nationkey", F.col("n_name").alias("value")), f"{root}/questions/questions", order="n_nationkey")
+    return corpus.dataset(spark, root)
+
+
+@query(f"SELECT {_QUESTION} AS question_id, row_number() OVER (PARTITION BY {_QUESTION} ORDER BY doc_id) - 1 AS owner_id, regexp_replace(text, '[\r\n]', ' ', 'g') AS raw_answer FROM documents")
+def load_answers(spark, d):
+    return _dataset(spark, d)["answers"]
+
+
+@query("SELECT (doc_id % 100)::INTEGER AS question_id, row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id) - 1 AS owner_id, (quality * 5.0)::FLOAT AS score FROM labels WHERE quality IS NOT NULL")
+def load_scores(spark, d):
+    return _dataset(spark, d)["scores"].withColumn("owner_id", F.col("owner_id").cast("long"))
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS question_id, n_name AS content, 30 AS key_factor_number FROM nation")
+def load_questions(spark, d):
+    return _dataset(spark, d)["questions"]
+
+
+@query("""SELECT 'w' || vec_id AS word, 1.0::DOUBLE AS norm, round(v[1] / sqrt(list_dot_product(v, v)), 4) + 0.0::DOUBLE AS first_value FROM
+    (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)""")
+def word_model_files(spark, d):
+    """Vectors as text lines, read at unit length, saved as a model and loaded again."""
+    root = checkpoints.folder(spark)
+    line = F.concat_ws(" ", F.concat(F.lit("w"), F.col("vec_id").cast("string")), F.col("embedding").cast("array<string>"))
+    table(spark, d, "embeddings").select(line.alias("value")).write.text(f"{root}/vectors")
+    corpus.save_word_model(corpus.raw_word_model(spark, f"{root}/vectors"), f"{root}/model")
+    m = corpus.load_word_model(spark, f"{root}/model")
+    return m.select("word", F.round(V.norm(F.col("vec")), 4).alias("norm"), (F.round(F.col("vec")[0].cast("double"), 4) + 0.0).alias("first_value"))
+
+
+@query("SELECT question_id, owner_id, raw_answer FROM (SELECT conv_id AS question_id, turn % 2 AS owner_id, text AS raw_answer, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS r FROM conversations) WHERE r = 1")
+def first_answers(spark, d):
+    """Of the answers of an owner to a question the first stays."""
+    rows = chat_answers(spark, d).withColumn("turn", F.col("owner_id")).withColumn("owner_id", F.col("turn") % 2)
+    return corpus.unique_answers(rows, order="turn")
+
+
+@query("""SELECT question_id, owner_id, id, line, score FROM (SELECT *, dense_rank() OVER (ORDER BY exam, item) - 1 AS question_id, row_number() OVER (PARTITION BY id ORDER BY line) - 1 AS owner_id FROM
+    (SELECT (doc_id % 12 + 1) AS exam, (doc_id % 7 + 1) AS item, (doc_id % 12 + 1) || '.' || (doc_id % 7 + 1) AS id, doc_id AS line, quality * 5.0::DOUBLE AS score FROM labels) WHERE id NOT IN ('2.1', '3.4'))""")
+def scores_renumbered(spark, d):
+    """Grades with ids `exam.item`, two of them excluded, by the place of their id."""
+    labels = table(spark, d, "labels")
+    rows = labels.select(F.concat_ws(".", F.col("doc_id") % 12 + 1, F.col("doc_id") % 7 + 1).alias("id"), F.col("doc_id").alias("line"), (F.col("quality") * 5.0).alias("score"))
+    return corpus.collected_scores(rows, exclude=("2.1", "3.4")).select("question_id", "owner_id", "id", "line", "score")
+
+
+@query("SELECT question_id, owner_id, pos, content, row_number() OVER (PARTITION BY question_id ORDER BY length(content), reverse(content), owner_id, pos) - 1 AS place FROM kw")
+def sort_by_expression(spark, d):
+    return K.ordered(_keywords(spark, d), F.char_length("content"), F.reverse("content")).withColumns({"place": F.col("place").cast("long"), "pos": F.col("pos").cast("long")})
+
+
+STEPS["rnk"] = "SELECT question_id, owner_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, owner_id) AS rank FROM sco"
+
+
+@query("""SELECT exam_id, top_k, round(sum(lab.score) / (top_k * max(n_questions)), 6) AS average FROM rnk JOIN (SELECT unnest(range(1, 11))::INTEGER AS top_k) t ON rank <= top_k
+    JOIN lab USING (question_id, owner_id) JOIN exq USING (question_id) GROUP BY exam_id, top_k""")
+def exam_report(spark, d):
+    """Mean grade of the best answers of each exam for K from 1 to 10, as the sink wrote it."""
+    ranked = S.top_answers(_scores(spark, d), 10)
+    report = S.exam_report(ranked, _grades(spark, d), S.exam_of(chat_answers(spark, d), corpus.exams(spark)), 10)
+    return corpus.save_results(report.select("exam_id", "top_k", r6("average").alias("average")), checkpoints.folder(spark))
+
+
+def _vectors(spark, d, words: DataFrame) -> DataFrame:
+    return checkpoints.cut(K.with_vectors(words, _model(spark, d)))
+
+
+def _seeded(spark, d, words: DataFrame) -> DataFrame:
+    return C.initial_centers(words.withColumn("pos", F.col("content")), FACTORS, "truth:kmeans")
+
+
+def _weightless(spark, d):
+    """Words of odd owners are dummies."""
+    words = _keywords(spark, d).withColumn("owner_id", F.when(F.col("owner_id") % 2 == 1, -1).otherwise(F.col("owner_id")))
+    return _vectors(spark, d, K.weighed_words(words))
+
+
+_CENTERS = "SELECT question_id, k, round(mu[1], 6) + 0.0::DOUBLE AS first_value, round(mu[len(mu)], 6) + 0.0::DOUBLE AS last_value FROM {c}"
+
+
+def _centers(centers: DataFrame) -> DataFrame:
+    return centers.select("question_id", "k", r6(F.col("mu")[0]).alias("first_value"), r6(F.element_at("mu", -1)).alias("last_value"))
+
+
+@query(_CENTERS.format(c=f"pc{FACTORS - 1}"))
+def kmeanspp_centers(spark, d):
+    return _centers(_seeded(spark, d, _vectors(spark, d, K.distinct_words(_keywords(spark, d)))))
+
+
+@query(_CENTERS.format(c=f"wc{FACTORS - 1}"))
+def kmeanspp_centers_weightless(spark, d):
+    return _centers(_seeded(spark, d, _weightless(spark, d)))
+
+
+@query("SELECT question_id, content, n, cluster FROM pest2")
 def sphere_kmeans(spark, d):
-    words = K.with_vectors(K.distinct_words(_keywords(spark, d)), _model(spark, d))
-    return C.kmeans_grouped(words, Config(clusters=FACTORS))
+    """k-means++ and two steps."""
+    words = _vectors(spark, d, K.distinct_words(_keywords(spark, d)))
+    return C.kmeans(words, _seeded(spark, d, words), max_iter=2)[0].select("question_id", "content", "n", "cluster")
+
+
+@query("SELECT question_id, content, n, cluster FROM west2")
+def sphere_kmeans_weightless(spark, d):
+    words = _weightless(spark, d)
+    return C.kmeans(words, _seeded(spark, d, words), max_iter=2)[0].select("question_id", "content", "n", "cluster")
 
 
 @query("SELECT question_id, content, n, cluster FROM est3")
@@ -522,14 +700,18 @@ def truth_padded_map(spark, d):
     return found.top.select("question_id", "owner_id", "rank", r6("score").alias("score"))
 
 
-@query()
+@query("SELECT question_id, owner_id, rank, round(score, 6) AS score FROM ptop")
 def truth_plain(spark, d):
-    return discover(chat_answers(spark, d), _model(spark, d), corpus.stopwords(spark), Config(clusters=FACTORS, sweeps=20)).top
+    """The default path: k-means++, k-means, drawn truth."""
+    found = discover(chat_answers(spark, d), _model(spark, d), corpus.stopwords(spark), CONFIG)
+    return found.top.select("question_id", "owner_id", "rank", r6("score").alias("score"))
 
 
-@query()
+@query("SELECT question_id, owner_id, rank, round(score, 6) AS score FROM ptop")
 def truth_padded(spark, d):
-    return discover(chat_answers(spark, d), _model(spark, d), corpus.stopwords(spark), Config(clusters=FACTORS, sweeps=20), "padded").top
+    """The default path with dummy words, which weigh nothing in k-means."""
+    found = discover(chat_answers(spark, d), _model(spark, d), corpus.stopwords(spark), CONFIG, "padded")
+    return found.top.select("question_id", "owner_id", "rank", r6("score").alias("score"))
 
 
 @query("""SELECT word FROM stop""")

@@ -1,7 +1,8 @@
 """Files of a grading corpus: text lines, directories named by question, word vectors.
 
-Line numbers come from the order of lines in a file: a text file that Spark splits keeps
-its lines in order of monotonically_increasing_id, and numbering is done within a file."""
+Line numbers come from the order of lines in a file. Spark splits a text file at blocks and keeps
+the lines of a block together, in order of monotonically_increasing_id; the blocks' counts are
+summed within a file, so that no task sees more of a file than a block."""
 
 from __future__ import annotations
 
@@ -13,10 +14,19 @@ from candor.functions.text import STOPWORDS, strip_id
 from candor.functions.vector import normalised
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their file, the block of the file, and an id that ascends within the block."""
+    at = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return spark.read.text(path).select(*at, F.monotonically_increasing_id().alias("id"), "value")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 0) and value of all lines of a file, or of a directory's files."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("id"), "value")
-    return lines.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("id")) - 1).drop("id")
+    """path, file (its name), line (from 0) and value of all lines of a file, or of a directory's files."""
+    lines = _lines(spark, path)
+    blocks = lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
+    blocks = blocks.select("path", "block", (before - F.col("first")).alias("shift"))
+    return lines.join(blocks, ["path", "block"]).select("path", "file", (F.col("id") + F.col("shift")).alias("line"), "value")
 
 
 def questions(spark: SparkSession, path: str, factors: int = 30) -> DataFrame:
@@ -24,8 +34,9 @@ def questions(spark: SparkSession, path: str, factors: int = 30) -> DataFrame:
 
 
 def _file_id() -> Column:
-    """The number a file name starts with, 0 for a name that is none."""
-    return F.coalesce(F.regexp_extract("file", "^\\d+", 0).try_cast("int"), F.lit(0))
+    """The number of a folder question_id=N, else the one that a file name starts with, else 0."""
+    number = lambda c, pattern, group: F.regexp_extract(c, pattern, group).try_cast("int")
+    return F.coalesce(number("path", "/question_id=(\\d+)/[^/]*$", 1), number("file", "^\\d+", 0), F.lit(0))
 
 
 def answers(spark: SparkSession, directory: str) -> DataFrame:
@@ -36,8 +47,8 @@ def answers(spark: SparkSession, directory: str) -> DataFrame:
 def scores(spark: SparkSession, directory: str) -> DataFrame:
     """Numbers between white space, counted through a file."""
     lines = numbered_lines(spark, directory)
-    words = lines.select("file", "line", F.posexplode(F.filter(F.split("value", "\\s+"), lambda w: w != "")).alias("place", "word"))
-    order = Window.partitionBy("file").orderBy("line", "place")
+    words = lines.select("path", "file", "line", F.posexplode(F.filter(F.split("value", "\\s+"), lambda w: w != "")).alias("place", "word"))
+    order = Window.partitionBy("path", "file").orderBy("line", "place")
     return words.select(_file_id().alias("question_id"), (F.row_number().over(order) - 1).alias("owner_id"), F.col("word").cast("float").alias("score"))
 
 
@@ -52,15 +63,22 @@ def dataset(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     }
 
 
-def unique_answers(answers: DataFrame) -> DataFrame:
-    """One answer for each question and owner: the first by text where there are more."""
-    return answers.groupBy("question_id", "owner_id").agg(F.min("raw_answer").alias("raw_answer"))
+def save_lines(rows: DataFrame, path: str, question: str = "question_id", order: str = "owner_id", value: str = "value") -> None:
+    """Writes a text file for each question, its lines in order, into folders that answers() and scores() read."""
+    lines = rows.select(F.col(question).alias("question_id"), F.col(order).alias("at"), F.col(value).cast("string").alias("value"))
+    lines.repartition("question_id").sortWithinPartitions("question_id", "at").drop("at").write.partitionBy("question_id").text(path)
+
+
+def unique_answers(answers: DataFrame, order: str = "raw_answer") -> DataFrame:
+    """One answer for each question and owner: the first in the order given, by text where there are more of that."""
+    first = F.min(F.struct(F.col(order).alias("at"), "raw_answer"))["raw_answer"]
+    return answers.groupBy("question_id", "owner_id").agg(first.alias("raw_answer"))
 
 
 def raw_word_model(spark: SparkSession, path: str) -> DataFrame:
     """word, vec (unit length) of lines `word f1 f2 ...`; of a repeated word the last line counts."""
-    lines = numbered_lines(spark, path).select("file", "line", F.filter(F.split("value", "\\s+"), lambda w: w != "").alias("w")).where("size(w) > 1")
-    rows = lines.select(F.col("w")[0].alias("word"), F.struct("file", "line").alias("at"), F.expr("slice(w, 2, size(w) - 1)").cast("array<double>").alias("v"))
+    lines = _lines(spark, path).select("path", "block", "id", F.filter(F.split("value", "\\s+"), lambda w: w != "").alias("w")).where("size(w) > 1")
+    rows = lines.select(F.col("w")[0].alias("word"), F.struct("path", "block", "id").alias("at"), F.expr("slice(w, 2, size(w) - 1)").cast("array<double>").alias("v"))
     return rows.groupBy("word").agg(F.max_by("v", "at").alias("v")).select("word", normalised(F.col("v")).cast("array<float>").alias("vec"))
 
 
@@ -93,14 +111,22 @@ def renumbered(ids: DataFrame, column: str = "id") -> DataFrame:
     return split.withColumn("within", place).join(before, "exam").select("id", "exam", "item", (F.col("before") + F.col("within")).cast("long").alias("place"))
 
 
+def collected_scores(scores: DataFrame, column: str = "id", exclude: tuple[str, ...] = ()) -> DataFrame:
+    """The score rows with question_id, the place of their id `exam.item` among all that are not excluded, and owner_id,
+    their place among the id's rows by `line`."""
+    kept = scores.where(~F.col(column).isin(*exclude)) if exclude else scores
+    places = renumbered(kept, column).select(F.col("id").alias(column), F.col("place").alias("question_id"))
+    owner = F.row_number().over(Window.partitionBy(column).orderBy("line")) - 1
+    return kept.withColumn("owner_id", owner.cast("long")).join(places, column)
+
+
 def stripped(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.withColumn(column, strip_id(F.col(column)))
 
 
-def series(spark: SparkSession, path: str, per_exam: int = 10) -> DataFrame:
-    """exam_id, top_k, score of a file with one number a line, exam after exam."""
-    rows = numbered_lines(spark, path)
-    return rows.select(F.expr(f"line div {per_exam} + 1").cast("int").alias("exam_id"), (F.pmod("line", F.lit(per_exam)) + 1).cast("int").alias("top_k"), F.col("value").cast("double").alias("score"))
+def series(lines: DataFrame, per_exam: int = 10) -> DataFrame:
+    """exam_id, top_k, score of numbered lines with one number each, exam after exam."""
+    return lines.select(F.expr(f"line div {per_exam} + 1").cast("int").alias("exam_id"), (F.pmod("line", F.lit(per_exam)) + 1).cast("int").alias("top_k"), F.col("value").cast("double").alias("score"))
 
 
 def paired(plain: DataFrame, other: DataFrame, names: tuple[str, str] = ("plain", "padded")) -> DataFrame:
@@ -108,6 +134,21 @@ def paired(plain: DataFrame, other: DataFrame, names: tuple[str, str] = ("plain"
     return plain.withColumnRenamed("score", names[0]).join(other.withColumnRenamed("score", names[1]), ["exam_id", "top_k"])
 
 
+def tidy(**series: DataFrame) -> DataFrame:
+    """exam_id, top_k, variant, score: series one below the other, by the names given."""
+    rows = [s.select("exam_id", "top_k", F.lit(name).alias("variant"), "score") for name, s in series.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def save_results(results: DataFrame, path: str) -> DataFrame:
+    """Writes results as Parquet; gives them back as they read from there."""
+    results.write.mode("overwrite").parquet(path)
+    return results.sparkSession.read.schema(results.schema).parquet(path)
+
+
 def label_counts(lines: DataFrame, marker: str = ";Edge") -> DataFrame:
     """file, zero, nonzero: labels of numbered lines before a file's first line that starts with the marker."""
     seen = F.max(F.col("value").startswith(marker).cast("int")).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))

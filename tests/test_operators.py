@@ -138,6 +138,48 @@ def test_observations_and_chain(spark, answers):
     assert truth.synchronous(obs, 6, Config(), draw=True).count() == 9
 
 
+def test_chain_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    cells = [(q, o, f, int(rng.random() < 0.4)) for q in range(4) for o in range(5) for f in range(3)]
+    config = Config(sweeps=7)
+    got = {(r.question_id, r.factor): r.indicator for r in truth.gibbs(spark.createDataFrame(cells, "question_id int, owner_id int, factor int, obs int"), config).collect()}
+    draws = np.random.default_rng(list(config.seed.encode()))
+    factors = sorted({(q, f) for q, _, f, _ in cells})
+    z = dict(zip(factors, draws.integers(0, 2, len(factors)).tolist(), strict=True))
+    alpha = {(0, 0): 90, (0, 1): 10, (1, 0): 50, (1, 1): 50}
+    for _ in range(config.sweeps):
+        for at in factors:
+            log = []
+            for i in (0, 1):
+                p = math.log(10)
+                for q, o, f, x in cells:
+                    if (q, f) == at:
+                        n = [sum(1 for q2, o2, f2, x2 in cells if o2 == o and z[q2, f2] == i and x2 == y) for y in (0, 1)]
+                        p += math.log((n[x] + alpha[i, x] - (z[at] == i)) / (sum(n) + alpha[i, 0] + alpha[i, 1]))
+                log.append(p)
+            odds = [math.exp(v - max(log)) for v in log]
+            z[at] = 0 if draws.random() < odds[0] / sum(odds) else 1
+    assert got == z
+    with pytest.raises(ValueError):
+        truth.gibbs(spark.createDataFrame(cells, "question_id int, owner_id int, factor int, obs int"), most=10)
+
+
+def test_weightless_words_move_nothing(spark):
+    rows = [(0, "a", 1, [1.0, 0.0]), (0, "b", 0, [0.6, 0.8]), (0, "c", 2, [0.0, 1.0]), (1, "d", 0, [1.0, 0.0])]
+    words = spark.createDataFrame(rows, "question_id int, content string, n int, vec array<double>")
+    start = clustering.initial_centers(words.withColumn("pos", F.col("content")), 2)
+    found, centers = clustering.kmeans(words, start, max_iter=5)
+    assert {r.content for r in found.collect()} == {"a", "b", "c", "d"}
+    assert {tuple(r.mu) for r in centers.where("question_id = 0").collect()} == {(1.0, 0.0), (0.0, 1.0)}
+    assert clustering.movmf(words.where("n > 0"), start.where("question_id = 0"), 5)[0].count() == 2
+
+
+def test_default_path(spark, answers, model):
+    found = discover(answers, model, corpus.stopwords(spark), Config(clusters=3, top_k=2, sweeps=2, max_iter=3))
+    padded = discover(answers, model, corpus.stopwords(spark), Config(clusters=3, top_k=2, sweeps=2, max_iter=3), "padded")
+    assert sorted(map(tuple, found.top.collect())) == sorted(map(tuple, padded.top.collect())) and found.top.count() > 0
+
+
 def test_scores(spark, answers):
     counts = spark.createDataFrame([(0, 0, 3), (0, 1, 1), (0, 2, 0), (1, 0, 0), (1, 1, 0)], "question_id int, owner_id int, n_true long")
     scores = scoring.normalised_scores(counts)

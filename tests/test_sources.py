@@ -43,11 +43,32 @@ def test_label_counts(spark, tmp_path):
 
 def test_series(spark, tmp_path):
     (tmp_path / "s").write_text("".join(f"{k / 10}\n" for k in range(20)))
-    s = corpus.series(spark, str(tmp_path / "s"))
+    s = corpus.series(corpus.numbered_lines(spark, str(tmp_path / "s")))
     assert rows(s, "exam_id", "top_k")[10] == (2, 1, 1.0)
     assert corpus.paired(s, s).count() == 20
 
 
+def test_lines_of_split_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    files = {f"f{k}": [f"{k} line {j} " + "x" * (j % 50) for j in range(2000 * k)] for k in range(4)}
+    for name, lines in files.items():
+        (tmp_path / "d" / name).write_text("".join(x + "\n" for x in lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    try:
+        got = {}
+        for r in corpus.numbered_lines(spark, str(tmp_path / "d")).collect():
+            got.setdefault(r.file, {})[r.line] = r.value
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {n: dict(enumerate(x)) for n, x in files.items() if x}
+
+
+def test_first_answer_in_an_order(spark):
+    a = spark.createDataFrame([(0, 0, 2, "a"), (0, 0, 1, "b"), (0, 1, 1, None)], "question_id int, owner_id int, at int, raw_answer string")
+    assert rows(corpus.unique_answers(a, order="at"), "owner_id") == [(0, 0, "b"), (0, 1, None)]
+
+
 def test_first_answer_and_stripped(spark):
     a = spark.createDataFrame([(0, 0, "b"), (0, 0, "a")], "question_id int, owner_id int, raw_answer string")
     assert rows(corpus.unique_answers(a), "owner_id") == [(0, 0, "a")]
