@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import first_of_runs, pack, pack_sorted, shared_dir, slices_of_runs, small_batches, unpack, unpack_sorted
+from .shared import first_of_runs, lean, pack, pack_sorted, shared_dir, slices_of_runs, small_batches, unpack, unpack_sorted
 from .words import ALNUM, LOWER, WordHash, cuts, hashed_words, utf8
 
 WINDOW = 13
@@ -54,6 +54,7 @@ def _segment(ids: list, data: np.ndarray, offs: np.ndarray) -> tuple:
     return ids, pack_sorted(first.astype(np.uint64)), pack_sorted(h[order][run]), pack(counts.astype(np.uint32)), pack(order.astype(np.uint32))
 
 
+@lean
 def _build(batches):
     for batch in batches:
         data, offs = utf8(batch.column("text"))
@@ -183,6 +184,7 @@ def phrases_of(items: list[tuple], size: int) -> tuple[np.ndarray, np.ndarray, n
     return words, length, of
 
 
+@lean
 def _search(batches, shared):
     words, lengths, of, names = shared.value
     order = np.lexsort((*words.T[::-1], lengths))
@@ -218,6 +220,7 @@ def _search(batches, shared):
             )
 
 
+@lean
 def _near(batches, sets, within: int):
     sets = [(name, term_hashes(*utf8(pa.array([text])))[0]) for name, text in sets]
     for batch in batches:
@@ -273,6 +276,7 @@ def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, item_col:
     return together.mapInArrow(_join_blocks, FOUND)
 
 
+@lean
 def _join_blocks(batches):
     for batch in batches:
         rows = batch.to_pylist()
@@ -282,6 +286,7 @@ def _join_blocks(batches):
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("segment", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.binary()), ("items", pa.list_(pa.string()))]))
 
 
+@lean
 def _verdict(batches):
     for batch in batches:
         n_words = batch.column("n_words").to_numpy()

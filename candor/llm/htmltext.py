@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stored
+from .shared import lean, small_batches, stored
 
 MIN_PAGES = 5
 SHARE = 0.2
@@ -277,6 +277,7 @@ def _signed(h: bytes) -> int:
     return int.from_bytes(h, "little", signed=True) or 1
 
 
+@lean
 def _count(batches):
     for batch in batches:
         found: dict[str, Counter] = defaultdict(Counter)
@@ -306,6 +307,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
     return many.groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
 
 
+@lean
 def _extract(batches):
     cache: dict[str, frozenset] = {}
     for batch in batches:

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pack, small_batches, unpack
+from .shared import lean, pack, small_batches, unpack
 from .words import LOWER, cuts, utf8
 
 BUCKETS = 1 << 14
@@ -82,6 +82,7 @@ def subwords(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+@lean
 def _features(batches):
     for batch in batches:
         data, offs = utf8(batch.column("text"))
@@ -189,6 +190,7 @@ def _stays_foreign(text: str, model: Model) -> bool:
     return True
 
 
+@lean
 def predict(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and rejection of each text."""
     data, offs = utf8(texts)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import first_of_runs, small_batches
+from .shared import first_of_runs, lean, small_batches
 from .words import ALNUM, LOWER, WordHash, cuts, scan, utf8, window_hash
 
 GRAM, SPAN, BAND = 3, 2, 8
@@ -195,6 +195,7 @@ def _candidates(template: np.ndarray, diagonal: np.ndarray) -> list[tuple[int, i
     return list(zip(at.tolist(), [*at[1:].tolist(), len(template)], strict=True))
 
 
+@lean
 def _scan(batches, shared, least: float):
     ix: Index = shared.value
     names = ["doc_id", "license", "coverage", "matched", "template_words", "start_word", "end_word", "start_byte", "end_byte", "matched_text"]

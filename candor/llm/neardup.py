@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import first_of_runs, pack, pack_sorted, small_batches, stored, unpack, unpack_sorted
+from .shared import first_of_runs, lean, pack, pack_sorted, small_batches, stored, unpack, unpack_sorted
 from .words import NOT_SPACE, WordHash, cuts, hashed_words, utf8, window_hash, window_starts
 
 SHINGLE = 5
@@ -99,6 +99,7 @@ def _cells(x: np.ndarray, depth: int) -> np.ndarray:
     return ((x * _ODD[depth]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+@lean
 def _sketch(batches):
     sketch = np.zeros((SKETCH_DEPTH, 1 << SKETCH_BITS), np.int64)
     rows = 0
@@ -115,6 +116,7 @@ def _sketch(batches):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([rows], pa.int64()), pa.array([pack(part)], pa.binary())], names)
 
 
+@lean
 def _sum(table: pa.Table) -> pa.Table:
     total = np.zeros(SKETCH_DEPTH * (1 << SKETCH_BITS) // PIECES, np.int64)
     for b in table["cells"].to_pylist():
@@ -127,8 +129,8 @@ def shingle_weights(docs: DataFrame) -> np.ndarray:
     """ln of the weight factor for each cell of the sketch: SKETCH_DEPTH * 2**SKETCH_BITS float32 numbers at any corpus size."""
     kind = "piece int, rows long, cells binary"
     parts = docs.select("text").mapInArrow(_sketch, kind).withColumn("salt", F.pmod(F.monotonically_increasing_id().bitwiseAND(0x7FFFFFFFFFFFFFFF) / (1 << 33), F.lit(64)).cast("int"))
-    some = parts.groupBy("piece", "salt").applyInArrow(_sum, kind)
-    rows = some.groupBy("piece").applyInArrow(_sum, kind).collect()  # PIECES rows of fixed size
+    some = parts.groupBy("piece", "salt").applyInArrow(lambda t: _sum(t), kind)
+    rows = some.groupBy("piece").applyInArrow(lambda t: _sum(t), kind).collect()  # PIECES rows of fixed size
     out = np.zeros((PIECES, SKETCH_DEPTH * (1 << SKETCH_BITS) // PIECES))
     n = 0
     for r in rows:
@@ -176,6 +178,7 @@ def samples(x: np.ndarray, w: np.ndarray, first: np.ndarray, n: int = BANDS * RO
 SIGNED = "doc_id long, text_key binary, n long, bands array<bigint>"
 
 
+@lean
 def _sign(batches, factors):
     for batch in batches:
         data, offs = utf8(batch.column("text"))
@@ -203,6 +206,7 @@ def _sign(batches, factors):
             )
 
 
+@lean
 def _sets(batches, factors):
     """The weighted set of each text: 40 bits of each shingle's hash, ascending, and float32 weights."""
     for batch in batches:
@@ -253,6 +257,7 @@ def links_of(nodes: np.ndarray, x: list[np.ndarray], w: list[np.ndarray], side:
     return [(int(nodes[g]), int(v)) for v, g in zip(nodes, group, strict=True) if nodes[g] != v]
 
 
+@lean
 def _verify(table: pa.Table, similarity: float) -> pa.Table:
     table = table.combine_chunks()
     nodes = table["node"].to_numpy()

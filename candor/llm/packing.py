@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import DEFAULT, UnitEncoder, encoded, slices
-from .shared import pack, small_batches, stored, unpack
+from .shared import lean, pack, small_batches, stored, unpack
 from .words import utf8
 
 SIZE = 2048
@@ -37,6 +37,7 @@ ENCODED = "task long, doc_id long, task_start long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, crosses boolean"
 
 
+@lean
 def _encode(batches, path: str, end: int):
     enc = UnitEncoder(path)
     task, start = TaskContext.get().partitionId(), 0
@@ -51,6 +52,7 @@ def _encode(batches, path: str, end: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, task)), batch.column("doc_id").slice(lo, hi - lo), pa.array(at), pa.array(n), pa.array(blobs, pa.binary())], ["task", "doc_id", "task_start", "doc_tokens", "ids"])
 
 
+@lean
 def _cut(batches, size: int, with_ids: bool):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "crosses"]
     for batch in batches:

@@ -2,41 +2,92 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-
 BATCH_BYTES = 4 << 20
-#: Folders that this driver made and hasn't deleted
+ROW_GROUP = 16 << 20  # of stored tables: a task holds one row group of what it writes
+#: Folders that this driver made outside any scope() and hasn't deleted
 MADE: list[str] = []
+_SCOPE: ContextVar[list[str] | None] = ContextVar("candor_scope", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Within it, shared folders are listed in the list it gives, so that runs side by side delete only their own."""
+    token = _SCOPE.set(made := [])
+    try:
+        yield made
+    finally:
+        _SCOPE.reset(token)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where that is unset (as in tests on one machine) a temporary folder is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    Where that is unset, a local master gets a temporary folder; on a cluster that is an error, as
+    executors don't see the driver's disk."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
-        at = spark.sparkContext.getCheckpointDir()
-        if at is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="candor-"))
-            at = spark.sparkContext.getCheckpointDir()
-        root = at
-    MADE.append(f"{root.rstrip('/')}/candor-{uuid.uuid4().hex}")
-    return MADE[-1]
-
-
-def clean(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Deletes the shared folders made after the first `since`, but the last `keep`. What still reads them must be written first."""
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="candor-"))
+        root = context.getCheckpointDir()
+    made = _SCOPE.get()
+    made = MADE if made is None else made
+    made.append(f"{root.rstrip('/')}/candor-{uuid.uuid4().hex}")
+    return made[-1]
+
+
+def clean(spark: SparkSession, made: list[str] = MADE, keep: int = 0) -> None:
+    """Deletes the shared folders of the list but the last `keep`. What still reads them must be written first."""
     context = spark.sparkContext
-    for path in MADE[since : len(MADE) - keep]:
+    for path in made[: len(made) - keep]:
         at = context._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-        MADE.remove(path)
+        made.remove(path)
+
+
+def lean(f: Callable) -> Callable:
+    """f for a Python worker: once it has ended, the worker gives back the memory it no longer uses.
+    Workers outlive their tasks, and Arrow's and C's allocators keep what was freed."""
+
+    def give_back() -> None:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def stream(*a, **k):
+            try:
+                yield from f(*a, **k)
+            finally:
+                give_back()
+
+        return stream
+
+    @functools.wraps(f)
+    def once(*a, **k):
+        try:
+            return f(*a, **k)
+        finally:
+            give_back()
+
+    return once
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -52,7 +103,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table into the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

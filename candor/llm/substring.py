@@ -8,14 +8,17 @@ Documents are dealt to chunks of a few megabytes. The method is:
    all chunks over its range of columns and answers each chunk with those of its
    columns that count two documents or more. Counts may be too large (columns are
    shared), never too small, so no repeated window is lost. The sketch has columns in
-   proportion to the corpus and is nowhere in one place: nothing is broadcast.
+   proportion to the corpus, as one of a fixed width would take every window of a large corpus for
+   repeated, and is nowhere in one place: nothing is broadcast. A window costs some two
+   bytes for each row of the sketch.
 2. Exact. Windows whose columns are repeated in every row are grouped by a 96-bit hash,
    one row for each window and chunk with the smallest document there. The answer is
    a bit: some other chunk has a smaller document.
 3. Each chunk removes the words of windows that start in a smaller document.
 
 A window that stands in a third of all documents is one entry for each chunk, so no
-group holds a third of the rows. Windows are told apart by 96 bits of hash.
+group holds a third of the rows. A task has several chunks where there are more than MOST_TASKS, one in
+memory at a time. Windows are told apart by 96 bits of hash.
 
 Nulls: a null text has no words. A null doc_id neither removes words nor loses any.
 Rows that repeat a doc_id are one document in comparisons, and each gives a result.
@@ -35,13 +38,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import first_of_runs, member, pack, pack_sorted, slices_of_runs, small_batches, unpack, unpack_sorted
+from .shared import first_of_runs, lean, member, pack, pack_sorted, slices_of_runs, small_batches, unpack, unpack_sorted
 from .words import NOT_SPACE, WordHash, cuts, hashed_words, scan, utf8, window_hash, window_starts
 
 WINDOW = 13
 DEPTH = 2
 CHUNK_BYTES = 4 << 20
-RANGE_BITS = 22  # columns that one task owns
+RANGE_BITS = 22, 28  # of the columns that one task owns, from small corpora to large ones
+MOST_TASKS = 20_000
 _HASH = WordHash(4)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _ODD = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
@@ -51,14 +55,16 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept st
 
 
 def plan(n_bytes: int) -> dict:
-    """Chunks, sketch columns and shards for so many bytes of text."""
+    """Chunks, tasks, sketch columns and shards for so many bytes of text.
+
+    Columns grow with the corpus. So do, by a root of it, chunks and the columns that a task owns: a chunk
+    then has enough windows for each shard of the sketch that packing them is worth it. At 100 TB these are 3 million chunks of 32 MB in
+    20,000 tasks, 2^46 columns in 2^18 shards, and some 20 windows of a chunk in each."""
     width = max(16, math.ceil(math.log2(max(1, n_bytes) / 6 * 4)))  # about 4 columns for each word
-    return {
-        "chunks": max(32, math.ceil(n_bytes / CHUNK_BYTES)),
-        "width": width,
-        "range": min(RANGE_BITS, width - 3),
-        "exact": max(3, width - RANGE_BITS),
-    }
+    low, high = RANGE_BITS
+    span = min(width - 3, max(low, min(high, (width + 10) // 2)))
+    chunks = max(32, math.ceil(n_bytes / (CHUNK_BYTES << max(0, min(3, (width - 34) // 4)))))
+    return {"chunks": chunks, "tasks": min(chunks, MOST_TASKS), "width": width, "range": span, "exact": max(3, width - span)}
 
 
 def _windows(texts, ids, size: int):
@@ -85,43 +91,29 @@ def _arrays(table: pa.Table):
     return one(table["text"]), one(table["doc_id"])
 
 
-def _sketch(batches, size: int, p: dict):
-    """Of each chunk: the columns of its windows, and which of them have two documents in the chunk."""
-    parts: dict[int, list] = {}
-    for batch in batches:
-        chunk = batch.column("chunk").to_numpy()
-        texts, ids = batch.column("text"), batch.column("doc_id")
-        for c in np.unique(chunk):
-            take = pa.array(np.flatnonzero(chunk == c))
-            _, offs = utf8(t := texts.take(take))
-            for lo, hi in cuts(offs, CHUNK_BYTES):
-                _, _, h, _, at, _, rank, distinct = _windows(t.slice(lo, hi - lo), i := ids.take(take).slice(lo, hi - lo), size)
-                del i
-                x = window_hash(h, at, size)
-                parts.setdefault(int(c), []).append((x, distinct[rank.astype(np.int64)]))
-    for c, found in parts.items():
-        ids = np.concatenate([f[1] for f in found])
-        x = np.concatenate([f[0] for f in found])
-        if not len(x):
-            continue
-        distinct, rank = np.unique(ids, return_inverse=True)
-        bits = np.uint64(max(1, int(len(distinct) - 1).bit_length()))
-        for row in range(DEPTH):
-            col = _column(x, row, p["width"])
-            if p["width"] + int(bits) <= 64:
-                key = np.sort((col << bits) | rank.astype(np.uint64))
-                col, doc = key >> bits, key & ((np.uint64(1) << bits) - np.uint64(1))
-            else:
-                order = np.lexsort((rank, col))
-                col, doc = col[order], rank[order]
-            run = first_of_runs(col)
-            last = np.append(run[1:], len(col)) - 1
-            cols, two = col[run], doc[run] != doc[last]
-            shard = cols >> np.uint64(p["range"])
-            rows = []
-            for a, b in slices_of_runs(shard):
-                rows.append((c, row, int(shard[a]), pack_sorted(cols[a:b]), pack(np.packbits(two[a:b]))))
-            yield _batch(rows)
+@lean
+def _sketch(key, docs: pa.Table, size: int, p: dict) -> pa.Table:
+    """Of a chunk: the columns of its windows, and which of them have two documents in the chunk."""
+    texts, ids = _arrays(docs)
+    _, _, h, _, at, _, rank, distinct = _windows(texts, ids, size)
+    x, chunk = window_hash(h, at, size), key[0].as_py()
+    bits = np.uint64(max(1, int(len(distinct) - 1).bit_length()))
+    rows = []
+    for row in range(DEPTH):
+        col = _column(x, row, p["width"])
+        if p["width"] + int(bits) <= 64:
+            both = np.sort((col << bits) | rank)
+            col, doc = both >> bits, both & ((np.uint64(1) << bits) - np.uint64(1))
+        else:
+            order = np.lexsort((rank, col))
+            col, doc = col[order], rank[order]
+        run = first_of_runs(col)
+        last = np.append(run[1:], len(col)) - 1
+        cols, two = col[run], doc[run] != doc[last]
+        shard = cols >> np.uint64(p["range"])
+        for a, b in slices_of_runs(shard):
+            rows.append((chunk, row, int(shard[a]), pack_sorted(cols[a:b]), pack(np.packbits(two[a:b]))))
+    return pa.Table.from_batches([_batch(rows)])
 
 
 def _batch(rows) -> pa.RecordBatch:
@@ -129,6 +121,7 @@ def _batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
 
+@lean
 def _merge(key, table: pa.Table, p: dict) -> pa.Table:
     """One shard of the sketch: the counts of all chunks, and each chunk's columns that count two or more."""
     shard = key[1].as_py()
@@ -166,6 +159,7 @@ def _candidates(docs: pa.Table, replies: pa.Table, size: int, p: dict):
     return (data, offs, first, rows), (x, y, at, rank), run, distinct
 
 
+@lean
 def _exact(key, docs: pa.Table, replies: pa.Table, size: int, p: dict) -> pa.Table:
     """Of each chunk: the distinct windows estimated repeated, with the smallest doc_id there."""
     out = []
@@ -179,6 +173,7 @@ def _exact(key, docs: pa.Table, replies: pa.Table, size: int, p: dict) -> pa.Tab
     return pa.Table.from_batches([_batch(out)])
 
 
+@lean
 def _smallest(key, table: pa.Table) -> pa.Table:
     """Exact groups of one shard: to each chunk, a bit for each of its windows that has a smaller document elsewhere."""
     blobs = table.to_pylist()
@@ -196,6 +191,7 @@ def _smallest(key, table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(rows)])
 
 
+@lean
 def _remove(key, docs: pa.Table, replies: pa.Table, size: int, p: dict, text: bool) -> pa.Table:
     """The result of each document of a chunk."""
     if not docs.num_rows:
@@ -218,12 +214,12 @@ def _remove(key, docs: pa.Table, replies: pa.Table, size: int, p: dict, text: bo
     total = np.concatenate([[0], np.cumsum(removed)])
     n_removed = total[first[1:]] - total[first[:-1]]
     digests, kept = [], []
+    texts, ids = _arrays(docs)
     for lo, hi in cuts(offs, 1 << 20):
         d, o = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         for k, words in enumerate(kept_words(d, o, removed[first[lo] : first[hi]])):
             digests.append(hashlib.sha256(words).hexdigest())
-            kept.append(words.decode() if text and n_removed[lo + k] else None)
-    ids = _arrays(docs)[1]
+            kept.append(None if not text else words.decode("utf-8", "replace") if n_removed[lo + k] else texts[lo + k].as_py())
     more = docs.drop_columns(["doc_id", "text", "chunk"])
     return pa.table({"doc_id": ids, "n_words": pa.array(np.diff(first)), "n_removed": pa.array(n_removed), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept, pa.string())} | {c: more[c] for c in more.column_names})
 
@@ -246,19 +242,20 @@ def kept_words(data: np.ndarray, offs: np.ndarray, removed: np.ndarray):
         yield out[a:b].strip(b" ")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, text: bool = True, rest: bool = False) -> DataFrame:
-    """Of each document: n_words, n_removed, kept_sha256 (of the kept words joined by one space), and kept,
-    the kept words themselves where some were removed and `text` is set, else null.
-    rest: adds a column `rest`, a struct of the whole input row."""
-    more = [F.struct(*[docs[c] for c in docs.columns]).alias("rest")] if rest else []
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, text: bool = True, rest: list[str] | None = None) -> DataFrame:
+    """Of each document: n_words, n_removed, kept_sha256 (of the kept words joined by one space), and with `text` kept:
+    the kept words joined by one space, the text as it is where nothing was removed; else null.
+    rest: columns of docs that the column `rest`, a struct, carries along."""
+    more = [F.struct(*[docs[c] for c in rest]).alias("rest")] if rest else []
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
     result = RESULT + (f", rest {docs.schema['rest'].dataType.simpleString()}" if rest else "")
     small_batches(docs.sparkSession)
     p = plan(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    chunked = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(p["chunks"]))).repartition(p["chunks"], "chunk")
-    sent = chunked.mapInArrow(partial(_sketch, size=size, p=p), PART)
+    # rows are dealt by place, not by value: any number of equal rows spreads over all chunks
+    chunked = docs.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(p["chunks"]))).repartition(p["tasks"], "chunk")
+    sent = chunked.groupBy("chunk").applyInArrow(lambda key, t: _sketch(key, t, size, p), PART)
     repeated = sent.groupBy("row", "shard").applyInArrow(lambda key, t: _merge(key, t, p), PART)
-    repeated = repeated.repartition(p["chunks"], "chunk")  # one exchange, and one of the texts, serve both readers
+    repeated = repeated.repartition(p["tasks"], "chunk")  # one exchange, and one of the texts, serve both readers
     windows = chunked.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(lambda k, a, b: _exact(k, a, b, size, p), PART)
     answers = windows.groupBy("shard").applyInArrow(lambda key, t: _smallest(key, t), PART)
     replies = repeated.unionByName(answers)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import DEFAULT, UnitEncoder, encoder, plain, slices, unit_sizes
-from .shared import small_batches
+from .shared import lean, small_batches
 from .words import utf8
 
 LEAF = 64
@@ -137,6 +137,7 @@ class TokenTree:
             self._build([old[k] for k in keep])
 
 
+@lean
 def _count(batches, path: str):
     units_of, encode = UnitEncoder(path), encoder(path).encode_ordinary
     for batch in batches:

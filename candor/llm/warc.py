@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, small_batches, stored
+from .shared import lean, shared_dir, small_batches, stored
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20  # compressed
@@ -134,6 +134,7 @@ class Reader:
         return parse(self.frame(frame)[offset : offset + size])
 
 
+@lean
 def _write(batches, root: str) -> Iterator[pa.RecordBatch]:
     bundle, group, held = None, [], 0
     names = ["record_id", "page_id", "bundle", "frame", "frame_start", "frame_size", "offset", "size"]
@@ -183,6 +184,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     return stored(typed.mapInArrow(lambda b: _write(b, where), INDEX), "index")
 
 
+@lean
 def _read(batches, payload: bool) -> Iterator[pa.RecordBatch]:
     reader, uri = None, None
     for batch in batches:

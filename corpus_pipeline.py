@@ -14,7 +14,7 @@ from candor.llm.decontam import contamination
 from candor.llm.langid import accepted
 from candor.llm.neardup import near_duplicates
 from candor.llm.packing import pack_documents
-from candor.llm.shared import MADE, clean, stored
+from candor.llm.shared import clean, scope, stored
 from candor.llm.substring import remove_repeats
 
 
@@ -48,10 +48,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes words of repeated passages out of the texts; the words left are joined by one space."""
-    found = remove_repeats(docs, rest=True)
-    rest = F.col("rest")
-    changed = {"text": F.coalesce("kept", rest["text"]), "n_chars": F.when(F.col("kept").isNotNull(), F.char_length("kept").cast("long")).otherwise(rest["n_chars"])}
-    return found.select(*[changed.get(c, rest[c]).alias(c) for c in docs.columns])
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = remove_repeats(docs, rest=carried)
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("rest.n_chars"))
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": n_chars}
+    return found.select(*[made.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,8 +80,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents. Of each stage only its result stays in the shared folder."""
-    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(MADE)
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-        clean(spark, since, keep=1)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with scope() as made:
+        for name, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), name)
+            clean(spark, made, keep=1)
+        return STAGES[-1][1](spark, docs, sf_dir)
