@@ -8,9 +8,10 @@
    joined to the pages by host. Subtrees within an article or `main` are counted apart:
    once for each different article of the host, and of its different articles they must
    be in as many. Copies of an article are one, so they keep their text.
-3. Each page loses its host's template subtrees, elements that are never main text by
-   their tag, role, class or id, and gives the blocks of its article, else of `main`,
-   else of its body. The article itself and what is around it is never template. Within it
+3. Each page loses its host's template subtrees and elements that are never main text by
+   their tag, and gives the blocks of its article, else of `main`, else of its body. Forms, and
+   elements that a class, id or role names as something else, go as well, unless they hold
+   paragraphs and more than half of the text of their article or page: a word never costs the text itself. The article itself and what is around it is never template. Within it
    items and cells go only with their list or table, and elements amid a line of text only
    with the line. An article that would lose more than half of its blocks and of its text
    is taken for a near copy and stays whole.
@@ -19,7 +20,9 @@ Blocks are joined by two line feeds; white space in a block, <br> included, beco
 space. Character references are decoded once.
 
 Nulls: a null html gives an empty text; a null url or one without a host counts as the
-host ''. Broken markup is read as far as it goes, whole pages at any length. Repeated
+host ''. Broken markup is read as far as it goes, whole pages at any length and in time in proportion to it: a tag
+that never ends is text, elements deeper than DEEPEST hang on the one there, and of a textarea
+or the like that is left open only the tag is ignored. Repeated
 rows each give a result and count as pages. An empty table gives an empty result.
 """
 
@@ -28,6 +31,7 @@ from __future__ import annotations
 import html as htmllib
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -41,16 +45,27 @@ SHARE = 0.2
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe svg template object canvas xmp noembed noframes".split())
-DROP = frozenset("nav header footer aside form script style noscript iframe svg template object canvas button select textarea input label fieldset dialog menu title head audio video map".split()) | RAW
+DROP = frozenset("nav header footer aside script style noscript iframe svg template object canvas button select textarea input label dialog menu title head audio video map".split()) | RAW
+WRAPS = frozenset(("form", "fieldset"))
+PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 article main blockquote pre".split())
+DEEPEST = 512
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption head".split()
 )
-#: Words of class, id or role that mark an element as no main text
+#: Words of a class, id or role that name something other than main text
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup menu navbar nav navigation breadcrumb breadcrumbs sidebar widget widgets footer header masthead topbar toolbar social share sharing related recommended recommendations comment comments disqus respond replies login search searchbox pagination pager skip contentinfo complementary".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: Words that may stand beside them in a name; any other word says that the name means something else
+BESIDE = frozenset(
+    "site page main top bottom left right primary secondary global area box block wrapper wrap container inner outer list item items link links bar panel group holder slot unit icon icons button buttons sticky fixed mobile desktop post posts article articles story stories reader user form wp google js id".split()
+)
+#: In an article these name parts of it
+_OF_ARTICLES = frozenset(("header", "masthead"))
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=\"']++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)>")
+_MARKUP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_ATTR = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 _CLOSES_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
@@ -61,39 +76,70 @@ _HOLDS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"
 
 
 class Node:
-    __slots__ = ("children", "drop", "hash", "holds_main", "mark", "tag")
+    """An element: `never` is main text by its tag, `named` something else by a word; `drop` is what settle() makes of that."""
+
+    __slots__ = ("children", "drop", "hash", "mark", "named", "never", "paragraph", "size", "tag")
+
+    def __init__(self, tag: str, mark: str = "", never: bool = False, named: str = ""):
+        self.tag, self.mark, self.never, self.named, self.children = tag, mark, never, named, []
+        self.hash, self.drop, self.size, self.paragraph = None, never, 0, False
+
+
+def _named(names: str) -> str:
+    """Of the names in a class, id or role: 'yes' if one consists of MARKS and words that stand beside them, 'outside'
+    if only outside of articles."""
+    found = ""
+    for name in names.split():
+        words = _WORD.findall(_CAMEL.sub("-", name).lower())
+        marks = [w for w in words if w in MARKS]
+        if marks and all(w in MARKS or w in BESIDE or w[0].isdigit() for w in words):
+            if not _OF_ARTICLES.issuperset(marks):
+                return "yes"
+            found = "outside"
+    return found
+
 
-    def __init__(self, tag: str, mark: str = "", drop: bool = False):
-        self.tag, self.mark, self.drop, self.children, self.hash, self.holds_main = tag, mark, drop, [], None, False
+@lru_cache(maxsize=64)
+def _end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
 
 
 def parse(page: str) -> Node:
     """The page's elements and texts as a tree; unknown and unclosed tags are taken as browsers mostly do."""
     root = Node("#root")
-    stack, at = [root], 0
+    stack, at, open_raw = [root], 0, set()
     while True:
-        m = _TAG.search(page, at)
+        m = _MARKUP.search(page, at)
+        start = len(page) if m is None else m.start()
+        if start > at:
+            stack[-1].children.append(page[at:start])
         if m is None:
-            tail = page[at:]
-            if tail:
-                stack[-1].children.append(tail)
             break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2] and m[2].lower()
-        if not tag:
+        if m[0] == "<!--":
+            end = page.find("-->", m.end())
+            if end < 0:
+                break
+            at = end + 3
+            continue
+        if m[0] in ("<!", "<?"):
+            end = page.find(">", m.end())
+            at = len(page) if end < 0 else end + 1
             continue
+        m = _TAG.match(page, start)
+        if m is None:  # it never ends
+            stack[-1].children.append(page[start:])
+            break
+        at = m.end()
+        tag, attrs = m[2].lower(), m[3]
         if m[1]:
             _close(stack, tag)
             continue
-        attrs, mark, drop = m[3], "", tag in DROP
-        if attrs and ("=" in attrs or "hidden" in attrs):
-            found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
-            if found:
-                mark = " ".join(f"{k}={v}" for k, v in sorted(found.items()) if k in ("class", "id"))
-                words = _WORD.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower())
-                drop = drop or not MARKS.isdisjoint(words) or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs)) or found.get("aria-hidden") == "true"
+        mark, never, named = "", tag in DROP, "yes" if tag in WRAPS else ""
+        if attrs and any(k in attrs.lower() for k in ("class", "id", "role", "hidden")):
+            found = {k.lower(): v.strip("\"'") for k, v in reversed(_ATTR.findall(attrs))}  # the first of equal names counts
+            mark = " ".join(f"{k}={found[k]}" for k in ("class", "id") if k in found)
+            named = named or _named(" ".join(found.get(k, "") for k in ("class", "id", "role")))
+            never = never or ("hidden" in found and found["hidden"].lower() != "until-found") or found.get("aria-hidden", "").lower() == "true"
         if tag in _CLOSES_P and stack[-1].tag != "#root":
             _close_p(stack)
         if tag in _SAME:
@@ -104,19 +150,49 @@ def parse(page: str) -> Node:
                         break
                 elif stack[k].tag in _HOLDS[tag]:
                     break
-        node = Node(tag, mark, drop)
+        node = Node(tag, mark, never, named)
         stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+        if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if tag in open_raw:
+                continue
+            end = _end(tag).search(page, at)
             if end is None:
-                node.children.append(page[at:])
-                break
+                if tag in ("script", "style"):
+                    break
+                open_raw.add(tag)
+                continue
             node.children.append(page[at : end.start()])
             at = end.end()
             continue
-        stack.append(node)
+        if len(stack) < DEEPEST:
+            stack.append(node)
+    return settle(root)
+
+
+def settle(root: Node) -> Node:
+    """Decides which elements go: those that are never main text, and those named something else, unless they hold
+    paragraphs and more than half of the text of their article, or of the page outside of articles."""
+    order = _walk(root, set())
+    for n in order:
+        n.paragraph = n.tag in PARAGRAPH
+        for c in n.children:
+            if type(c) is str:
+                n.size += len(c.strip())
+            elif not c.never:
+                n.size += c.size
+                n.paragraph |= c.paragraph
+    scope = {id(root): (root.size, False)}
+    for n in reversed(order):
+        size, inside = scope[id(n)]
+        named = n.named == "yes" or n.named == "outside" and not inside
+        n.drop = n.never or named and not (n.paragraph and 2 * n.size > size)
+        if n.tag in ("article", "main") and not n.drop:
+            size, inside = n.size, True
+        for c in n.children:
+            if type(c) is not str:
+                scope[id(c)] = (size, inside)
     return root
 
 
@@ -162,7 +238,7 @@ def mains(root: Node) -> list[Node]:
             if n.tag == want and not (n.drop and want == "article"):
                 found.append(n)
             else:
-                todo += [c for c in reversed(n.children) if type(c) is not str and (_kept(c) or n.tag == "#root")]
+                todo += [c for c in reversed(n.children) if type(c) is not str and _kept(c)]
         if any(blocks(n) for n in found):
             return found
     return [root]

@@ -7,11 +7,13 @@ import re
 import struct
 import subprocess
 import sys
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from candor.llm import decontam, htmltext, neardup, substring, warc
 
@@ -272,6 +274,68 @@ def test_main_text():
     assert htmltext.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="with-sidebar"><article><p>Text</p></article></div>', "Text"),
+        ('<div class="content no-sidebar"><p>Text</p></div>', "Text"),
+        ("<form id=aspnetForm><div><p>Text</p></div></form>", "Text"),
+        ('<article><p class="social-history">Text</p></article>', "Text"),
+        ('<article><h2 class="section-header">Head</h2><p>Text and more</p></article>', "Head\n\nText and more"),
+        ('<div class="page-header"><article><p>Text</p></article></div>', "Text"),
+        ('<article><p>Body</p><textarea>left open <p>Rest</p></article>', "Body\n\nleft open\n\nRest"),
+        ('<p title="abc>Text</p>', "Text"),
+        ("<p>a < b and c <d e='>'>f</p>", "a < b and c f"),
+        ('<body><div class="siteFooter"><p>No</p></div><div id="main-nav">No</div><p>Main words here</p><div hidden><p>No</p></div></body>', "Main words here"),
+        ('<article><p>Own text of the page</p><div class="social-share"><p>Share</p></div><form><p>Write to us</p><input></form></article>', "Own text of the page"),
+        ('<article><p>Own text</p></article><div class="sidebar"><article><p>Other</p></article></div>', "Own text"),
+    ],
+)
+def test_names_never_cost_the_text(page, text):
+    assert htmltext.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a<a", '<a x="', "<textarea>", "<!--", "<p title='", "<td><p>", "<b>", "<b><div></i>"])
+def test_long_broken_pages_take_time_in_proportion(part):
+    def took(n):
+        began = time.perf_counter()
+        htmltext.main_text("<p>x</p>" + part * (n // len(part)))
+        return time.perf_counter() - began
+
+    took(10_000)
+    assert took(400_000) < max(1.0, 40 * took(50_000))
+
+
+def test_subtree_counts_equal_a_plain_count(spark):
+    rng = random.Random(15)
+    some = ["<div><p>Salt</p></div>", "<p>Follow us</p>", "<nav><a>Menu</a></nav>", "<div class=box>Line</div>", "<ul><li>one</li></ul>"]
+    rows = []
+    for k in range(80):
+        outside, inside = (" ".join(rng.choice(some) for _ in range(rng.randint(0, 4))) for _ in range(2))
+        rows.append((k, f"http://{rng.choice('ab')}.example/{k}", f"<body>{outside}<article><p>{rng.randint(0, 30)}</p>{inside}</article></body>"))
+    outer, inner, articles, pages = Counter(), defaultdict(set), defaultdict(set), Counter()
+    for _, url, page in rows:
+        where = url[7:16]
+        root = htmltext.parse(page)
+        out, within = htmltext.hashes(root, htmltext.mains(root))
+        pages[where] += 1
+        outer.update((where, h) for h in out)
+        for own, found in within.items():
+            articles[where].add(own)
+            for h in found:
+                inner[where, h].add(own)
+    expected = defaultdict(set)
+    for (where, h), n in outer.items():
+        if n >= 5 and n >= 0.2 * pages[where]:
+            expected[where].add(htmltext._signed(h))
+    for (where, h), of in inner.items():
+        if len(of) >= 5 and len(of) >= 0.2 * len(articles[where]):
+            expected[where].add(htmltext._signed(h))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4).withColumn("host", htmltext.host(F.col("url")))
+    got = {r.host: set(r.subtrees) for r in htmltext.templates(df).collect()}
+    assert got == expected and all(len(v) > 2 for v in got.values())
+
+
 def test_site_templates(spark):
     own = "<body><div class=box><p>Site line</p><p>More</p></div><div>Own text {n}</div><p>Twice</p></body>"
     rows = [(k, f"http://Site.example:80/{k}", own.replace("{n}", str(k))) for k in range(30)]
