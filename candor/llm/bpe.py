@@ -4,12 +4,16 @@ The JSON file of the tokenizers library is read for its vocabulary; merges of su
 files stand in the order of the ids they make, so a rank-based encoder gives the same
 ids. Text is cut in units, a run of ASCII white space with the word after it, which the
 vocabulary's pre-tokenizer never joins; each distinct unit is encoded once and kept in
-a cache of bounded size. Texts with other white space than ASCII's are encoded whole."""
+a cache of bounded size. Texts with other white space than ASCII's, or with a special token, are
+encoded whole.
+
+As with the library's defaults, the string of a special token in a text is that token. With
+special=False it is ordinary text."""
 
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import public_tokenizers
@@ -31,21 +35,27 @@ def _byte_of_char() -> dict[str, int]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> tiktoken.Encoding:
+def encoder(path: str, special: bool = True) -> tiktoken.Encoding:
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
-    special = {t["content"] for t in file.get("added_tokens", []) if t.get("special")}
+    tokens = {t["content"]: t["id"] for t in file.get("added_tokens", []) if t.get("special")}
     byte = _byte_of_char()
-    ranks = {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(byte[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in tokens}
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=tokens if special else {})
+
+
+def encode_with(enc: tiktoken.Encoding):
+    """A function from text to ids, special tokens that enc has included."""
+    return partial(enc.encode, allowed_special="all") if enc.special_tokens_set else enc.encode_ordinary
 
 
 class UnitEncoder:
     """Token counts or ids of units, each encoded once."""
 
-    def __init__(self, path: str):
-        enc = encoder(path)
-        self.encode = enc.encode_ordinary
+    def __init__(self, path: str, special: bool = True):
+        enc = encoder(path, special)
+        self.encode = encode_with(enc)
+        self.odd = [*_ODD_SPACE, *(t.encode() for t in enc.special_tokens_set)]
         self.lengths = np.zeros(enc.max_token_value + 1, np.int64)
         for token in enc.token_byte_values():
             self.lengths[enc.encode_single_token(token)] = len(token)
@@ -107,11 +117,11 @@ def units(data: np.ndarray, offs: np.ndarray):
     return starts, np.append(starts[1:], n) if len(starts) else starts, np.searchsorted(starts, offs)
 
 
-def plain(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Rows that can be cut in units: those without white space other than ASCII's."""
+def plain(data: np.ndarray, offs: np.ndarray, odd: list[bytes]) -> np.ndarray:
+    """Rows that can be cut in units: those without the strings `odd`, white space other than ASCII's and special tokens."""
     ok = np.ones(len(offs) - 1, bool)
     raw = data.tobytes()
-    for s in _ODD_SPACE:
+    for s in odd:
         at = raw.find(s)
         while at >= 0:
             row = int(np.searchsorted(offs, at, "right")) - 1
@@ -127,7 +137,7 @@ def _known(enc: UnitEncoder, data: np.ndarray, offs: np.ndarray):
     u, at, back = np.unique(h, return_index=True, return_inverse=True)
     regular = np.zeros(0, bool)
     if len(u):
-        fine = plain(data, offs)
+        fine = plain(data, offs, enc.odd)
         regular = ~NOT_SPACE[data[starts[at]]] & NOT_SPACE[data[ends[at] - 1]] & fine[np.searchsorted(first, at, "right") - 1]
     enc.learn(u, (data, starts[at], ends[at]), regular)
     return starts, first, enc.places(u)[back]
@@ -146,7 +156,7 @@ def encoded(enc: UnitEncoder, data: np.ndarray, offs: np.ndarray):
     total = np.concatenate([[0], np.cumsum(size)])
     ids = enc.flat[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)]
     row = total[first]
-    odd = np.flatnonzero(~plain(data, offs))
+    odd = np.flatnonzero(~plain(data, offs, enc.odd))
     if len(odd):
         parts = [ids[row[k] : row[k + 1]] for k in range(len(row) - 1)]
         for k in odd:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import DEFAULT, UnitEncoder, encoded, slices
-from .shared import lean, pack, small_batches, stored, unpack
+from .shared import FEW_KEYS, lean, pack, small_batches, stored, unpack
 from .words import utf8
 
 SIZE = 2048
@@ -38,8 +38,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 @lean
-def _encode(batches, path: str, end: int):
-    enc = UnitEncoder(path)
+def _encode(batches, path: str, end: int, special: bool):
+    enc = UnitEncoder(path, special)
     task, start = TaskContext.get().partitionId(), 0
     for batch in batches:
         data, offs = utf8(batch.column("text"))
@@ -79,16 +79,18 @@ def _cut(batches, size: int, with_ids: bool):
         yield pa.RecordBatch.from_arrays(cols, names + ["ids"] * with_ids)
 
 
-def pack_documents(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end: int = END, ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, end: int = END, ids: bool = False, special: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each piece: doc_id, start and length in its document, ids_crc32, doc_tokens, sequence_id, offset there,
-    crosses (its document is cut), and with `ids` the ids as little-endian unsigned 32-bit numbers."""
+    crosses (its document is cut), and with `ids` the ids as little-endian unsigned 32-bit numbers.
+    special: the string of a special token in a text is that token, else ordinary text."""
     small_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path(DEFAULT)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = stored(docs.mapInArrow(partial(_encode, path=str(path), end=end), ENCODED), "encoded")
+    table = stored(docs.mapInArrow(partial(_encode, path=str(path), end=end, special=special), ENCODED), "encoded")
     spark = docs.sparkSession
     totals = table.groupBy("task").agg(F.max(F.col("task_start") + F.col("doc_tokens")).alias("n")).orderBy("task").collect()
     base = np.concatenate([[0], np.cumsum([r.n for r in totals], dtype=np.int64)])[:-1]
     offsets = spark.createDataFrame([(r.task, int(b)) for r, b in zip(totals, base, strict=True)], "task long, base long")
-    placed = table.join(F.broadcast(offsets), "task").select("doc_id", "doc_tokens", "ids", (F.col("base") + F.col("task_start")).alias("begin"))
+    offsets = F.broadcast(offsets) if len(totals) <= FEW_KEYS else offsets
+    placed = table.join(offsets, "task").select("doc_id", "doc_tokens", "ids", (F.col("base") + F.col("task_start")).alias("begin"))
     return placed.mapInArrow(partial(_cut, size=size, with_ids=ids), PIECES + (", ids binary" if ids else ""))

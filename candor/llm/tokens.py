@@ -5,7 +5,11 @@ the vocabulary's pre-tokenizer always cuts. LEAF units in a row are a leaf; a se
 tree over the leaves holds sums of code points and of tokens. An edit finds its leaves
 by descending on code points, takes one more leaf where it touches a leaf's first or
 last unit (white space and words join there), cuts and encodes that stretch alone, and
-updates the sums above. The total is the root's sum.
+updates the sums on the paths above. The total is the root's sum.
+
+A leaf holds up to 2 * LEAF units, and nodes have up to FANOUT children. One that grows beyond that is split in
+place, an empty one is taken out, so an edit touches as many nodes as the tree is high,
+and those that a deletion removes; nothing is rebuilt.
 
 Edits are (at, remove, insert): from code point `at` of the text as edited so far, `remove`
 code points go and `insert` comes. Places outside the text are moved to its end, negative
@@ -27,11 +31,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import DEFAULT, UnitEncoder, encoder, plain, slices, unit_sizes
+from .bpe import DEFAULT, UnitEncoder, encode_with, encoder, plain, slices, unit_sizes
 from .shared import lean, small_batches
 from .words import utf8
 
-LEAF = 64
+LEAF = 64  # units of a new leaf
+FANOUT = 16
 #: The white space of the pre-tokenizer (Unicode property White_Space)
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CUT = regex.compile(f"(?<=[^{_WS}])(?=[{_WS}])")
@@ -43,110 +48,179 @@ def cut_units(text: str) -> list[int]:
     return [0, *(m.start() for m in _CUT.finditer(text)), len(text)] if text else [0]
 
 
+class _Node:
+    """A leaf with its text, or an inner node with its children; sums of code points and of tokens."""
+
+    __slots__ = ("chars", "children", "parent", "text", "tokens", "units")
+
+    def __init__(self, text: str = "", tokens: int = 0, units: int = 0, children: list[_Node] | None = None):
+        self.text, self.tokens, self.units, self.chars = text, tokens, units, len(text)
+        self.children, self.parent = children, None
+
+
 class TokenTree:
-    """Leaves of a text with sums of code points and tokens."""
+    """Leaves of a text with sums of code points and tokens. `encoded` counts the code points that edits encoded,
+    `summed` the nodes whose sums they updated."""
 
     def __init__(self, text: str, encode, units: list[int] | np.ndarray | None = None, tokens: np.ndarray | None = None):
-        self.encode, self.encoded = encode, 0
+        self.encode, self.encoded, self.summed = encode, 0, 0
         at = list(units) if units is not None else cut_units(text)
-        edges = [*at[:-1:LEAF], at[-1]] if len(at) > 1 else [0]
-        self.leaves = [text[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        if tokens is None:
-            counts = [len(encode(leaf)) for leaf in self.leaves]
-        else:
+        counts = None
+        if tokens is not None:
             counts = np.add.reduceat(tokens, np.arange(0, len(tokens), LEAF)).tolist() if len(tokens) else []
-        self._build(counts)
+        level = self._leaves(text, at, counts)
+        while len(level) > 1 or not level or level[0].children is None:
+            level = [self._inner(level[k : k + FANOUT // 2]) for k in range(0, max(1, len(level)), FANOUT // 2)]
+        self.root, self.summed = level[0], 0
 
-    def _build(self, counts: list[int]) -> None:
-        """Sums from the leaves up; node k has children 2k and 2k + 1."""
-        self.base = 1 << max(0, len(self.leaves) - 1).bit_length()
-        self.tokens, self.chars = [0] * (2 * self.base), [0] * (2 * self.base)
-        for k, (leaf, n) in enumerate(zip(self.leaves, counts, strict=True)):
-            self.tokens[self.base + k], self.chars[self.base + k] = n, len(leaf)
-        for k in range(self.base - 1, 0, -1):
-            self._sum(k)
+    def _leaves(self, text: str, at: list[int], counts: list[int] | None = None) -> list[_Node]:
+        """LEAF units each, so that a leaf has room to grow; `at` are the starts of units and the text's end."""
+        edges = [*at[:-1:LEAF], at[-1]] if len(at) > 1 else [0]
+        parts = [text[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        counts = [len(self.encode(p)) for p in parts] if counts is None else counts
+        return [_Node(p, n, min(LEAF, len(at) - 1 - LEAF * k)) for k, (p, n) in enumerate(zip(parts, counts, strict=True))]
 
-    def _sum(self, k: int) -> None:
-        self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
-        self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
+    def _inner(self, children: list[_Node]) -> _Node:
+        node = _Node(children=children)
+        for c in children:
+            c.parent = node
+        self._sum(node)
+        return node
+
+    def _sum(self, node: _Node) -> None:
+        node.tokens, node.chars = sum(c.tokens for c in node.children), sum(c.chars for c in node.children)
+        self.summed += 1
 
     @property
     def total(self) -> int:
-        return self.tokens[1]
+        return self.root.tokens
+
+    def leaves(self) -> list[_Node]:
+        out, todo = [], [self.root]
+        while todo:
+            n = todo.pop()
+            if n.children is None:
+                out.append(n)
+            else:
+                todo += reversed(n.children)
+        return out
 
     @property
     def text(self) -> str:
-        return "".join(self.leaves)
-
-    def find(self, at: int) -> tuple[int, int]:
-        """The leaf of a code point, and the place in it; the last leaf for the text's end."""
-        k = 1
-        while k < self.base:
-            k *= 2
-            if at >= self.chars[k] and self.chars[k + 1]:
-                at -= self.chars[k]
-                k += 1
-        return k - self.base, at
+        return "".join(n.text for n in self.leaves())
+
+    def find(self, at: int) -> tuple[_Node | None, int]:
+        """The leaf of a code point, and the place in it; the last leaf for the text's end. None in an empty tree."""
+        n = self.root
+        while n is not None and n.children is not None:
+            inside = None
+            for c in n.children:
+                inside = c
+                if at < c.chars or c is n.children[-1]:
+                    break
+                at -= c.chars
+            n = inside
+        return n, at
+
+    @staticmethod
+    def _beside(leaf: _Node, step: int) -> _Node | None:
+        """The leaf before (-1) or after (1) a leaf."""
+        n = leaf
+        while n.parent is not None:
+            k = n.parent.children.index(n) + step
+            if 0 <= k < len(n.parent.children):
+                n = n.parent.children[k]
+                while n.children is not None:
+                    n = n.children[-1 if step < 0 else 0]
+                return n
+            n = n.parent
+        return None
 
     def edit(self, at: int, remove: int, insert: str) -> None:
-        size = self.chars[1]
+        size = self.root.chars
         at = min(max(at, 0), size)
         remove = min(max(remove, 0), size - at)
         if not remove and not insert:
             return
-        if not self.leaves:
-            self._splice(0, 0, insert)
-            return
         i, a = self.find(at)
+        if i is None:
+            self._put(self.root, 0, insert)
+            return
         j, b = self.find(at + remove)
+        before, after = i.text[:a], j.text[b:]
         first, last = i, j
-        before, after = self.leaves[i][:a], self.leaves[j][b:]
-        if first and not _CUT.search(self.leaves[i], 0, max(a - 1, 0)):
-            first -= 1  # the edit may touch the leaf's first unit
-        if last + 1 < len(self.leaves) and not _CUT.search(self.leaves[j], min(b + 1, len(self.leaves[j]))):
-            last += 1
-        stretch = "".join(self.leaves[first:i]) + before + insert + after + "".join(self.leaves[j + 1 : last + 1])
-        self._splice(first, last + 1, stretch)
-
-    def _splice(self, first: int, last: int, stretch: str) -> None:
-        """Puts the leaves of a stretch in the place of leaves first to last."""
-        at = cut_units(stretch)
-        edges = [*at[:-1:LEAF], at[-1]] if len(at) > 1 else [0]
-        new = [stretch[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        counts = [len(self.encode(leaf)) for leaf in new]
+        if not _CUT.search(i.text, 0, max(a - 1, 0)) and (more := self._beside(i, -1)) is not None:
+            first, before = more, more.text + before  # the edit may touch the leaf's first unit
+        if not _CUT.search(j.text, min(b + 1, len(j.text))) and (more := self._beside(j, 1)) is not None:
+            last, after = more, after + more.text
+        gone = first
+        while gone is not last:  # all leaves of the stretch but its first one go
+            gone = self._beside(first, 1)
+            self._take_out(gone)
+        parent = first.parent
+        place = parent.children.index(first)
+        del parent.children[place]
+        self._put(parent, place, before + insert + after)
+
+    def _take_out(self, leaf: _Node) -> None:
+        n = leaf
+        while n.parent is not None:
+            parent = n.parent
+            parent.children.remove(n)
+            if parent.children:
+                self._up(parent)
+                return
+            n = parent
+        self._sum(n)  # the text is empty now
+
+    def _up(self, node: _Node | None) -> None:
+        while node is not None:
+            self._sum(node)
+            node = node.parent
+
+    def _put(self, parent: _Node, place: int, stretch: str) -> None:
+        """Puts the leaves of a stretch among the children of a node, which is split as often as needed."""
         self.encoded += len(stretch)
-        if len(new) < last - first and len(self.leaves) > last - first:
-            # fewer leaves than before: empty ones keep the others' places
-            new += [""] * (last - first - len(new))
-            counts += [0] * (len(new) - len(counts))
-        if len(new) == last - first:
-            self.leaves[first:last] = new
-            for k, n in enumerate(counts, self.base + first):
-                self.tokens[k], self.chars[k] = n, len(self.leaves[k - self.base])
-            low, high = (self.base + first) // 2, (self.base + last - 1) // 2
-            while low:
-                for k in range(low, high + 1):
-                    self._sum(k)
-                low, high = low // 2, high // 2
+        at = cut_units(stretch)
+        if 1 < len(at) <= 2 * LEAF + 1:
+            new = [_Node(stretch, len(self.encode(stretch)), len(at) - 1)]
         else:
-            old = self.tokens[self.base : self.base + len(self.leaves)]
-            self.leaves[first:last] = new
-            old[first:last] = counts
-            keep = [k for k, leaf in enumerate(self.leaves) if leaf]
-            self.leaves = [self.leaves[k] for k in keep]
-            self._build([old[k] for k in keep])
+            new = self._leaves(stretch, at)
+        for n in new:
+            n.parent = parent
+        parent.children[place:place] = new
+        if not parent.children:
+            if parent.parent is not None:
+                self._take_out(parent)
+                return
+            self._sum(parent)
+            return
+        while len(parent.children) > FANOUT:
+            cut = [parent.children[k : k + FANOUT // 2] for k in range(0, len(parent.children), FANOUT // 2)]
+            if parent.parent is None:
+                parent.children = [self._inner(c) for c in cut]
+                for c in parent.children:
+                    c.parent = parent
+                continue
+            above, k = parent.parent, parent.parent.children.index(parent)
+            parts = [self._inner(c) for c in cut]
+            for c in parts:
+                c.parent = above
+            above.children[k : k + 1] = parts
+            parent = above
+        self._up(parent)
 
 
 @lean
-def _count(batches, path: str):
-    units_of, encode = UnitEncoder(path), encoder(path).encode_ordinary
+def _count(batches, path: str, special: bool):
+    units_of, encode = UnitEncoder(path, special), encode_with(encoder(path, special))
     for batch in batches:
         data, offs = utf8(batch.column("text"))
         edits = batch.column("edits")
         for lo, hi, d, o in slices(data, offs):
             starts, first, sizes = unit_sizes(units_of, d, o)
             chars = np.concatenate([[0], np.cumsum((d & 0xC0) != 0x80)])
-            fine = plain(d, o)
+            fine = plain(d, o, units_of.odd)
             raw = d.tobytes()
             rows = []
             for k in range(hi - lo):
@@ -162,17 +236,18 @@ def _count(batches, path: str):
                     if e is not None and (e["at"] is not None or e["insert"] is not None):
                         tree.edit(e["at"] or 0, e["remove"] or 0, e["insert"] or "")
                         n += 1
-                rows.append((before, n, tree.total, len(tree.leaves), tree.encoded))
+                rows.append((before, n, tree.total, len(tree.leaves()), tree.encoded))
             names = ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_leaves", "n_chars_encoded"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *[pa.array([r[j] for r in rows], pa.int64()) for j in range(5)]], names)
 
 
-def count_tokens(docs: DataFrame, edits: str = "edits", tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, edits: str = "edits", tokenizer: str | None = None, special: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each document: its tokens, the tokens after its edits, the leaves, and the code points that edits encoded.
 
-    edits: name of a column of arrays of struct(at, remove, insert), applied in order."""
+    edits: name of a column of arrays of struct(at, remove, insert), applied in order.
+    special: the string of a special token in a text is that token, else ordinary text."""
     small_batches(docs.sparkSession)
     path = str(tokenizer or public_tokenizers.path(DEFAULT))
     kind = "array<struct<at: bigint, remove: bigint, insert: string>>"
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(edits).cast(kind).alias("edits"))
-    return docs.mapInArrow(partial(_count, path=path), RESULT)
+    return docs.mapInArrow(partial(_count, path=path, special=special), RESULT)

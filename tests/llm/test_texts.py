@@ -16,13 +16,12 @@ from candor.llm import bpe, langid, licenses, packing, quality, tokens
 from candor.llm.words import utf8
 
 SCHEMA = "doc_id long, text string, lang string, task string, band int, language string, rest string, begin long"
-ODD = [None, "", " ", "\n\n", "a", "x  y  z", "don't  stop\n\n  x\t\ty ", "日本語 テスト", "word " * 3000, "1 2  3", "\x85 \x1f z", "é" * 50]
+ODD = [None, "", " ", "\n\n", "a", "x  y  z", "don't  stop\n\n  x\t\ty ", "日本語 テスト", "word " * 3000, "1 2  3", "\x85 \x1f z", "é" * 50, "hello <|endoftext|> world", "<|endoftext|><|endoftext|>\n\n a<|endoftext|>b <|endoftext|", "x  <|endoftext|>  "]
 
 
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda s: t.encode(s or "", add_special_tokens=False).ids
 
 
@@ -48,21 +47,44 @@ def test_cache_is_bounded(reference, monkeypatch):
         assert ids.tolist() == reference(text) and len(enc.known) <= 20
 
 
-def test_edits_count_as_whole_text():
-    encode = bpe.encoder(public_tokenizers.path("byte_bpe_50k.json")).encode_ordinary
+def test_special_tokens_as_text():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    data, offs = utf8(pa.array(ODD))
+    ids, row = bpe.encoded(bpe.UnitEncoder(public_tokenizers.path("byte_bpe_50k.json"), special=False), data, offs)
+    for k, text in enumerate(ODD):
+        assert ids[row[k] : row[k + 1]].tolist() == t.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_edits_count_as_whole_text(reference, monkeypatch):
+    encode = bpe.encode_with(bpe.encoder(public_tokenizers.path("byte_bpe_50k.json")))
     rng = random.Random(1)
-    parts = ["a", "the", " ", "  ", "\n", "!", "é", "12", "'s", "\t", " ", "don"]
-    for trial in range(200):
-        tokens.LEAF = rng.choice([1, 2, 8])
+    parts = ["a", "the", " ", "  ", "\n", "!", "é", "12", "'s", "\t", " ", "don", "<|endoftext|>", "<|endof", "text|>"]
+    for trial in range(300):
+        monkeypatch.setattr(tokens, "LEAF", rng.choice([1, 2, 8]))
+        monkeypatch.setattr(tokens, "FANOUT", rng.choice([4, 5, 16]))
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))
         tree = tokens.TokenTree(text, encode)
-        for _ in range(6):
-            at, gone, new = rng.randint(-2, len(text) + 3), rng.randint(-1, 9), "".join(rng.choice(parts) for _ in range(rng.randint(0, 4)))
+        for _ in range(8):
+            at, gone, new = rng.randint(-2, len(text) + 3), rng.choice([-1, 0, 3, 9, 200]), "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 4, 60])))
             a = min(max(at, 0), len(text))
             text = text[:a] + new + text[a + max(gone, 0) :]
             tree.edit(at, gone, new)
-            assert tree.text == text and tree.total == len(encode(text)), trial
-    tokens.LEAF = 64
+            assert tree.text == text and tree.total == len(reference(text)), trial
+            assert tree.root.chars == len(text)
+
+
+def test_an_insertion_updates_one_path():
+    encode = bpe.encode_with(bpe.encoder(public_tokenizers.path("byte_bpe_50k.json")))
+    rng = random.Random(2)
+    tree = tokens.TokenTree(" ".join(f"word{k % 97}" for k in range(20_000)), encode)
+    most, before = 0, 0
+    for _ in range(400):
+        seen, chars = tree.summed, tree.encoded
+        tree.edit(rng.randint(0, 3000), 0, " a few more words put in here")
+        most, before = max(most, tree.summed - seen), max(before, tree.encoded - chars)
+    assert most < 40 and before < 3 * 2 * tokens.LEAF * 8
+    assert tree.total == len(encode(tree.text))
 
 
 def test_count_tokens(spark, reference):
