@@ -5,21 +5,22 @@ stands n times in the text weighs (1 + ln n) * (1 + DAMPING * ln(min(N / df, RAR
 so that a line repeated often doesn't outweigh the rest of two texts. df
 comes from a count-min sketch of fixed size over all documents. The error of such a
 sketch is a fixed share of N, and weights level off at df = N / RARE, so the sketch
-serves at every corpus size. The damping keeps copies in large groups similar: without
-it a shingle shared by a large group would hardly weigh against a changed one.
+serves at every corpus size. So a shingle in few documents weighs 1 + DAMPING times one that is in all.
+The damping keeps copies in large groups similar: without it a shingle that a large group
+shares would hardly weigh against a changed one.
 
 1. sketch: df of all shingles of all documents; pieces of the sketch are summed in Spark.
 2. sign: BANDS * ROWS samples of each text; a band is the hash of ROWS samples. Equal
    weighted sets have equal samples, and a sample agrees with the probability of the
-   weighted Jaccard similarity. At 0.8 a pair misses all 16 bands of 4 with probability 2e-4.
+   weighted Jaccard similarity. At 0.8 a pair misses all 18 bands of 5 with probability 8e-4.
 3. Exact copies (equal MD5 of the text) are one node from here on, their smallest doc_id.
 4. Buckets with two nodes or more, without those whose set of nodes is another bucket's.
 5. verify: the weighted sets of a bucket's nodes meet in one task, which compares them
-   exactly, skips pairs that are connected already, and returns at most one row for
-   each node, its smallest connected one. Buckets of over BLOCK shingles are split into blocks; each pair of
-   blocks is a task of its own, so memory is bounded and no pair is left out. Work on a
-   bucket grows with the square of its distinct texts that aren't connected; exact
-   copies and connected ones cost nothing.
+   exactly and returns at most one row for each node, its smallest connected one. Pairs that are connected
+   already are skipped, and so are those that can't be similar: in order from the bucket's rarest shingle on,
+   two similar texts share one of those that make up the first fifth of either's weight. So texts that
+   only share what the whole bucket shares aren't compared. Buckets of over BLOCK shingles are split
+   into blocks; each pair of blocks is a task of its own, so memory is bounded and no pair is left out.
 6. Connected components by alternating stars, written to the shared folder in each step.
 
 Nulls: a null text or a null doc_id is in a class of its own (class_id is its doc_id).
@@ -39,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import first_of_runs, lean, pack, pack_sorted, small_batches, stored, unpack, unpack_sorted
+from .shared import first_of_runs, lean, pack, pack_sorted, small_batches, small_side, stored, unpack, unpack_sorted
 from .words import NOT_SPACE, WordHash, cuts, hashed_words, utf8, window_hash, window_starts
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 16, 4
-DAMPING, RARE = 0.1, 256
+BANDS, ROWS = 18, 5
+DAMPING, RARE = 0.5, 256
 SKETCH_DEPTH, SKETCH_BITS, PIECES = 2, 19, 16
 BLOCK = 1_500_000
 SLICE = 1 << 18
@@ -220,9 +221,25 @@ def _sets(batches, factors):
             yield pa.RecordBatch.from_arrays([*own, pa.array([b[0] for b in blobs], pa.binary()), pa.array([b[1] for b in blobs], pa.binary())], ["node", "text_key", "x", "w"])
 
 
+def _prefixes(code: np.ndarray, flat: np.ndarray, begin: np.ndarray, ends: np.ndarray, total: np.ndarray, similarity: float):
+    """For each node the shingles, rarest in the bucket first, that make up more than 1 - similarity of its weight, as
+    runs (code, node) in order of node, and the nodes of each code: nodes without a common one aren't similar."""
+    often = np.bincount(code)
+    node = np.repeat(np.arange(len(begin)), ends - begin)
+    order = np.lexsort((code, often[code], node))
+    c, w = code[order], flat[order]
+    before = np.cumsum(w) - w
+    before -= before[begin][node]
+    keep = before <= (1 - similarity) * total[node] * (1 + 1e-6) + 1e-9
+    c, node = c[keep], node[keep]
+    first = np.searchsorted(node, np.arange(len(begin) + 1))
+    by = np.argsort(c, kind="stable")
+    return c, first, node[by], np.searchsorted(c[by], np.arange(len(often) + 1))
+
+
 def links_of(nodes: np.ndarray, x: list[np.ndarray], w: list[np.ndarray], side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
     """Pairs (smallest node, other node) of the components that a weighted Jaccard similarity of at least `similarity` connects.
-    Nodes that are connected already aren't compared.
+    Nodes that are connected already, or can't be similar, aren't compared.
 
     side: 0 or 1 for each node; then only pairs of different sides are compared."""
     order = np.argsort(nodes, kind="stable")
@@ -236,11 +253,18 @@ def links_of(nodes: np.ndarray, x: list[np.ndarray], w: list[np.ndarray], side:
     total = np.add.reduceat(flat, begin)
     group = np.arange(len(nodes))
     vector = np.zeros(int(code.max()) + 1)
+    prefix, first, holders, at_code = _prefixes(code, flat, begin, ends, total, similarity)
     for k in range(len(nodes) - 1):
         ask = np.arange(k + 1, len(nodes))
         ask = ask[(group[ask] != group[k]) & (np.minimum(total[ask], total[k]) >= similarity * np.maximum(total[ask], total[k]) * (1 - 1e-6))]
         if side is not None:
             ask = ask[side[ask] != side[k]]
+        if not len(ask):
+            continue
+        near = np.zeros(len(nodes), bool)
+        for c in prefix[first[k] : first[k + 1]]:
+            near[holders[at_code[c] : at_code[c + 1]]] = True
+        ask = ask[near[ask]]
         if not len(ask):
             continue
         own = code[begin[k] : ends[k]]
@@ -305,7 +329,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     kept = buckets.groupBy("set", "members").agg(F.min("band").alias("band"), F.first("total").alias("total"))
     member = stored(entries.join(kept.select("band", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks")), "band"), "members")
     wanted = member.select("node").distinct()
-    texts = nodes.select("text_key", "node").join(wanted, "node", "left_semi")
+    texts = small_side(stored(nodes.select("text_key", "node").join(wanted, "node", "left_semi"), "wanted"))
     own = docs.join(texts.select(F.col("node").alias("doc_id"), "node", "text_key"), "doc_id").where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("text_key"))
     sets = stored(own.select("node", "text_key", "text").mapInArrow(partial(_sets, factors=factors), "node long, text_key binary, x binary, w binary"), "sets")
     sets = sets.dropDuplicates(["node", "text_key"]).drop("text_key")  # a doc_id with several texts is one node with several sets

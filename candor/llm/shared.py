@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
 ROW_GROUP = 16 << 20  # of stored tables: a task holds one row group of what it writes
@@ -107,6 +108,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+FEW_KEYS = 500_000
+
+
+def small_side(keys: DataFrame) -> DataFrame:
+    """A stored table of keys for the smaller side of a join: broadcast if it has at most FEW_KEYS rows, of some 50
+    bytes each, so that the other side, which has texts, isn't shuffled; beyond that Spark picks the join."""
+    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
+
+
 def pack(a: np.ndarray) -> bytes:
     """An array as bytes: byte planes, then Zstandard. unpack() needs its dtype."""
     if not len(a):

@@ -14,7 +14,7 @@ from candor.llm.decontam import contamination
 from candor.llm.langid import accepted
 from candor.llm.neardup import near_duplicates
 from candor.llm.packing import pack_documents
-from candor.llm.shared import clean, scope, stored
+from candor.llm.shared import clean, scope, small_side, stored
 from candor.llm.substring import remove_repeats
 
 
@@ -35,13 +35,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(keyed.where("text IS NOT NULL"), id_col="row_key").where("doc_id <> class_id").select(F.col("doc_id").alias("row_key"), "class_id").distinct()
     found = stored(found, "classes")
     members = found.unionByName(found.select(F.col("class_id").alias("row_key"), "class_id").distinct())
-    ids = members.join(keyed.where("text IS NOT NULL").select("row_key", "doc_id"), "row_key")
+    ids = small_side(members).join(keyed.where("text IS NOT NULL").select("row_key", "doc_id"), "row_key")
     stays = ids.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("least")).select("least.row_key")
     gone = stored(members.join(stays, "row_key", "left_anti").select("row_key"), "gone")
-    kept = keyed.join(gone, "row_key", "left_anti")
+    kept = keyed.join(small_side(gone), "row_key", "left_anti")
     repeated = stored(keyed.where("text IS NOT NULL").groupBy("row_key").count().where("count > 1").select("row_key"), "repeated")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
+    repeated = small_side(repeated)
     first = kept.join(repeated, "row_key", "left_semi").groupBy("row_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return kept.join(repeated, "row_key", "left_anti").select(*docs.columns).unionByName(first)
 
@@ -59,7 +60,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Drops documents that passages of the benchmark contaminate."""
     found = contamination(docs.select(_key().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = stored(found.where("contaminated").select(F.col("doc_id").alias("row_key")).distinct(), "gone")
-    return docs.withColumn("row_key", _key()).join(gone, "row_key", "left_anti").select(*docs.columns)
+    return docs.withColumn("row_key", _key()).join(small_side(gone), "row_key", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
