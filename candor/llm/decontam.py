@@ -5,8 +5,10 @@ documents, its sorted dictionary of term hashes and its postings: the positions
 each term in the segment, term after term. Segments are independent, so that building
 shuffles nothing and a lost task builds its segments again.
 
-search() sends the phrases to all segments, in blocks of a stated size. A segment drops
-phrases of which it lacks a term. For the others the shortest postings list, moved by
+search() cuts the benchmark into phrases, distinct ones with the items that have them, and sends
+them to all segments in blocks of BLOCK_PHRASES: one pass over the index for each block, whose
+results are stored and whose broadcast is dropped before the next, so that memory doesn't grow
+with the benchmark. A segment drops phrases of which it lacks a term. For the others the shortest postings list, moved by
 the term's place in the phrase, gives the candidate starts; the lists of the other
 terms, from the rarest, are intersected with them. What is left are exact matches.
 proximity() maps another search over the segments: it keeps the places of the rarest term
@@ -26,18 +28,19 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import first_of_runs, lean, pack, pack_sorted, shared_dir, slices_of_runs, small_batches, unpack, unpack_sorted
+from .shared import first_of_runs, lean, pack, pack_sorted, shared_dir, slices_of_runs, small_batches, stored, unpack, unpack_sorted
 from .words import ALNUM, LOWER, WordHash, cuts, hashed_words, utf8
 
 WINDOW = 13
 SEGMENT_BYTES = 2 << 20
-BLOCK_BYTES = 16 << 20  # of phrase text that is sent to the executors at once
+BLOCK_PHRASES = 100_000  # that are sent to the executors at once: some 10 MB of term hashes, and their items
 _HASH = WordHash(7)
 
-INDEX = "doc_ids array<bigint>, first binary, terms binary, counts binary, positions binary"
+INDEX = "segment long, doc_ids array<bigint>, first binary, terms binary, counts binary, positions binary"
 FOUND = "segment long, row long, doc_id long, n_words long, spans binary, items array<string>"
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -56,13 +59,15 @@ def _segment(ids: list, data: np.ndarray, offs: np.ndarray) -> tuple:
 
 @lean
 def _build(batches):
+    segment = TaskContext.get().partitionId() << 33
     for batch in batches:
         data, offs = utf8(batch.column("text"))
         ids = batch.column("doc_id")
         for lo, hi in cuts(offs, SEGMENT_BYTES):
             s = _segment(ids.slice(lo, hi - lo).to_pylist(), data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            kinds = (pa.list_(pa.int64()), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(s, kinds, strict=True)], ["doc_ids", "first", "terms", "counts", "positions"])
+            kinds = (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((segment, *s), kinds, strict=True)], ["segment", "doc_ids", "first", "terms", "counts", "positions"])
+            segment += 1
 
 
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,32 +173,45 @@ class Postings:
         return at
 
 
-def phrases_of(items: list[tuple], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of the items' words as rows of term hashes, their lengths, and the item of each; distinct."""
-    if not items:
-        return np.zeros((0, size), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data, offs = utf8(pa.array([t for _, t in items], pa.string()))
-    h, first = term_hashes(data, offs)
-    n = np.diff(first)
-    count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
-    of = np.repeat(np.arange(len(items)), count)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[:-1][of]
-    length = np.minimum(n[of], size)
-    places = np.arange(size)[None, :]
-    words = np.where(places < length[:, None], np.append(h, np.uint64(0))[np.minimum(at[:, None] + places, len(h))], np.uint64(0))
-    return words, length, of
+@lean
+def _phrases(batches, size: int):
+    """Every window of the items' words: its term hashes, and the item."""
+    for batch in batches:
+        data, offs = utf8(batch.column("text"))
+        h, first = term_hashes(data, offs)
+        n = np.diff(first)
+        count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+        for lo, hi in cuts(np.concatenate([[0], np.cumsum(count)]), 1 << 16):
+            of = np.repeat(np.arange(lo, hi), count[lo:hi])
+            at = np.arange(len(of)) - np.repeat(np.cumsum(count[lo:hi]) - count[lo:hi], count[lo:hi]) + first[:-1][of]
+            length = np.minimum(n[of], size)
+            raw = h.tobytes()
+            words = [raw[8 * a : 8 * (a + m)] for a, m in zip(at.tolist(), length.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), batch.column("item_id").take(pa.array(of))], ["words", "item_id"])
+
+
+def phrases(benchmark: DataFrame, size: int) -> DataFrame:
+    """words (term hashes of a window, a shorter item's words being one), and the items that have it."""
+    every = benchmark.where("text IS NOT NULL").mapInArrow(partial(_phrases, size=size), "words binary, item_id string")
+    return every.groupBy("words").agg(F.collect_set("item_id").alias("items"))
+
+
+def _block(rows: list, size: int) -> tuple:
+    """Phrases as rows of term hashes with their lengths, and their items as codes into a list of names."""
+    lengths = np.array([len(r["words"]) // 8 for r in rows], np.int64)
+    words = np.zeros((len(rows), size), np.uint64)
+    for k, r in enumerate(rows):
+        words[k, : lengths[k]] = np.frombuffer(bytes(r["words"]), np.uint64)
+    names = sorted({i for r in rows for i in r["items"]})
+    code = {n: k for k, n in enumerate(names)}
+    items = [[code[i] for i in r["items"]] for r in rows]
+    return words, lengths, items, names
 
 
 @lean
-def _search(batches, shared):
+def _search(batches, shared, every: bool):
+    """every: rows for documents without a match as well."""
     words, lengths, of, names = shared.value
-    order = np.lexsort((*words.T[::-1], lengths))
-    run = first_of_runs(lengths[order], *words[order].T)
-    group = np.empty(len(order), np.int64)
-    group[order] = np.repeat(np.arange(len(run)), np.diff(np.append(run, len(order))))
-    by_group = np.argsort(group, kind="stable")  # phrases that several items share are searched once
-    bound = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(run)))])
-    words, lengths = words[order][run], lengths[order][run]
     for batch in batches:
         for segment, row in zip(batch.column("segment").to_pylist(), batch.drop_columns(["segment"]).to_pylist(), strict=True):
             p = Postings(row)
@@ -205,16 +223,17 @@ def _search(batches, shared):
             for a, b in slices_of_runs(doc[by]):
                 some, d = by[a:b], int(doc[by[a]])
                 spans[d] = merged(start[some] - p.first[d], lengths[phrase[some]])
-                items[d] = {names[of[k]] for g in set(phrase[some].tolist()) for k in by_group[bound[g] : bound[g + 1]]} - {None}
-            n = len(p.ids)
+                items[d] = {names[i] for g in set(phrase[some].tolist()) for i in of[g]}
+            rows = range(len(p.ids)) if every else sorted(spans)
+            n_words = np.diff(p.first)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([segment] * n, pa.int64()),
-                    pa.array(range(n), pa.int64()),
-                    pa.array(p.ids, pa.int64()),
-                    pa.array(np.diff(p.first), pa.int64()),
-                    pa.array([spans[k].tobytes() if k in spans else None for k in range(n)], pa.binary()),
-                    pa.array([sorted(items.get(k, ())) for k in range(n)], pa.list_(pa.string())),
+                    pa.array([segment] * len(rows), pa.int64()),
+                    pa.array(rows, pa.int64()),
+                    pa.array([p.ids[k] for k in rows], pa.int64()),
+                    pa.array([n_words[k] for k in rows], pa.int64()),
+                    pa.array([spans[k].tobytes() if k in spans else None for k in rows], pa.binary()),
+                    pa.array([sorted(items.get(k, ())) for k in rows], pa.list_(pa.string())),
                 ],
                 ["segment", "row", "doc_id", "n_words", "spans", "items"],
             )
@@ -254,26 +273,23 @@ def merged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Of each document: its words, the merged spans (pairs of 64-bit integers) of words in windows of items, and these items.
 
-    The items are sent to all segments in blocks of BLOCK_BYTES of text, at least one item each."""
-    spark = index.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").distinct()
-    total, longest = items.agg(F.sum(F.octet_length("text") + 16), F.max(F.octet_length("text"))).first()
-    n_blocks = -(-(total or 0) // BLOCK_BYTES) or 1
-    index = index.withColumn("segment", F.monotonically_increasing_id())
-    parts = []
+    The first block gives a row for each document, later ones for those with matches, which are put together."""
+    context = index.sparkSession.sparkContext
+    small_batches(index.sparkSession)
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    every = stored(phrases(items, size), "phrases")
+    n_blocks = -(-every.count() // BLOCK_PHRASES) or 1
+    found = None
     for k in range(n_blocks):
-        block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
-        rows = [(r.item_id, r.text) for r in block.collect()]
-        words, lengths, of = phrases_of(rows, size)
-        shared = spark.sparkContext.broadcast((words, lengths, of, [r[0] for r in rows]))
-        parts.append(index.mapInArrow(partial(_search, shared=shared), FOUND))
+        block = every if n_blocks == 1 else every.where(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == k)
+        shared = context.broadcast(_block(block.collect(), size))
+        part = stored(index.mapInArrow(partial(_search, shared=shared, every=not k), FOUND), "found")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
     if n_blocks == 1:
-        return parts[0]
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+        return found
     together = found.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return together.mapInArrow(_join_blocks, FOUND)
+    return stored(together.mapInArrow(_join_blocks, FOUND), "matches")
 
 
 @lean

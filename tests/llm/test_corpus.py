@@ -176,7 +176,7 @@ def brute_contamination(docs, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 600])
+@pytest.mark.parametrize("block", [decontam.BLOCK_PHRASES, 40])
 def test_contamination(spark, monkeypatch, block):
     rng = random.Random(9)
     items = [(k, sentence(rng, rng.choice([3, 12, 13, 14, 30]))) for k in range(25)]
@@ -188,12 +188,12 @@ def test_contamination(spark, monkeypatch, block):
             text += " " + t.upper().replace(" ", ", ") + ". " + sentence(rng, rng.randint(0, 5))
         docs.append((k, text))
     docs += [(900, None), (901, ""), (902, "-- !"), (3, docs[3][1]), (None, docs[4][1]), (903, "é ".join(items[5][1].split(" ")))]
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontam, "BLOCK_PHRASES", block)
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, segment int")
     got = sorted((tuple(r) for r in decontam.contamination(frame(spark, docs), bench).collect()), key=repr)
     assert got == brute_contamination(docs, items)
     assert sum(g[5] for g in got) > 20
-    if block == decontam.BLOCK_BYTES:
+    if block > 40:
         assert not any(r.contaminated for r in decontam.contamination(frame(spark, docs), bench.limit(0)).collect())
         assert decontam.contamination(frame(spark, docs).limit(0), bench).count() == 0
 
