@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -170,7 +171,10 @@ def test_alignment_equals_full_table():
         for i in range(len(a)):
             for j in range(len(b)):
                 full[i + 1, j + 1] = max(full[i, j + 1], full[i + 1, j], full[i, j] + (a[i] == b[j]))
-        assert licenses.align(a, b, -20, 20)[0] == full[-1, -1]
+        pairs = licenses.align(a, b, -20, 20)
+        assert len(pairs) == full[-1, -1] and all(a[i] == b[j] for i, j in pairs)
+        assert all(p < q and r < t for (p, r), (q, t) in zip(pairs, pairs[1:], strict=False))
+        assert all(-2 <= j - i <= 3 for i, j in licenses.align(a, b, -2, 3))
 
 
 def test_winnowing_keeps_one_of_each_span():
@@ -197,6 +201,78 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(frame(spark, texts).limit(0)).count() == 0
 
 
+def named(text, templates=None):
+    ix = licenses.index(licenses.TEMPLATES if templates is None else templates)
+    data, offs = utf8(pa.array([text]))
+    return [ix.names[m.template] for m in licenses.matches(licenses._words(data, offs)[3], ix)]
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Released under the BSD License.", ["BSD line"]),
+        ("Released under the Apache License.", ["Apache line"]),
+        ("Released under the Foo License.", []),
+        ("Released under a MIT License.", ["MIT line"]),
+        ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0 line"]),
+        ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0 line"]),
+        ("Licensed under CC BY-XX 4.0.", []),
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0 line"]),
+        (licenses.TEMPLATES["GPL-3.0 notice"].replace("version 3", "version 2"), []),
+        ("Copyright (c) 2020, Me. All rights reserved.\n" + licenses.TEMPLATES["BSD-3-Clause"].replace("the copyright holder nor", "ACME Corp nor"), ["All rights reserved", "BSD-3-Clause"]),
+        (licenses.TEMPLATES["BSD-2-Clause"], ["BSD-2-Clause"]),
+        (licenses.TEMPLATES["ISC"].replace("AUTHOR", "OWNER"), ["ISC"]),
+        (licenses.TEMPLATES["Apache-2.0 notice"], ["Apache-2.0 notice"]),
+    ],
+)
+def test_the_right_license_is_named(text, names):
+    assert named("Some words before. " + text + " And some after.") == names
+
+
+def test_short_templates():
+    templates = {"one": "Copyleft", "two": "Public domain", "none": "--"}
+    assert named("it is copyleft, in the public domain; domain public", templates) == ["one", "two"]
+
+
+@pytest.mark.parametrize("line", ["Released under the BSD License. ", "under the ", "All rights reserved. ", licenses.TEMPLATES["BSD-2-Clause"][:700]])
+def test_repeats_take_time_in_proportion(line):
+    began = time.perf_counter()
+    named(line * (1_000_000 // len(line)))
+    assert time.perf_counter() - began < 15
+
+
+def test_scan_equals_all_windows():
+    """Every stretch of a text against every template: a template is found where it can be found at all."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(40)]
+    templates = {f"t{k}": " ".join(rng.choice(words) for _ in range(n)) for k, n in enumerate((5, 7, 9, 14, 20, 30))}
+    templates["t6"] = templates["t3"].rsplit(" ", 1)[0] + " other"
+    ix = licenses.index(templates)
+    hits = 0
+    for _ in range(150):
+        text = [rng.choice(words) for _ in range(rng.randint(0, 40))]
+        some = templates[rng.choice(list(templates))].split()
+        for _ in range(rng.randint(0, len(some) // 4)):
+            some[rng.randrange(len(some))] = rng.choice([rng.choice(words), "changed"])
+        at = rng.randint(0, len(text))
+        data, offs = utf8(pa.array([" ".join(text[:at] + some + text[at:])]))
+        h = licenses._words(data, offs)[3]
+        expected = set()
+        for t, own in enumerate(ix.words):
+            for start in range(len(h)):
+                pairs = licenses.align(own, h[start : start + len(own) + licenses.BAND], -len(h), len(h))
+                if len(pairs) >= 0.8 * len(own) and licenses.told(ix, t, pairs, 0.8):
+                    expected.add(t)
+        found = {m.template for m in licenses.matches(h, ix)}
+        assert found <= expected
+        # a template that isn't reported overlaps one with as many words or more
+        most = max((int(0.8 * len(ix.words[t])) for t in expected - found), default=0)
+        assert not expected or found, (expected, found)
+        assert not most or max(len(m.places) for m in licenses.matches(h, ix)) >= most
+        hits += bool(found)
+    assert hits > 75
+
+
 def test_edited_copy_before_a_whole_one(spark):
     line = "Licensed under the Apache License, Version 2.0."
     texts = [f"{line[:-3]} {line}", f"{line} {line[:-3]} {line} {line[:-3]}", f"{line[:-3]} x {line[:-3]} {line} end"]
