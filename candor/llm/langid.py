@@ -3,7 +3,8 @@
 Subwords are the 2 to 4 bytes from each byte on, within lower-cased words and their
 borders, hashed to BUCKETS embeddings. Mean embedding, then a linear softmax; both are
 trained by stochastic gradient descent in numpy on a bounded sample of labelled rows:
-SAMPLE rows, in equal shares for each language, chosen by hash of doc_id. A fifth of
+SAMPLE rows, in equal shares for each language, chosen by hash of id and text, equal rows once; of languages the
+SAMPLE / EACH with the most rows. A fifth of
 the sample fits the temperature that calibrates scores, and two bars. A text scoring below the
 first, which is never far above a guess's score, is rejected. Scores only tell the languages
 from each other, so a second one tells foreign texts: the mean logarithm of the shares that a text's
@@ -34,7 +35,7 @@ from .words import LOWER, cuts, utf8
 
 BUCKETS = 1 << 14
 DIM = 16
-SAMPLE = 2000
+SAMPLE, EACH = 2000, 20  # rows, and of each language at least
 EPOCHS, BATCH, RATE, MOMENTUM, SCALE = 30, 32, 0.1, 0.9, 100.0
 NEAR = 1.25  # times the score of a guess: a bar above it would reject texts in two languages too
 RARE = 1e-6  # share of a bucket that was never seen
@@ -102,14 +103,17 @@ def learnable(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learns from at most about `sample` labelled rows, the same ones each time."""
     rows = learnable(docs)
-    count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, sample // EACH))
+    count = {r.lang: r.n for r in most.collect()}
     if not count:
         return None
     langs = sorted(count)
-    each = max(20, sample // len(langs))
+    each = max(EACH, sample // len(langs))
     # a share of each language by hash of the id: no sort, no shuffle
     share = F.element_at(F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, each / count[k]))]), F.col("lang"))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 20))
+    chosen = rows.where(F.col("lang").isin(langs) & (place < share * (1 << 20))).dropDuplicates(["doc_id", "lang", "text"])
+    chosen = chosen.orderBy(F.xxhash64("doc_id", "text", F.lit("order")), "doc_id", "lang").limit(2 * sample)
     got = sorted((r.doc_id, r.lang, bytes(r.counts)) for r in chosen.mapInArrow(_features, "doc_id long, lang string, counts binary").collect())
     x, used = np.zeros((len(got), BUCKETS), np.float32), np.zeros(len(got), np.int64)
     for k, (_, _, blob) in enumerate(got):

@@ -33,7 +33,7 @@ from urllib.parse import quote
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import lean, shared_dir, small_batches, stored
@@ -124,6 +124,9 @@ class Reader:
             self.starts.append(self.starts[-1] + packed)
         self.at, self.raw = -1, b""
 
+    def close(self) -> None:
+        self.file.close()
+
     def frame(self, k: int) -> bytes:
         if k != self.at:
             packed = self.file.read_at(self.sizes[k][0], self.starts[k])
@@ -171,6 +174,14 @@ def _write(batches, root: str) -> Iterator[pa.RecordBatch]:
         bundle.close()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark would read it by: one without is on the default file system, not on each executor's disk."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return f"file://{full.removeprefix('file:')}" if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", root: str | None = None) -> DataFrame:
     """Writes one record for each row into bundles below root (default: the shared folder); returns the stored index."""
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
@@ -180,7 +191,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     again = stored(counts.where("n > 1").select("sha", "latest"), "again")
     typed = pages.withColumn("sha", sha).join(again, "sha", "left").select("page_id", "url", "html", "latest")
     where = root or f"{shared_dir(pages.sparkSession)}/bundles"
-    where = where if "://" in where else f"file://{where.removeprefix('file:')}"
+    where = qualified(pages.sparkSession, where)
     return stored(typed.mapInArrow(lambda b: _write(b, where), INDEX), "index")
 
 
@@ -191,6 +202,8 @@ def _read(batches, payload: bool) -> Iterator[pa.RecordBatch]:
         rows = []
         for r in batch.to_pylist():
             if r["bundle"] != uri:
+                if reader:
+                    reader.close()
                 reader, uri = Reader(r["bundle"]), r["bundle"]
             rows.append((r["record_id"], r["page_id"], reader.record(r["frame"], r["offset"], r["size"])))
         cols = [[], [], [], [], [], [], [], []]
@@ -206,6 +219,8 @@ def _read(batches, payload: bool) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary())
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "target_uri", "payload"]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+    if reader:
+        reader.close()
 
 
 def read(index: DataFrame, payload: bool = True) -> DataFrame:

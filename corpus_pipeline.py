@@ -28,23 +28,29 @@ def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """row_key, and the row itself as a struct, whatever its columns are called."""
+    return docs.select(_key().alias("row_key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates one row stays: that of the smallest id, before rows without an id.
     Of rows with the same id and text one stays. Rows without a text all stay."""
-    keyed = docs.withColumn("row_key", _key())
-    found = near_duplicates(keyed.where("text IS NOT NULL"), id_col="row_key").where("doc_id <> class_id").select(F.col("doc_id").alias("row_key"), "class_id").distinct()
+    keyed = _keyed(docs)
+    some = keyed.where("row.text IS NOT NULL").select("row_key", "row.doc_id", "row.text")
+    found = near_duplicates(some, id_col="row_key").where("doc_id <> class_id").select(F.col("doc_id").alias("row_key"), "class_id").distinct()
     found = stored(found, "classes")
     members = found.unionByName(found.select(F.col("class_id").alias("row_key"), "class_id").distinct())
-    ids = small_side(members).join(keyed.where("text IS NOT NULL").select("row_key", "doc_id"), "row_key")
+    ids = small_side(members).join(some.select("row_key", "doc_id"), "row_key")
     stays = ids.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("least")).select("least.row_key")
     gone = stored(members.join(stays, "row_key", "left_anti").select("row_key"), "gone")
     kept = keyed.join(small_side(gone), "row_key", "left_anti")
-    repeated = stored(keyed.where("text IS NOT NULL").groupBy("row_key").count().where("count > 1").select("row_key"), "repeated")
+    repeated = stored(some.groupBy("row_key").count().where("count > 1").select("row_key"), "repeated")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
+        return kept.select("row.*")
     repeated = small_side(repeated)
-    first = kept.join(repeated, "row_key", "left_semi").groupBy("row_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return kept.join(repeated, "row_key", "left_anti").select(*docs.columns).unionByName(first)
+    first = kept.join(repeated, "row_key", "left_semi").groupBy("row_key").agg(F.min("row").alias("row"))
+    return kept.join(repeated, "row_key", "left_anti").select("row.*").unionByName(first.select("row.*"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +66,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Drops documents that passages of the benchmark contaminate."""
     found = contamination(docs.select(_key().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = stored(found.where("contaminated").select(F.col("doc_id").alias("row_key")).distinct(), "gone")
-    return docs.withColumn("row_key", _key()).join(small_side(gone), "row_key", "left_anti").select(*docs.columns)
+    return _keyed(docs).join(small_side(gone), "row_key", "left_anti").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

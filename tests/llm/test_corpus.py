@@ -2,6 +2,7 @@
 
 import hashlib
 import html as htmllib
+import os
 import random
 import re
 import struct
@@ -428,6 +429,61 @@ def test_pipeline(spark, tmp_path):
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
 
 
+def test_pipeline_with_other_columns_and_without_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    passage, item = sentence(rng, 40), sentence(rng, 20)
+    texts = [sentence(rng, 80) for _ in range(30)]
+    texts[4], texts[7] = texts[2], texts[7] + " " + item * 1
+    texts[9] += " " + passage
+    texts[12] = passage + " " + texts[12]
+    schema = "row_key string, doc_id long, text string, lang string, kept string, rest string, chunk int, class_id string, row int, n_chars long, language boolean"
+    rows = [(f"k{k}", k, t, "en", "K", "R", 7, "c", k, len(t), True) for k, t in enumerate(texts)] + [("n", None, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for empty in (False, True):
+        at = docs.limit(0) if empty else docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, at, str(tmp_path))
+            assert out.columns == docs.columns
+            out.write.parquet(str(tmp_path / f"{name}{empty}"))
+            at = spark.read.parquet(str(tmp_path / f"{name}{empty}"))
+        got = {r.doc_id: r for r in at.collect()}
+        assert set(got) == (set() if empty else set(range(30)) - {4, 7})
+        assert all((r.row_key, r.kept, r.rest, r.chunk, r.class_id, r.row) == (f"k{k}", "K", "R", 7, "c", k) for k, r in got.items())
+        if not empty:
+            assert got[12].n_chars == len(got[12].text) < len(texts[12]) and got[9].text == texts[9]
+        assert (corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).count() == 0) == empty
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables here")
+def test_near_copies_of_the_tables_are_found(spark):
+    """Pairs of plain similarity 0.8 or more on five-word shingles, by brute force over common shingles."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    sets = {r.doc_id: set(shingles(r.text)) for r in docs.collect()}
+    classes = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    holders = defaultdict(list)
+    for i, some in sets.items():
+        for x in some:
+            holders[x].append(i)
+    pairs = {(a, b) for ids in holders.values() if len(ids) <= 200 for k, a in enumerate(ids) for b in ids[:k]}
+    alike = {p for p in pairs if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])}
+    found = sum(classes[a] == classes[b] for a, b in alike)
+    assert len(alike) > 20 and found >= 0.9 * len(alike)
+    linked = defaultdict(set)
+    for a, b in alike:
+        linked[a].add(b)
+        linked[b].add(a)
+    sizes = Counter(classes.values())
+    # nearly all members of a class have a partner by plain similarity too
+    lone = [i for i, c in classes.items() if sizes[c] > 1 and not linked[i]]
+    assert len(lone) <= 0.1 * sum(n for n in sizes.values() if n > 1)
+
+
 def test_rest_imports_without_llm():
     code = "import sys, importlib.abc\nclass Gone(importlib.abc.MetaPathFinder):\n    def find_spec(self, name, path=None, target=None):\n        if name.startswith('candor.llm') or name == 'corpus_pipeline': raise ModuleNotFoundError(name)\nsys.meta_path.insert(0, Gone())\nimport candor.plans.queries, candor.sources.corpus\nassert not any('llm' in m for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=str(substring.__file__).split("/candor/")[0])

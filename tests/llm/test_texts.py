@@ -1,5 +1,6 @@
 """Token counts, packing, quality statistics, licenses and language ID against plain Python."""
 
+import os
 import random
 import re
 import time
@@ -163,6 +164,23 @@ def test_quality_rules(spark):
     assert quality.judged(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no driver tables here")
+def test_rules_on_labels_not_learned_from(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    judged = quality.judged(docs, labels.where(half)).join(labels.where(~half), "doc_id")
+    kept = {r.quality: r.kept for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert kept[1] > 0.97 and kept[0] < 0.1
+
+
+def test_sample_is_bounded(spark):
+    rows = [(1, "the river and the house", "en")] * 500 + [(k, f"der fluss {k}", f"l{k % 300}") for k in range(3, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample=200)
+    assert len(model.langs) == 10 and "en" in model.langs
+
+
 def test_alignment_equals_full_table():
     rng = random.Random(4)
     for _ in range(200):
