@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,16 +45,22 @@ def assigned(words: DataFrame, centroids: DataFrame) -> DataFrame:
     return joined.withColumn("cluster", nearest(F.col("vec"), F.col("centroids"))).drop("centroids")
 
 
+def summed(words: DataFrame, weight: Column | None = None) -> DataFrame:
+    """question_id, k, sum: the weighted sum of the vectors of each cluster, combined within tasks as whole vectors."""
+    weight = F.col("n") if weight is None else weight
+    vectors = array_to_vector(scale(F.col("vec"), weight.cast("double")))
+    rows = words.select("question_id", F.col("cluster").alias("k"), vectors.alias("v"))
+    return rows.groupBy("question_id", "k").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("sum"))
+
+
 def vector_sums(words: DataFrame, weight: Column | None = None) -> DataFrame:
     """question_id, k, dim, value: weighted sums of the vectors of a cluster."""
-    weight = F.col("n") if weight is None else weight
-    dims = words.select("question_id", F.col("cluster").alias("k"), weight.cast("double").alias("w"), F.posexplode(F.col("vec").cast("array<double>")).alias("dim", "x"))
-    return dims.groupBy("question_id", "k", "dim").agg(F.sum(F.col("w") * F.col("x")).alias("value"))
+    return summed(words, weight).select("question_id", "k", F.posexplode("sum").alias("dim", "value"))
 
 
 def recentred(words: DataFrame, weight: Column | None = None) -> DataFrame:
     """question_id, k, mu: sums at unit length; a sum shorter than 1e-8 stays as it is."""
-    sums = vector_sums(words, weight).groupBy("question_id", "k").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias("mu"))
+    sums = summed(words, weight).withColumnRenamed("sum", "mu")
     length = norm(F.col("mu"))
     return sums.withColumn("mu", F.when(length < 1e-8, F.col("mu")).otherwise(scale(F.col("mu"), 1 / length)))
 
@@ -186,7 +194,7 @@ def movmf(words: DataFrame, centers: DataFrame, max_iter: int = 100, tolerance:
 
     for _ in range(max_iter):
         found = members(now)
-        sums = vector_sums(found).groupBy("question_id", "k").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias("sum"))
+        sums = summed(found)
         sums = sums.join(found.groupBy("question_id", F.col("cluster").alias("k")).agg(F.sum("n").alias("members")), ["question_id", "k"])
         both = now.join(sums, ["question_id", "k"], "left").withColumn("sum", F.coalesce("sum", F.transform("mu", lambda x: F.lit(0.0))))
         alpha = (F.coalesce("members", F.lit(0)) + F.lit(1e-6)) / F.col("all")
@@ -204,10 +212,10 @@ def movmf(words: DataFrame, centers: DataFrame, max_iter: int = 100, tolerance:
 
 def mixture_parameters(words: DataFrame) -> DataFrame:
     """Of each cluster of a question: share of words, mean resultant length and concentration."""
-    sums = vector_sums(words).groupBy("question_id", "k").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"), F.max("dim").alias("last"))
+    sums = summed(words).select("question_id", "k", norm(F.col("sum")).alias("length"), F.size("sum").cast("double").alias("d"))
     size = words.groupBy("question_id", F.col("cluster").alias("k")).agg(F.sum("n").alias("members"))
     total = F.sum("members").over(Window.partitionBy("question_id"))
     both = sums.join(size, ["question_id", "k"]).withColumn("alpha", F.col("members") / total)
     r = F.col("length") / F.col("members")
-    d = (F.col("last") + 1).cast("double")
+    d = F.col("d")
     return both.select("question_id", "k", "alpha", r.alias("r"), ((r * d - r * r * r) / F.nullif(1 - r * r, F.lit(0.0))).alias("kappa"))
