@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 MADE: list[str] = []
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Where that is unset, a local master gets a temporary folder;
+def folder(spark: SparkSession, made: list[str] = MADE) -> str:
+    """A new folder below spark.checkpoint.dir, noted in `made`. Where that is unset, a local master gets a temporary folder;
     on a cluster that is an error, as executors don't see the driver's disk."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -21,8 +21,8 @@ def folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="candor-"))
         root = context.getCheckpointDir()
-    MADE.append(f"{root.rstrip('/')}/candor-{uuid.uuid4().hex}")
-    return MADE[-1]
+    made.append(f"{root.rstrip('/')}/candor-{uuid.uuid4().hex}")
+    return made[-1]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,9 +32,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clean(spark: SparkSession) -> None:
-    """Deletes the folders; what still reads them must be written first."""
+def clean(spark: SparkSession, made: list[str] = MADE, keep: int = 0) -> None:
+    """Deletes the folders of the list but the last `keep`; what still reads them must be written first."""
     context = spark.sparkContext
-    while MADE:
-        at = context._jvm.org.apache.hadoop.fs.Path(MADE.pop())
+    for path in made[: len(made) - keep]:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        made.remove(path)
