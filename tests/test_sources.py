@@ -73,3 +73,25 @@ def test_first_answer_and_stripped(spark):
     a = spark.createDataFrame([(0, 0, "b"), (0, 0, "a")], "question_id int, owner_id int, raw_answer string")
     assert rows(corpus.unique_answers(a), "owner_id") == [(0, 0, "a")]
     assert corpus.stripped(spark.createDataFrame([("1.1 a  b",)], "value string")).first()[0] == "a b"
+
+
+def test_graded_corpus(spark, tmp_path, capsys):
+    from candor.__main__ import graded, main
+    from candor.config import Config
+
+    words = {"stack": (1, 0, 0), "queue": (0, 1, 0), "tree": (0, 0, 1), "list": (0.8, 0.6, 0), "graph": (0, 0.6, 0.8), "node": (0.6, 0, 0.8)}
+    (tmp_path / "vectors").write_text("".join(f"{w} {' '.join(map(str, v))}\n" for w, v in words.items()))
+    texts = ["a stack and a list", "the tree of nodes, a graph", "queue", "stack stack node", "", "list of lists"]
+    (tmp_path / "questions").mkdir()
+    (tmp_path / "questions/questions").write_text("".join(f"Question {q}?\n" for q in range(8)))
+    for d in ("answers", "scores"):
+        (tmp_path / d).mkdir()
+    for q in range(8):
+        (tmp_path / f"answers/{q}").write_text("".join(f"{texts[(q + k) % 6]}\n" for k in range(5)))
+        (tmp_path / f"scores/{q}").write_text(" ".join(str((q + k) % 6) for k in range(5)))
+    model = corpus.raw_word_model(spark, str(tmp_path / "vectors"))
+    got = {(r.exam_id, r.top_k): r.average for r in graded(spark, str(tmp_path), model, top=5, config=Config(clusters=3, max_iter=3, sweeps=2)).collect()}
+    assert set(got) == {(e, k) for e in (1, 2) for k in range(1, 6)}
+    # with all five answers the mean is that of all grades, over the sizes that the exams have
+    every = lambda qs: sum((q + k) % 6 for q in qs for k in range(5))
+    assert abs(got[1, 5] - every(range(7)) / 35) < 1e-9 and abs(got[2, 5] - every([7]) / 35) < 1e-9
