@@ -75,8 +75,8 @@ def test_first_answer_and_stripped(spark):
     assert corpus.stripped(spark.createDataFrame([("1.1 a  b",)], "value string")).first()[0] == "a b"
 
 
-def test_graded_corpus(spark, tmp_path, capsys):
-    from candor.__main__ import graded, main
+def test_graded_corpus(spark, tmp_path):
+    from candor.__main__ import graded
     from candor.config import Config
 
     words = {"stack": (1, 0, 0), "queue": (0, 1, 0), "tree": (0, 0, 1), "list": (0.8, 0.6, 0), "graph": (0, 0.6, 0.8), "node": (0.6, 0, 0.8)}
