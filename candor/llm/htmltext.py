@@ -24,6 +24,7 @@ host ''. Broken markup is read as far as it goes, whole pages at any length and
 that never ends is text, elements deeper than DEEPEST hang on the one there, and of a textarea
 or the like that is left open only the tag is ignored. Repeated
 rows each give a result and count as pages. An empty table gives an empty result.
+Ids are cast to long: an id that is no number is an error under ANSI.
 """
 
 from __future__ import annotations

@@ -27,6 +27,7 @@ Nulls: a null text or a null doc_id is in a class of its own (class_id is its do
 Texts without words: equal texts are one class. Rows that repeat a doc_id each give a
 result, and join their texts' classes. An empty table gives an empty result. Other
 columns are not read.
+Ids are cast to long: an id that is no number is an error under ANSI.
 """
 
 from __future__ import annotations
@@ -72,6 +73,7 @@ def _gamma(seed: int) -> np.ndarray:
 
 
 _R, _LN_C, _BETA = _gamma(1).astype(np.float32), np.log(_gamma(2)).astype(np.float32), _uniform(3).astype(np.float32)
+_ONE_R = 1 / _R
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE):
@@ -150,29 +152,51 @@ def weights(x: np.ndarray, count: np.ndarray, factors: np.ndarray) -> np.ndarray
 
 
 def samples(x: np.ndarray, w: np.ndarray, first: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
-    """n consistent weighted samples of each row (32 bits of hash); 0 for rows without shingles."""
+    """n consistent weighted samples of each row (32 bits of hash of shingle and step); 0 for rows without shingles.
+
+    Of a row's shingles the one with the smallest ln(a) is sampled, of equal ones that with the smallest hash, as rows are
+    in order of hash. Arrays are made once and filled anew for each sample."""
     out = np.zeros((n, len(first) - 1), np.uint32)
     full = np.flatnonzero(np.diff(first))
     if not len(full):
         return out
     at, lw = first[:-1][full], np.log(w)
-    mask, high = np.uint64(_TABLE - 1), np.uint64(0xFFFFFFFF00000000)
+    place, low, mask = np.arange(len(x), dtype=np.uint64), np.uint64(0xFFFFFFFF), np.int64(_TABLE - 1)
+    y, z, key = np.empty_like(x), np.empty_like(x), np.empty(len(x), np.uint64)
+    index = z.view(np.int64)
+    r, t, beta, ln_a = (np.empty(len(x), np.float32) for _ in range(4))
+
+    def look_up(table: np.ndarray, shift: int, into: np.ndarray) -> None:
+        np.right_shift(y, np.uint64(shift), out=z)
+        np.bitwise_and(index, mask, out=index)
+        np.take(table, index, out=into, mode="clip")
+
     for j in range(n):
-        y = x * _ODD[SKETCH_DEPTH + j]
-        y ^= y >> np.uint64(29)
-        y *= _ODD[SKETCH_DEPTH + n + j] if SKETCH_DEPTH + n + j < len(_ODD) else np.uint64(0xD6E8FEB86659FD93)
-        r = _R[y >> np.uint64(52)]
-        beta = _BETA[(y >> np.uint64(40)) & mask]
-        t = np.floor(lw / r + beta)
-        ln_a = _LN_C[(y >> np.uint64(28)) & mask] - r * (t - beta + 1)
-        ln_a += 64
-        key = np.maximum(ln_a, 0).view(np.uint32).astype(np.uint64)
+        k = SKETCH_DEPTH + n + j
+        np.multiply(x, _ODD[SKETCH_DEPTH + j], out=y)
+        np.right_shift(y, np.uint64(29), out=z)
+        np.bitwise_xor(y, z, out=y)
+        np.multiply(y, _ODD[k] if k < len(_ODD) else np.uint64(0xD6E8FEB86659FD93), out=y)
+        look_up(_R, 52, r)
+        np.take(_ONE_R, index, out=t, mode="clip")
+        look_up(_BETA, 40, beta)
+        t *= lw
+        t += beta
+        np.floor(t, out=t)  # the step of the weight
+        beta -= t
+        beta -= np.float32(1)
+        beta *= r
+        look_up(_LN_C, 28, ln_a)
+        ln_a += beta
+        ln_a += np.float32(64)  # positive, so that its bits are in order
+        np.maximum(ln_a, np.float32(0), out=ln_a)
+        key[:] = ln_a.view(np.uint32)
         key <<= np.uint64(32)
-        y += t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        y *= np.uint64(0xBF58476D1CE4E5B9)
-        y >>= np.uint64(32)
-        key |= y
-        out[j, full] = (np.minimum.reduceat(key, at) & ~high).astype(np.uint32)
+        key |= place
+        best = (np.minimum.reduceat(key, at) & low).astype(np.int64)
+        h = y[best] + t[best].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        out[j, full] = (h >> np.uint64(32)).astype(np.uint32)
     return out
 
 

@@ -13,6 +13,7 @@ The totals are as many numbers as tasks wrote the table.
 Nulls: a null text is empty: the end id alone. A null doc_id stays null in the result.
 Texts of any length are encoded whole and cut. Repeated rows are packed each. An empty
 table gives no pieces. Other columns are not read.
+Ids are cast to long: an id that is no number is an error under ANSI.
 """
 
 from __future__ import annotations

@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import inspect
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -17,7 +15,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candor import checkpoints
+
 BATCH_BYTES = 4 << 20
+SCAN_ROWS = 512  # a scan holds so many texts, and twice that while its buffer grows
 ROW_GROUP = 16 << 20  # of stored tables: a task holds one row group of what it writes
 #: Folders that this driver made outside any scope() and hasn't deleted
 MADE: list[str] = []
@@ -35,30 +36,14 @@ def scope() -> Iterator[list[str]]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where that is unset, a local master gets a temporary folder; on a cluster that is an error, as
-    executors don't see the driver's disk."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if root is None:
-        if not (context.master == "local" or context.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="candor-"))
-        root = context.getCheckpointDir()
+    """A new folder that driver and executors share."""
     made = _SCOPE.get()
-    made = MADE if made is None else made
-    made.append(f"{root.rstrip('/')}/candor-{uuid.uuid4().hex}")
-    return made[-1]
+    return checkpoints.folder(spark, MADE if made is None else made)
 
 
 def clean(spark: SparkSession, made: list[str] = MADE, keep: int = 0) -> None:
     """Deletes the shared folders of the list but the last `keep`. What still reads them must be written first."""
-    context = spark.sparkContext
-    for path in made[: len(made) - keep]:
-        at = context._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-        made.remove(path)
+    checkpoints.clean(spark, made, keep)
 
 
 def lean(f: Callable) -> Callable:
@@ -92,12 +77,15 @@ def lean(f: Callable) -> Callable:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets Spark send Python at most BATCH_BYTES of rows at once, so that a worker's memory doesn't
-    follow the length of texts. A lower limit that the session has stays."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+    """Lets Spark send Python at most BATCH_BYTES of rows at once, and read SCAN_ROWS of a Parquet file at once, so that
+    memory doesn't follow the length of texts. Lower limits that the session has stay. Results are
+    computed after an operator has returned, so the settings aren't taken back."""
+    conf = spark._jsparkSession.sessionState().conf()
+    now = int(conf.arrowMaxBytesPerBatch())
     if now <= 0 or now > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if int(conf.parquetVectorizedReaderBatchSize()) > SCAN_ROWS:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

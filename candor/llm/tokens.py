@@ -18,6 +18,7 @@ numbers count as 0; a null edit, or one without place and text, changes nothing.
 Nulls: a null text has no tokens and takes edits as an empty one does; a null doc_id stays.
 Texts are read whole, at any length. Repeated rows each give a result. An empty table
 gives an empty result. Other columns are not read.
+Ids are cast to long: an id that is no number is an error under ANSI.
 """
 
 from __future__ import annotations

@@ -18,6 +18,7 @@ that Spark committed stand in the index.
 Nulls: a null html is an empty payload; a null url gives no target; a null page_id sorts
 below every other. Rows that repeat page_id and payload are all of that id's type.
 Payloads of any length are one record. An empty table gives no files and no rows.
+Ids are cast to long: an id that is no number is an error under ANSI.
 """
 
 from __future__ import annotations
