@@ -98,19 +98,25 @@ def picked(mass: DataFrame, u: Column) -> DataFrame:
 def initial_centers(words: DataFrame, k: int, seed: str = "kmeans") -> DataFrame:
     """question_id, k, mu by k steps of k-means++; the first center is uniform over the words' weights.
 
-    words: question_id, pos, vec, n; pos is any column that orders a question's words. Each step is written to the shared
-    folder. The distance to the nearest center so far is taken from all of them again, which costs less than to write
-    and read every word's vector in each step to carry it."""
-    first = words.withColumn("mass", F.col("n").cast("double"))
-    q = Window.partitionBy("question_id")
-    first = first.withColumn("cdf", F.sum("mass").over(q.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) / F.nullif(F.sum("mass").over(q), F.lit(0.0)))
+    words: question_id, pos, vec, n; pos is any column that tells a question's words apart. A word is drawn by a race: of
+    exponential times with the words' masses as rates the shortest wins with the probability of its mass, so a step is an
+    aggregation that combines within tasks, where a running sum would sort a question in one. Where nothing has mass, the
+    last word by pos is taken again. Each step is written to the shared folder. The distance to the nearest center so far
+    is taken from all of them again, which costs less than to write each word's vector in each step to carry it."""
     centers = None
     for step in range(k):
-        mass = first if centers is None else seeding_mass(words, centers)
-        at = picked(mass.withColumn("u", uniform(seed, F.col("question_id"), F.lit(step))), F.col("u"))
-        new = words.join(at, ["question_id", "pos"]).select("question_id", F.lit(step).alias("k"), F.col("vec").cast("array<double>").alias("mu"))
-        centers = new if centers is None else centers.unionByName(new)
-        centers = cut(centers)
+        if centers is None:
+            mass, rows = F.col("n").cast("double"), words
+        else:
+            rows = words.join(as_list(centers, ["question_id"]), "question_id")
+            least = F.array_min(F.transform("centroids", lambda c: distance(F.col("vec"), c["mu"])))
+            mass = F.col("n") * F.when(least < SAME, 0.0).otherwise(least)
+        vec = F.col("vec").cast("array<double>").alias("mu")
+        time = -F.ln(1 - uniform(seed, F.col("question_id"), F.lit(step), F.col("pos"))) / F.nullif(F.col("mass"), F.lit(0.0))
+        raced = rows.select("question_id", "pos", vec, mass.alias("mass")).select("question_id", time.alias("time"), "pos", "mu")
+        first = F.min(F.when(F.col("time").isNotNull(), F.struct("time", "pos", "mu")))["mu"]
+        new = raced.groupBy("question_id").agg(F.coalesce(first, F.max(F.struct("pos", "mu"))["mu"]).alias("mu")).select("question_id", F.lit(step).alias("k"), "mu")
+        centers = cut(new if centers is None else centers.unionByName(new))
     return centers
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,15 +67,56 @@ def drawn(likelihood: DataFrame, seed: str, sweep: int) -> DataFrame:
     return likelihood.select("question_id", "factor", F.when(u < e0 / (e0 + e1), 0).otherwise(1).alias("indicator"))
 
 
-def synchronous(observations: DataFrame, sweeps: int, config: Config = Config(), draw: bool = False, truth: DataFrame | None = None) -> DataFrame:
-    """question_id, factor, indicator after sweeps of all factors at once.
+def _wide(observations: DataFrame) -> DataFrame:
+    """question_id, owner_id, obs: the observations of an owner's answer as one array by factor."""
+    cells = F.sort_array(F.collect_list(F.struct("factor", "obs")))
+    return observations.groupBy("question_id", "owner_id").agg(F.transform(cells, lambda c: c["obs"]).alias("obs"))
+
+
+def _listed(truth: DataFrame) -> DataFrame:
+    """question_id, z: the indicators of a question as one array by factor."""
+    cells = F.sort_array(F.collect_list(F.struct("factor", "indicator")))
+    return truth.groupBy("question_id").agg(F.transform(cells, lambda c: c["indicator"]).alias("z"))
 
-    A sweep reads the observations and the last truth twice, so both are checkpointed: without
-    that the plan would double with each sweep."""
-    observations = checkpoints.cut(observations)
-    truth = initial_truth(observations, config.seed) if truth is None else truth
+
+def _sweep(wide: DataFrame, truth: DataFrame, config: Config) -> DataFrame:
+    """As log_likelihood() with the counts of that truth, from one row for each answer instead of one for each factor.
+
+    The eight logarithms that an owner's counts allow are taken once for a row; the rows' terms are summed as vectors."""
+    rows = wide.join(_listed(truth), "question_id")
+    cell = F.zip_with("z", "obs", lambda z, o: 2 * z + o)
+    number = lambda x: F.size(F.filter("cell", lambda c: c == x))
+    count = [F.sum(number(x)).alias(f"n{x // 2}{x % 2}") for x in range(4)]
+    counts = rows.select("owner_id", cell.alias("cell")).groupBy("owner_id").agg(*count)
+    a = config.alpha
+
+    def log(i: int, o: int, less: int) -> Column:
+        total = F.lit(a[2 * i] + a[2 * i + 1]) + F.col(f"n{i}0") + F.col(f"n{i}1")
+        own = F.col(f"n{i}{o}") + F.lit(a[2 * i + o])
+        # a count that a cell itself is in is 1 at least; others don't need the smaller logarithm
+        return F.when(own - less > 0, F.ln((own - less) / total))
+
+    logs = F.array(*[log(i, o, less) for i in (0, 1) for o in (0, 1) for less in (0, 1)])
+    term = lambda i: F.zip_with("z", "obs", lambda z, o: F.get("logs", 4 * i + 2 * o + F.when(z == i, 1).otherwise(0)))
+    terms = rows.join(counts, "owner_id").withColumn("logs", logs).select("question_id", "z", array_to_vector(F.concat(term(0), term(1))).alias("v"))
+    sums = terms.groupBy("question_id").agg(F.any_value("z").alias("z"), vector_to_array(Summarizer.sum(F.col("v"))).alias("s"))
+    each = sums.select("question_id", "s", F.size("z").alias("k"), F.posexplode("z").alias("factor", "indicator"))
+    beta = [F.ln(F.lit(b)) for b in config.beta]
+    return each.select("question_id", "factor", "indicator", (F.get("s", F.col("factor")) + beta[0]).alias("l0"), (F.get("s", F.col("factor") + F.col("k")) + beta[1]).alias("l1"))
+
+
+def synchronous(observations: DataFrame, sweeps: int, config: Config = Config(), draw: bool = False, truth: DataFrame | None = None) -> DataFrame:
+    """question_id, factor, indicator after sweeps of all factors at once. Every answer to a question has all its factors,
+    numbered from 0, as observations() gives them.
+
+    The observations are written once, one row for each answer, and the truth after each sweep."""
+    wide = checkpoints.cut(_wide(observations))
+    if truth is None:
+        every = wide.groupBy("question_id").agg(F.max(F.size("obs")).alias("k"))
+        factors = every.select("question_id", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("factor"))
+        truth = checkpoints.cut(initial_truth(factors, config.seed))
     for k in range(sweeps):
-        likelihood = log_likelihood(observations, truth, prior_counts(observations, truth), config)
+        likelihood = _sweep(wide, truth, config)
         truth = checkpoints.cut(drawn(likelihood, config.seed, k) if draw else most_likely(likelihood))
     return truth
 

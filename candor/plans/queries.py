@@ -143,8 +143,9 @@ for _p in "pw":
         else:
             STEPS[f"{_p}m{_k}"] = f"""SELECT question_id, content, n * CASE WHEN least < 1e-6 THEN 0 ELSE least END AS mass FROM
                 (SELECT question_id, content, n, min(abs(2 - 2 * list_dot_product(vec, mu))) AS least FROM {_w} JOIN {_p}c{_k - 1} USING (question_id) GROUP BY question_id, content, n)"""
-        STEPS[f"{_p}i{_k}"] = f"""SELECT question_id, coalesce(min(CASE WHEN cdf > u THEN content END), max(CASE WHEN mass > 0 THEN content END), max(content)) AS content FROM
-            (SELECT question_id, content, mass, {_u(f"'truth:kmeans|' || question_id || '|{_k}'")} AS u, sum(mass) OVER (PARTITION BY question_id ORDER BY content ROWS UNBOUNDED PRECEDING) / nullif(sum(mass) OVER (PARTITION BY question_id), 0) AS cdf FROM {_p}m{_k}) GROUP BY question_id"""
+        _key = f"'truth:kmeans|' || question_id || '|{_k}|' || content"
+        STEPS[f"{_p}i{_k}"] = f"""SELECT question_id, coalesce(arg_min(content, time) FILTER (WHERE time IS NOT NULL), max(content)) AS content FROM
+            (SELECT question_id, content, -ln(1 - {_u(_key)}) / nullif(mass, 0) AS time FROM {_p}m{_k}) GROUP BY question_id"""
         STEPS[f"{_p}c{_k}"] = (f"SELECT * FROM {_p}c{_k - 1} UNION ALL " if _k else "") + f"SELECT question_id, {_k} AS k, vec AS mu FROM {_w} JOIN {_p}i{_k} USING (question_id, content)"
     for _k in range(3):
         _c = f"{_p}c{FACTORS - 1}" if _k == 0 else f"{_p}cen{_k}"

@@ -138,6 +138,18 @@ def test_observations_and_chain(spark, answers):
     assert truth.synchronous(obs, 6, Config(), draw=True).count() == 9
 
 
+def test_sweeps_by_answer_equal_those_by_cell(spark):
+    rng = np.random.default_rng(5)
+    cells = [(q, o, f, int(rng.random() < 0.4)) for q in range(6) for o in range(7) for f in range(4) if (q + o) % 3]
+    obs = spark.createDataFrame(cells, "question_id int, owner_id int, factor int, obs int")
+    z = truth.initial_truth(obs)
+    expected = {(r.question_id, r.factor): r for r in truth.log_likelihood(obs, z, truth.prior_counts(obs, z)).collect()}
+    got = {(r.question_id, r.factor): r for r in truth._sweep(truth._wide(obs), z, Config()).collect()}
+    assert set(got) == set(expected)
+    for k, r in got.items():
+        assert r.indicator == expected[k].indicator and r.l0 == pytest.approx(expected[k].l0) and r.l1 == pytest.approx(expected[k].l1)
+
+
 def test_chain_equals_a_plain_loop(spark):
     rng = np.random.default_rng(3)
     cells = [(q, o, f, int(rng.random() < 0.4)) for q in range(4) for o in range(5) for f in range(3)]
