@@ -19,6 +19,7 @@ with a null id is judged like any other; an item with a null id marks words as h
 is neither counted nor listed. Empty texts and items without words match nothing.
 Repeated rows of documents each give a result; repeated items count once. An empty
 benchmark leaves every document clean.
+Ids are cast to long: an id that is no number is an error under ANSI.
 """
 
 from __future__ import annotations
@@ -209,8 +210,13 @@ def _block(rows: list, size: int) -> tuple:
 
 
 @lean
-def _search(batches, shared, every: bool):
-    """every: rows for documents without a match as well."""
+def _search(batches, shared, every: bool, verdict: bool = False):
+    """every: rows for documents without a match as well; verdict: RESULT instead of FOUND."""
+    found = _found(batches, shared, every)
+    yield from _verdicts(found) if verdict else found
+
+
+def _found(batches, shared, every: bool):
     words, lengths, of, names = shared.value
     for batch in batches:
         for segment, row in zip(batch.column("segment").to_pylist(), batch.drop_columns(["segment"]).to_pylist(), strict=True):
@@ -270,23 +276,30 @@ def merged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.stack([a[at], b[np.append(at[1:], len(a)) - 1]], 1).astype(np.int64)
 
 
+def _blocks(benchmark: DataFrame, size: int, item_col: str, text_col: str) -> list[DataFrame]:
+    """The benchmark's phrases, stored, in blocks of some BLOCK_PHRASES; at least one."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    every = stored(phrases(items, size), "phrases")
+    n = -(-every.count() // BLOCK_PHRASES) or 1
+    return [every] if n == 1 else [every.where(F.pmod(F.xxhash64("words"), F.lit(n)) == k) for k in range(n)]
+
+
 def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Of each document: its words, the merged spans (pairs of 64-bit integers) of words in windows of items, and these items.
 
     The first block gives a row for each document, later ones for those with matches, which are put together."""
-    context = index.sparkSession.sparkContext
     small_batches(index.sparkSession)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    every = stored(phrases(items, size), "phrases")
-    n_blocks = -(-every.count() // BLOCK_PHRASES) or 1
+    return _searched(index, _blocks(benchmark, size, item_col, text_col), size)
+
+
+def _searched(index: DataFrame, blocks: list[DataFrame], size: int) -> DataFrame:
     found = None
-    for k in range(n_blocks):
-        block = every if n_blocks == 1 else every.where(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == k)
-        shared = context.broadcast(_block(block.collect(), size))
+    for k, block in enumerate(blocks):
+        shared = index.sparkSession.sparkContext.broadcast(_block(block.collect(), size))
         part = stored(index.mapInArrow(partial(_search, shared=shared, every=not k), FOUND), "found")
         shared.destroy()
         found = part if found is None else found.unionByName(part)
-    if n_blocks == 1:
+    if len(blocks) == 1:
         return found
     together = found.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     return stored(together.mapInArrow(_join_blocks, FOUND), "matches")
@@ -304,6 +317,10 @@ def _join_blocks(batches):
 
 @lean
 def _verdict(batches):
+    yield from _verdicts(batches)
+
+
+def _verdicts(batches):
     for batch in batches:
         n_words = batch.column("n_words").to_numpy()
         n_hit = np.array([int(np.diff(np.frombuffer(s, np.int64).reshape(-1, 2)).sum()) if s else 0 for s in batch.column("spans").to_pylist()], np.int64)
@@ -323,4 +340,9 @@ def _verdict(batches):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Of each document: n_words, n_hit, n_items, items_sha256 and contaminated (a twentieth of its words or more are hit)."""
-    return search(index(docs), benchmark, size).mapInArrow(_verdict, RESULT)
+    small_batches(docs.sparkSession)
+    blocks, segments = _blocks(benchmark, size, "item_id", "text"), index(docs)
+    if len(blocks) == 1:  # nothing to put together
+        shared = docs.sparkSession.sparkContext.broadcast(_block(blocks[0].collect(), size))
+        return segments.mapInArrow(partial(_search, shared=shared, every=True, verdict=True), RESULT)
+    return _searched(segments, blocks, size).mapInArrow(_verdict, RESULT)
