@@ -17,13 +17,13 @@ Documents are dealt to chunks of a few megabytes. The method is:
 3. Each chunk removes the words of windows that start in a smaller document.
 
 A window that stands in a third of all documents is one entry for each chunk, so no
-group holds a third of the rows. A task has several chunks where there are more than MOST_TASKS, one in
-memory at a time. Windows are told apart by 96 bits of hash.
+group holds a third of the rows. A task has several chunks, one in memory at a time. Windows are told apart by 96 bits of hash.
 
 Nulls: a null text has no words. A null doc_id neither removes words nor loses any.
 Rows that repeat a doc_id are one document in comparisons, and each gives a result.
 Texts shorter than a window lose nothing. An empty table gives an empty result.
 Columns other than the two named are not read by the operator.
+Ids are cast to long: an id that is no number is an error under ANSI.
 """
 
 from __future__ import annotations
@@ -38,24 +38,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import first_of_runs, lean, member, pack, pack_sorted, slices_of_runs, small_batches, unpack, unpack_sorted
+from .shared import first_of_runs, lean, member, pack, pack_sorted, settled, slices_of_runs, small_batches, unpack, unpack_sorted
 from .words import NOT_SPACE, WordHash, cuts, hashed_words, scan, utf8, window_hash, window_starts
 
 WINDOW = 13
 DEPTH = 2
 CHUNK_BYTES = 4 << 20
 RANGE_BITS = 22, 28  # of the columns that one task owns, from small corpora to large ones
-MOST_TASKS = 20_000
+CHUNKS, MOST_TASKS = 4, 20_000  # chunks of a task, which has one of them in memory at a time; more beyond so many tasks
 _HASH = WordHash(4)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _ODD = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
-PART = "chunk long, row int, shard long, cols binary, more binary"
+PART = "chunk int, row int, shard int, cols binary, more binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def plan(n_bytes: int) -> dict:
-    """Chunks, tasks, sketch columns and shards for so many bytes of text.
+def plan(n_bytes: int, parallel: int = 8) -> dict:
+    """Chunks, tasks, sketch columns and shards for so many bytes of text and tasks at once.
 
     Columns grow with the corpus. So do, by a root of it, chunks and the columns that a task owns: a chunk
     then has enough windows for each shard of the sketch that packing them is worth it. At 100 TB these are 3 million chunks of 32 MB in
@@ -64,7 +64,8 @@ def plan(n_bytes: int) -> dict:
     low, high = RANGE_BITS
     span = min(width - 3, max(low, min(high, (width + 10) // 2)))
     chunks = max(32, math.ceil(n_bytes / (CHUNK_BYTES << max(0, min(3, (width - 34) // 4)))))
-    return {"chunks": chunks, "tasks": min(chunks, MOST_TASKS), "width": width, "range": span, "exact": max(3, width - span)}
+    tasks = min(chunks, MOST_TASKS, max(2 * parallel, math.ceil(chunks / CHUNKS)))
+    return {"chunks": chunks, "tasks": tasks, "width": width, "range": span, "exact": max(3, width - span)}
 
 
 def _windows(texts, ids, size: int):
@@ -99,7 +100,7 @@ def _sketch(key, docs: pa.Table, size: int, p: dict) -> pa.Table:
     x, chunk = window_hash(h, at, size), key[0].as_py()
     bits = np.uint64(max(1, int(len(distinct) - 1).bit_length()))
     rows = []
-    for row in range(DEPTH):
+    for row in range(DEPTH) if len(x) else ():
         col = _column(x, row, p["width"])
         if p["width"] + int(bits) <= 64:
             both = np.sort((col << bits) | rank)
@@ -117,14 +118,14 @@ def _sketch(key, docs: pa.Table, size: int, p: dict) -> pa.Table:
 
 
 def _batch(rows) -> pa.RecordBatch:
-    names, kinds = ("chunk", "row", "shard", "cols", "more"), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    names, kinds = ("chunk", "row", "shard", "cols", "more"), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
 
 @lean
-def _merge(key, table: pa.Table, p: dict) -> pa.Table:
+def _merge(table: pa.Table, p: dict) -> pa.Table:
     """One shard of the sketch: the counts of all chunks, and each chunk's columns that count two or more."""
-    shard = key[1].as_py()
+    row, shard = table["row"][0].as_py(), table["shard"][0].as_py()
     base = np.uint64(shard << p["range"])
     counts = np.zeros(1 << p["range"], np.uint8)
     blobs = table.select(["chunk", "cols", "more"]).to_pylist()
@@ -137,7 +138,7 @@ def _merge(key, table: pa.Table, p: dict) -> pa.Table:
         cols = unpack_sorted(b["cols"])
         cols = cols[counts[(cols - base).astype(np.int64)] >= 2]
         if len(cols):
-            rows.append((b["chunk"], key[0].as_py(), shard, pack_sorted(cols), None))
+            rows.append((b["chunk"], row, shard, pack_sorted(cols), None))
     return pa.Table.from_batches([_batch(rows)])
 
 
@@ -174,7 +175,7 @@ def _exact(key, docs: pa.Table, replies: pa.Table, size: int, p: dict) -> pa.Tab
 
 
 @lean
-def _smallest(key, table: pa.Table) -> pa.Table:
+def _smallest(table: pa.Table) -> pa.Table:
     """Exact groups of one shard: to each chunk, a bit for each of its windows that has a smaller document elsewhere."""
     blobs = table.to_pylist()
     xs = [unpack_sorted(b["cols"]) for b in blobs]
@@ -250,13 +251,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
     result = RESULT + (f", rest {docs.schema['rest'].dataType.simpleString()}" if rest else "")
     small_batches(docs.sparkSession)
-    p = plan(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    # rows are dealt by place, not by value: any number of equal rows spreads over all chunks
-    chunked = docs.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(p["chunks"]))).repartition(p["tasks"], "chunk")
+    docs = settled(docs)
+    p = plan(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, docs.sparkSession.sparkContext.defaultParallelism)
+    # rows are dealt by place in the input, not by value: any number of equal rows spreads over all chunks, and tasks have equally many chunks
+    chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(p["chunks"])).cast("int")
+    chunked = docs.withColumn("chunk", chunk).repartitionById(p["tasks"], "chunk")
     sent = chunked.groupBy("chunk").applyInArrow(lambda key, t: _sketch(key, t, size, p), PART)
-    repeated = sent.groupBy("row", "shard").applyInArrow(lambda key, t: _merge(key, t, p), PART)
-    repeated = repeated.repartition(p["tasks"], "chunk")  # one exchange, and one of the texts, serve both readers
+    owner = (F.col("row") * (1 << (p["width"] - p["range"])) + F.col("shard")).cast("int")
+    owned = sent.withColumn("owner", owner).repartitionById(p["tasks"], "owner")
+    repeated = owned.groupBy("owner").applyInArrow(lambda t: _merge(t, p), PART)
+    repeated = repeated.repartitionById(p["tasks"], "chunk")  # one exchange, and one of the texts, serve both readers
     windows = chunked.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(lambda k, a, b: _exact(k, a, b, size, p), PART)
-    answers = windows.groupBy("shard").applyInArrow(lambda key, t: _smallest(key, t), PART)
-    replies = repeated.unionByName(answers)
+    answers = windows.repartitionById(p["tasks"], "shard").groupBy("shard").applyInArrow(lambda t: _smallest(t), PART)
+    replies = repeated.unionByName(answers).repartitionById(p["tasks"], "chunk")
     return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(lambda k, a, b: _remove(k, a, b, size, p, text), result)

@@ -152,7 +152,11 @@ def test_substring_dedup(spark):
     assert sorted(rows_got, key=repr) == sorted(expected, key=repr)
     assert got.select("rest.chunk", "rest.row").distinct().count() == 1
     assert sum(e[2] for e in expected) > 500
+    shuffled = substring.remove_repeats(docs.repartition(5, "text"), text=False)  # written first, as its order isn't fixed
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in shuffled.collect() if r.doc_id is not None) == sorted(e[:4] for e in expected if e[0] is not None)
     assert substring.remove_repeats(docs.limit(0)).count() == 0
+    few = frame(spark, [(1, "a few words"), (2, None), (3, ""), (4, "a few words")])  # no window at all
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(few).collect()) == [(1, 3, 0), (2, 0, 0), (3, 0, 0), (4, 3, 0)]
 
 
 def brute_contamination(docs, items):
