@@ -72,6 +72,11 @@ def movement(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("question_id").agg(F.sum(norm(subtract(F.col("a"), F.coalesce("b", zero)))).alias("moved"))
 
 
+def _moved(centers: DataFrame) -> DataFrame:
+    """As movement(), of centers that stand beside their old ones."""
+    return centers.groupBy("question_id").agg(F.sum(norm(subtract(F.col("old"), F.col("mu")))).alias("moved"))
+
+
 def histogram(words: DataFrame) -> DataFrame:
     return words.groupBy("question_id", "cluster").agg(F.sum("n").alias("n"))
 
@@ -127,7 +132,7 @@ def kmeans(words: DataFrame, centers: DataFrame, max_iter: int = 100, tolerance:
         new = old.join(recentred(assigned(words, centers)), ["question_id", "k"], "left")
         # a cluster without words gets a zero center, whose cosine 0 beats negative ones
         new = cut(new.select("question_id", "k", "old", F.coalesce("mu", F.transform("old", lambda x: F.lit(0.0))).alias("mu")))
-        still = movement(new.select("question_id", "k", F.col("old").alias("mu")), new).where(F.col("moved") > tolerance).isEmpty()
+        still = _moved(new).where(F.col("moved") > tolerance).isEmpty()
         centers = new.select("question_id", "k", "mu")
         if still:
             break
@@ -209,7 +214,7 @@ def movmf(words: DataFrame, centers: DataFrame, max_iter: int = 100, tolerance:
         length = norm(F.col("sum"))
         mu = F.when(length < 1e-8, F.col("sum")).otherwise(scale(F.col("sum"), 1 / length))
         new = cut(both.select("question_id", "k", F.col("mu").alias("old"), mu.alias("mu"), "all", alpha.alias("alpha"), kappa.alias("kappa")))
-        still = movement(new.select("question_id", "k", F.col("old").alias("mu")), new).where(F.col("moved") > tolerance).isEmpty()
+        still = _moved(new).where(F.col("moved") > tolerance).isEmpty()
         now = new.drop("old")
         if still:
             break
