@@ -151,9 +151,9 @@ def save_results(results: DataFrame, path: str) -> DataFrame:
 
 def label_counts(lines: DataFrame, marker: str = ";Edge") -> DataFrame:
     """file, zero, nonzero: labels of numbered lines before a file's first line that starts with the marker."""
-    seen = F.max(F.col("value").startswith(marker).cast("int")).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    stop = lines.where(F.col("value").startswith(marker)).groupBy("file").agg(F.min("line").alias("stop"))
     label = F.regexp_extract("value", "^([0-9]+)", 1)
-    rows = lines.withColumn("seen", seen).where((F.col("seen") == 0) & F.col("value").rlike("^[0-9]"))
+    rows = lines.join(stop, "file", "left").where((F.col("stop").isNull() | (F.col("line") < F.col("stop"))) & F.col("value").rlike("^[0-9]"))
     return rows.groupBy("file").agg(F.count_if(label.cast("int") == 0).alias("zero"), F.count_if(label.cast("int") != 0).alias("nonzero"))
 
 
