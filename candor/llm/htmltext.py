@@ -68,7 +68,6 @@ _MARKUP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 _ATTR = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[a-z0-9]+")
-_SPACE = re.compile(r"\s+")
 _CLOSES_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
 _SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Parts that say nothing without the rest: they are template only with their list or table
@@ -230,6 +229,19 @@ def _kept(n: Node) -> bool:
     return not n.drop or n.tag in ("body", "html", "article", "main")
 
 
+def _has_text(start: Node) -> bool:
+    """Whether blocks() of it are any."""
+    todo: list = [start]
+    while todo:
+        n = todo.pop()
+        if type(n) is str:
+            if htmllib.unescape(n).strip():
+                return True
+        elif n is start or not n.drop:
+            todo += n.children
+    return False
+
+
 def mains(root: Node) -> list[Node]:
     """Outermost articles that hold text, else `main` elements, else the body or the root."""
     for want in ("article", "main", "body"):
@@ -240,7 +252,7 @@ def mains(root: Node) -> list[Node]:
                 found.append(n)
             else:
                 todo += [c for c in reversed(n.children) if type(c) is not str and _kept(c)]
-        if any(blocks(n) for n in found):
+        if any(_has_text(n) for n in found):
             return found
     return [root]
 
@@ -251,7 +263,7 @@ _SKIP = frozenset(("#root", "body", "html", "br", "hr", "head", "meta"))
 def _hash(n: Node, salt: bytes) -> bytes:
     h = blake2b(salt + f"{n.tag} {n.mark}".encode(), digest_size=8)
     for c in n.children:
-        h.update(_SPACE.sub(" ", c).strip().encode("utf-8", "replace") if type(c) is str else b"\0" + c.hash)
+        h.update(" ".join(c.split()).encode("utf-8", "replace") if type(c) is str else b"\0" + c.hash)
     return h.digest()
 
 
@@ -300,7 +312,7 @@ def blocks(start: Node, template: frozenset = frozenset()) -> list[str]:
     def flush():
         if text:
             # references first: a decoded space is white space too
-            s = _SPACE.sub(" ", htmllib.unescape("".join(text))).strip()
+            s = " ".join(htmllib.unescape("".join(text)).split())
             text.clear()
             if s:
                 out.append(s)
@@ -342,7 +354,9 @@ def main_text(page: str | None, template: frozenset = frozenset()) -> str:
     root = parse(page)
     main = mains(root)
     if template:
-        hashes(root, main)
+        _, within = hashes(root, main)
+        if not any(n.tag in ("body", "#root") for n in main) and all(template.isdisjoint(h) for h in within.values()):
+            template = frozenset()  # none of it is in this page's article
     return "\n\n".join(b for n in main for b in _rest(n, template))
 
 
