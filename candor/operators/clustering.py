@@ -106,27 +106,29 @@ def initial_centers(words: DataFrame, k: int, seed: str = "kmeans") -> DataFrame
     words: question_id, pos, vec, n; pos is any column that tells a question's words apart. A word is drawn by a race: of
     exponential times with the words' masses as rates the shortest wins with the probability of its mass, so a step is an
     aggregation that combines within tasks, where a running sum would sort a question in one. Where nothing has mass, the
-    last word by pos is taken again. Each step is written to the shared folder. The distance to the nearest center so far
-    is taken from all of them again, which costs less than to write each word's vector in each step to carry it."""
-    centers = None
+    last word by pos is taken again. The distance of each word to its nearest center so far is carried: a step writes it
+    to the shared folder, and looks at the newest center only."""
+    vec = F.col("vec").cast("array<double>").alias("vec")
+    state, centers = words.select("question_id", "pos", vec, F.col("n").cast("double").alias("n"), F.lit(1.0).alias("least")), None
     for step in range(k):
-        if centers is None:
-            mass, rows = F.col("n").cast("double"), words
-        else:
-            rows = words.join(as_list(centers, ["question_id"]), "question_id")
-            least = F.array_min(F.transform("centroids", lambda c: distance(F.col("vec"), c["mu"])))
-            mass = F.col("n") * F.when(least < SAME, 0.0).otherwise(least)
-        vec = F.col("vec").cast("array<double>").alias("mu")
-        time = -F.ln(1 - uniform(seed, F.col("question_id"), F.lit(step), F.col("pos"))) / F.nullif(F.col("mass"), F.lit(0.0))
-        raced = rows.select("question_id", "pos", vec, mass.alias("mass")).select("question_id", time.alias("time"), "pos", "mu")
-        first = F.min(F.when(F.col("time").isNotNull(), F.struct("time", "pos", "mu")))["mu"]
-        new = raced.groupBy("question_id").agg(F.coalesce(first, F.max(F.struct("pos", "mu"))["mu"]).alias("mu")).select("question_id", F.lit(step).alias("k"), "mu")
+        if centers is not None:
+            newest = centers.where(F.col("k") == step - 1).select("question_id", F.col("mu").alias("newest"))
+            far = distance(F.col("vec"), F.col("newest"))
+            far = F.when(far < SAME, 0.0).otherwise(far)
+            nearest_yet = far if step == 1 else F.least("least", far)
+            state = cut(state.join(newest, "question_id").select("question_id", "pos", "vec", "n", nearest_yet.alias("least")))
+        time = -F.ln(1 - uniform(seed, F.col("question_id"), F.lit(step), F.col("pos"))) / F.nullif(F.col("n") * F.col("least"), F.lit(0.0))
+        raced = state.select("question_id", time.alias("time"), "pos")
+        first = F.min(F.when(F.col("time").isNotNull(), F.struct("time", "pos")))["pos"]
+        picked = raced.groupBy("question_id").agg(F.coalesce(first, F.max("pos")).alias("pos"))
+        new = state.join(picked, ["question_id", "pos"]).select("question_id", F.lit(step).alias("k"), F.col("vec").alias("mu"))
         centers = cut(new if centers is None else centers.unionByName(new))
     return centers
 
 
 def kmeans(words: DataFrame, centers: DataFrame, max_iter: int = 100, tolerance: float = 1e-12) -> tuple[DataFrame, DataFrame]:
     """(words with cluster, centroids) by DataFrame steps, until no question's centroids move."""
+    words = words.withColumn("vec", F.col("vec").cast("array<double>"))  # once, not for each center
     for _ in range(max_iter):
         old = centers.select("question_id", "k", F.col("mu").alias("old"))
         new = old.join(recentred(assigned(words, centers)), ["question_id", "k"], "left")
