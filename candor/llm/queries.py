@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over whole tables, and the SQL that checks those that SQL can express."""
+"""Queries op1 to op13 over whole tables, and the SQL that checks those that SQL can express."""
 
 from __future__ import annotations
 
@@ -80,6 +80,27 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .transducer import encode_texts
+
+    return encode_texts(_table(spark, sf_dir, "documents"), ids=False, decoded=True)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claimed texts are in small letters where 5 divides the crc32 of doc_id."""
+    from .merkle import manifest
+
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return manifest(_table(spark, sf_dir, "documents"), F.when(tampered, lower).otherwise(F.col("text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_near_dedup": op2_near_dedup,
@@ -91,8 +112,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op11_bpe_transducer": op11_bpe_transducer,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+#: DuckDB has no CRC-32: its table, from the polynomial, and the number of a string's bytes
+_CRC_TABLE = """SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+    FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def _crc32(s: str) -> str:
+    """SQL for the unsigned CRC-32 of a string that isn't empty, where the table's column t is at hand."""
+    data = f"list_transform(regexp_extract_all(hex(encode({s})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce({data}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def _lower(s: str) -> str:
+    return f"translate({s}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _merkle_sql() -> str:
+    """Every level of the tree as a step: nodes, their number, and what is left and right of each in its run."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    steps = [
+        f"tab AS ({_CRC_TABLE})",
+        f"docs AS (SELECT doc_id, coalesce(':' || source, '-') AS tree, {leaf('text')} AS leaf, CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN {leaf(_lower('text'))} ELSE {leaf('text')} END AS claimed FROM documents, tab)",
+        "leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM docs)",
+    ]
+
+    def levels(name: str, start: str, most: int) -> None:
+        steps.append(f"{name}_0 AS ({start})")
+        for k in range(most):
+            run = "PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN"
+            steps.append(f"""{name}{k} AS MATERIALIZED (SELECT tree, i, d, count(*) OVER (PARTITION BY tree) AS n,
+                coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}_{k})""")
+            steps.append(f"{name}_{k + 1} AS (SELECT tree, i // 16 AS i, CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM {name}{k} GROUP BY tree, i // 16)")
+
+    levels("s", "SELECT tree, pos AS i, leaf AS d FROM leaves", 7)
+    steps.append("sub AS MATERIALIZED (SELECT tree, d AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM s_7)")
+    levels("u", "SELECT 'all' AS tree, place AS i, subroot AS d FROM sub", 4)
+    step = "f0 AS (SELECT doc_id, leaf, claimed AS f, '' AS proof, pos, tree, subroot, place FROM leaves JOIN sub USING (tree))"
+    steps.append(step)
+    for k, (name, size, at, tree) in enumerate([("s", 16**k, "pos", "x.tree = f.tree") for k in range(7)] + [("u", 16**k, "place", "true") for k in range(4)]):
+        level = k if name == "s" else k - 7
+        steps.append(f"""f{k + 1} AS (SELECT doc_id, leaf, CASE WHEN n > 1 THEN sha256(l || f || r) ELSE f END AS f, CASE WHEN n > 1 THEN proof || l || r ELSE proof END AS proof, pos, f.tree AS tree, subroot, place
+            FROM f{k} f JOIN {name}{level} x ON {tree} AND x.i = {at} // {size})""")
+    return "WITH " + ",\n".join(steps) + "\nSELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = d AS verified FROM f11, u_4"
+
 ORACLE: dict[str, str] = {
     "op3_warc": r"""
 WITH p AS (
@@ -153,4 +221,30 @@ SELECT d.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n,
        sha256(coalesce(it.s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """,
+    "op12_spelling_variants": rf"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}), r AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({_lower("text")}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+), k AS (
+  SELECT id, run, {_crc32("id || ':' || run")} AS h FROM (SELECT DISTINCT id, run FROM r), tab
+), w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM r JOIN k USING (id, run)
+), v AS MATERIALIZED (
+  SELECT word, count(*) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING count(*) >= 3
+), d AS MATERIALIZED (
+  SELECT word, n, p, left(word, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)
+), g AS MATERIALIZED (
+  SELECT DISTINCT d.word AS a, d.n AS an, v.word AS b, v.n AS bn FROM d JOIN v ON d.rest = v.word
+), e AS (
+  SELECT a.word AS word, b.word AS near, b.n AS m FROM d a JOIN d b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION ALL SELECT a, b, bn FROM g UNION ALL SELECT b, a, an FROM g
+), s AS (
+  SELECT word, count(*) AS n_near, max(m) AS m, arg_min(near, (-m, near)) AS near FROM e GROUP BY word
+), f AS MATERIALIZED (
+  SELECT v.word AS word, v.n AS n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN near END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n FROM v LEFT JOIN s ON v.word = s.word
+), t AS (
+  SELECT word, word AS root FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON t.root = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word AS word, n, n_near, form, form_n, x.root AS root FROM f JOIN (SELECT t.word AS word, t.root AS root FROM t JOIN f ON t.root = f.word WHERE f.form IS NULL) x ON f.word = x.word
+""",
+    "op13_merkle_manifest": _merkle_sql(),
 }
