@@ -4,7 +4,7 @@ Encoding. A text passes in chunks through four stages, each of which holds back
 special tokens (a suffix that could begin one), normalisation (from the last character that never joins the one
 before it), pre-tokens (three characters) and BPE. BPE holds back `lookahead` symbols: tokens that end before are stable,
 whatever follows. Text is cut at ASCII white space, which no stage looks across; a short unit between two
-cuts takes its ids from a cache of bounded size, a longer one is streamed. So besides the row itself and the cache
+cuts, and each of its pre-tokens, takes its ids from a cache of bounded size; a longer one is streamed. So besides the row itself and the cache
 a task holds a few kilobytes, at any length of text or word.
 
 Lookahead. BPE applies merges in the order of their rank. Let two texts agree before a place. Their symbols can first
@@ -32,6 +32,7 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from functools import lru_cache, partial
 
@@ -49,8 +50,11 @@ from .words import utf8
 DEFAULT = "word_bpe_49k.json"
 CHUNK = 1 << 16  # bytes of text, or ids, that go through the stages at once
 BLOCK = 4096  # symbols beyond the lookahead that BPE gathers before it merges
-CACHE = 200_000  # units of which a worker keeps the ids
+CACHE = 400_000  # units, and as many pre-tokens, of which a worker keeps the ids
 UNIT = 128  # bytes of the longest unit that is kept
+SHORT = 32  # symbols that are merged by a plain search
+#: The pre-tokens of text in printable ASCII, in lower case, without white space
+_ASCII = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 SPACES = b" \t\n\r\x0b\x0c"
 
 
@@ -80,6 +84,8 @@ class Merges:
     def merge(self, symbols: list[str]) -> list[str]:
         """The tokens of a run of symbols: always the merge of the lowest rank, the leftmost of equal ones."""
         rank, n = self.rank, len(symbols)
+        if n <= SHORT:
+            return self._merge_short(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(rank[p], k) for k, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in rank]
         heapq.heapify(heap)
@@ -99,6 +105,39 @@ class Merges:
                 heapq.heappush(heap, (s, p))
         return [s for s in symbols if s is not None]
 
+    def _merge_short(self, symbols: list[str]) -> list[str]:
+        get, last = self.rank.get, len(self.rank)
+        ranks = [get(p, last) for p in zip(symbols, symbols[1:], strict=False)]
+        while ranks and (r := min(ranks)) < last:
+            k = ranks.index(r)
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get((symbols[k - 1], symbols[k]), last)
+            if k < len(ranks):
+                ranks[k] = get((symbols[k], symbols[k + 1]), last)
+        return symbols
+
+
+class Cache(dict):
+    """What `make` gives for a key, kept for up to `most` keys: when half of them are new, those not asked for since then go."""
+
+    def __init__(self, make, most: int, longest: int | None = None):
+        super().__init__()
+        self.make, self.half, self.longest, self.old = make, most // 2, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if self.longest is not None and len(key) > self.longest:
+                return value
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
 
 class PieceStream:
     """The tokens of one pre-token that comes in parts."""
@@ -227,7 +266,27 @@ class Model:
         self.symbol = {b: c for c, b in _byte_of_char().items()}
         self.names = {i: t for t, i in (model["vocab"] | self.special).items()}
         self.decoder = (file.get("decoder") or {}).get("type")
-        self.cache: dict[bytes, bytes] = {}
+        self.units, self.known = Cache(self.unit, CACHE, UNIT), Cache(self.piece, CACHE)
+        self.ascii = self._agrees()
+
+    def _agrees(self) -> bool:
+        """Whether the file treats printable ASCII as _ASCII and lower case do."""
+        text = "".join(map(chr, range(33, 127)))
+        sample = text + "It'sWE'VEi'mA1'llX'd''re!'t?" + "'".join(text)
+        return [p for p, _ in self.pieces(self.normalise(sample))] == _ASCII.findall(sample.lower())
+
+    def piece(self, symbols: str) -> bytes:
+        """Ids of a whole pre-token."""
+        return _packed([self.merges.vocab[t] for t in self.merges.merge([*symbols[:-1], symbols[-1] + self.merges.suffix])])
+
+    def unit(self, unit: bytes) -> bytes:
+        """Ids of text without ASCII white space."""
+        text = unit.decode("utf-8", "replace")
+        if len(unit) > UNIT or any(t[:2] in text for t in self.special):
+            return _packed(UnitStream(self).feed(unit, True))
+        if self.ascii and text.isascii() and text.isprintable():
+            return b"".join([self.known[p] for p in _ASCII.findall(text.lower())])
+        return b"".join([self.known[p] for p, _ in self.pieces(self.normalise(text))])
 
     def symbols(self, text: str) -> str:
         return text.encode().decode("latin-1").translate(self.symbol)
@@ -273,23 +332,12 @@ class Encoder:
             first = head.split(None, 1) if head[:1] not in SPACES or not head else [b"", head]
             out.append(self._hold(first[0] if first else b"") + self._finish())
             head = first[1] if len(first) > 1 else b""
-        out += map(self._unit, head.split())
+        out += map(self.m.units.__getitem__, head.split())
         return b"".join(out) + self._hold(rest.strip(SPACES))
 
     def end(self) -> bytes:
         return self._finish()
 
-    def _unit(self, unit: bytes) -> bytes:
-        known = self.m.cache
-        ids = known.get(unit)
-        if ids is None:
-            ids = _packed(UnitStream(self.m).feed(unit, True))
-            if len(unit) <= UNIT:
-                if len(known) >= CACHE:
-                    known.clear()
-                known[unit] = ids
-        return ids
-
     def _hold(self, part: bytes) -> bytes:
         """Gathers a unit whose end isn't there yet; a long one is streamed."""
         if self.long is None:
@@ -304,7 +352,7 @@ class Encoder:
             stream, self.long = self.long, None
             return _packed(stream.feed(b"", True))
         tail, self.tail = self.tail, b""
-        return self._unit(tail) if tail else b""
+        return self.m.units[tail] if tail else b""
 
 
 def _packed(ids: list[int]) -> bytes:
