@@ -2,7 +2,7 @@
 
 Steps are DataFrame operations over distinct words with counts; a word with count 0 (a
 dummy) is assigned to a cluster, but neither seeds nor moves one. kmeans() and movmf() loop
-over the steps and never gather a question in one task; kmeans_grouped() runs a question in
+over the steps and never gather a question in one task (operators.kmeans does it by blocks, faster); kmeans_grouped() runs a question in
 one pandas group, for questions of the size people write."""
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candor.checkpoints import cut
+from candor.checkpoints import Loop, cut
 from candor.config import Config
 from candor.functions.rng import uniform
 from candor.functions.vector import distance, dot, norm, scale, subtract, vmf_log_constant
+from candor.operators.order import drawn, running_sums
 
 #: Squared distances below it are rounding errors: the word is a center already
 SAME = 1e-6
@@ -88,16 +89,14 @@ def seeding_mass(words: DataFrame, centers: DataFrame) -> DataFrame:
     joined = words.join(as_list(centers, ["question_id"]), "question_id")
     least = F.array_min(F.transform("centroids", lambda c: distance(F.col("vec"), c["mu"])))
     least = F.when(least < SAME, 0.0).otherwise(least)
-    q = Window.partitionBy("question_id")
-    out = joined.withColumn("mass", F.col("n") * least).drop("centroids").withColumn("total", F.sum("mass").over(q))
-    running = F.sum("mass").over(q.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("cdf", running / F.nullif(F.col("total"), F.lit(0.0)))
+    mass = joined.withColumn("mass", F.col("n") * least).drop("centroids", "vec")
+    out = running_sums(mass, ["question_id"], [F.col("pos")], "mass")
+    return out.withColumn("cdf", F.col("running") / F.nullif(F.col("total"), F.lit(0.0)))
 
 
 def picked(mass: DataFrame, u: Column) -> DataFrame:
-    """The first word whose running share is above u; the last one with any mass where rounding leaves none."""
-    above = F.min(F.when(F.col("cdf") > u, F.col("pos")))
-    return mass.groupBy("question_id").agg(F.coalesce(above, F.max(F.when(F.col("mass") > 0, F.col("pos"))), F.max("pos")).alias("pos"))
+    """question_id, pos: the first word whose running share of the mass is above u; the last one with any mass where rounding leaves none."""
+    return drawn(mass.select("question_id", "pos", "mass"), ["question_id"], "pos", "mass", u)
 
 
 def initial_centers(words: DataFrame, k: int, seed: str = "kmeans") -> DataFrame:
@@ -107,22 +106,25 @@ def initial_centers(words: DataFrame, k: int, seed: str = "kmeans") -> DataFrame
     exponential times with the words' masses as rates the shortest wins with the probability of its mass, so a step is an
     aggregation that combines within tasks, where a running sum would sort a question in one. Where nothing has mass, the
     last word by pos is taken again. The distance of each word to its nearest center so far is carried: a step writes it
-    to the shared folder, and looks at the newest center only."""
+    to the shared folder, looks at the newest center only, and deletes what the step before wrote. kmeans.seeds() needs fewer passes."""
     vec = F.col("vec").cast("array<double>").alias("vec")
     state, centers = words.select("question_id", "pos", vec, F.col("n").cast("double").alias("n"), F.lit(1.0).alias("least")), None
+    loop = Loop(words.sparkSession)
     for step in range(k):
         if centers is not None:
             newest = centers.where(F.col("k") == step - 1).select("question_id", F.col("mu").alias("newest"))
             far = distance(F.col("vec"), F.col("newest"))
             far = F.when(far < SAME, 0.0).otherwise(far)
             nearest_yet = far if step == 1 else F.least("least", far)
-            state = cut(state.join(newest, "question_id").select("question_id", "pos", "vec", "n", nearest_yet.alias("least")))
+            state = loop.cut(state.join(newest, "question_id").select("question_id", "pos", "vec", "n", nearest_yet.alias("least")))
         time = -F.ln(1 - uniform(seed, F.col("question_id"), F.lit(step), F.col("pos"))) / F.nullif(F.col("n") * F.col("least"), F.lit(0.0))
         raced = state.select("question_id", time.alias("time"), "pos")
         first = F.min(F.when(F.col("time").isNotNull(), F.struct("time", "pos")))["pos"]
         picked = raced.groupBy("question_id").agg(F.coalesce(first, F.max("pos")).alias("pos"))
         new = state.join(picked, ["question_id", "pos"]).select("question_id", F.lit(step).alias("k"), F.col("vec").alias("mu"))
-        centers = cut(new if centers is None else centers.unionByName(new))
+        centers = loop.cut(new if centers is None else centers.unionByName(new))
+        loop.turn()
+    loop.close()
     return centers
 
 
