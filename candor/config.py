@@ -11,7 +11,7 @@ class Config:
     max_iter: int = 100
     tolerance: float = 1e-12
     sweeps: int = 100
-    #: prior counts by [indicator * 2 + observation]
+    #: Prior counts by [indicator * 2 + observation], and of the indicators
     alpha: tuple[float, float, float, float] = (90.0, 10.0, 50.0, 50.0)
     beta: tuple[float, float] = (10.0, 10.0)
     top_k: int = 5

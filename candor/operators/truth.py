@@ -1,15 +1,14 @@
 """The latent truth model over (owner, question, factor) observations.
 
-synchronous sweeps draw all factors from the same counts: joins and aggregations that
-distribute by factor. gibbs() is the sequential chain, whose counts every draw changes,
+An answer is one row: packed() has a bit for each factor, in numbers of WORD bits, and a question's truth is such a bit set
+too. observations() gives the dense grid, where that is asked for. synchronous sweeps draw all factors from the same counts;
+an owner's counts are kept, and a sweep adds what its flipped factors change. gibbs() is the sequential chain, whose counts every draw changes,
 so that it runs as one group; it refuses more than MOST_CELLS observations."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +18,49 @@ from candor.functions.rng import uniform
 
 
 MOST_CELLS = 20_000_000
+WORD = 62  # bits of a number in a bit set
+
+
+def _parts(factors: int) -> list[tuple[int, int]]:
+    """The first factor of each number of a bit set, and how many it holds."""
+    return [(a, min(WORD, factors - a)) for a in range(0, factors, WORD)]
+
+
+def _bit(bits: str, factor: int) -> Column:
+    """Whether a factor's bit is set in the column of bit sets."""
+    return F.shiftright(F.get(bits, F.lit(factor // WORD)), factor % WORD).bitwiseAND(F.lit(1)) == 1
+
+
+def _shift(by: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), by.cast("int"))
+
+
+def packed(answers: DataFrame, words: DataFrame, factors: int) -> DataFrame:
+    """question_id, owner_id, obs: an answer's observations as a bit set, by one aggregation of its words' clusters."""
+    bits = [F.bit_or(F.when(F.col("cluster").between(a, a + n - 1), _shift(F.col("cluster") - a))).alias(f"b{k}") for k, (a, n) in enumerate(_parts(factors))]
+    seen = words.groupBy("question_id", "owner_id").agg(*bits)
+    every = answers.select("question_id", "owner_id").distinct().join(seen, ["question_id", "owner_id"], "left")
+    return every.select("question_id", "owner_id", F.array(*[F.coalesce(f"b{k}", F.lit(0).cast("long")) for k in range(len(bits))]).alias("obs"))
+
+
+def repacked(observations: DataFrame, factors: int) -> DataFrame:
+    """The packed form of a dense grid."""
+    seen = observations.where("obs = 1").withColumn("cluster", F.col("factor"))
+    return packed(observations, seen, factors)
+
+
+def unpacked(packed: DataFrame, factors: int, bits: str = "obs", name: str = "obs") -> DataFrame:
+    """A row for each factor of each bit set."""
+    number = F.element_at(bits, F.floor(F.col("factor") / WORD).cast("int") + 1)
+    rows = packed.withColumn("factor", F.explode(F.sequence(F.lit(0), F.lit(factors - 1))))
+    value = F.call_function("shiftright", number, F.col("factor") % WORD).bitwiseAND(F.lit(1)).cast("int")
+    keys = [c for c in packed.columns if c != bits]
+    return rows.select(*keys, "factor", value.alias(name))
 
 
 def observations(answers: DataFrame, words: DataFrame, factors: int) -> DataFrame:
     """question_id, owner_id, factor, obs: 1 where the owner's answer has a word of the cluster, for every factor."""
-    grid = answers.select("question_id", "owner_id").distinct().withColumn("factor", F.explode(F.sequence(F.lit(0), F.lit(factors - 1))))
-    seen = words.select("question_id", "owner_id", F.col("cluster").alias("factor"), F.lit(1).alias("obs")).distinct()
-    return grid.join(seen, ["question_id", "owner_id", "factor"], "left").withColumn("obs", F.coalesce("obs", F.lit(0)))
+    return unpacked(packed(answers, words, factors), factors)
 
 
 def initial_truth(observations: DataFrame, seed: str = "truth") -> DataFrame:
@@ -67,58 +102,102 @@ def drawn(likelihood: DataFrame, seed: str, sweep: int) -> DataFrame:
     return likelihood.select("question_id", "factor", F.when(u < e0 / (e0 + e1), 0).otherwise(1).alias("indicator"))
 
 
-def _wide(observations: DataFrame) -> DataFrame:
-    """question_id, owner_id, obs: the observations of an owner's answer as one array by factor."""
-    cells = F.sort_array(F.collect_list(F.struct("factor", "obs")))
-    return observations.groupBy("question_id", "owner_id").agg(F.transform(cells, lambda c: c["obs"]).alias("obs"))
+def _set_of(factors: int, chosen) -> Column:
+    """A bit set of the factors that `chosen`, from a column to a condition, takes."""
+    number = lambda a, n: F.aggregate(F.sequence(F.lit(a), F.lit(a + n - 1)), F.lit(0).cast("long"), lambda s, f: s.bitwiseOR(F.when(chosen(f), _shift(f - a)).otherwise(F.lit(0).cast("long"))))
+    return F.array(*[number(a, n) for a, n in _parts(factors)])
+
+
+def _ones(of: Column, factors: int) -> Column:
+    """The bits set in an array of numbers."""
+    return sum((F.bit_count(F.get(of, F.lit(k))) for k in range(len(_parts(factors)))), F.lit(0))
+
+
+def _both(a: str, b: str, flip_b: bool = False) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.bitwiseAND(F.bitwise_not(y) if flip_b else y))
+
+
+def packed_counts(answers: DataFrame, truth: DataFrame, factors: int) -> DataFrame:
+    """As prior_counts(), of packed observations and truth (question_id, z)."""
+    rows = answers.join(truth.select("question_id", "z"), "question_id")
+    n11, one, seen = _ones(_both("z", "obs"), factors), _ones(F.col("z"), factors), _ones(F.col("obs"), factors)
+    cells = {"n11": n11, "n10": one - n11, "n01": seen - n11, "n00": factors - one - seen + n11}
+    return rows.groupBy("owner_id").agg(*[F.sum(c).cast("long").alias(n) for n, c in cells.items()])
 
 
-def _listed(truth: DataFrame) -> DataFrame:
-    """question_id, z: the indicators of a question as one array by factor."""
-    cells = F.sort_array(F.collect_list(F.struct("factor", "indicator")))
-    return truth.groupBy("question_id").agg(F.transform(cells, lambda c: c["indicator"]).alias("z"))
+def changed_counts(counts: DataFrame, answers: DataFrame, truth: DataFrame, factors: int) -> DataFrame:
+    """counts after the flips of a sweep: only answers to questions with a flipped factor are read. truth: question_id, was, z."""
+    flipped = truth.where("was <> z").select("question_id", _both("z", "was", True).alias("up"), _both("was", "z", True).alias("down"))
+    rows = answers.join(flipped, "question_id")
+    seen = _ones(_both("up", "obs"), factors) - _ones(_both("down", "obs"), factors)
+    unseen = _ones(_both("up", "obs", True), factors) - _ones(_both("down", "obs", True), factors)
+    delta = rows.groupBy("owner_id").agg(F.sum(seen).alias("d1"), F.sum(unseen).alias("d0"))
+    d1, d0 = F.coalesce("d1", F.lit(0)), F.coalesce("d0", F.lit(0))
+    moved = {"n11": F.col("n11") + d1, "n10": F.col("n10") + d0, "n01": F.col("n01") - d1, "n00": F.col("n00") - d0}
+    return counts.join(delta, "owner_id", "left").select("owner_id", *[c.alias(n) for n, c in moved.items()])
 
 
-def _sweep(wide: DataFrame, truth: DataFrame, config: Config) -> DataFrame:
-    """As log_likelihood() with the counts of that truth, from one row for each answer instead of one for each factor.
+def packed_likelihood(answers: DataFrame, truth: DataFrame, counts: DataFrame, factors: int, config: Config = Config()) -> DataFrame:
+    """question_id, z, l0, l1 (arrays by factor): as log_likelihood(), from one row for each answer.
 
-    The eight logarithms that an owner's counts allow are taken once for a row; the rows' terms are summed as vectors."""
-    rows = wide.join(_listed(truth), "question_id")
-    cell = F.zip_with("z", "obs", lambda z, o: 2 * z + o)
-    number = lambda x: F.size(F.filter("cell", lambda c: c == x))
-    count = [F.sum(number(x)).alias(f"n{x // 2}{x % 2}") for x in range(4)]
-    counts = rows.select("owner_id", cell.alias("cell")).groupBy("owner_id").agg(*count)
+    A factor's sum is that of all answers as if none had seen it, and what it differs by for those that have."""
     a = config.alpha
 
     def log(i: int, o: int, less: int) -> Column:
-        total = F.lit(a[2 * i] + a[2 * i + 1]) + F.col(f"n{i}0") + F.col(f"n{i}1")
-        own = F.col(f"n{i}{o}") + F.lit(a[2 * i + o])
-        # a count that a cell itself is in is 1 at least; others don't need the smaller logarithm
-        return F.when(own - less > 0, F.ln((own - less) / total))
-
-    logs = F.array(*[log(i, o, less) for i in (0, 1) for o in (0, 1) for less in (0, 1)])
-    term = lambda i: F.zip_with("z", "obs", lambda z, o: F.get("logs", 4 * i + 2 * o + F.when(z == i, 1).otherwise(0)))
-    terms = rows.join(counts, "owner_id").withColumn("logs", logs).select("question_id", "z", array_to_vector(F.concat(term(0), term(1))).alias("v"))
-    sums = terms.groupBy("question_id").agg(F.any_value("z").alias("z"), vector_to_array(Summarizer.sum(F.col("v"))).alias("s"))
-    each = sums.select("question_id", "s", F.size("z").alias("k"), F.posexplode("z").alias("factor", "indicator"))
-    beta = [F.ln(F.lit(b)) for b in config.beta]
-    return each.select("question_id", "factor", "indicator", (F.get("s", F.col("factor")) + beta[0]).alias("l0"), (F.get("s", F.col("factor") + F.col("k")) + beta[1]).alias("l1"))
-
-
-def synchronous(observations: DataFrame, sweeps: int, config: Config = Config(), draw: bool = False, truth: DataFrame | None = None) -> DataFrame:
-    """question_id, factor, indicator after sweeps of all factors at once. Every answer to a question has all its factors,
-    numbered from 0, as observations() gives them.
-
-    The observations are written once, one row for each answer, and the truth after each sweep."""
-    wide = checkpoints.cut(_wide(observations))
-    if truth is None:
-        every = wide.groupBy("question_id").agg(F.max(F.size("obs")).alias("k"))
-        factors = every.select("question_id", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("factor"))
-        truth = checkpoints.cut(initial_truth(factors, config.seed))
+        own = F.col(f"n{i}{o}") + F.lit(a[2 * i + o]) - less
+        # where a cell itself counts, own is above 0; other answers don't need the smaller logarithm
+        return F.coalesce(F.when(own > 0, F.ln(own / (F.lit(a[2 * i] + a[2 * i + 1]) + F.col(f"n{i}0") + F.col(f"n{i}1")))), F.lit(0.0))
+
+    every = [(i, o, less) for i in (0, 1) for o in (0, 1) for less in (0, 1)]
+    rows = answers.join(truth.select("question_id", "z"), "question_id").join(counts, "owner_id")
+    rows = rows.select("question_id", "z", "obs", *[log(*t).alias("t{}{}{}".format(*t)) for t in every])
+    base = [F.sum(f"t{i}0{less}").alias(f"base{i}{less}") for i in (0, 1) for less in (0, 1)]
+
+    def differs(f: int, i: int) -> Column:
+        by = lambda less: F.col(f"t{i}1{less}") - F.col(f"t{i}0{less}")
+        return F.sum(F.when(_bit("obs", f), F.when(_bit("z", f), by(i)).otherwise(by(1 - i))).otherwise(0.0)).alias(f"s{i}_{f}")
+
+    sums = rows.groupBy("question_id", "z").agg(*base, *[differs(f, i) for i in (0, 1) for f in range(factors)])
+    whole = lambda i: F.array(*[F.col(f"s{i}_{f}") + F.when(_bit("z", f), F.col(f"base{i}{i}")).otherwise(F.col(f"base{i}{1 - i}")) + F.ln(F.lit(config.beta[i])) for f in range(factors)])
+    return sums.select("question_id", "z", whole(0).alias("l0"), whole(1).alias("l1"))
+
+
+def swept(likelihood: DataFrame, factors: int, draw: bool, seed: str, sweep: int) -> DataFrame:
+    """question_id, was, z: the next truth of each question, drawn or most likely."""
+
+    def one(f: Column) -> Column:
+        l0, l1 = F.get("l0", f), F.get("l1", f)
+        if not draw:
+            return ~(l0 > l1)
+        top = F.greatest(l0, l1)
+        e0, e1 = F.exp(l0 - top), F.exp(l1 - top)
+        return ~(uniform(f"{seed}:sweep", F.lit(sweep), F.col("question_id"), f) < e0 / (e0 + e1))
+
+    return likelihood.select("question_id", F.col("z").alias("was"), _set_of(factors, one).alias("z"))
+
+
+def synchronous(observations: DataFrame, sweeps: int, config: Config = Config(), draw: bool = False, factors: int | None = None) -> DataFrame:
+    """question_id, factor, indicator after sweeps of all factors at once.
+
+    observations: packed, with the number of factors, or a dense grid. The answers are written once; each sweep writes the truth of
+    each question and the counts of each owner, and deletes those of the sweep before. Most likely truths that stand still end the loop."""
+    if "factor" in observations.columns:
+        factors = factors or (observations.agg(F.max("factor")).first()[0] or 0) + 1
+        observations = repacked(observations, factors)
+    answers = checkpoints.cut(observations)
+    loop = checkpoints.Loop(answers.sparkSession)
+    coin = lambda f: ~(uniform(f"{config.seed}:init", F.col("question_id"), f) < 0.5)
+    truth = loop.cut(answers.select("question_id").distinct().withColumn("z", _set_of(factors, coin)))
+    counts = loop.cut(packed_counts(answers, truth, factors)) if sweeps else None
     for k in range(sweeps):
-        likelihood = _sweep(wide, truth, config)
-        truth = checkpoints.cut(drawn(likelihood, config.seed, k) if draw else most_likely(likelihood))
-    return truth
+        truth = loop.cut(swept(packed_likelihood(answers, truth, counts, factors, config), factors, draw, config.seed, k))
+        if not draw and truth.where("was <> z").isEmpty():
+            break
+        if k + 1 < sweeps:
+            counts = loop.cut(changed_counts(counts, answers, truth, factors))
+        loop.turn()
+    loop.close()
+    return unpacked(truth.select("question_id", "z"), factors, "z", "indicator")
 
 
 def gibbs(observations: DataFrame, config: Config = Config(), most: int = MOST_CELLS) -> DataFrame:

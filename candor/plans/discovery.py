@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from candor import checkpoints
 from candor.config import Config
-from candor.operators import clustering, keywords, scoring, truth
+from candor.operators import clustering, keywords, kmeans, scoring, truth
 
 
 class Discovery(NamedTuple):
@@ -24,15 +24,13 @@ def clustered(words: DataFrame, word_model: DataFrame, config: Config, centroids
     """words with the cluster of each: by the centroids given, else by k-means of each question, in which dummies weigh nothing.
 
     grouped: a question's k-means in one pandas group, instead of steps that distribute."""
-    distinct = keywords.with_vectors(keywords.weighed_words(words), word_model)
+    distinct = keywords.weighed_words(words)
     if centroids is not None:
-        found = clustering.assigned(distinct, centroids)
+        found = clustering.assigned(keywords.with_vectors(distinct, word_model), centroids)
     elif grouped:
-        found = clustering.kmeans_grouped(distinct, config)
+        found = clustering.kmeans_grouped(keywords.with_vectors(distinct, word_model), config)
     else:
-        distinct = checkpoints.cut(distinct)  # every step reads it
-        start = clustering.initial_centers(distinct.withColumn("pos", F.col("content")), config.clusters, f"{config.seed}:kmeans")
-        found, _ = clustering.kmeans(distinct, start, config.max_iter, config.tolerance)
+        found = kmeans.clusters(checkpoints.cut(distinct), word_model, config.clusters, f"{config.seed}:kmeans", config.max_iter, config.tolerance)
     return words.join(found.select("question_id", "content", "cluster"), ["question_id", "content"])
 
 
@@ -52,18 +50,17 @@ def discover(
     sequential chain, one task). Uniform numbers come from hashes, so that the same input gives the same result."""
     if mode == "padded":
         words = keywords.with_dummies(keywords.unpadded(keywords.padded(keywords.tokenized(answers))), config)
-        words = keywords.filtered(words, stopwords, word_model)
-        words = keywords.shuffled(words).drop("place")
+        words = keywords.filtered(words, stopwords, word_model)  # rows have no order here that a shuffle could hide
     elif mode == "plain":
         words = keywords.keywords(answers, stopwords)  # the join with vectors drops the others
     else:
         raise ValueError(f"unknown mode {mode!r}")
     words = clustered(words, word_model, config, centroids, grouped)
     words = checkpoints.cut(keywords.without_dummies(words))  # read by inference and by scoring
-    observed = truth.observations(answers, words, config.clusters)
+    observed = truth.packed(answers, words, config.clusters)
     if inference == "gibbs":
-        inferred = truth.gibbs(observed, config)
+        inferred = truth.gibbs(truth.unpacked(observed, config.clusters), config)
     else:
-        inferred = truth.synchronous(observed, sweeps or config.sweeps, config, draw=inference == "draw")
+        inferred = truth.synchronous(observed, sweeps or config.sweeps, config, inference == "draw", config.clusters)
     scores = scoring.normalised_scores(scoring.true_words(answers, words, inferred))
     return Discovery(words, inferred, scores, scoring.owner_trust(scores), scoring.top_answers(scores, config.top_k))
