@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candor.config import Config
 from candor.functions.rng import hash32, uniform
 from candor.functions.text import pad, tokens, unpad
+from candor.operators.order import places
 
 
 def tokenized(answers: DataFrame) -> DataFrame:
@@ -100,14 +101,14 @@ def shuffle_key(seed: str, *ids: str) -> Column:
 
 
 def shuffled(words: DataFrame, seed: str = "shuffle") -> DataFrame:
-    """Place of each row of a question in an order by hash of its values."""
+    """Place of each row of a question in an order by hash of its values, found by ranges."""
     order = [shuffle_key(seed, "question_id", "owner_id", "pos", "content"), F.col("owner_id"), F.col("pos")]
-    return words.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(*order)) - 1)
+    return places(words, ["question_id"], order)
 
 
 def ordered(words: DataFrame, *keys: Column | str, descending: bool = False) -> DataFrame:
-    """Place of each row of a question in the order of any keys, ties by owner and position."""
+    """Place of each row of a question in the order of any keys, ties by owner and position, found by ranges."""
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
     order = [c.desc() if descending else c.asc() for c in cols]
     ties = [F.col(c) for c in ("owner_id", "pos") if c in words.columns]
-    return words.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(*order, *ties)) - 1)
+    return places(words, ["question_id"], [*order, *ties])

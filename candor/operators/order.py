@@ -45,15 +45,38 @@ def places(rows: DataFrame, by: list[str], order: list[Column], name: str = "pla
     return out.withColumn(name, F.col(_NR) + F.col("__shift")).drop(_PART, _NR, "__shift")
 
 
+def _sums(rows: DataFrame, by: list[str], order: list[Column], value: str) -> tuple[DataFrame, DataFrame]:
+    """Stored ranges, and of each group's part in a range its sum, what comes before and the group's total."""
+    ranged = _ranged(rows, by, order)
+    spans = ranged.groupBy(*by, _PART).agg(F.sum(value).alias("__sum"))
+    group = Window.partitionBy(*by)
+    before = F.sum("__sum").over(group.orderBy(_PART)) - F.col("__sum")
+    return ranged, cut(spans.withColumns({"__before": before, "__total": F.sum("__sum").over(group)}))
+
+
+def _inside(value: str, by: list[str]) -> Column:
+    """The running sum within a range."""
+    return F.sum(value).over(Window.partitionBy(*by, _PART).orderBy(_NR).rowsBetween(Window.unboundedPreceding, 0))
+
+
 def running_sums(rows: DataFrame, by: list[str], order: list[Column], value: str, name: str = "running", total: str = "total") -> DataFrame:
     """rows with the sum of `value` up to and with them in their group's order, and the group's sum.
 
     Within a range a window adds up; it holds a group's rows of one range, which has the size of a task."""
-    ranged = _ranged(rows, by, order)
-    spans = ranged.groupBy(*by, _PART).agg(F.sum(value).alias("__sum"))
+    ranged, spans = _sums(rows, by, order, value)
+    out = _beside(ranged.withColumn("__inside", _inside(value, by)), spans.drop("__sum"), by)
+    return out.withColumns({name: F.col("__before") + F.col("__inside"), total: F.col("__total")}).drop(_PART, _NR, "__before", "__inside", "__total")
+
+
+def drawn(rows: DataFrame, by: list[str], at: str, value: str, u: Column) -> DataFrame:
+    """Of each group the first `at`, in its own order, whose running share of `value` is above u: a search in the one range where the share
+    passes u. Where rounding leaves none, the last with a value; in a group without any, the last."""
+    ranged, spans = _sums(rows, by, [F.col(at)], value)
+    passes = F.when((F.col("__before") + F.col("__sum")) / F.nullif("__total", F.lit(0.0)) > u, F.col(_PART))
     group = Window.partitionBy(*by)
-    before = F.sum("__sum").over(group.orderBy(_PART)) - F.col("__sum")
-    spans = cut(spans.select(*by, _PART, before.alias("__before"), F.sum("__sum").over(group).alias(total)))
-    inside = F.sum(value).over(Window.partitionBy(*by, _PART).orderBy(_NR).rowsBetween(Window.unboundedPreceding, 0))
-    out = _beside(ranged.withColumn("__inside", inside), spans, by)
-    return out.withColumn(name, F.col("__before") + F.col("__inside")).drop(_PART, _NR, "__before", "__inside")
+    part = F.coalesce(F.min(passes).over(group), F.max(F.when(F.col("__sum") > 0, F.col(_PART))).over(group), F.max(_PART).over(group))
+    spans = spans.withColumn("__chosen", part).where(F.col("__chosen") == F.col(_PART))
+    rows = _beside(ranged, spans.select(*by, _PART, "__before", "__total"), by).withColumn("__inside", _inside(value, by))
+    share = (F.col("__before") + F.col("__inside")) / F.nullif("__total", F.lit(0.0))
+    found = F.coalesce(F.min(F.when(share > u, F.col(at))), F.max(F.when(F.col(value) > 0, F.col(at))), F.max(at))
+    return rows.groupBy(*by).agg(found.alias(at))

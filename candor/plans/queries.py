@@ -18,6 +18,7 @@ from candor.functions.rng import uniform
 from candor.functions.text import STOPWORDS, strip_id
 from candor.operators import clustering as C
 from candor.operators import keywords as K
+from candor.operators import kmeans as B
 from candor.operators import scoring as S
 from candor.operators import truth as T
 from candor.plans.discovery import discover
@@ -88,7 +89,8 @@ def _likelihood(z: str, c: str, obs: str = "obs") -> str:
     return f"SELECT question_id, factor, indicator, ln(10.0::DOUBLE) + sum({term(0)}) AS l0, ln(10.0::DOUBLE) + sum({term(1)}) AS l1 FROM {obs} JOIN {z} USING (question_id, factor) JOIN {c} USING (owner_id) GROUP BY question_id, factor, indicator"
 
 
-for _k in range(3):
+SWEEPS_MOST = 20
+for _k in range(SWEEPS_MOST):
     STEPS[f"c{_k}"] = _counts(f"z{_k}")
     STEPS[f"l{_k}"] = _likelihood(f"z{_k}", f"c{_k}")
     STEPS[f"z{_k + 1}"] = f"SELECT question_id, factor, CASE WHEN l0 > l1 THEN 0 ELSE 1 END AS indicator FROM l{_k}"
@@ -132,29 +134,59 @@ for _p, _z in (("", "z3"), ("p", "pd3")):
     STEPS[f"{_p}cnt"] = f"""SELECT a.question_id, a.owner_id, count(z.factor) AS n_true FROM ans a LEFT JOIN {_p}kc ON a.question_id = {_p}kc.question_id AND a.owner_id = {_p}kc.owner_id
         LEFT JOIN (SELECT * FROM {_z} WHERE indicator = 1) z ON {_p}kc.question_id = z.question_id AND {_p}kc.cluster = z.factor GROUP BY ALL"""
     STEPS[f"{_p}sco"] = f"SELECT question_id, owner_id, CASE WHEN sum(n_true) OVER q > 0 THEN n_true / (sum(n_true) OVER q)::DOUBLE ELSE n_true::DOUBLE END AS score FROM {_p}cnt WINDOW q AS (PARTITION BY question_id)"
-# k-means++ and two steps of k-means, over all words (p) and with odd owners as dummies (w)
-STEPS["pw"] = "SELECT question_id, content, n, vec FROM dw JOIN vecs ON content = word"
-STEPS["ww"] = "SELECT question_id, content, n, vec FROM (SELECT question_id, content, count_if(owner_id % 2 = 0) AS n FROM kw GROUP BY ALL) JOIN vecs ON content = word"
-for _p in "pw":
-    _w = f"{_p}w"
-    for _k in range(FACTORS):
-        if _k == 0:
-            STEPS[f"{_p}m0"] = f"SELECT question_id, content, n::DOUBLE AS mass FROM {_w}"
+# k-means++ and k-means|| with steps of k-means, over all words (p) and with odd owners as dummies (w)
+STEPS["pd"] = "SELECT question_id, content, n FROM dw"
+STEPS["wd"] = "SELECT question_id, content, count_if(owner_id % 2 = 0) AS n FROM kw GROUP BY ALL"
+STEPS["rep"] = "SELECT word, vec, min(word) OVER (PARTITION BY vec) AS rep FROM vecs"
+_FAR = "CASE WHEN abs(2 - 2 * list_dot_product(v.vec, c.{mu})) < 1e-6 THEN 0 ELSE abs(2 - 2 * list_dot_product(v.vec, c.{mu})) END"
+STEPS_MOST = 30  # of k-means in SQL: more than any question needs to stand still
+
+
+def _seeding(name: str, table: str, seed: str) -> None:
+    """K seeds from the rows of a table (question_id, content, n, vec) by k-means++, as the step name + "c" + (K - 1)."""
+    for k in range(FACTORS):
+        if k == 0:
+            STEPS[f"{name}m0"] = f"SELECT question_id, content, n::DOUBLE AS mass FROM {table}"
         else:
-            STEPS[f"{_p}m{_k}"] = f"""SELECT question_id, content, n * CASE WHEN least < 1e-6 THEN 0 ELSE least END AS mass FROM
-                (SELECT question_id, content, n, min(abs(2 - 2 * list_dot_product(vec, mu))) AS least FROM {_w} JOIN {_p}c{_k - 1} USING (question_id) GROUP BY question_id, content, n)"""
-        _key = f"'truth:kmeans|' || question_id || '|{_k}|' || content"
-        STEPS[f"{_p}i{_k}"] = f"""SELECT question_id, coalesce(arg_min(content, time) FILTER (WHERE time IS NOT NULL), max(content)) AS content FROM
-            (SELECT question_id, content, -ln(1 - {_u(_key)}) / nullif(mass, 0) AS time FROM {_p}m{_k}) GROUP BY question_id"""
-        STEPS[f"{_p}c{_k}"] = (f"SELECT * FROM {_p}c{_k - 1} UNION ALL " if _k else "") + f"SELECT question_id, {_k} AS k, vec AS mu FROM {_w} JOIN {_p}i{_k} USING (question_id, content)"
-    for _k in range(3):
-        _c = f"{_p}c{FACTORS - 1}" if _k == 0 else f"{_p}cen{_k}"
-        STEPS[f"{_p}est{_k}"] = f"SELECT question_id, content, n, vec, arg_max(k, (list_dot_product(vec, c.mu), -k)) AS cluster FROM {_w} JOIN {_c} c USING (question_id) GROUP BY question_id, content, n, vec"
-        STEPS[f"{_p}sums{_k}"] = f"SELECT question_id, cluster AS k, dim, sum(n * x) AS value FROM (SELECT question_id, cluster, n, unnest(vec) AS x, unnest(range(len(vec))) AS dim FROM {_p}est{_k}) GROUP BY ALL"
-        STEPS[f"{_p}lens{_k}"] = f"SELECT question_id, k, sqrt(sum(value * value)) AS length FROM {_p}sums{_k} GROUP BY ALL"
-        STEPS[f"{_p}newc{_k}"] = f"SELECT question_id, k, list(CASE WHEN length < 1e-8 THEN value ELSE value / length END ORDER BY dim) AS mu FROM {_p}sums{_k} JOIN {_p}lens{_k} USING (question_id, k) GROUP BY question_id, k"
-        STEPS[f"{_p}cen{_k + 1}"] = f"SELECT g.question_id, g.k, coalesce(c.mu, list_transform(g.mu, lambda x: 0.0::DOUBLE)) AS mu FROM {_c} g LEFT JOIN {_p}newc{_k} c USING (question_id, k)"
-STEPS["pkc"] = "SELECT kw.*, cluster FROM kw JOIN pest2 USING (question_id, content)"
+            STEPS[f"{name}m{k}"] = f"SELECT question_id, content, n * min({_FAR.format(mu='mu')}) AS mass FROM {table} v JOIN {name}c{k - 1} c USING (question_id) GROUP BY question_id, content, n"
+        key = f"'{seed}|' || question_id || '|{k}|' || content"
+        STEPS[f"{name}i{k}"] = f"""SELECT question_id, coalesce(arg_min(content, time) FILTER (WHERE time IS NOT NULL), max(content)) AS content FROM
+            (SELECT question_id, content, -ln(1 - {_u(key)}) / nullif(mass, 0) AS time FROM {name}m{k}) GROUP BY question_id"""
+        STEPS[f"{name}c{k}"] = (f"SELECT * FROM {name}c{k - 1} UNION ALL " if k else "") + f"SELECT question_id, {k} AS k, vec AS mu FROM {table} JOIN {name}i{k} USING (question_id, content)"
+
+
+def _moving(name: str, table: str, start: str, steps: int) -> None:
+    """Labels (name + "e" + step) and centers (name + "g" + step) of k-means over a table from the centers of a step."""
+    STEPS[f"{name}g0"] = f"SELECT * FROM {start}"
+    for k in range(steps + 1):
+        STEPS[f"{name}e{k}"] = f"SELECT question_id, content, n, vec, arg_max(k, (list_dot_product(vec, c.mu), -k)) AS cluster FROM {table} JOIN {name}g{k} c USING (question_id) GROUP BY question_id, content, n, vec"
+        STEPS[f"{name}t{k}"] = f"SELECT question_id, cluster AS k, dim, sum(n * x) AS value FROM (SELECT question_id, cluster, n, unnest(vec) AS x, unnest(range(len(vec))) AS dim FROM {name}e{k}) GROUP BY ALL"
+        STEPS[f"{name}l{k}"] = f"SELECT question_id, k, sqrt(sum(value * value)) AS length FROM {name}t{k} GROUP BY ALL"
+        STEPS[f"{name}n{k}"] = f"SELECT question_id, k, list(CASE WHEN length < 1e-8 THEN value ELSE value / length END ORDER BY dim) AS mu FROM {name}t{k} JOIN {name}l{k} USING (question_id, k) GROUP BY question_id, k"
+        STEPS[f"{name}g{k + 1}"] = f"SELECT g.question_id, g.k, coalesce(c.mu, list_transform(g.mu, lambda x: 0.0::DOUBLE)) AS mu FROM {name}g{k} g LEFT JOIN {name}n{k} c USING (question_id, k)"
+
+
+for _p in "pw":
+    STEPS[f"{_p}w"] = f"SELECT question_id, content, n, vec FROM {_p}d JOIN vecs ON content = word"
+    _seeding(_p, f"{_p}w", "truth:kmeans")
+    # equal vectors as one, then k-means||
+    STEPS[f"{_p}v"] = f"SELECT question_id, rep AS content, sum(n)::BIGINT AS n, any_value(vec) AS vec FROM {_p}d JOIN rep ON content = word GROUP BY question_id, rep"
+    _first = _u("'truth:kmeans|' || question_id || '|first|' || content")
+    STEPS[f"{_p}k0"] = f"""SELECT question_id, content, vec FROM {_p}v JOIN (SELECT question_id, arg_min(content, (time IS NULL, coalesce(time, 0), content)) AS content FROM
+        (SELECT question_id, content, -ln(1 - {_first}) / nullif(n::DOUBLE, 0) AS time FROM {_p}v) GROUP BY question_id) USING (question_id, content)"""
+    for _k in range(B.ROUNDS):
+        _draw = _u(f"'truth:kmeans:round|' || question_id || '|{_k}|' || content")
+        STEPS[f"{_p}j{_k}"] = f"SELECT question_id, v.content AS content, n * min({_FAR.format(mu='vec')}) AS mass FROM {_p}v v JOIN {_p}k{_k} c USING (question_id) GROUP BY question_id, v.content, n"
+        STEPS[f"{_p}k{_k + 1}"] = f"""SELECT * FROM {_p}k{_k} UNION ALL SELECT question_id, content, vec FROM {_p}v JOIN (SELECT question_id, content FROM
+            (SELECT *, sum(mass) OVER (PARTITION BY question_id) AS total FROM {_p}j{_k}) WHERE mass > 0 AND {_draw} / mass * total < {B.OVER * FACTORS}) USING (question_id, content)"""
+    _last = f"{_p}k{B.ROUNDS}"
+    STEPS[f"{_p}o"] = f"SELECT question_id, v.content AS content, n, arg_min(c.content, ({_FAR.format(mu='vec')}, c.content)) AS near FROM {_p}v v JOIN {_last} c USING (question_id) GROUP BY question_id, v.content, n"
+    STEPS[f"{_p}r"] = f"SELECT c.question_id AS question_id, c.content AS content, coalesce(w.n, 0) AS n, vec FROM {_last} c LEFT JOIN (SELECT question_id, near, sum(n) AS n FROM {_p}o GROUP BY ALL) w ON c.question_id = w.question_id AND c.content = w.near"
+    _seeding(f"{_p}r", f"{_p}r", "truth:kmeans:pick")
+    _moving(f"{_p}r", f"{_p}v", f"{_p}rc{FACTORS - 1}", STEPS_MOST)
+    for _k in (2, STEPS_MOST):
+        STEPS[f"{_p}fin{_k}"] = f"SELECT d.question_id, d.content, d.n, cluster FROM {_p}d d JOIN rep ON d.content = rep.word JOIN {_p}re{_k} e ON e.question_id = d.question_id AND e.content = rep.rep"
+STEPS["pkc"] = "SELECT kw.*, cluster FROM kw JOIN pfin2 USING (question_id, content)"
 STEPS["pobs"] = STEPS["obs"].replace("FROM kc", "FROM pkc")
 STEPS["ptop"] = STEPS["top"].replace("FROM sco", "FROM psco")
 # the mixture, from the fixed centroids
@@ -219,13 +251,17 @@ def _observations(spark, d):
     return T.observations(chat_answers(spark, d), _clustered(spark, d), FACTORS)
 
 
+def _packed(spark, d):
+    return T.packed(chat_answers(spark, d), _clustered(spark, d), FACTORS)
+
+
 def _truth(spark, d):
-    return T.synchronous(_observations(spark, d), 3, CONFIG)
+    return T.synchronous(_packed(spark, d), 3, CONFIG, factors=FACTORS)
 
 
 def _counts_true(spark, d):
     answers, words = chat_answers(spark, d), checkpoints.cut(_clustered(spark, d))
-    truth = T.synchronous(T.observations(answers, words, FACTORS), 3, CONFIG)
+    truth = T.synchronous(T.packed(answers, words, FACTORS), 3, CONFIG, factors=FACTORS)
     return S.true_words(answers, words, truth)
 
 
@@ -377,7 +413,27 @@ def ltm_map(spark, d):
 
 @query("SELECT question_id, factor, indicator FROM d3")
 def ltm_draw(spark, d):
-    return T.synchronous(_observations(spark, d), 3, CONFIG, draw=True)
+    return T.synchronous(_packed(spark, d), 3, CONFIG, draw=True, factors=FACTORS)
+
+
+@query(f"SELECT question_id, factor, indicator FROM d{SWEEPS_MOST}")
+def ltm_draw_sweeps(spark, d):
+    """Twenty sweeps, whose counts only follow the flips."""
+    return T.synchronous(_packed(spark, d), SWEEPS_MOST, CONFIG, draw=True, factors=FACTORS)
+
+
+@query("SELECT owner_id, n00, n01, n10, n11 FROM dc3")
+def ltm_counts(spark, d):
+    """Counts of the owners after three drawn sweeps, kept up by flips."""
+    answers = checkpoints.cut(_packed(spark, d))
+    coin = T.initial_truth(T.unpacked(answers, FACTORS), CONFIG.seed).withColumnRenamed("indicator", "obs").withColumn("owner_id", F.lit(0))
+    truth = checkpoints.cut(T.repacked(coin, FACTORS).select("question_id", F.col("obs").alias("z")))
+    counts = checkpoints.cut(T.packed_counts(answers, truth, FACTORS))
+    for k in range(3):
+        likelihood = T.packed_likelihood(answers, truth, counts, FACTORS, CONFIG)
+        truth = checkpoints.cut(T.swept(likelihood, FACTORS, True, CONFIG.seed, k))
+        counts = checkpoints.cut(T.changed_counts(counts, answers, truth, FACTORS))
+    return counts.select("owner_id", "n00", "n01", "n10", "n11")
 
 
 @query()
@@ -460,6 +516,15 @@ def dummy_gamma(spark, d):
     return words.join(size, "question_id").withColumn("n", K.gamma(uniform("truth:gamma", "question_id", "content"), F.col("alpha")))
 
 
+@query("""SELECT question_id, content, alpha, least(greatest(CASE WHEN u <= 0.5 - (1 - exp(-3.0::DOUBLE)) / 4 THEN -ceil(ln(u / (0.5 - (1 - exp(-3.0::DOUBLE)) / 4)) / ln(exp(-3.0::DOUBLE)))::INTEGER
+    WHEN u <= 0.5 + (1 - exp(-3.0::DOUBLE)) / 4 THEN 0 ELSE ceil(ln((1 - u) / (0.5 - (1 - exp(-3.0::DOUBLE)) / 4)) / ln(exp(-3.0::DOUBLE)))::INTEGER END + alpha, 0), 2 * alpha) AS n FROM gam0""")
+def dummy_gamma_exact(spark, d):
+    """With a geometric left tail too."""
+    words = K.vocabulary(K.tokenized(chat_answers(spark, d)))
+    size = words.groupBy("question_id").agg(K.gamma_alpha(F.count("*")).alias("alpha"))
+    return words.join(size, "question_id").withColumn("n", K.gamma(uniform("truth:gamma", "question_id", "content"), F.col("alpha"), exact=True))
+
+
 @query("SELECT question_id, owner_id, content, count(*) AS n FROM all_ GROUP BY ALL")
 def dummy_words(spark, d):
     words = K.with_dummies(K.tokenized(chat_answers(spark, d)), CONFIG)
@@ -540,6 +605,16 @@ def select_masked(spark, d):
     )
 
 
+@query("""SELECT o_orderkey, (CASE WHEN o_orderpriority < '3' THEN o_orderstatus ELSE 'none' END) AS content, CASE WHEN o_orderpriority < '3' THEN o_custkey ELSE -1 END AS owner_id,
+    CASE WHEN o_orderpriority < '3' THEN [o_totalprice, 1.0::DOUBLE] ELSE [0.0::DOUBLE, 0.0::DOUBLE] END AS vec FROM orders""")
+def select_struct(spark, d):
+    """A keyword, its owner and its vector selected at once."""
+    keyword = lambda content, owner, vec: F.struct(content.alias("content"), owner.cast("long").alias("owner_id"), vec.alias("vec"))
+    own = keyword(F.col("o_orderstatus"), F.col("o_custkey"), F.array(F.col("o_totalprice").cast("double"), F.lit(1.0)))
+    none = keyword(F.lit("none"), F.lit(-1), F.array(F.lit(0.0), F.lit(0.0)))
+    return table(spark, d, "orders").select("o_orderkey", S.masked_select(F.col("o_orderpriority") < "3", own, none).alias("k")).select("o_orderkey", "k.*")
+
+
 _SERIES = "SELECT ({n} // 10 + 1)::INTEGER AS exam_id, ({n} % 10 + 1)::INTEGER AS top_k, {v} AS score FROM {t}"
 STEPS["ser1"] = _SERIES.format(n="p_partkey", v="p_retailprice", t="part")
 STEPS["ser2"] = _SERIES.format(n="s_suppkey", v="s_acctbal", t="supplier")
@@ -619,6 +694,18 @@ def scores_renumbered(spark, d):
     return corpus.collected_scores(rows, exclude=("2.1", "3.4")).select("question_id", "owner_id", "id", "line", "score")
 
 
+@query("""SELECT question_id, owner_id, id, score FROM (SELECT *, dense_rank() OVER (ORDER BY exam, item) - 1 AS question_id, row_number() OVER (PARTITION BY id ORDER BY doc_id) - 1 AS owner_id FROM
+    (SELECT (doc_id % 12 + 1) AS exam, (doc_id % 11 + 1) AS item, (doc_id % 12 + 1) || '.' || (doc_id % 11 + 1) AS id, doc_id, (quality * 4.5)::FLOAT AS score FROM labels WHERE quality IS NOT NULL))""")
+def raw_tree(spark, d):
+    """A raw tree of grades, a folder for each id and a file for each grader, written, read and renumbered."""
+    root = checkpoints.folder(spark)
+    labels = table(spark, d, "labels").where("quality IS NOT NULL")
+    rows = labels.select(F.concat_ws(".", F.col("doc_id") % 12 + 1, F.col("doc_id") % 11 + 1).alias("id"), F.col("doc_id").alias("line"), F.col("quality"))
+    grades = F.array(*[F.struct(F.lit(g).alias("grader"), (F.col("quality") * x).alias("value")) for g, x in (("ave", 4.5), ("me", 4.0), ("other", 5.0))])
+    corpus.save_raw_tree(rows.select("id", "line", F.inline(grades)), root, "id", "grader")
+    return corpus.collected_tree(spark, root)
+
+
 @query("SELECT question_id, owner_id, pos, content, row_number() OVER (PARTITION BY question_id ORDER BY length(content), reverse(content), owner_id, pos) - 1 AS place FROM kw")
 def sort_by_expression(spark, d):
     return K.ordered(_keywords(spark, d), F.char_length("content"), F.reverse("content")).withColumns({"place": F.col("place").cast("long"), "pos": F.col("pos").cast("long")})
@@ -646,8 +733,7 @@ def _seeded(spark, d, words: DataFrame) -> DataFrame:
 
 def _weightless(spark, d):
     """Words of odd owners are dummies."""
-    words = _keywords(spark, d).withColumn("owner_id", F.when(F.col("owner_id") % 2 == 1, -1).otherwise(F.col("owner_id")))
-    return _vectors(spark, d, K.weighed_words(words))
+    return _vectors(spark, d, _odd_as_dummies(spark, d))
 
 
 _CENTERS = "SELECT question_id, k, round(mu[1], 6) + 0.0::DOUBLE AS first_value, round(mu[len(mu)], 6) + 0.0::DOUBLE AS last_value FROM {c}"
@@ -667,17 +753,55 @@ def kmeanspp_centers_weightless(spark, d):
     return _centers(_seeded(spark, d, _weightless(spark, d)))
 
 
-@query("SELECT question_id, content, n, cluster FROM pest2")
+@query("SELECT word, rep FROM rep")
+def vector_dictionary(spark, d):
+    """The smallest word of the same vector."""
+    return B.dictionary(_model(spark, d))
+
+
+@query("SELECT question_id, content, n FROM pv")
+def collapsed_words(spark, d):
+    """Words of a question whose vectors are equal, as one."""
+    return B.collapsed(K.distinct_words(_keywords(spark, d)), B.dictionary(_model(spark, d)))
+
+
+def _parallel_seeds(spark, d, words: DataFrame) -> DataFrame:
+    model = _model(spark, d)
+    vectors = checkpoints.cut(K.with_vectors(B.collapsed(words, B.dictionary(model)), model))
+    found = B.seeds(vectors, B.blocks(vectors), FACTORS, "truth:kmeans")
+    return _centers(found.select("question_id", F.posexplode("centers").alias("k", "mu")))
+
+
+@query(_CENTERS.format(c=f"prc{FACTORS - 1}"))
+def kmeans_parallel_seeds(spark, d):
+    return _parallel_seeds(spark, d, K.distinct_words(_keywords(spark, d)))
+
+
+def _odd_as_dummies(spark, d):
+    words = _keywords(spark, d).withColumn("owner_id", F.when(F.col("owner_id") % 2 == 1, -1).otherwise(F.col("owner_id")))
+    return K.weighed_words(words)
+
+
+@query(_CENTERS.format(c=f"wrc{FACTORS - 1}"))
+def kmeans_parallel_seeds_weightless(spark, d):
+    return _parallel_seeds(spark, d, _odd_as_dummies(spark, d))
+
+
+@query("SELECT question_id, content, n, cluster FROM pfin2")
 def sphere_kmeans(spark, d):
-    """k-means++ and two steps."""
-    words = _vectors(spark, d, K.distinct_words(_keywords(spark, d)))
-    return C.kmeans(words, _seeded(spark, d, words), max_iter=2)[0].select("question_id", "content", "n", "cluster")
+    """k-means|| and two steps."""
+    return B.clusters(checkpoints.cut(K.distinct_words(_keywords(spark, d))), _model(spark, d), FACTORS, "truth:kmeans", 2)
 
 
-@query("SELECT question_id, content, n, cluster FROM west2")
+@query("SELECT question_id, content, n, cluster FROM wfin2")
 def sphere_kmeans_weightless(spark, d):
-    words = _weightless(spark, d)
-    return C.kmeans(words, _seeded(spark, d, words), max_iter=2)[0].select("question_id", "content", "n", "cluster")
+    return B.clusters(checkpoints.cut(_odd_as_dummies(spark, d)), _model(spark, d), FACTORS, "truth:kmeans", 2)
+
+
+@query(f"SELECT question_id, content, n, cluster FROM pfin{STEPS_MOST}")
+def sphere_kmeans_converged(spark, d):
+    """k-means|| and as many steps as it takes until no center moves."""
+    return B.clusters(checkpoints.cut(K.distinct_words(_keywords(spark, d))), _model(spark, d), FACTORS, "truth:kmeans")
 
 
 @query("SELECT question_id, content, n, cluster FROM est3")
@@ -715,9 +839,11 @@ def truth_padded(spark, d):
     return found.top.select("question_id", "owner_id", "rank", r6("score").alias("score"))
 
 
-@query("""SELECT word FROM stop""")
+@query("SELECT word, count(content) AS n FROM stop LEFT JOIN tok ON content = word GROUP BY word")
 def stopword_list(spark, d):
-    return corpus.stopwords(spark)
+    """Stopwords and how often the answers have them."""
+    found = K.tokenized(chat_answers(spark, d)).groupBy(F.col("content").alias("word")).agg(F.count("*").alias("n"))
+    return corpus.stopwords(spark).join(found, "word", "left").select("word", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("""SELECT CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) AS question_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS owner_id, doc_id FROM documents""")

@@ -14,15 +14,15 @@ from candor.functions.text import STOPWORDS, strip_id
 from candor.functions.vector import normalised
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str, deep: bool = False) -> DataFrame:
     """Lines with their file, the block of the file, and an id that ascends within the block."""
     at = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    return spark.read.text(path).select(*at, F.monotonically_increasing_id().alias("id"), "value")
+    return spark.read.option("recursiveFileLookup", deep).text(path).select(*at, F.monotonically_increasing_id().alias("id"), "value")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, file (its name), line (from 0) and value of all lines of a file, or of a directory's files."""
-    lines = _lines(spark, path)
+def numbered_lines(spark: SparkSession, path: str, deep: bool = False) -> DataFrame:
+    """path, file (its name), line (from 0) and value of all lines of a file, or of a directory's files, with `deep` at any depth."""
+    lines = _lines(spark, path, deep)
     blocks = lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
     blocks = blocks.select("path", "block", (before - F.col("first")).alias("shift"))
@@ -44,12 +44,53 @@ def answers(spark: SparkSession, directory: str) -> DataFrame:
     return numbered_lines(spark, directory).select(_file_id().alias("question_id"), F.col("line").alias("owner_id"), F.col("value").alias("raw_answer"))
 
 
+def numbered_words(spark: SparkSession, path: str, deep: bool = False) -> DataFrame:
+    """path, file, place (from 0) and word of all words between white space of a file, or of a directory's files.
+
+    Words are counted within blocks and the blocks' counts summed, as lines are."""
+    lines = _lines(spark, path, deep).withColumn("words", F.filter(F.split("value", "\\s+"), lambda w: w != ""))
+    lines = lines.where(F.size("words") > 0).select("path", "file", "block", "id", "words", F.size("words").alias("n"))
+    within = F.sum("n").over(Window.partitionBy("path", "block").orderBy("id")) - F.col("n")
+    blocks = lines.groupBy("path", "block").agg(F.sum("n").alias("n"))
+    before = blocks.select("path", "block", (F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")).alias("before"))
+    rows = lines.withColumn("within", within).join(before, ["path", "block"])
+    return rows.select("path", "file", (F.col("before") + F.col("within")).alias("at"), F.posexplode("words").alias("k", "word")).select("path", "file", (F.col("at") + F.col("k")).alias("place"), "word")
+
+
 def scores(spark: SparkSession, directory: str) -> DataFrame:
     """Numbers between white space, counted through a file."""
-    lines = numbered_lines(spark, directory)
-    words = lines.select("path", "file", "line", F.posexplode(F.filter(F.split("value", "\\s+"), lambda w: w != "")).alias("place", "word"))
-    order = Window.partitionBy("path", "file").orderBy("line", "place")
-    return words.select(_file_id().alias("question_id"), (F.row_number().over(order) - 1).alias("owner_id"), F.col("word").cast("float").alias("score"))
+    words = numbered_words(spark, directory)
+    return words.select(_file_id().alias("question_id"), F.col("place").alias("owner_id"), F.col("word").cast("float").alias("score"))
+
+
+#: A folder named `exam.item`, in it a file for each grader; Spark's writer makes folders id=exam.item/grader=name of it
+_TREE = "/(?:id=)?([0-9]+\\.[0-9]+)/(?:grader=)?([^/]+?)(?:/part-[^/]*)?$"
+
+
+def raw_scores(spark: SparkSession, directory: str) -> DataFrame:
+    """id, grader, line, score of a raw tree: a folder `exam.item` for each question, a file of numbers for each grader."""
+    words = numbered_words(spark, directory, deep=True)
+    part = lambda k: F.regexp_extract("path", _TREE, k)
+    return words.select(part(1).alias("id"), part(2).alias("grader"), F.col("place").alias("line"), F.col("word").cast("float").alias("score")).where("id <> ''")
+
+
+def raw_answers(spark: SparkSession, directory: str) -> DataFrame:
+    """id, line, raw_answer of a folder with a file `exam.item` for each question, whose lines begin with an id of their own."""
+    lines = numbered_lines(spark, directory, deep=True)
+    name = F.regexp_extract("path", "/(?:id=)?([0-9]+\\.[0-9]+)(?:/part-[^/]*)?$", 1)
+    return lines.select(name.alias("id"), "line", strip_id(F.col("value")).alias("raw_answer")).where("id <> ''")
+
+
+def save_raw_tree(rows: DataFrame, path: str, *folders: str, order: str = "line", value: str = "value") -> None:
+    """Writes a text file for each combination of the folder columns, its lines in order, as raw_scores() and raw_answers() read it."""
+    lines = rows.select(*folders, F.col(order).alias("at"), F.col(value).cast("string").alias("value"))
+    lines.repartition(*folders).sortWithinPartitions(*folders, "at").drop("at").write.partitionBy(*folders).text(path)
+
+
+def collected_tree(spark: SparkSession, directory: str, grader: str = "ave", exclude: tuple[str, ...] = ()) -> DataFrame:
+    """question_id, owner_id, id, score of one grader's files of a raw tree, questions by the place of their id."""
+    rows = raw_scores(spark, directory).where(F.col("grader") == grader)
+    return collected_scores(rows, exclude=exclude).select("question_id", "owner_id", "id", "score")
 
 
 def dataset(spark: SparkSession, root: str) -> dict[str, DataFrame]:
