@@ -9,9 +9,11 @@
    once for each different article of the host, and of its different articles they must
    be in as many. Copies of an article are one, so they keep their text.
 3. Each page loses its host's template subtrees and elements that are never main text by
-   their tag, and gives the blocks of its article, else of `main`, else of its body. Forms, and
-   elements that a class, id or role names as something else, go as well, unless they hold
-   paragraphs and more than half of the text of their article or page: a word never costs the text itself. The article itself and what is around it is never template. Within it
+   their tag, and gives the blocks of its article, else of `main`, else of its body. Of several articles those count that
+   have at least half the text of the longest. Reader comments always go. Forms, and elements that a class, id or role names as
+   something else, go from an article, and from a page that has an article outside of them. On other pages one stays that has more
+   than half of the page's text and an article in it, or is a form with paragraphs. Where all text would go, what has paragraphs and more
+   than half of it stays: a word never costs the whole text. The article itself and what is around it is never template. Within it
    items and cells go only with their list or table, and elements amid a line of text only
    with the line. An article that would lose more than half of its blocks and of its text
    is taken for a near copy and stays whole.
@@ -55,12 +57,17 @@ BLOCK = frozenset(
 )
 #: Words of a class, id or role that name something other than main text
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup menu navbar nav navigation breadcrumb breadcrumbs sidebar widget widgets footer header masthead topbar toolbar social share sharing related recommended recommendations comment comments disqus respond replies login search searchbox pagination pager skip contentinfo complementary".split()
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup menu navbar nav navigation breadcrumb breadcrumbs sidebar widget widgets footer header masthead topbar toolbar social share sharing related recommended recommendations teaser teasers cta comment comments commentlist disqus respond replies login search searchbox pagination pager skip contentinfo complementary".split()
 )
 #: Words that may stand beside them in a name; any other word says that the name means something else
 BESIDE = frozenset(
     "site page main top bottom left right primary secondary global area box block wrapper wrap container inner outer list item items link links bar panel group holder slot unit icon icons button buttons sticky fixed mobile desktop post posts article articles story stories reader user form wp google js id".split()
 )
+#: Those of reader comments, which always go
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+#: Words that name a list of other pages if one of the second line stands beside them
+OTHERS = frozenset("more latest popular trending recent".split())
+PAGES = frozenset("story stories article articles post posts link links item items".split())
 #: In an article these name parts of it
 _OF_ARTICLES = frozenset(("header", "masthead"))
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=\"']++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)>")
@@ -76,26 +83,31 @@ _HOLDS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"
 
 
 class Node:
-    """An element: `never` is main text by its tag, `named` something else by a word; `drop` is what settle() makes of that."""
+    """An element: `never` is main text by its tag, `named` something else by a word; `drop` is what settle() makes of that, `kept` the
+    size of the text that stays, `article` whether an article is in it."""
 
-    __slots__ = ("children", "drop", "hash", "mark", "named", "never", "paragraph", "size", "tag")
+    __slots__ = ("article", "children", "drop", "hash", "kept", "mark", "named", "never", "paragraph", "size", "tag")
 
     def __init__(self, tag: str, mark: str = "", never: bool = False, named: str = ""):
         self.tag, self.mark, self.never, self.named, self.children = tag, mark, never, named, []
         self.hash, self.drop, self.size, self.paragraph = None, never, 0, False
+        self.kept, self.article = 0, False
 
 
 def _named(names: str) -> str:
-    """Of the names in a class, id or role: 'yes' if one consists of MARKS and words that stand beside them, 'outside'
-    if only outside of articles."""
+    """Of the names in a class, id or role: 'yes' if one consists of MARKS and words that stand beside them, 'comments' if these are
+    COMMENTS, 'outside' if it is that only outside of articles."""
     found = ""
     for name in names.split():
         words = _WORD.findall(_CAMEL.sub("-", name).lower())
-        marks = [w for w in words if w in MARKS]
-        if marks and all(w in MARKS or w in BESIDE or w[0].isdigit() for w in words):
+        others = OTHERS if not PAGES.isdisjoint(words) else frozenset()
+        marks = [w for w in words if w in MARKS or w in others]
+        if marks and all(w in marks or w in BESIDE or w[0].isdigit() for w in words):
+            if not COMMENTS.isdisjoint(marks):
+                return "comments"
             if not _OF_ARTICLES.issuperset(marks):
-                return "yes"
-            found = "outside"
+                found = "yes"
+            found = found or "outside"
     return found
 
 
@@ -138,7 +150,8 @@ def parse(page: str) -> Node:
         if attrs and any(k in attrs.lower() for k in ("class", "id", "role", "hidden")):
             found = {k.lower(): v.strip("\"'") for k, v in reversed(_ATTR.findall(attrs))}  # the first of equal names counts
             mark = " ".join(f"{k}={found[k]}" for k in ("class", "id") if k in found)
-            named = named or _named(" ".join(found.get(k, "") for k in ("class", "id", "role")))
+            by_name = _named(" ".join(found.get(k, "") for k in ("class", "id", "role")))
+            named = by_name if by_name == "comments" else named or by_name
             never = never or ("hidden" in found and found["hidden"].lower() != "until-found") or found.get("aria-hidden", "").lower() == "true"
         if tag in _CLOSES_P and stack[-1].tag != "#root":
             _close_p(stack)
@@ -172,8 +185,7 @@ def parse(page: str) -> Node:
 
 
 def settle(root: Node) -> Node:
-    """Decides which elements go: those that are never main text, and those named something else, unless they hold
-    paragraphs and more than half of the text of their article, or of the page outside of articles."""
+    """Decides which elements go: those that are never main text, and those that are named something else, by the rules above."""
     order = _walk(root, set())
     for n in order:
         n.paragraph = n.tag in PARAGRAPH
@@ -183,19 +195,41 @@ def settle(root: Node) -> Node:
             elif not c.never:
                 n.size += c.size
                 n.paragraph |= c.paragraph
-    scope = {id(root): (root.size, False)}
+                n.article |= c.article or c.tag in ("article", "main") and c.named != "comments"
+    free, open_ = False, {id(root)}  # an article outside of named elements; the elements outside of them
     for n in reversed(order):
-        size, inside = scope[id(n)]
-        named = n.named == "yes" or n.named == "outside" and not inside
-        n.drop = n.never or named and not (n.paragraph and 2 * n.size > size)
+        if id(n) in open_ and not n.never and n.named not in ("yes", "outside", "comments"):
+            free = free or n.tag in ("article", "main") and n.size > 0
+            open_.update(id(c) for c in n.children if type(c) is not str)
+    inside = {id(root): None}  # the article that an element is in
+    for n in reversed(order):
+        article = inside[id(n)]
+        if n.never or n.named == "comments":
+            n.drop = n.never or n.tag not in ("html", "body", "main")
+        elif n.named == "yes" or n.named == "outside" and article is None:
+            large = n.paragraph and 2 * n.size > root.size
+            n.drop = article is not None or free or not (large and (n.article or n.tag in WRAPS or n.tag in ("html", "body", "main", "article")))
         if n.tag in ("article", "main") and not n.drop:
-            size, inside = n.size, True
+            article = n
         for c in n.children:
             if type(c) is not str:
-                scope[id(c)] = (size, inside)
+                inside[id(c)] = article
+    _sum_kept(order)
+    bare = {id(n) for n in order if n.size and not n.kept and (n is root or n.tag in ("article", "main") and not n.drop)}
+    if bare:
+        for n in reversed(order):
+            around = inside[id(n)] or root
+            if n.drop and not n.never and n.named != "comments" and id(around) in bare and n.paragraph and 2 * n.size > around.size:
+                n.drop = False
+        _sum_kept(order)
     return root
 
 
+def _sum_kept(order: list[Node]) -> None:
+    for n in order:
+        n.kept = sum(len(c.strip()) if type(c) is str else 0 if c.drop else c.kept for c in n.children)
+
+
 def _close_p(stack: list[Node]) -> None:
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag == "p":
@@ -243,7 +277,7 @@ def _has_text(start: Node) -> bool:
 
 
 def mains(root: Node) -> list[Node]:
-    """Outermost articles that hold text, else `main` elements, else the body or the root."""
+    """Outermost articles that hold text, without those with less than half of the longest one's; else `main` elements, else the body or the root."""
     for want in ("article", "main", "body"):
         found, todo = [], [root]
         while todo:
@@ -253,7 +287,7 @@ def mains(root: Node) -> list[Node]:
             else:
                 todo += [c for c in reversed(n.children) if type(c) is not str and _kept(c)]
         if any(_has_text(n) for n in found):
-            return found
+            return [n for n in found if 2 * n.kept >= max(f.kept for f in found)] if want == "article" else found
     return [root]
 
 

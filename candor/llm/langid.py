@@ -3,8 +3,8 @@
 Subwords are the 2 to 4 bytes from each byte on, within lower-cased words and their
 borders, hashed to BUCKETS embeddings. Mean embedding, then a linear softmax; both are
 trained by stochastic gradient descent in numpy on a bounded sample of labelled rows:
-SAMPLE rows, in equal shares for each language, chosen by hash of id and text, equal rows once; of languages the
-SAMPLE / EACH with the most rows. A fifth of
+SAMPLE rows, in equal shares for each language, chosen by hash of id and text, equal rows once; at least EACH of
+a language, so the sample grows with the languages, of which more than MOST are an error. A fifth of
 the sample fits the temperature that calibrates scores, and two bars. A text scoring below the
 first, which is never far above a guess's score, is rejected. Scores only tell the languages
 from each other, so a second one tells foreign texts: the mean logarithm of the shares that a text's
@@ -36,6 +36,7 @@ from .words import LOWER, cuts, utf8
 BUCKETS = 1 << 14
 DIM = 16
 SAMPLE, EACH = 2000, 20  # rows, and of each language at least
+MOST = 300  # languages: a row of the sample takes 64 KB
 EPOCHS, BATCH, RATE, MOMENTUM, SCALE = 30, 32, 0.1, 0.9, 100.0
 NEAR = 1.25  # times the score of a guess: a bar above it would reject texts in two languages too
 RARE = 1e-6  # share of a bucket that was never seen
@@ -101,13 +102,16 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Learns from at most about `sample` labelled rows, the same ones each time."""
+    """Learns all languages from about `sample` labelled rows, or EACH of a language where that is more; the same ones each time.
+    More than MOST languages are an error."""
     rows = learnable(docs)
-    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, sample // EACH))
-    count = {r.lang: r.n for r in most.collect()}
+    count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST + 1).collect()}
     if not count:
         return None
+    if len(count) > MOST:
+        raise ValueError(f"more than {MOST} languages are labelled; their model would not fit in memory")
     langs = sorted(count)
+    sample = max(sample, EACH * len(langs))
     each = max(EACH, sample // len(langs))
     # a share of each language by hash of the id: no sort, no shuffle
     share = F.element_at(F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, each / count[k]))]), F.col("lang"))

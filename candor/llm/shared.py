@@ -12,7 +12,7 @@ from contextvars import ContextVar
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candor import checkpoints
@@ -88,6 +88,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table into the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -37,8 +37,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .shared import first_of_runs, lean, member, pack, pack_sorted, settled, slices_of_runs, small_batches, unpack, unpack_sorted
+from .shared import first_of_runs, lean, member, pack, pack_sorted, quoted, settled, slices_of_runs, small_batches, unpack, unpack_sorted
 from .words import NOT_SPACE, WordHash, cuts, hashed_words, scan, utf8, window_hash, window_starts
 
 WINDOW = 13
@@ -247,9 +248,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Of each document: n_words, n_removed, kept_sha256 (of the kept words joined by one space), and with `text` kept:
     the kept words joined by one space, the text as it is where nothing was removed; else null.
     rest: columns of docs that the column `rest`, a struct, carries along."""
-    more = [F.struct(*[docs[c] for c in rest]).alias("rest")] if rest else []
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
-    result = RESULT + (f", rest {docs.schema['rest'].dataType.simpleString()}" if rest else "")
+    more = [F.struct(*[quoted(c).alias(c) for c in rest]).alias("rest")] if rest else []
+    docs = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"), *more)
+    result = StructType.fromDDL(RESULT)
+    if rest:
+        result.add("rest", docs.schema["rest"].dataType)
     small_batches(docs.sparkSession)
     docs = settled(docs)
     p = plan(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, docs.sparkSession.sparkContext.defaultParallelism)

@@ -294,6 +294,18 @@ def test_main_text():
         ('<body><div class="siteFooter"><p>No</p></div><div id="main-nav">No</div><p>Main words here</p><div hidden><p>No</p></div></body>', "Main words here"),
         ('<article><p>Own text of the page</p><div class="social-share"><p>Share</p></div><form><p>Write to us</p><input></form></article>', "Own text of the page"),
         ('<article><p>Own text</p></article><div class="sidebar"><article><p>Other</p></article></div>', "Own text"),
+        ("<article><p>Short.</p></article><section id='comments'><h2>Comments</h2>" + "<article><p>A remark of some length here</p></article>" * 9 + "</section>", "Short."),
+        ("<article><p>Short.</p><div class='comments'><h2>Comments</h2>" + "<p>A remark of some length here</p>" * 9 + "</div></article>", "Short."),
+        ("<div><p>Short.</p></div><div class='comment-list'><h2>Comments</h2>" + "<p>A remark of some length here</p>" * 9 + "</div>", "Short."),
+        ("<article><p>Short.</p></article><ol class='commentlist'>" + "<li><p>A remark of some length here</p>" * 9 + "</ol>", "Short."),
+        ("<article><p>Main text, a good length of it.</p></article><div class='more-stories'>" + "<article><p>Another story of the site</p></article>" * 5 + "</div>", "Main text, a good length of it."),
+        ("<article><p>Main text.</p><div class='newsletter-cta'><p>Get all of our news in your mail, every day of the week</p></div></article>", "Main text."),
+        ("<article><p>Main text.</p><form action=x><p>Write to us, in as many words as you like, by this form</p></form></article>", "Main text."),
+        ("<article><h1>Story</h1><p>A text of some fifty characters, that is the story.</p></article><article><p>Teaser</p></article>", "Story\n\nA text of some fifty characters, that is the story."),
+        ("<article><p>First of two parts</p></article><article><p>Second of two parts</p></article>", "First of two parts\n\nSecond of two parts"),
+        ('<div class="more"><p>The rest of it</p></div>', "The rest of it"),
+        ('<div id="content"><p>Main text of the page</p></div><div class="sidebar"><article><p>Teaser</p></article></div>', "Main text of the page"),
+        ('<body class="comments"><p>Text</p></body>', "Text"),
     ],
 )
 def test_names_never_cost_the_text(page, text):
@@ -442,8 +454,9 @@ def test_pipeline_with_other_columns_and_without_rows(spark, tmp_path):
     texts[4], texts[7] = texts[2], texts[7] + " " + item * 1
     texts[9] += " " + passage
     texts[12] = passage + " " + texts[12]
-    schema = "row_key string, doc_id long, text string, lang string, kept string, rest string, chunk int, class_id string, row int, n_chars long, language boolean"
-    rows = [(f"k{k}", k, t, "en", "K", "R", 7, "c", k, len(t), True) for k, t in enumerate(texts)] + [("n", None, None, None, None, None, None, None, None, None, None)]
+    schema = "row_key string, doc_id long, text string, lang string, kept string, rest string, chunk int, class_id string, row int, n_chars long, language boolean, other_key map<string,int>, `my col` string, `a.b` int"
+    rows = [(f"k{k}", k, t, "en", "K", "R", 7, "c", k, len(t), True, {"m": k}, "mine", k) for k, t in enumerate(texts)] + [("n",) + (None,) * 13]
+    rows += [rows[9], rows[20], rows[20]]  # repeated
     docs = spark.createDataFrame(rows, schema)
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for empty in (False, True):
@@ -455,7 +468,9 @@ def test_pipeline_with_other_columns_and_without_rows(spark, tmp_path):
             at = spark.read.parquet(str(tmp_path / f"{name}{empty}"))
         got = {r.doc_id: r for r in at.collect()}
         assert set(got) == (set() if empty else set(range(30)) - {4, 7})
-        assert all((r.row_key, r.kept, r.rest, r.chunk, r.class_id, r.row) == (f"k{k}", "K", "R", 7, "c", k) for k, r in got.items())
+        assert at.count() == len(got)
+        assert all((r.row_key, r.kept, r.rest, r.chunk, r.class_id, r.row) == (f"k{k}", "K", "R", 7, "c", k) for k, r in got.items() if k is not None)
+        assert all((r["other_key"], r["my col"], r["a.b"]) == ({"m": k}, "mine", k) for k, r in got.items() if k is not None)
         if not empty:
             assert got[12].n_chars == len(got[12].text) < len(texts[12]) and got[9].text == texts[9]
         assert (corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).count() == 0) == empty
