@@ -180,7 +180,8 @@ def synchronous(observations: DataFrame, sweeps: int, config: Config = Config(),
     """question_id, factor, indicator after sweeps of all factors at once.
 
     observations: packed, with the number of factors, or a dense grid. The answers are written once; each sweep writes the truth of
-    each question and the counts of each owner, and deletes those of the sweep before. Most likely truths that stand still end the loop."""
+    each question and the counts of each owner, and deletes those of the sweep before. Most likely truths end the loop when they stand
+    still, or when they are those of two sweeps before: from there on two truths alternate."""
     if "factor" in observations.columns:
         factors = factors or (observations.agg(F.max("factor")).first()[0] or 0) + 1
         observations = repacked(observations, factors)
@@ -190,9 +191,13 @@ def synchronous(observations: DataFrame, sweeps: int, config: Config = Config(),
     truth = loop.cut(answers.select("question_id").distinct().withColumn("z", _set_of(factors, coin)))
     counts = loop.cut(packed_counts(answers, truth, factors)) if sweeps else None
     for k in range(sweeps):
+        before = truth
         truth = loop.cut(swept(packed_likelihood(answers, truth, counts, factors, config), factors, draw, config.seed, k))
         if not draw and truth.where("was <> z").isEmpty():
             break
+        if not draw and k and truth.join(before.select("question_id", F.col("was").alias("twice")), "question_id").where("z <> twice").isEmpty():
+            truth = truth.select("question_id", F.col("was" if (sweeps - k - 1) % 2 else "z").alias("z"))
+            break
         if k + 1 < sweeps:
             counts = loop.cut(changed_counts(counts, answers, truth, factors))
         loop.turn()

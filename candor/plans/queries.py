@@ -130,7 +130,7 @@ for _old, _new in (("", "2"), ("2", "3")):
     STEPS[f"est{_new}"] = f"SELECT question_id, content, n, vec, arg_max(k, (list_dot_product(vec, c.mu), -k)) AS cluster FROM est JOIN cen{_new} c USING (question_id) GROUP BY question_id, content, n, vec"
 
 
-for _p, _z in (("", "z3"), ("p", "pd3")):
+for _p, _z in (("", "z3"), ("p", "pd3"), ("f", f"fz{Config().sweeps}")):
     STEPS[f"{_p}cnt"] = f"""SELECT a.question_id, a.owner_id, count(z.factor) AS n_true FROM ans a LEFT JOIN {_p}kc ON a.question_id = {_p}kc.question_id AND a.owner_id = {_p}kc.owner_id
         LEFT JOIN (SELECT * FROM {_z} WHERE indicator = 1) z ON {_p}kc.question_id = z.question_id AND {_p}kc.cluster = z.factor GROUP BY ALL"""
     STEPS[f"{_p}sco"] = f"SELECT question_id, owner_id, CASE WHEN sum(n_true) OVER q > 0 THEN n_true / (sum(n_true) OVER q)::DOUBLE ELSE n_true::DOUBLE END AS score FROM {_p}cnt WINDOW q AS (PARTITION BY question_id)"
@@ -142,9 +142,9 @@ _FAR = "CASE WHEN abs(2 - 2 * list_dot_product(v.vec, c.{mu})) < 1e-6 THEN 0 ELS
 STEPS_MOST = 30  # of k-means in SQL: more than any question needs to stand still
 
 
-def _seeding(name: str, table: str, seed: str) -> None:
-    """K seeds from the rows of a table (question_id, content, n, vec) by k-means++, as the step name + "c" + (K - 1)."""
-    for k in range(FACTORS):
+def _seeding(name: str, table: str, seed: str, clusters: int = FACTORS) -> None:
+    """Seeds from the rows of a table (question_id, content, n, vec) by k-means++, as the step name + "c" + (clusters - 1)."""
+    for k in range(clusters):
         if k == 0:
             STEPS[f"{name}m0"] = f"SELECT question_id, content, n::DOUBLE AS mass FROM {table}"
         else:
@@ -169,26 +169,36 @@ def _moving(name: str, table: str, start: str, steps: int) -> None:
 for _p in "pw":
     STEPS[f"{_p}w"] = f"SELECT question_id, content, n, vec FROM {_p}d JOIN vecs ON content = word"
     _seeding(_p, f"{_p}w", "truth:kmeans")
-    # equal vectors as one, then k-means||
     STEPS[f"{_p}v"] = f"SELECT question_id, rep AS content, sum(n)::BIGINT AS n, any_value(vec) AS vec FROM {_p}d JOIN rep ON content = word GROUP BY question_id, rep"
+# equal vectors as one, then k-means||; f: all words, with as many clusters as by default
+for _p, _v, _n in (("p", "p", FACTORS), ("w", "w", FACTORS), ("f", "p", Config().clusters)):
     _first = _u("'truth:kmeans|' || question_id || '|first|' || content")
-    STEPS[f"{_p}k0"] = f"""SELECT question_id, content, vec FROM {_p}v JOIN (SELECT question_id, arg_min(content, (time IS NULL, coalesce(time, 0), content)) AS content FROM
-        (SELECT question_id, content, -ln(1 - {_first}) / nullif(n::DOUBLE, 0) AS time FROM {_p}v) GROUP BY question_id) USING (question_id, content)"""
+    STEPS[f"{_p}k0"] = f"""SELECT question_id, content, vec FROM {_v}v JOIN (SELECT question_id, arg_min(content, (time IS NULL, coalesce(time, 0), content)) AS content FROM
+        (SELECT question_id, content, -ln(1 - {_first}) / nullif(n::DOUBLE, 0) AS time FROM {_v}v) GROUP BY question_id) USING (question_id, content)"""
     for _k in range(B.ROUNDS):
         _draw = _u(f"'truth:kmeans:round|' || question_id || '|{_k}|' || content")
-        STEPS[f"{_p}j{_k}"] = f"SELECT question_id, v.content AS content, n * min({_FAR.format(mu='vec')}) AS mass FROM {_p}v v JOIN {_p}k{_k} c USING (question_id) GROUP BY question_id, v.content, n"
-        STEPS[f"{_p}k{_k + 1}"] = f"""SELECT * FROM {_p}k{_k} UNION ALL SELECT question_id, content, vec FROM {_p}v JOIN (SELECT question_id, content FROM
-            (SELECT *, sum(mass) OVER (PARTITION BY question_id) AS total FROM {_p}j{_k}) WHERE mass > 0 AND {_draw} / mass * total < {B.OVER * FACTORS}) USING (question_id, content)"""
+        STEPS[f"{_p}j{_k}"] = f"SELECT question_id, v.content AS content, n * min({_FAR.format(mu='vec')}) AS mass FROM {_v}v v JOIN {_p}k{_k} c USING (question_id) GROUP BY question_id, v.content, n"
+        STEPS[f"{_p}k{_k + 1}"] = f"""SELECT * FROM {_p}k{_k} UNION ALL SELECT question_id, content, vec FROM {_v}v JOIN (SELECT question_id, content FROM
+            (SELECT *, sum(mass) OVER (PARTITION BY question_id) AS total FROM {_p}j{_k}) WHERE mass > 0 AND {_draw} / mass * total < {B.OVER * _n}) USING (question_id, content)"""
     _last = f"{_p}k{B.ROUNDS}"
-    STEPS[f"{_p}o"] = f"SELECT question_id, v.content AS content, n, arg_min(c.content, ({_FAR.format(mu='vec')}, c.content)) AS near FROM {_p}v v JOIN {_last} c USING (question_id) GROUP BY question_id, v.content, n"
+    STEPS[f"{_p}o"] = f"SELECT question_id, v.content AS content, n, arg_min(c.content, ({_FAR.format(mu='vec')}, c.content)) AS near FROM {_v}v v JOIN {_last} c USING (question_id) GROUP BY question_id, v.content, n"
     STEPS[f"{_p}r"] = f"SELECT c.question_id AS question_id, c.content AS content, coalesce(w.n, 0) AS n, vec FROM {_last} c LEFT JOIN (SELECT question_id, near, sum(n) AS n FROM {_p}o GROUP BY ALL) w ON c.question_id = w.question_id AND c.content = w.near"
-    _seeding(f"{_p}r", f"{_p}r", "truth:kmeans:pick")
-    _moving(f"{_p}r", f"{_p}v", f"{_p}rc{FACTORS - 1}", STEPS_MOST)
+    _seeding(f"{_p}r", f"{_p}r", "truth:kmeans:pick", _n)
+    _moving(f"{_p}r", f"{_v}v", f"{_p}rc{_n - 1}", STEPS_MOST)
     for _k in (2, STEPS_MOST):
-        STEPS[f"{_p}fin{_k}"] = f"SELECT d.question_id, d.content, d.n, cluster FROM {_p}d d JOIN rep ON d.content = rep.word JOIN {_p}re{_k} e ON e.question_id = d.question_id AND e.content = rep.rep"
+        STEPS[f"{_p}fin{_k}"] = f"SELECT d.question_id, d.content, d.n, cluster FROM {_v}d d JOIN rep ON d.content = rep.word JOIN {_p}re{_k} e ON e.question_id = d.question_id AND e.content = rep.rep"
+# the most likely truth with all defaults: clusters, steps and sweeps
+STEPS["fkc"] = f"SELECT kw.*, cluster FROM kw JOIN ffin{STEPS_MOST} USING (question_id, content)"
+STEPS["fobs"] = STEPS["obs"].replace("FROM grid g", f"FROM (SELECT question_id, owner_id, unnest(range({Config().clusters}))::INTEGER AS factor FROM ans) g").replace("FROM kc", "FROM fkc")
+STEPS["fz0"] = STEPS["z0"].replace("FROM obs", "FROM fobs")
+for _k in range(Config().sweeps):
+    STEPS[f"fc{_k}"] = _counts(f"fz{_k}", "fobs")
+    STEPS[f"fl{_k}"] = _likelihood(f"fz{_k}", f"fc{_k}", "fobs")
+    STEPS[f"fz{_k + 1}"] = f"SELECT question_id, factor, CASE WHEN l0 > l1 THEN 0 ELSE 1 END AS indicator FROM fl{_k}"
 STEPS["pkc"] = "SELECT kw.*, cluster FROM kw JOIN pfin2 USING (question_id, content)"
 STEPS["pobs"] = STEPS["obs"].replace("FROM kc", "FROM pkc")
 STEPS["ptop"] = STEPS["top"].replace("FROM sco", "FROM psco")
+STEPS["ftop"] = STEPS["top"].replace("FROM sco", "FROM fsco").replace("rank <= 3", f"rank <= {Config().top_k}")
 # the mixture, from the fixed centroids
 _S = "(sqrt({k} * {k} + ({b}) * ({b})) - ({b}) - CASE WHEN ({a}) = 0 THEN 0 ELSE ({a}) * ln((({a}) + sqrt({k} * {k} + ({b}) * ({b}))) / (({a}) + ({b}))) END)"
 _VMF = " + ".join([_S.format(k="kappa", a="nu + 0.5", b="nu + 0.5"), _S.format(k="kl", a="nu", b="nu + 2")]) + " - " + _S.format(k="kl", a="nu + 0.5", b="nu + 0.5")
@@ -207,14 +217,13 @@ for _k in range(3):
 
 def chain(sql: str) -> str:
     """sql with the steps it needs, in order."""
-    need: list[str] = []
+    need: dict[str, None] = {}
 
     def visit(text: str) -> None:
-        for name in STEPS:
-            if name not in need and re.search(rf"(?:FROM|JOIN|,)\s+{name}\b", text):
+        for name in re.findall(r"(?:FROM|JOIN|,)\s+(\w+)\b", text):
+            if name in STEPS and name not in need:
                 visit(STEPS[name])
-                if name not in need:
-                    need.append(name)
+                need[name] = None
 
     visit(sql)
     return ("WITH " + ",\n".join(f"{n} AS MATERIALIZED ({STEPS[n]})" for n in need) + "\n" if need else "") + sql
@@ -827,18 +836,25 @@ def truth_padded_map(spark, d):
 
 @query("SELECT question_id, owner_id, rank, round(score, 6) AS score FROM ptop")
 def truth_plain(spark, d):
-    """The default path: k-means++, k-means, drawn truth."""
+    """The path of the defaults, with fewer clusters, steps and sweeps, which SQL can follow draw by draw: k-means||, k-means, drawn truth."""
     found = discover(chat_answers(spark, d), _model(spark, d), corpus.stopwords(spark), CONFIG)
     return found.top.select("question_id", "owner_id", "rank", r6("score").alias("score"))
 
 
 @query("SELECT question_id, owner_id, rank, round(score, 6) AS score FROM ptop")
 def truth_padded(spark, d):
-    """The default path with dummy words, which weigh nothing in k-means."""
+    """As truth_plain, with dummy words, which weigh nothing in k-means."""
     found = discover(chat_answers(spark, d), _model(spark, d), corpus.stopwords(spark), CONFIG, "padded")
     return found.top.select("question_id", "owner_id", "rank", r6("score").alias("score"))
 
 
+@query("SELECT question_id, owner_id, rank, round(score, 6) AS score FROM ftop")
+def truth_full_map(spark, d):
+    """All defaults in full: 30 clusters, k-means until no center moves, and most likely truths for up to 100 sweeps."""
+    found = discover(chat_answers(spark, d), _model(spark, d), corpus.stopwords(spark), Config(), inference="map")
+    return found.top.select("question_id", "owner_id", "rank", r6("score").alias("score"))
+
+
 @query("SELECT word, count(content) AS n FROM stop LEFT JOIN tok ON content = word GROUP BY word")
 def stopword_list(spark, d):
     """Stopwords and how often the answers have them."""

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from candor.config import Config
-from candor.operators import clustering, keywords, scoring, truth
+from candor import checkpoints
+from candor.operators import clustering, keywords, kmeans, order, scoring, truth
 from candor.plans.discovery import discover
 from candor.sources import corpus
 
@@ -138,16 +139,145 @@ def test_observations_and_chain(spark, answers):
     assert truth.synchronous(obs, 6, Config(), draw=True).count() == 9
 
 
-def test_sweeps_by_answer_equal_those_by_cell(spark):
+@pytest.mark.parametrize("factors", [4, 130])
+def test_packed_sweeps_equal_those_by_cell(spark, factors):
     rng = np.random.default_rng(5)
-    cells = [(q, o, f, int(rng.random() < 0.4)) for q in range(6) for o in range(7) for f in range(4) if (q + o) % 3]
+    cells = [(q, o, f, int(rng.random() < 0.4)) for q in range(5) for o in range(6) for f in range(factors) if (q + o) % 3]
     obs = spark.createDataFrame(cells, "question_id int, owner_id int, factor int, obs int")
-    z = truth.initial_truth(obs)
-    expected = {(r.question_id, r.factor): r for r in truth.log_likelihood(obs, z, truth.prior_counts(obs, z)).collect()}
-    got = {(r.question_id, r.factor): r for r in truth._sweep(truth._wide(obs), z, Config()).collect()}
-    assert set(got) == set(expected)
-    for k, r in got.items():
-        assert r.indicator == expected[k].indicator and r.l0 == pytest.approx(expected[k].l0) and r.l1 == pytest.approx(expected[k].l1)
+    packed = checkpoints.cut(truth.repacked(obs, factors))
+    assert sorted(tuple(r) for r in truth.unpacked(packed, factors).select("question_id", "owner_id", "factor", "obs").collect()) == sorted(cells)
+    z = checkpoints.cut(truth.initial_truth(obs))
+    coin = truth.repacked(z.select("question_id", F.lit(0).alias("owner_id"), "factor", F.col("indicator").alias("obs")), factors).select("question_id", F.col("obs").alias("z"))
+    counts = truth.prior_counts(obs, z)
+    first = checkpoints.cut(truth.packed_counts(packed, coin, factors))
+    as_rows = lambda d: sorted(tuple(r) for r in d.select("owner_id", "n00", "n01", "n10", "n11").collect())
+    assert as_rows(first) == as_rows(counts)
+    expected = {(r.question_id, r.factor): r for r in truth.log_likelihood(obs, z, counts).collect()}
+    likelihood = checkpoints.cut(truth.packed_likelihood(packed, coin, first, factors))
+    got = likelihood.collect()
+    assert len(got) * factors == len(expected)
+    for r in got:
+        for f in range(factors):
+            assert r.l0[f] == pytest.approx(expected[r.question_id, f].l0) and r.l1[f] == pytest.approx(expected[r.question_id, f].l1)
+    # the next truth by flips, and counts that follow it, as counted anew
+    after = checkpoints.cut(truth.swept(likelihood, factors, True, "truth", 0))
+    dense = {(r.question_id, r.factor): r.indicator for r in truth.drawn(truth.log_likelihood(obs, z, counts), "truth", 0).collect()}
+    assert {(r.question_id, r.factor): r.indicator for r in truth.unpacked(after.select("question_id", "z"), factors, "z", "indicator").collect()} == dense
+    assert as_rows(truth.changed_counts(first, packed, after, factors)) == as_rows(truth.packed_counts(packed, after, factors))
+
+
+@pytest.mark.parametrize("sweeps", [9, 10])
+def test_most_likely_truths_may_end_early(spark, sweeps):
+    rng = np.random.default_rng(11)
+    cells = [(q, o, f, int(rng.random() < 0.5)) for q in range(4) for o in range(5) for f in range(3)]
+    obs = spark.createDataFrame(cells, "question_id int, owner_id int, factor int, obs int")
+    config = Config(alpha=(2.0, 1.0, 1.0, 2.0))  # these alternate or stand still soon
+    z = {(r.question_id, r.factor): r.indicator for r in truth.initial_truth(obs).collect()}
+    a = np.array(config.alpha).reshape(2, 2)
+    for _ in range(sweeps):
+        n = np.zeros((5, 2, 2))
+        for q, o, f, x in cells:
+            n[o, z[q, f], x] += 1
+        log = {k: np.zeros(2) for k in z}
+        for q, o, f, x in cells:
+            for i in (0, 1):
+                log[q, f][i] += math.log((n[o, i, x] + a[i, x] - (z[q, f] == i)) / (a[i].sum() + n[o, i].sum()))
+        z = {k: 0 if v[0] > v[1] else 1 for k, v in log.items()}
+    got = {(r.question_id, r.factor): r.indicator for r in truth.synchronous(obs, sweeps, config).collect()}
+    assert got == z
+
+
+def vectors_of(spark, x, n, questions=1):
+    rows = [(q, f"w{k:03}", int(m), v.tolist()) for q in range(questions) for k, (m, v) in enumerate(zip(n, x, strict=True))]
+    return spark.createDataFrame(rows, "question_id int, content string, n int, vec array<float>")
+
+
+def test_bounds_skip_and_give_the_same_clusters(spark):
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(6, 5)), 40, 0) + rng.normal(0, 0.35, size=(240, 5))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(np.float64)
+    w = rng.integers(0, 4, 240)
+    words = vectors_of(spark, x, w)
+    start = x[:6].copy()
+    blocked = kmeans.blocks(words, 32)
+    assert 5 <= blocked.count() <= 8
+    checked: list[int] = []
+    found = kmeans.lloyd(blocked, spark.createDataFrame([(0, start.tolist())], "question_id int, centers array<array<double>>"), 60, checked=checked)
+    centers, steps = start, 0
+    while True:
+        label = np.argmax(x @ centers.T, 1)
+        new = np.stack([(x[label == k] * w[label == k, None]).sum(0) for k in range(6)])
+        new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-8)
+        moved, centers, steps = np.linalg.norm(new - centers, axis=1).sum(), new, steps + 1
+        if moved <= 1e-12:
+            break
+    assert len(checked) == steps and checked[0] == 240 and sum(checked[1:]) < 0.7 * 240 * (steps - 1)
+    assert np.allclose(found.first().centers, centers)
+    got = [r.cluster for r in kmeans.labelled(blocked, found).orderBy("content").collect()]
+    assert got == np.argmax(x @ centers.T, 1).tolist()
+
+
+def test_parallel_seeds_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    words = vectors_of(spark, x, [k % 3 for k in range(90)], 2)
+    few = spark.createDataFrame([(7, "only", 0, [1.0, 0.0, 0.0, 0.0])], words.schema)
+    words = words.unionByName(few)
+    found = [{r.question_id: [tuple(np.round(c, 6)) for c in r.centers] for r in kmeans.seeds(words, kmeans.blocks(words, size), 5).collect()} for size in (1000, 8)]
+    assert found[0] == found[1]
+    drawn = {tuple(np.round(v.astype(np.float32).astype(float), 6)): k for k, v in enumerate(x)}
+    for q in (0, 1):
+        assert len(set(found[0][q])) == 5 and all(drawn[c] % 3 for c in found[0][q])  # none of weight 0
+    assert found[0][0] != found[0][1] and found[0][7] == [(1.0, 0.0, 0.0, 0.0)] * 5
+
+
+def test_equal_vectors_are_one(spark):
+    model = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "word string, vec array<float>")
+    words = spark.createDataFrame([(0, "a", 2), (0, "b", 3), (0, "c", 1), (1, "b", 4), (1, "none", 1)], "question_id int, content string, n long")
+    assert sorted(tuple(r) for r in kmeans.collapsed(words, kmeans.dictionary(model)).collect()) == [(0, "a", 5), (0, "c", 1), (1, "a", 4)]
+    found = {(r.question_id, r.content): r.cluster for r in kmeans.clusters(words, model, 2).collect()}
+    assert set(found) == {(0, "a"), (0, "b"), (0, "c"), (1, "b")} and found[0, "a"] == found[0, "b"] != found[0, "c"]
+
+
+def test_places_of_a_hot_group_are_found_by_ranges(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot" if k % 3 else None if k % 2 else f"g{k % 7}", int(rng.integers(0, 500)), k) for k in range(6000)]
+    df = spark.createDataFrame(rows, "g string, v int, k int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged = order._ranged(df, ["g"], [F.col("v").desc(), F.col("k")])
+        share = [r["count"] for r in ranged.groupBy("__part").count().collect()]
+        assert len(share) == 4 and max(share) < 0.5 * len(rows)
+        placed = {r.k: (r.place, r.total) for r in order.places(df, ["g"], [F.col("v").desc(), F.col("k")], total="total").collect()}
+        sums = {r.k: (r.running, r.total) for r in order.running_sums(df, ["g"], [F.col("k")], "v").collect()}
+        picks = {r.g: r.k for r in order.drawn(df, ["g"], "k", "v", F.lit(0.6)).collect()}
+        assert order.places(df.limit(0), ["g"], [F.col("k")]).count() == 0
+        assert sorted(r.place for r in order.places(df, [], [F.col("k")]).collect()) == list(range(6000))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert [placed[r[2]] for r in own] == [(i, len(own)) for i in range(len(own))]
+        run, total = 0, sum(r[1] for r in own)
+        pick = None
+        for r in sorted(own, key=lambda r: r[2]):
+            run += r[1]
+            assert sums[r[2]] == (run, total)
+            pick = r[2] if pick is None and run / total > 0.6 else pick
+        assert picks[g] == pick
+
+
+def test_loops_delete_their_steps(spark):
+    with checkpoints.scope() as made:
+        loop = checkpoints.Loop(spark)
+        for k in range(4):
+            last = loop.cut(spark.range(k + 1))
+            loop.turn()
+        loop.close()
+        assert last.count() == 4 and len(made) == 1
+        checkpoints.clean(spark, made)
+        assert made == []
 
 
 def test_chain_equals_a_plain_loop(spark):

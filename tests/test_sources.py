@@ -95,3 +95,34 @@ def test_graded_corpus(spark, tmp_path):
     # with all five answers the mean is that of all grades, over the sizes that the exams have
     every = lambda qs: sum((q + k) % 6 for q in qs for k in range(5))
     assert abs(got[1, 5] - every(range(7)) / 35) < 1e-9 and abs(got[2, 5] - every([7]) / 35) < 1e-9
+
+
+def test_words_of_a_file_in_several_blocks(spark, tmp_path):
+    lines = ["  ".join(f"{k}.{j}" for j in range(k % 4)) for k in range(4000)]
+    (tmp_path / "3").write_text("\n".join(lines) + "\n")
+    (tmp_path / "4").write_text("1 2\n\n3\n")
+    size = (tmp_path / "3").stat().st_size
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // 3))
+    try:
+        assert corpus._lines(spark, str(tmp_path / "3")).select("block").distinct().count() >= 3
+        got = rows(corpus.scores(spark, str(tmp_path)).where("question_id = 3"), "owner_id")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    words = " ".join(lines).split()
+    assert [r[1] for r in got] == list(range(len(words)))
+    assert [round(r[2], 3) for r in got] == [round(float(w), 3) for w in words]
+    assert rows(corpus.scores(spark, str(tmp_path)).where("question_id = 4"), "owner_id") == [(4, 0, 1.0), (4, 1, 2.0), (4, 2, 3.0)]
+
+
+def test_raw_tree(spark, tmp_path):
+    for k, (name, grades) in enumerate({"11.10": "1 2\n", "11.2": "3\n", "2.1": "4\n\n5\n"}.items()):
+        (tmp_path / "scores" / name).mkdir(parents=True)
+        for grader in ("ave", "me", "other"):
+            (tmp_path / "scores" / name / grader).write_text(grades if grader == "ave" else f"{k}\n")
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "2.1").write_text("2.1 An  answer\n2.1\n")
+    found = corpus.collected_tree(spark, str(tmp_path / "scores"))
+    assert rows(found, "question_id", "owner_id") == [(0, 0, "2.1", 4.0), (0, 1, "2.1", 5.0), (1, 0, "11.2", 3.0), (2, 0, "11.10", 1.0), (2, 1, "11.10", 2.0)]
+    assert corpus.raw_scores(spark, str(tmp_path / "scores")).where("grader = 'me'").count() == 3
+    assert rows(corpus.collected_tree(spark, str(tmp_path / "scores"), exclude=("11.2",)), "question_id", "owner_id")[-1] == (1, 1, "11.10", 2.0)
+    assert rows(corpus.raw_answers(spark, str(tmp_path / "raw")), "line") == [("2.1", 0, "An answer"), ("2.1", 1, "")]
