@@ -137,29 +137,34 @@ def changed_counts(counts: DataFrame, answers: DataFrame, truth: DataFrame, fact
     return counts.join(delta, "owner_id", "left").select("owner_id", *[c.alias(n) for n, c in moved.items()])
 
 
-def packed_likelihood(answers: DataFrame, truth: DataFrame, counts: DataFrame, factors: int, config: Config = Config()) -> DataFrame:
-    """question_id, z, l0, l1 (arrays by factor): as log_likelihood(), from one row for each answer.
+class Terms:
+    """The columns of packed_likelihood(), which all sweeps share: a question's factors make many, so they are built once."""
 
-    A factor's sum is that of all answers as if none had seen it, and what it differs by for those that have."""
-    a = config.alpha
+    def __init__(self, factors: int, config: Config = Config()):
+        a = config.alpha
 
-    def log(i: int, o: int, less: int) -> Column:
-        own = F.col(f"n{i}{o}") + F.lit(a[2 * i + o]) - less
-        # where a cell itself counts, own is above 0; other answers don't need the smaller logarithm
-        return F.coalesce(F.when(own > 0, F.ln(own / (F.lit(a[2 * i] + a[2 * i + 1]) + F.col(f"n{i}0") + F.col(f"n{i}1")))), F.lit(0.0))
+        def log(i: int, o: int, less: int) -> Column:
+            own = F.col(f"n{i}{o}") + F.lit(a[2 * i + o]) - less
+            # where a cell itself counts, own is above 0; other answers don't need the smaller logarithm
+            return F.coalesce(F.when(own > 0, F.ln(own / (F.lit(a[2 * i] + a[2 * i + 1]) + F.col(f"n{i}0") + F.col(f"n{i}1")))), F.lit(0.0))
 
-    every = [(i, o, less) for i in (0, 1) for o in (0, 1) for less in (0, 1)]
-    rows = answers.join(truth.select("question_id", "z"), "question_id").join(counts, "owner_id")
-    rows = rows.select("question_id", "z", "obs", *[log(*t).alias("t{}{}{}".format(*t)) for t in every])
-    base = [F.sum(f"t{i}0{less}").alias(f"base{i}{less}") for i in (0, 1) for less in (0, 1)]
+        seen, true = [_bit("obs", f) for f in range(factors)], [_bit("z", f) for f in range(factors)]
+        by = {(i, less): F.col(f"t{i}1{less}") - F.col(f"t{i}0{less}") for i in (0, 1) for less in (0, 1)}
+        differs = lambda f, i: F.sum(F.when(seen[f], F.when(true[f], by[i, i]).otherwise(by[i, 1 - i])).otherwise(0.0)).alias(f"s{i}_{f}")
+        self.logs = [log(i, o, less).alias(f"t{i}{o}{less}") for i in (0, 1) for o in (0, 1) for less in (0, 1)]
+        self.sums = [F.sum(f"t{i}0{less}").alias(f"base{i}{less}") for i in (0, 1) for less in (0, 1)]
+        self.sums += [differs(f, i) for i in (0, 1) for f in range(factors)]
+        whole = lambda i: F.array(*[F.col(f"s{i}_{f}") + F.when(true[f], F.col(f"base{i}{i}")).otherwise(F.col(f"base{i}{1 - i}")) + F.ln(F.lit(config.beta[i])) for f in range(factors)])
+        self.whole = [whole(0).alias("l0"), whole(1).alias("l1")]
 
-    def differs(f: int, i: int) -> Column:
-        by = lambda less: F.col(f"t{i}1{less}") - F.col(f"t{i}0{less}")
-        return F.sum(F.when(_bit("obs", f), F.when(_bit("z", f), by(i)).otherwise(by(1 - i))).otherwise(0.0)).alias(f"s{i}_{f}")
 
-    sums = rows.groupBy("question_id", "z").agg(*base, *[differs(f, i) for i in (0, 1) for f in range(factors)])
-    whole = lambda i: F.array(*[F.col(f"s{i}_{f}") + F.when(_bit("z", f), F.col(f"base{i}{i}")).otherwise(F.col(f"base{i}{1 - i}")) + F.ln(F.lit(config.beta[i])) for f in range(factors)])
-    return sums.select("question_id", "z", whole(0).alias("l0"), whole(1).alias("l1"))
+def packed_likelihood(answers: DataFrame, truth: DataFrame, counts: DataFrame, terms: Terms) -> DataFrame:
+    """question_id, z, l0, l1 (arrays by factor): as log_likelihood(), from one row for each answer.
+
+    A factor's sum is that of all answers as if none had seen it, and what it differs by for those that have."""
+    rows = answers.join(truth.select("question_id", "z"), "question_id").join(counts, "owner_id")
+    sums = rows.select("question_id", "z", "obs", *terms.logs).groupBy("question_id", "z").agg(*terms.sums)
+    return sums.select("question_id", "z", *terms.whole)
 
 
 def swept(likelihood: DataFrame, factors: int, draw: bool, seed: str, sweep: int) -> DataFrame:
@@ -190,9 +195,10 @@ def synchronous(observations: DataFrame, sweeps: int, config: Config = Config(),
     coin = lambda f: ~(uniform(f"{config.seed}:init", F.col("question_id"), f) < 0.5)
     truth = loop.cut(answers.select("question_id").distinct().withColumn("z", _set_of(factors, coin)))
     counts = loop.cut(packed_counts(answers, truth, factors)) if sweeps else None
+    terms = Terms(factors, config) if sweeps else None
     for k in range(sweeps):
         before = truth
-        truth = loop.cut(swept(packed_likelihood(answers, truth, counts, factors, config), factors, draw, config.seed, k))
+        truth = loop.cut(swept(packed_likelihood(answers, truth, counts, terms), factors, draw, config.seed, k))
         if not draw and truth.where("was <> z").isEmpty():
             break
         if not draw and k and truth.join(before.select("question_id", F.col("was").alias("twice")), "question_id").where("z <> twice").isEmpty():

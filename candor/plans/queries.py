@@ -439,7 +439,7 @@ def ltm_counts(spark, d):
     truth = checkpoints.cut(T.repacked(coin, FACTORS).select("question_id", F.col("obs").alias("z")))
     counts = checkpoints.cut(T.packed_counts(answers, truth, FACTORS))
     for k in range(3):
-        likelihood = T.packed_likelihood(answers, truth, counts, FACTORS, CONFIG)
+        likelihood = T.packed_likelihood(answers, truth, counts, T.Terms(FACTORS, CONFIG))
         truth = checkpoints.cut(T.swept(likelihood, FACTORS, True, CONFIG.seed, k))
         counts = checkpoints.cut(T.changed_counts(counts, answers, truth, FACTORS))
     return counts.select("owner_id", "n00", "n01", "n10", "n11")

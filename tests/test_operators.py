@@ -153,7 +153,7 @@ def test_packed_sweeps_equal_those_by_cell(spark, factors):
     as_rows = lambda d: sorted(tuple(r) for r in d.select("owner_id", "n00", "n01", "n10", "n11").collect())
     assert as_rows(first) == as_rows(counts)
     expected = {(r.question_id, r.factor): r for r in truth.log_likelihood(obs, z, counts).collect()}
-    likelihood = checkpoints.cut(truth.packed_likelihood(packed, coin, first, factors))
+    likelihood = checkpoints.cut(truth.packed_likelihood(packed, coin, first, truth.Terms(factors)))
     got = likelihood.collect()
     assert len(got) * factors == len(expected)
     for r in got:
