@@ -263,6 +263,7 @@ def labelled(blocked: DataFrame, centers: DataFrame) -> DataFrame:
 
 def clusters(words: DataFrame, word_model: DataFrame, k: int, seed: str = "kmeans", max_iter: int = 100, tolerance: float = 1e-12) -> DataFrame:
     """question_id, content, n, cluster of distinct words with their counts: equal vectors collapsed, seeded by k-means||, moved until they stand still."""
+    word_model = cut(word_model)  # read three times
     reps = cut(dictionary(word_model))
     vectors = cut(collapsed(words, reps).join(word_model.select(F.col("word").alias("content"), "vec"), "content"))
     blocked = blocks(vectors)

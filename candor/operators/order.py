@@ -19,6 +19,7 @@ _PART, _NR = "__part", "__nr"
 def _ranged(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """rows in ranges of group and order, stored, with the range and an id that ascends within it."""
     keys = [F.col(c) for c in by] + order
+    rows = cut(rows)  # ranges are found by a sample: what makes the rows is not to run twice
     dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     return cut(dealt.select("*", F.spark_partition_id().alias(_PART), F.monotonically_increasing_id().alias(_NR)))
 

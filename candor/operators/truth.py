@@ -199,11 +199,14 @@ def synchronous(observations: DataFrame, sweeps: int, config: Config = Config(),
     for k in range(sweeps):
         before = truth
         truth = loop.cut(swept(packed_likelihood(answers, truth, counts, terms), factors, draw, config.seed, k))
-        if not draw and truth.where("was <> z").isEmpty():
-            break
-        if not draw and k and truth.join(before.select("question_id", F.col("was").alias("twice")), "question_id").where("z <> twice").isEmpty():
-            truth = truth.select("question_id", F.col("was" if (sweeps - k - 1) % 2 else "z").alias("z"))
-            break
+        if not draw and k + 1 < sweeps:
+            both = truth.join(before.select("question_id", F.col("was" if k else "z").alias("twice")), "question_id")
+            seen = both.agg(F.count_if(F.col("was") != F.col("z")).alias("flips"), F.count_if(F.col("z") != F.col("twice")).alias("new")).first()
+            if not seen.flips:
+                break
+            if k and not seen.new:
+                truth = truth.select("question_id", F.col("was" if (sweeps - k - 1) % 2 else "z").alias("z"))
+                break
         if k + 1 < sweeps:
             counts = loop.cut(changed_counts(counts, answers, truth, factors))
         loop.turn()

@@ -798,8 +798,9 @@ def kmeans_parallel_seeds_weightless(spark, d):
 
 @query("SELECT question_id, content, n, cluster FROM pfin2")
 def sphere_kmeans(spark, d):
-    """k-means|| and two steps."""
-    return B.clusters(checkpoints.cut(K.distinct_words(_keywords(spark, d))), _model(spark, d), FACTORS, "truth:kmeans", 2)
+    """k-means|| and two steps. Words without a vector go with the join of the dictionary."""
+    words = K.distinct_words(K.keywords(chat_answers(spark, d), corpus.stopwords(spark)))
+    return B.clusters(checkpoints.cut(words), _model(spark, d), FACTORS, "truth:kmeans", 2)
 
 
 @query("SELECT question_id, content, n, cluster FROM wfin2")
