@@ -174,11 +174,16 @@ def test_rules_on_labels_not_learned_from(spark):
     assert kept[1] > 0.97 and kept[0] < 0.1
 
 
-def test_sample_is_bounded(spark):
-    rows = [(1, "the river and the house", "en")] * 500 + [(k, f"der fluss {k}", f"l{k % 300}") for k in range(3, 900)]
+def test_sample_is_bounded(spark, monkeypatch):
+    """All languages are learned, rare ones too; the sample grows with them up to a bound that raises."""
+    rows = [(1, "the river and the house", "en")] * 500 + [(k, f"der fluss {k}", f"l{k % 110}") for k in range(3, 500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(docs, sample=200)
-    assert len(model.langs) == 10 and "en" in model.langs
+    assert set(model.langs) == {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    assert len(model.langs) > 100
+    monkeypatch.setattr(langid, "MOST", 50)
+    with pytest.raises(ValueError):
+        langid.fit(docs, sample=200)
 
 
 def test_alignment_equals_full_table():
