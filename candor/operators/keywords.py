@@ -12,6 +12,9 @@ from candor.functions.rng import hash32, uniform
 from candor.functions.text import pad, tokens, unpad
 from candor.operators.order import places
 
+#: Rows of a question that one task sorts; beyond, places are found by ranges
+FITS = 250_000
+
 
 def tokenized(answers: DataFrame) -> DataFrame:
     """question_id, owner_id, pos, content: every word of every answer."""
@@ -101,14 +104,14 @@ def shuffle_key(seed: str, *ids: str) -> Column:
 
 
 def shuffled(words: DataFrame, seed: str = "shuffle") -> DataFrame:
-    """Place of each row of a question in an order by hash of its values, found by ranges."""
+    """Place of each row of a question in an order by hash of its values; by ranges, where a question is large."""
     order = [shuffle_key(seed, "question_id", "owner_id", "pos", "content"), F.col("owner_id"), F.col("pos")]
-    return places(words, ["question_id"], order)
+    return places(words, ["question_id"], order, fits=FITS)
 
 
 def ordered(words: DataFrame, *keys: Column | str, descending: bool = False) -> DataFrame:
-    """Place of each row of a question in the order of any keys, ties by owner and position, found by ranges."""
+    """Place of each row of a question in the order of any keys, ties by owner and position; by ranges, where a question is large."""
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
     order = [c.desc() if descending else c.asc() for c in cols]
     ties = [F.col(c) for c in ("owner_id", "pos") if c in words.columns]
-    return places(words, ["question_id"], [*order, *ties])
+    return places(words, ["question_id"], [*order, *ties], fits=FITS)

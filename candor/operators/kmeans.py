@@ -10,6 +10,9 @@ squared distance to the nearest candidate); a block sends those that its own mas
 question's mass decides. Candidates, some 1 + ROUNDS * OVER * K for a question, get the counts of the vectors nearest to them, and
 a weighted k-means++ over them gives the K seeds.
 
+A question of one block, as most are, goes through seeding and all steps within its row (`whole`): it has nothing to combine, so its
+vectors are read once and not joined again. Only questions of several blocks take the steps above; results are the same.
+
 Bounds. Of each vector a step keeps the dot product with its center and the largest with another one. A center that moves by m
 changes a dot product by |x| m at most, so a vector whose own bound stays above the other is not compared again. Questions
 whose centers have stopped are left out of further steps."""
@@ -50,14 +53,16 @@ def collapsed(words: DataFrame, reps: DataFrame) -> DataFrame:
     return named.groupBy("question_id", F.col("rep").alias("content")).agg(F.sum("n").alias("n"))
 
 
-def blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
-    """question_id, block, words: an array of content, n and vec, by content. vectors: question_id, content, n, vec.
+def blocks(vectors: DataFrame, size: int = BLOCK, names: DataFrame | None = None) -> DataFrame:
+    """question_id, block, n_blocks, words: an array of content, n and vec, by content. vectors: question_id, content, n, vec.
 
-    A block gets about `size` rows, by the hash of content."""
-    count = vectors.groupBy("question_id").agg(F.ceil(F.count("*") / size).alias("n_blocks"))
+    A block gets about `size` rows, by the hash of content; a question of at most `size` rows is one. `names` are the same rows without
+    vectors, where they are at hand, to be counted."""
+    names = vectors if names is None else names
+    count = names.groupBy("question_id").agg(F.ceil(F.count("*") / size).alias("n_blocks"))
     dealt = vectors.join(count, "question_id").withColumn("block", F.pmod(F.xxhash64("content"), "n_blocks"))
     word = F.struct("content", F.col("n").cast("double").alias("n"), F.col("vec").cast("array<float>").alias("vec"))
-    return cut(dealt.groupBy("question_id", "block").agg(F.sort_array(F.collect_list(word)).alias("words")))
+    return cut(dealt.groupBy("question_id", "block", "n_blocks").agg(F.sort_array(F.collect_list(word)).alias("words")))
 
 
 def _block(batch, k: int):
@@ -80,9 +85,23 @@ def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return far
 
 
-def _uniform(seed: str, *ids) -> float:
-    """As functions.rng.uniform."""
-    return int(hashlib.md5("|".join([seed, *map(str, ids)]).encode()).hexdigest()[:8], 16) / 4294967296.0
+def _uniforms(seed: str, question, step, contents: list[str]) -> np.ndarray:
+    """As functions.rng.uniform of seed, question, step and each content."""
+    head = hashlib.md5(f"{seed}|{question}|{step}|".encode())
+    out = np.empty(len(contents))
+    for i, content in enumerate(contents):
+        one = head.copy()
+        one.update(content.encode())
+        out[i] = int.from_bytes(one.digest()[:4], "big")
+    return out / 4294967296.0
+
+
+def _drawn(contents: list[str], mass: np.ndarray, over: float, seed: str, question, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that a round's mass lets through, and u / mass of each."""
+    some = np.flatnonzero(mass > 0)
+    t = _uniforms(seed, question, step, [contents[i] for i in some.tolist()]) / mass[some]
+    through = t * mass.sum() < over
+    return some[through], t[through]
 
 
 def _sampled(batches, over: float, seed: str, step: int):
@@ -92,13 +111,11 @@ def _sampled(batches, over: float, seed: str, step: int):
         mass, found = [], []
         for k, question in enumerate(asked):
             content, n, x = _block(batch, k)
+            content = content.to_pylist()
             m = n * _distances(x, _centers(batch, k, x.shape[1])).min(1)
-            total = float(m.sum())
-            some = np.flatnonzero(m > 0)
-            u = np.array([_uniform(seed, question, step, content[i].as_py()) for i in some.tolist()])
-            t = u / m[some]
-            mass.append(total)
-            found.append([{"t": t[j], "content": content[i].as_py(), "vec": x[i]} for j, i in enumerate(some.tolist()) if t[j] * total < over])
+            mass.append(float(m.sum()))
+            some, t = _drawn(content, m, over, seed, question, step)
+            found.append([{"t": v, "content": content[i], "vec": x[i]} for i, v in zip(some.tolist(), t.tolist(), strict=True)])
         kind = pa.list_(pa.struct([("t", pa.float64()), ("content", pa.string()), ("vec", pa.list_(pa.float64()))]))
         yield pa.RecordBatch.from_arrays([batch.column("question_id"), pa.array(mass), pa.array(found, kind)], ["question_id", "mass", "found"])
 
@@ -119,24 +136,29 @@ def _weighed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("question_id"), pa.array(out, pa.list_(pa.float64()))], ["question_id", "weights"])
 
 
-def _reduced(batches, clusters: int, seed: str):
+def _picked(names: list[str], x: np.ndarray, w: np.ndarray, clusters: int, seed: str, question) -> np.ndarray:
     """Weighted k-means++ over a question's candidates: the next seed wins a race of exponential times; where nothing has mass, the
     last candidate is taken again."""
+    least, chosen = np.ones(len(w)), []
+    for step in range(clusters):
+        if step:
+            far = _distances(x, x[chosen[-1:]])[:, 0]
+            least = far if step == 1 else np.minimum(least, far)
+        mass = w * least
+        some = np.flatnonzero(mass > 0)
+        time = -np.log(1 - _uniforms(seed, question, step, [names[i] for i in some.tolist()])) / mass[some]
+        chosen.append(int(some[np.argmin(time)]) if len(some) else len(w) - 1)
+    return x[chosen]
+
+
+def _reduced(batches, clusters: int, seed: str):
+    """The K seeds of each question from its candidates."""
     for batch in batches:
         asked, names, weights = (batch.column(c).to_pylist() for c in ("question_id", "names", "weights"))
         out = []
         for k, question in enumerate(asked):
-            w = np.array(weights[k])
             x = _centers(batch, k, len(batch.column("centers")[k][0]))
-            least, chosen = np.ones(len(w)), []
-            for step in range(clusters):
-                if step:
-                    far = _distances(x, x[chosen[-1:]])[:, 0]
-                    least = far if step == 1 else np.minimum(least, far)
-                mass = w * least
-                time = [(-np.log(1 - _uniform(seed, question, step, names[k][i])) / mass[i], i) for i in np.flatnonzero(mass > 0).tolist()]
-                chosen.append(min(time)[1] if time else len(w) - 1)
-            out.append(x[chosen].tolist())
+            out.append(_picked(names[k], x, np.array(weights[k]), clusters, seed, question).tolist())
         yield pa.RecordBatch.from_arrays([batch.column("question_id"), pa.array(out, _VECTORS)], ["question_id", "centers"])
 
 
@@ -164,49 +186,61 @@ def seeds(vectors: DataFrame, blocked: DataFrame, clusters: int, seed: str = "km
     return cut(few.mapInArrow(partial(_reduced, clusters=clusters, seed=f"{seed}:pick"), f"question_id {kind}, centers array<array<double>>"))
 
 
+def _step(x: np.ndarray, n: np.ndarray, centers: np.ndarray, bounds: tuple | None):
+    """Label, low and high of each vector, the sums of clusters, and how many vectors were compared with all centers. bounds: label,
+    low and high of the step before and how far each center moved since."""
+    if bounds is not None:
+        label, low, high, moves = bounds
+        length = np.linalg.norm(x, axis=1)
+        order = np.argsort(-moves, kind="stable")
+        low = low - length * moves[label]
+        high = high + length * np.where(label == order[0], moves[order[1]] if len(order) > 1 else 0.0, moves[order[0]])
+        label, open_ = label.copy(), np.flatnonzero(~(low > high + SURE))
+    else:
+        label, low, high = np.zeros(len(x), np.int32), np.zeros(len(x)), np.zeros(len(x))
+        open_ = np.arange(len(x))
+    if len(open_):
+        dots = x[open_] @ centers.T
+        label[open_] = best = _nearest(dots)
+        row = np.arange(len(open_))
+        low[open_] = dots[row, best]
+        dots[row, best] = -np.inf
+        high[open_] = dots.max(1)
+    sums = np.zeros_like(centers)
+    for c in np.unique(label).tolist():  # the order of rows is the block's, so sums are the same in each run
+        sums[c] = n[label == c] @ x[label == c]
+    return label, low, high, sums, len(open_)
+
+
 def _stepped(batches):
     """Labels, bounds and sums of each block. `checked` counts the vectors that were compared with all centers."""
+    names = ("label", "low", "high", "sums", "checked")
     for batch in batches:
-        out = {c: [] for c in ("label", "low", "high", "sums", "checked")}
+        out = {c: [] for c in names}
         for k in range(batch.num_rows):
             _, n, x = _block(batch, k)
-            centers = _centers(batch, k, x.shape[1])
-            if batch.column("label")[k].is_valid:
-                label, low, high, moves = (batch.column(c)[k].values.to_numpy(zero_copy_only=False).copy() for c in ("label", "low", "high", "moves"))
-                length = np.linalg.norm(x, axis=1)
-                order = np.argsort(-moves, kind="stable")
-                low -= length * moves[label]
-                high += length * np.where(label == order[0], moves[order[1]] if len(order) > 1 else 0.0, moves[order[0]])
-                open_ = np.flatnonzero(~(low > high + SURE))
-            else:
-                label, low, high = np.zeros(len(x), np.int32), np.zeros(len(x)), np.zeros(len(x))
-                open_ = np.arange(len(x))
-            if len(open_):
-                dots = x[open_] @ centers.T
-                label[open_] = best = _nearest(dots)
-                row = np.arange(len(open_))
-                low[open_] = dots[row, best]
-                dots[row, best] = -np.inf
-                high[open_] = dots.max(1)
-            sums = np.zeros_like(centers)
-            for c in np.unique(label).tolist():  # the order of rows is the block's, so sums are the same in each run
-                sums[c] = n[label == c] @ x[label == c]
-            for name, value in (("label", label), ("low", low), ("high", high), ("sums", sums.ravel()), ("checked", len(open_))):
-                out[name].append(value)
+            known = batch.column("label")[k].is_valid
+            bounds = tuple(batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("label", "low", "high", "moves")) if known else None
+            for name, value in zip(names, _step(x, n, _centers(batch, k, x.shape[1]), bounds), strict=True):
+                out[name].append(value.ravel() if name == "sums" else value)
         kinds = {"label": pa.list_(pa.int32()), "checked": pa.int64()}
         yield pa.RecordBatch.from_arrays([batch.column("question_id"), batch.column("block"), *[pa.array(v, kinds.get(c, pa.list_(pa.float64()))) for c, v in out.items()]], ["question_id", "block", *out])
 
 
+def _recentred_one(old: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """New centers from sums, each at unit length or, if shorter than 1e-8, as it is; how far each moved."""
+    length = np.linalg.norm(sums, axis=1, keepdims=True)
+    now = np.where(length < 1e-8, sums, sums / np.where(length < 1e-8, 1, length))
+    return now, np.linalg.norm(now - old, axis=1)
+
+
 def _recentred(batches):
-    """New centers from sums, each at unit length or, if shorter than 1e-8, as it is; how far each moved, and all together."""
+    """New centers of each question, how far each moved, and all together."""
     for batch in batches:
         new, moves, moved = [], [], []
         for k in range(batch.num_rows):
             old = _centers(batch, k, len(batch.column("centers")[k][0]))
-            sums = batch.column("sums")[k].values.to_numpy(zero_copy_only=False).reshape(old.shape)
-            length = np.linalg.norm(sums, axis=1, keepdims=True)
-            now = np.where(length < 1e-8, sums, sums / np.where(length < 1e-8, 1, length))
-            far = np.linalg.norm(now - old, axis=1)
+            now, far = _recentred_one(old, batch.column("sums")[k].values.to_numpy(zero_copy_only=False).reshape(old.shape))
             new.append(now.tolist())
             moves.append(far)
             moved.append(far.sum())
@@ -261,12 +295,54 @@ def labelled(blocked: DataFrame, centers: DataFrame) -> DataFrame:
     return blocked.join(centers.select("question_id", "centers"), "question_id").mapInArrow(_labelled, f"question_id {kind}, content string, cluster int")
 
 
-def clusters(words: DataFrame, word_model: DataFrame, k: int, seed: str = "kmeans", max_iter: int = 100, tolerance: float = 1e-12) -> DataFrame:
-    """question_id, content, n, cluster of distinct words with their counts: equal vectors collapsed, seeded by k-means||, moved until they stand still."""
-    word_model = cut(word_model)  # read three times
+def _seeded_whole(content: list[str], n: np.ndarray, x: np.ndarray, clusters: int, seed: str, question, rounds: int, over: float) -> np.ndarray:
+    """The seeds of a question that is one block, as seeds() finds them; rows are in the order of content."""
+    u = _uniforms(seed, question, "first", content)
+    time = np.where(n > 0, -np.log(1 - u) / np.where(n > 0, n, 1), np.inf)
+    chosen = [int(np.argmin(time))]
+    for step in range(rounds):
+        mass = n * _distances(x, x[chosen]).min(1)
+        chosen = sorted([*chosen, *_drawn(content, mass, over * clusters, f"{seed}:round", question, step)[0].tolist()])
+    candidates = x[chosen]
+    weights = np.bincount(_nearest(-_distances(x, candidates)), n, len(chosen))
+    return _picked([content[i] for i in chosen], candidates, weights, clusters, f"{seed}:pick", question)
+
+
+def _whole(batches, clusters: int, seed: str, max_iter: int, tolerance: float, rounds: int, over: float):
+    for batch in batches:
+        for k, question in enumerate(batch.column("question_id").to_pylist()):
+            content, n, x = _block(batch, k)
+            centers, bounds = _seeded_whole(content.to_pylist(), n, x, clusters, seed, question, rounds, over), None
+            for _ in range(max_iter):
+                *bounds, sums, _ = _step(x, n, centers, bounds)
+                centers, moves = _recentred_one(centers, sums)
+                bounds.append(moves)
+                if moves.sum() <= tolerance:
+                    break
+            label = _nearest(x @ centers.T).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("question_id").take(pa.array([k] * len(n))), content, pa.array(label)], ["question_id", "content", "cluster"])
+
+
+def whole(blocked: DataFrame, k: int, seed: str = "kmeans", max_iter: int = 100, tolerance: float = 1e-12, rounds: int = ROUNDS, over: float = OVER) -> DataFrame:
+    """question_id, content, cluster of questions that are one block each: seeds and all steps of a question within its row."""
+    kind = dict(blocked.dtypes)["question_id"]
+    run = partial(_whole, clusters=k, seed=seed, max_iter=max_iter, tolerance=tolerance, rounds=rounds, over=over)
+    return blocked.mapInArrow(run, f"question_id {kind}, content string, cluster int")
+
+
+def clusters(words: DataFrame, word_model: DataFrame, k: int, seed: str = "kmeans", max_iter: int = 100, tolerance: float = 1e-12, size: int = BLOCK) -> DataFrame:
+    """question_id, content, n, cluster of distinct words with their counts: equal vectors collapsed, seeded by k-means||, moved until they stand still.
+
+    A question of at most `size` vectors is one row's work; larger ones are spread over blocks."""
+    word_model = cut(word_model)  # read twice
     reps = cut(dictionary(word_model))
-    vectors = cut(collapsed(words, reps).join(word_model.select(F.col("word").alias("content"), "vec"), "content"))
-    blocked = blocks(vectors)
-    centers = lloyd(blocked, seeds(vectors, blocked, k, seed), max_iter, tolerance)
-    found = labelled(blocked, centers).withColumnRenamed("content", "rep")
+    named = cut(collapsed(words, reps))
+    vectors = named.join(word_model.select(F.col("word").alias("content"), "vec"), "content")
+    blocked = blocks(vectors, size, named)
+    several = blocked.where("n_blocks > 1")
+    found = whole(blocked.where("n_blocks = 1"), k, seed, max_iter, tolerance)
+    if not several.isEmpty():
+        large = vectors.join(several.select("question_id").distinct(), "question_id", "left_semi")
+        found = found.unionByName(labelled(several, lloyd(several, seeds(large, several, k, seed), max_iter, tolerance)))
+    found = found.withColumnRenamed("content", "rep")
     return words.join(reps.withColumnRenamed("word", "content"), "content").join(found, ["question_id", "rep"]).select("question_id", "content", "n", "cluster")

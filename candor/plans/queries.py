@@ -803,6 +803,13 @@ def sphere_kmeans(spark, d):
     return B.clusters(checkpoints.cut(words), _model(spark, d), FACTORS, "truth:kmeans", 2)
 
 
+@query("SELECT question_id, content, n, cluster FROM pfin2")
+def sphere_kmeans_blocks(spark, d):
+    """As sphere_kmeans, with blocks of 16 vectors, so that questions are spread over several."""
+    words = K.distinct_words(K.keywords(chat_answers(spark, d), corpus.stopwords(spark)))
+    return B.clusters(checkpoints.cut(words), _model(spark, d), FACTORS, "truth:kmeans", 2, size=16)
+
+
 @query("SELECT question_id, content, n, cluster FROM wfin2")
 def sphere_kmeans_weightless(spark, d):
     return B.clusters(checkpoints.cut(_odd_as_dummies(spark, d)), _model(spark, d), FACTORS, "truth:kmeans", 2)

@@ -240,6 +240,29 @@ def test_equal_vectors_are_one(spark):
     assert set(found) == {(0, "a"), (0, "b"), (0, "c"), (1, "b")} and found[0, "a"] == found[0, "b"] != found[0, "c"]
 
 
+def test_clusters_of_one_block_and_of_several_are_the_same(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(150, 6))
+    x[100:] = x[:50]  # equal vectors
+    model = spark.createDataFrame([(f"w{k:03}", v.tolist()) for k, v in enumerate(x)], "word string, vec array<float>")
+    rows = [(q, f"w{k:03}", int(rng.integers(0, 4))) for q, m in ((0, 150), (1, 60), (2, 3), (3, 1)) for k in range(m)]
+    rows += [(4, f"w{k:03}", 0) for k in range(40)]  # nothing has weight
+    words = spark.createDataFrame(rows, "question_id int, content string, n int")
+    found = [{(r.question_id, r.content): (r.n, r.cluster) for r in kmeans.clusters(words, model, 4, max_iter=40, size=size).collect()} for size in (1000, 50, 7)]
+    assert found[0] == found[1] == found[2]
+    assert {k: v[0] for k, v in found[0].items()} == {(q, c): n for q, c, n in rows}
+    assert len({c for (q, _), (_, c) in found[0].items() if q == 0}) == 4
+
+
+def test_small_groups_are_placed_by_a_window(spark):
+    rows = [(k % 3 or None, k % 5, k) for k in range(60)]
+    df = spark.createDataFrame(rows, "g int, v int, k int")
+    by = lambda fits: {r.k: (r.place, r.n) for r in order.places(df, ["g"], [F.col("v").desc(), F.col("k")], total="n", fits=fits).collect()}
+    assert by(0) == by(19) == by(20) and len(by(20)) == 60
+    assert order.places(df.limit(0), ["g"], [F.col("k")], fits=5).count() == 0
+    assert dict(order.places(df, ["g"], [F.col("k")], fits=20).dtypes) == dict(order.places(df, ["g"], [F.col("k")]).dtypes)
+
+
 def test_places_of_a_hot_group_are_found_by_ranges(spark):
     rng = np.random.default_rng(4)
     rows = [("hot" if k % 3 else None if k % 2 else f"g{k % 7}", int(rng.integers(0, 500)), k) for k in range(6000)]

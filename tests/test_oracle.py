@@ -8,7 +8,7 @@ from candor.plans.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = "tokenize keywords_filtered vocabulary keyword_padding word_vectors vector_arith estep_assign mstep_centroids convergence kmeanspp_pick observations prior_counts ltm_loglik dummy_words hash_shuffle vmf_log_c movmf_params renumber section_counts select_masked truth_plain_map movmf_steps load_answers load_scores word_model_files first_answers scores_renumbered sort_by_expression tidy_series exam_report kmeanspp_centers_weightless sphere_kmeans truth_plain truth_padded".split()
+SOME = "tokenize keywords_filtered vocabulary keyword_padding word_vectors vector_arith estep_assign mstep_centroids convergence kmeanspp_pick observations prior_counts ltm_loglik dummy_words hash_shuffle vmf_log_c movmf_params renumber section_counts select_masked truth_plain_map movmf_steps load_answers load_scores word_model_files first_answers scores_renumbered sort_by_expression tidy_series exam_report kmeanspp_centers_weightless sphere_kmeans sphere_kmeans_blocks truth_plain truth_padded".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables here")
 
