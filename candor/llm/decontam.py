@@ -5,10 +5,14 @@ documents, its sorted dictionary of term hashes and its postings: the positions
 each term in the segment, term after term. Segments are independent, so that building
 shuffles nothing and a lost task builds its segments again.
 
-search() cuts the benchmark into phrases, distinct ones with the items that have them, and sends
-them to all segments in blocks of BLOCK_PHRASES: one pass over the index for each block, whose
-results are stored and whose broadcast is dropped before the next, so that memory doesn't grow
-with the benchmark. A segment drops phrases of which it lacks a term. For the others the shortest postings list, moved by
+search() cuts the benchmark into phrases, distinct ones with the items that have them. Up to BLOCK_PHRASES pairs of phrase and
+item are sent to all segments at once. More are dealt, so that memory doesn't grow with the benchmark and the index is read a fixed number
+of times: the segments' dictionaries give the benchmark's terms their frequencies, a phrase with a term that no document has goes,
+and each other one is joined, by its rarest term, with the segments that have it. A segment gets its phrases in rows of at most some
+DEALT, and the items of phrases are joined to what was found. (Dictionaries send only terms that pass a bitmap of
+the benchmark's terms, of 2 MB at any size.)
+
+A segment drops phrases of which it lacks a term. For the others the shortest postings list, moved by
 the term's place in the phrase, gives the candidate starts; the lists of the other
 terms, from the rarest, are intersected with them. What is left are exact matches.
 proximity() maps another search over the segments: it keeps the places of the rarest term
@@ -38,7 +42,9 @@ from .words import ALNUM, LOWER, WordHash, cuts, hashed_words, utf8
 
 WINDOW = 13
 SEGMENT_BYTES = 2 << 20
-BLOCK_PHRASES = 100_000  # that are sent to the executors at once: some 10 MB of term hashes, and their items
+BLOCK_PHRASES = 100_000  # with their items, that are sent to all executors: some 10 MB of term hashes; more are dealt
+DEALT = 20_000  # phrases of a row that a segment gets
+BITMAP = 24  # bits of a term's hash in the bitmap of the benchmark's terms
 _HASH = WordHash(7)
 
 INDEX = "segment long, doc_ids array<bigint>, first binary, terms binary, counts binary, positions binary"
@@ -192,9 +198,12 @@ def _phrases(batches, size: int):
 
 
 def phrases(benchmark: DataFrame, size: int) -> DataFrame:
-    """words (term hashes of a window, a shorter item's words being one), and the items that have it."""
-    every = benchmark.where("text IS NOT NULL").mapInArrow(partial(_phrases, size=size), "words binary, item_id string")
-    return every.groupBy("words").agg(F.collect_set("item_id").alias("items"))
+    """words (term hashes of a window, a shorter item's words being one) and item_id, distinct pairs."""
+    return benchmark.where("text IS NOT NULL").mapInArrow(partial(_phrases, size=size), "words binary, item_id string").distinct()
+
+
+def _with_items(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("words").agg(F.collect_set("item_id").alias("items"))
 
 
 def _block(rows: list, size: int) -> tuple:
@@ -276,32 +285,110 @@ def merged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.stack([a[at], b[np.append(at[1:], len(a)) - 1]], 1).astype(np.int64)
 
 
-def _blocks(benchmark: DataFrame, size: int, item_col: str, text_col: str) -> list[DataFrame]:
-    """The benchmark's phrases, stored, in blocks of some BLOCK_PHRASES; at least one."""
+def _pairs(benchmark: DataFrame, size: int, item_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """The benchmark's phrases with their items, stored, and whether they are few enough to be sent to all segments."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    every = stored(phrases(items, size), "phrases")
-    n = -(-every.count() // BLOCK_PHRASES) or 1
-    return [every] if n == 1 else [every.where(F.pmod(F.xxhash64("words"), F.lit(n)) == k) for k in range(n)]
+    pairs = stored(phrases(items, size), "phrases")
+    return pairs, pairs.count() <= BLOCK_PHRASES
 
 
-def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Of each document: its words, the merged spans (pairs of 64-bit integers) of words in windows of items, and these items.
+def _sent(index: DataFrame, pairs: DataFrame, size: int):
+    return index.sparkSession.sparkContext.broadcast(_block(_with_items(pairs).collect(), size))
+
 
-    The first block gives a row for each document, later ones for those with matches, which are put together."""
+def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Of each document: its words, the merged spans (pairs of 64-bit integers) of words in windows of items, and these items."""
     small_batches(index.sparkSession)
-    return _searched(index, _blocks(benchmark, size, item_col, text_col), size)
-
-
-def _searched(index: DataFrame, blocks: list[DataFrame], size: int) -> DataFrame:
-    found = None
-    for k, block in enumerate(blocks):
-        shared = index.sparkSession.sparkContext.broadcast(_block(block.collect(), size))
-        part = stored(index.mapInArrow(partial(_search, shared=shared, every=not k), FOUND), "found")
-        shared.destroy()
-        found = part if found is None else found.unionByName(part)
-    if len(blocks) == 1:
-        return found
-    together = found.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    pairs, few = _pairs(benchmark, size, item_col, text_col)
+    if not few:
+        return _dealt_search(index, pairs, size)
+    shared = _sent(index, pairs, size)
+    found = stored(index.mapInArrow(partial(_search, shared=shared, every=True), FOUND), "found")
+    shared.destroy()
+    return found
+
+
+@lean
+def _terms(batches):
+    """The distinct terms of each phrase, with their number."""
+    for batch in batches:
+        found = [np.unique(np.frombuffer(w, np.uint64)) for w in batch.column("words").to_pylist()]
+        n = np.array([len(f) for f in found], np.int64)
+        of = pa.array(np.repeat(np.arange(len(n)), n))
+        term = np.concatenate([*found, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("words").take(of), pa.array(term), pa.array(np.repeat(n, n))], ["words", "term", "n_terms"])
+
+
+@lean
+def _dictionary(batches, bitmap):
+    """The terms of each segment that pass the bitmap, with their number of postings."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            term, n = unpack_sorted(row["terms"]), unpack(row["counts"], np.uint32).astype(np.int64)
+            bit = (term >> np.uint64(64 - BITMAP)).astype(np.int64)
+            keep = np.flatnonzero((bitmap.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+            yield pa.RecordBatch.from_arrays([pa.array(term[keep].view(np.int64)), pa.array(np.full(len(keep), row["segment"], np.int64)), pa.array(n[keep])], ["term", "segment", "n"])
+
+
+def _bitmap(terms: DataFrame) -> np.ndarray:
+    """A bit for each value of the first BITMAP bits of the terms' hashes: 2 MB, put together by Spark in parts of 4 KB."""
+    bit = F.call_function("shiftrightunsigned", "term", F.lit(64 - BITMAP)) + 1
+    parts = terms.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+    out = np.zeros(1 << (BITMAP - 3), np.uint8)
+    for r in parts.collect():
+        out[(r.part - 1) * len(r.bits) :][: len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+@lean
+def _dealt(batches, size: int):
+    """Of the documents with matches of a row's phrases: their spans, and these phrases."""
+    for batch in batches:
+        for segment, row in zip(batch.column("segment").to_pylist(), batch.drop_columns(["segment"]).to_pylist(), strict=True):
+            p, names = Postings(row), row["phrases"]
+            words, lengths, _, _ = _block([{"words": w, "items": ()} for w in names], size)
+            phrase, start = p.phrases(words, lengths)
+            doc = np.searchsorted(p.first, start, "right") - 1
+            by = np.argsort(doc, kind="stable")
+            rows, spans, found = [], [], []
+            for a, b in slices_of_runs(doc[by]):
+                some, d = by[a:b], int(doc[by[a]])
+                rows.append(d)
+                spans.append(merged(start[some] - p.first[d], lengths[phrase[some]]).tobytes())
+                found.append([names[g] for g in np.unique(phrase[some]).tolist()])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(([segment] * len(rows), rows, spans, found), kinds, strict=True)], ["segment", "row", "spans", "phrases"])
+
+
+@lean
+def _rows(batches):
+    """Every document of the segments."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            n = np.diff(unpack_sorted(row["first"]).astype(np.int64))
+            ids = row["doc_ids"]
+            n = n if len(n) else np.zeros(len(ids), np.int64)  # a segment without a word
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["segment"], np.int64)), pa.array(np.arange(len(ids))), pa.array(ids, pa.int64()), pa.array(n)], ["segment", "row", "doc_id", "n_words"])
+
+
+def _dealt_search(index: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """As the search with phrases sent to all segments, for any number of them."""
+    terms = stored(pairs.select("words").distinct().mapInArrow(_terms, "words binary, term long, n_terms long"), "terms")
+    bitmap = index.sparkSession.sparkContext.broadcast(_bitmap(terms))
+    dictionary = stored(index.select("segment", "terms", "counts").mapInArrow(partial(_dictionary, bitmap=bitmap), "term long, segment long, n long"), "dictionary")
+    bitmap.destroy()
+    frequency = dictionary.groupBy("term").agg(F.sum("n").alias("n"))
+    rarest = terms.join(frequency, "term").groupBy("words").agg(F.min(F.struct("n", "term"))["term"].alias("term"), (F.count("*") == F.max("n_terms")).alias("whole"))
+    homes = stored(dictionary.select("term", "segment").join(rarest.where("whole").select("words", "term"), "term").select("segment", "words"), "homes")
+    parts = homes.groupBy("segment").agg(F.ceil(F.count("*") / DEALT).alias("parts"))
+    dealt = homes.join(parts, "segment").groupBy("segment", F.pmod(F.xxhash64("words"), "parts").alias("part")).agg(F.collect_list("words").alias("phrases"))
+    found = stored(index.join(dealt.drop("part"), "segment").mapInArrow(partial(_dealt, size=size), "segment long, row long, spans binary, phrases array<binary>"), "found")
+    at = ["segment", "row"]
+    spans = found.groupBy(*at).agg(F.collect_list("spans").alias("s"))
+    items = found.select(*at, F.explode("phrases").alias("words")).join(pairs, "words").groupBy(*at).agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    every = index.select("segment", "doc_ids", "first").mapInArrow(_rows, "segment long, row long, doc_id long, n_words long")
+    none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
+    together = every.join(spans, at, "left").join(items, at, "left").select(*at, "doc_id", "n_words", none("s", "binary"), none("items", "string"))
     return stored(together.mapInArrow(_join_blocks, FOUND), "matches")
 
 
@@ -341,8 +428,7 @@ def _verdicts(batches):
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Of each document: n_words, n_hit, n_items, items_sha256 and contaminated (a twentieth of its words or more are hit)."""
     small_batches(docs.sparkSession)
-    blocks, segments = _blocks(benchmark, size, "item_id", "text"), index(docs)
-    if len(blocks) == 1:  # nothing to put together
-        shared = docs.sparkSession.sparkContext.broadcast(_block(blocks[0].collect(), size))
-        return segments.mapInArrow(partial(_search, shared=shared, every=True, verdict=True), RESULT)
-    return _searched(segments, blocks, size).mapInArrow(_verdict, RESULT)
+    (pairs, few), segments = _pairs(benchmark, size, "item_id", "text"), index(docs)
+    if not few:
+        return _dealt_search(segments, pairs, size).mapInArrow(_verdict, RESULT)
+    return segments.mapInArrow(partial(_search, shared=_sent(segments, pairs, size), every=True, verdict=True), RESULT)

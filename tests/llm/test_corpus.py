@@ -203,6 +203,25 @@ def test_contamination(spark, monkeypatch, block):
         assert decontam.contamination(frame(spark, docs).limit(0), bench).count() == 0
 
 
+def test_dealt_phrases_find_what_sent_ones_do(spark, monkeypatch):
+    rng = random.Random(21)
+    items = [(f"i{k}", " ".join(rng.choice("abcdefg") for _ in range(rng.choice([1, 2, 3, 5, 9])))) for k in range(60)]
+    items += [(f"same{k}", "a line that stands in many items") for k in range(50)] + [(None, "g f e"), ("none", None), ("rare", "zzz yyy")]
+    docs = [(k, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 60)))) for k in range(80)]
+    docs += [(900, None), (901, ""), (902, "So, a line that stands in many items."), (3, docs[3][1]), (None, "g f e"), (903, "zzz"), (904, "yyy")]
+    index = decontam.index(frame(spark, docs).repartition(6))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    found = []
+    for most, dealt in ((decontam.BLOCK_PHRASES, decontam.DEALT), (10, 7)):
+        monkeypatch.setattr(decontam, "BLOCK_PHRASES", most)
+        monkeypatch.setattr(decontam, "DEALT", dealt)
+        rows = decontam.search(index, bench, 3).collect()
+        found.append(sorted((r.segment, r.row, repr(r.doc_id), r.n_words, bytes(r.spans or b""), tuple(sorted(r["items"]))) for r in rows))
+    assert found[0] == found[1] and len(found[0]) == len(docs)
+    assert max(len(r[5]) for r in found[0]) >= 50 and any(r[4] for r in found[0])
+    assert not any("rare" in r[5] for r in found[0])
+
+
 def test_proximity():
     texts = ["a b c d e f g h", "a x x x x x x b", "b a"]
     import pyarrow as pa
