@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candor.checkpoints import Loop, cut
@@ -53,6 +53,12 @@ def collapsed(words: DataFrame, reps: DataFrame) -> DataFrame:
     return named.groupBy("question_id", F.col("rep").alias("content")).agg(F.sum("n").alias("n"))
 
 
+def _listed() -> Column:
+    """A block's rows in the order of content."""
+    word = F.struct("content", F.col("n").cast("double").alias("n"), F.col("vec").cast("array<float>").alias("vec"))
+    return F.sort_array(F.collect_list(word)).alias("words")
+
+
 def blocks(vectors: DataFrame, size: int = BLOCK, names: DataFrame | None = None) -> DataFrame:
     """question_id, block, n_blocks, words: an array of content, n and vec, by content. vectors: question_id, content, n, vec.
 
@@ -61,8 +67,7 @@ def blocks(vectors: DataFrame, size: int = BLOCK, names: DataFrame | None = None
     names = vectors if names is None else names
     count = names.groupBy("question_id").agg(F.ceil(F.count("*") / size).alias("n_blocks"))
     dealt = vectors.join(count, "question_id").withColumn("block", F.pmod(F.xxhash64("content"), "n_blocks"))
-    word = F.struct("content", F.col("n").cast("double").alias("n"), F.col("vec").cast("array<float>").alias("vec"))
-    return cut(dealt.groupBy("question_id", "block", "n_blocks").agg(F.sort_array(F.collect_list(word)).alias("words")))
+    return cut(dealt.groupBy("question_id", "block", "n_blocks").agg(_listed()))
 
 
 def _block(batch, k: int):
@@ -338,11 +343,14 @@ def clusters(words: DataFrame, word_model: DataFrame, k: int, seed: str = "kmean
     reps = cut(dictionary(word_model))
     named = cut(collapsed(words, reps))
     vectors = named.join(word_model.select(F.col("word").alias("content"), "vec"), "content")
-    blocked = blocks(vectors, size, named)
-    several = blocked.where("n_blocks > 1")
-    found = whole(blocked.where("n_blocks = 1"), k, seed, max_iter, tolerance)
-    if not several.isEmpty():
+    most = named.groupBy("question_id").count().agg(F.max("count")).first()[0] or 0
+    if most <= size:  # each question is a block, read once, so that none is written
+        found = whole(vectors.groupBy("question_id").agg(_listed()), k, seed, max_iter, tolerance)
+    else:
+        blocked = blocks(vectors, size, named)
+        several = blocked.where("n_blocks > 1")
         large = vectors.join(several.select("question_id").distinct(), "question_id", "left_semi")
+        found = whole(blocked.where("n_blocks = 1"), k, seed, max_iter, tolerance)
         found = found.unionByName(labelled(several, lloyd(several, seeds(large, several, k, seed), max_iter, tolerance)))
     found = found.withColumnRenamed("content", "rep")
     return words.join(reps.withColumnRenamed("word", "content"), "content").join(found, ["question_id", "rep"]).select("question_id", "content", "n", "cluster")
