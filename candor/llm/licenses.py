@@ -77,6 +77,14 @@ TEMPLATES = {
     "All rights reserved": "All rights reserved.",
 }
 
+#: Identifiers of the public SPDX list. A license's other versions are there so that they aren't taken for it
+SPDX = (
+    "0BSD Apache-1.1 Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 EPL-1.0 EPL-2.0 "
+    "AGPL-3.0-only AGPL-3.0-or-later GPL-1.0-only GPL-1.0-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later "
+    "LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later ISC MIT MPL-1.1 MPL-2.0 Unlicense Zlib"
+).split()
+TEMPLATES |= {f"{i} identifier": f"SPDX-License-Identifier: {i}" for i in SPDX}
+
 
 class Index(NamedTuple):
     names: list[str]

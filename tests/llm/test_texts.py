@@ -150,6 +150,27 @@ def test_trees_are_monotonic_and_learn():
         assert (np.diff(z) <= 1e-12).all()
 
 
+def test_flattened_trees_equal_a_plain_descent():
+    rng = np.random.default_rng(8)
+    x = rng.random((1500, 4)).round(2)  # ties with cuts
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float)
+    trees = quality.boost(x[:1000], y[:1000], [1, 0, 0, -1])
+
+    def descend(node: int, row) -> float:
+        if trees.feature[node] < 0:
+            return trees.value[node]
+        return descend(int((trees.left if row[trees.feature[node]] < trees.cut[node] else trees.right)[node]), row)
+
+    want = [trees.base + sum(descend(int(root), row) for root in trees.roots) for row in x]
+    assert np.allclose(trees.score(x), want, rtol=0, atol=1e-9)
+    assert sum(f >= 0 for f in trees.feature) > len(trees.roots)  # they split
+
+
+def test_every_identifier_is_told_from_the_others():
+    for name in licenses.SPDX:
+        assert named(f"/* SPDX-License-Identifier: {name} */ int main") == [f"{name} identifier"], name
+
+
 def test_quality_rules(spark):
     rng = random.Random(3)
     good = [" ".join(rng.choice(["stone", "river", "cloud", "green", "walks", "near"]) + rng.choice("abcdefgh") for _ in range(60)) for _ in range(120)]
@@ -246,6 +267,12 @@ def named(text, templates=None):
         (licenses.TEMPLATES["BSD-2-Clause"], ["BSD-2-Clause"]),
         (licenses.TEMPLATES["ISC"].replace("AUTHOR", "OWNER"), ["ISC"]),
         (licenses.TEMPLATES["Apache-2.0 notice"], ["Apache-2.0 notice"]),
+        ("// SPDX-License-Identifier: Apache-2.0\n", ["Apache-2.0 identifier"]),
+        ("SPDX-License-Identifier: Apache-1.1", ["Apache-1.1 identifier"]),
+        ("# SPDX-License-Identifier: MIT\n", ["MIT identifier"]),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0-or-later identifier"]),
+        ("SPDX-License-Identifier: LGPL-3.0-only", ["LGPL-3.0-only identifier"]),
+        ("SPDX-License-Identifier: Foo-9.1", []),
     ],
 )
 def test_the_right_license_is_named(text, names):
