@@ -232,6 +232,47 @@ def test_parallel_seeds_do_not_depend_on_blocks(spark):
     assert found[0][0] != found[0][1] and found[0][7] == [(1.0, 0.0, 0.0, 0.0)] * 5
 
 
+def several_questions(spark, seed):
+    """Questions of 60, 20, 3 and 1 words, one without weight, and centers to start from."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(60, 5)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(q, f"w{k:02}", int(rng.integers(0 if q != 4 else 1, 4)), x[k].tolist()) for q, m in ((0, 60), (1, 20), (2, 3), (4, 1)) for k in range(m)]
+    words = spark.createDataFrame(rows, "question_id long, content string, n int, vec array<float>")
+    start = spark.createDataFrame([(q, k, x[7 * k].tolist()) for q in (0, 1, 2, 4) for k in range(3)], "question_id long, k int, mu array<double>")
+    return words, start
+
+
+def test_small_questions_are_seeded_within_their_row(spark):
+    words, _ = several_questions(spark, 21)
+    kept = words.withColumn("pos", F.col("content"))
+    by = lambda c: {(r.question_id, r.k): tuple(np.round(r.mu, 6)) for r in c.collect()}
+    with checkpoints.scope() as made:
+        found = clustering.initial_centers(kept, 4)
+        assert len(made) == 1  # the list of large questions: neither vectors nor distances are written
+    assert by(found) == by(clustering.initial_centers(kept, 4, size=10)) == by(clustering.initial_centers(kept, 4, size=0))
+    listed = lambda c: {r.question_id: [tuple(np.round(v, 6)) for v in r.centers] for r in c.collect()}
+    with checkpoints.scope() as made:
+        found = kmeans.seeded(words, 4)
+        assert len(made) == 1
+    assert listed(found) == listed(kmeans.seeded(words, 4, size=10)) == listed(kmeans.seeds(words, kmeans.blocks(words), 4))
+
+
+def test_small_questions_move_within_their_row(spark):
+    words, start = several_questions(spark, 22)
+    words = words.where("n > 0")
+    for step in (clustering.kmeans, clustering.movmf):
+        with checkpoints.scope() as made:
+            found = step(words, start, 3)
+            assert len(made) == 1
+        for size in (10, 0):
+            other = step(words, start, 3, size=size)
+            assert sorted((r.question_id, r.content, r.n, r.cluster) for r in found[0].collect()) == sorted((r.question_id, r.content, r.n, r.cluster) for r in other[0].collect())
+            assert found[0].count() == words.count() and set(found[0].columns) == set(other[0].columns)
+            state = [{(r.question_id, r.k): np.hstack([r.mu, *([r.alpha, r.kappa] if "alpha" in r else [])]) for r in c.collect()} for c in (found[1], other[1])]
+            assert state[0].keys() == state[1].keys() and all(np.allclose(v, state[1][k], 1e-6) for k, v in state[0].items())
+
+
 def test_equal_vectors_are_one(spark):
     model = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "word string, vec array<float>")
     words = spark.createDataFrame([(0, "a", 2), (0, "b", 3), (0, "c", 1), (1, "b", 4), (1, "none", 1)], "question_id int, content string, n long")
