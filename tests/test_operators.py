@@ -273,6 +273,24 @@ def test_small_questions_move_within_their_row(spark):
             assert state[0].keys() == state[1].keys() and all(np.allclose(v, state[1][k], 1e-6) for k, v in state[0].items())
 
 
+def test_blocks_stay_where_they_are(spark):
+    words, start = several_questions(spark, 23)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        blocked = kmeans.blocks(words, 4)
+        both = kmeans._beside(blocked, start.groupBy("question_id").agg(F.collect_list("mu").alias("centers")), kmeans.parts_of(blocked))
+        plan = both._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "Bucketed: true" in plan and both.count() == blocked.count()
+    made = checkpoints.bucketed(words, ["question_id"])
+    path = checkpoints.MADE[-1]
+    checkpoints.clean(spark, [path])
+    assert path not in checkpoints.BUCKETED and made.columns == words.columns
+    checkpoints.MADE.remove(path)
+
+
 def test_equal_vectors_are_one(spark):
     model = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "word string, vec array<float>")
     words = spark.createDataFrame([(0, "a", 2), (0, "b", 3), (0, "c", 1), (1, "b", 4), (1, "none", 1)], "question_id int, content string, n long")
