@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from candor.config import Config
 from candor import checkpoints
 from candor.operators import clustering, keywords, kmeans, order, scoring, truth
-from candor.plans.discovery import discover
+from candor.plans.discovery import clustered, discover
 from candor.sources import corpus
 
 ANSWERS = [
@@ -82,6 +82,25 @@ def test_nearest_takes_lowest_of_equal(spark):
     assert clustering.assigned(words, centers).first().cluster == 1
 
 
+def test_fixed_centroids_are_compared_once_for_each_word(spark, answers):
+    model = spark.createDataFrame([("stack", [1.0, 0.0]), ("tree", [0.0, 1.0]), ("queue", [0.6, 0.8]), ("graph", None)], "word string, vec array<float>")
+    centers = spark.createDataFrame([(3, [1.0, 0.0]), (1, [0.0, 1.0])], "k int, mu array<double>")
+    found = clustering.assigned(model, centers)
+    assert {r.word: r.cluster for r in found.collect()} == {"stack": 3, "tree": 1, "queue": 1, "graph": None}
+    assert found.limit(0).count() == 0
+    made = clustered(keywords.tokenized(answers), model, Config(), centers)
+    assert "vec" not in "".join(line for line in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line or "Aggregate" in line)
+    assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()
+    assert {(r.question_id, r.content, r.cluster) for r in made.collect() if r.content in ("stack", "tree")} >= {(0, "stack", 3), (2, "tree", 1)}
+
+
+def test_mass_by_hand(spark):
+    words = spark.createDataFrame([(0, 0, 2, [1.0, 0.0]), (0, 1, 3, [0.0, 1.0]), (1, 0, 1, [0.6, 0.8])], "question_id int, pos int, n int, vec array<double>")
+    centers = spark.createDataFrame([(0, 0, [1.0, 0.0]), (1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0])], "question_id int, k int, mu array<double>")
+    found = clustering.seeding_mass(words, centers)
+    assert {(r.question_id, r.pos): round(r.mass, 9) for r in found.collect()} == {(0, 0): 0.0, (0, 1): 6.0, (1, 0): 0.4}
+
+
 def test_kmeans_steps_equal_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(40, 3))
