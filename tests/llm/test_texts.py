@@ -195,6 +195,22 @@ def test_rules_on_labels_not_learned_from(spark):
     assert kept[1] > 0.97 and kept[0] < 0.1
 
 
+def test_rules_learn_from_all_labels(spark):
+    """Every labelled row counts, and barrier tasks that each have some of the rows find what one task finds with all of them."""
+    n = 20_000
+    u = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1000))
+    counts = {c: u(j) for j, c in enumerate(quality.COUNTS)} | {"n_words": 100 + u(50), "n_repeat_words": F.lit(0), "n_lines": 1 + u(51), "n_letters": 1000 + u(52)}
+    measured = spark.range(n).select(F.col("id").alias("doc_id"), *[F.lit(0).cast("long").alias(c) if c == "n_repeat_words" else counts[c].cast("long").alias(c) for c in quality.COUNTS])
+    labels = measured.select("doc_id", (F.col("n_symbols") + u(90) / 4 < 600).cast("int").alias("quality"))
+    one, several = quality.fit(measured, labels, n_trees=3), quality.fit(measured, labels, per_task=12_000, n_trees=3)
+    assert one[2] == several[2] == n
+    rows = measured.join(labels, "doc_id").where("doc_id < 2000").toPandas()
+    x = quality.features({c: rows[c].to_numpy() for c in quality.COUNTS})
+    a, b = one[0].score(x), several[0].score(x)
+    assert np.corrcoef(a, b)[0, 1] > 0.98 and abs(one[1] - several[1]) < 0.1
+    assert b[rows["quality"] > 0].mean() > b[rows["quality"] == 0].mean() + 0.3
+
+
 def test_sample_is_bounded(spark, monkeypatch):
     """All languages are learned, rare ones too; the sample grows with them up to a bound that raises."""
     rows = [(1, "the river and the house", "en")] * 500 + [(k, f"der fluss {k}", f"l{k % 110}") for k in range(3, 500)]
