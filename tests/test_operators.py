@@ -332,6 +332,44 @@ def test_clusters_of_one_block_and_of_several_are_the_same(spark):
     assert len({c for (q, _), (_, c) in found[0].items() if q == 0}) == 4
 
 
+def test_small_questions_come_as_sorted_rows(spark):
+    """Their vectors are not gathered into lists, and a question may lie in several batches."""
+    rng = np.random.default_rng(12)
+    rows = [(q, f"w{k:03}", int(rng.integers(0, 3)), rng.normal(size=4).tolist()) for q in (*range(9), None) for k in range(1 + 7 * (q or 0) % 23)]
+    vectors = spark.createDataFrame(rows, "question_id int, content string, n int, vec array<float>")
+    found, default = [], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in (default, "1", "5"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found.append({(r.question_id, r.content): r.cluster for r in kmeans.whole(vectors, 3).collect()})
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", default)
+    assert found[0] == found[1] == found[2] and set(found[0]) == {(q, c) for q, c, _, _ in rows if q is not None}
+    assert "collect_list" not in kmeans.whole(vectors, 3)._jdf.queryExecution().toString()
+    few, kmeans_few = found[0], kmeans.FEW
+    x, n = rng.normal(size=(60, 4)), np.ones(60)
+    try:  # with bounds and without
+        kmeans.FEW = 0
+        bound = kmeans.lloyd_moves(x, n, x[:5], 50, 1e-12)
+    finally:
+        kmeans.FEW = kmeans_few
+    plain = kmeans.lloyd_moves(x, n, x[:5], 50, 1e-12)
+    assert (bound[0] == plain[0]).all() and np.allclose(bound[1], plain[1]) and len(set(few.values())) == 3
+
+
+@pytest.mark.parametrize("mode", ["plain", "padded"])
+def test_answers_are_tokenized_once(spark, answers, model, mode):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        read.add(1)
+        return text
+
+    texts = answers.withColumn("raw_answer", F.udf(count, "string").asNondeterministic()("raw_answer"))
+    discover(texts, model, corpus.stopwords(spark), Config(clusters=2, top_k=2, sweeps=1, max_iter=2), mode).top.collect()
+    assert read.value == answers.count()
+
+
 def test_small_groups_are_placed_by_a_window(spark):
     rows = [(k % 3 or None, k % 5, k) for k in range(60)]
     df = spark.createDataFrame(rows, "g int, v int, k int")
